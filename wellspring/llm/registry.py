@@ -1,7 +1,7 @@
 """All queries of the subpackage and their SQL."""
 
-from . import queries_pack
+from . import queries_pack, queries_text
 
-_MODULES = (queries_pack,)
+_MODULES = (queries_pack, queries_text)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
