@@ -8,7 +8,7 @@ writes to will do and the committer deals with lost executors. Each row holds on
     | doc ids (i64 x n) | null flags (u8 x n) | id counts (u64 x n) | offsets of the frames (u64 x n+1) | frames
 
 Numbers are little-endian. A short document is read by its offset alone, without what stands before it. Containers
-and the documents in them are in ascending doc_id order (null first); `part` and `seq` give the order of containers.
+and the documents in them are in ascending doc_id order (null first); `part` and `seq` give the order of containers, `inner_start` the ids before one in its part.
 
 Defined results: null or empty text has the end id only; repeated rows are written each, in any order among
 themselves; an empty table gives an empty store; other columns are ignored.
@@ -25,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, scan_offsets, scratch
+from .common import documents, materialize, pieces, scan_offsets, scratch
 from .tokens import encoder
 
 MAGIC = b"WTOK1\0\0\0"
 FRAMES = "doc_id long, n_tokens long, frame binary"
-CONTAINERS = "part int, seq int, n_docs long, n_tokens long, container binary"
+CONTAINERS = "part int, seq int, inner_start long, n_docs long, n_tokens long, container binary"
 _HEAD = struct.Struct("<8s32sII")
 
 
@@ -110,7 +110,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "dropped
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         counts: list[int] = []
         frames: list[bytes] = []
@@ -118,7 +118,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "dropped
 
         def row():
             blob = write_container(width, dictionary, doc_ids, counts, frames)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(frames)], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "container"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(frames)], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "inner_start", "n_docs", "n_tokens", "container"])
 
         for batch in batches:
             for doc_id, n, frame in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -128,11 +128,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "dropped
                 size += len(frame)
                 if size >= container_bytes:
                     yield row()
+                    before += sum(counts)
                     seq, doc_ids, counts, frames, size = seq + 1, [], [], [], 0
         if frames:
             yield row()
 
-    ordered = docs.mapInArrow(compress, FRAMES).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # written first: range parting reads its input twice, and encoding is the costly part
+    ordered = materialize(docs.mapInArrow(compress, FRAMES), "frames").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(gather, CONTAINERS).write.option("compression", "none").parquet(path)
 
 
@@ -143,10 +145,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     if hashlib.sha256(dictionary).hexdigest() != rows[0].sha256:
         raise ValueError("the dictionary doesn't match its hash")
     boxes = spark.read.schema(CONTAINERS).parquet(path)
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = boxes.select("part", "seq", "n_tokens")
-    starts = totals.select("part", "seq", before.alias("inner_start")).join(F.broadcast(scan_offsets(totals, "part", "n_tokens")), "part")
-    placed = boxes.join(starts, ["part", "seq"]).select((F.col("base") + F.col("inner_start")).alias("base"), "container")
+    bases = scan_offsets(boxes.select("part", "n_tokens"), "part", "n_tokens")
+    placed = boxes.join(F.broadcast(bases), "part").select((F.col("base") + F.col("inner_start")).alias("base"), "container")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

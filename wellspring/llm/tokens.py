@@ -46,7 +46,7 @@ class UnitEncoder:
     units are encoded anew each time, so memory is bounded.
     """
 
-    def __init__(self, path: str, kind: str, end_id: int, most_units: int = 600_000) -> None:
+    def __init__(self, path: str, kind: str, end_id: int, most_units: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
