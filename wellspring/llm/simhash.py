@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, documents, materialize, pieces, texts_of
@@ -153,3 +153,131 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     classes = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("members").alias("copies"))
     named = joined.join(classes, "root").select("fp", "component_id", "copies")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+
+
+# Similarity search on wider fingerprints, for groups of near copies whose shingles differ in up to a fifth.
+
+#: Long numbers of a word fingerprint (each is one table of anchors) and of a shingle fingerprint.
+TABLES, WIDE = 6, 4
+
+
+def _majority(digests: list[bytes], size: int) -> bytes:
+    values = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, size)
+    counts = np.zeros((size, 256))
+    for at in range(0, len(values), 1 << 14):
+        part = values[at : at + (1 << 14)]
+        counts += np.bincount((part + np.arange(0, 256 * size, 256)).ravel(), minlength=256 * size).reshape(size, 256)
+    return np.packbits((counts @ _BITS > len(values) / 2).astype(np.uint8)).tobytes()
+
+
+def wide_fingerprint(text: bytes, words: int = 5) -> tuple[bytes, bytes]:
+    """(of the distinct words, 384 bits; of the word shingles, repeats included, 256 bits). Few words give one shingle."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    found = text.translate(LOWER).split()
+    if not found:
+        return bytes(8 * TABLES), bytes(8 * WIDE)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    if len(found) <= words:
+        shingles = [joined]
+    else:
+        starts = np.concatenate([[0], ends[: len(found) - words] + 1]).tolist()
+        shingles = [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+    return _majority([digest(w, s) for w in {w.strip(b".,;:!?") for w in found} for s in (1, 2, 3)], 8 * TABLES), _majority([digest(x, s) for x in shingles for s in (4, 5)], 8 * WIDE)
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, of_words and of_shingles (binary) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 8 << 20):
+            one, other = zip(*(wide_fingerprint(t, words) for t in texts_of(batch)), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one, pa.binary()), pa.array(other, pa.binary())], ["doc_id", "of_words", "of_shingles"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, of_words binary, of_shingles binary")
+
+
+def _forest(bits: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Spanning links of the rows of `bits` (n x WIDE unsigned longs) that differ in at most `most` bits: as few as n - 1, whatever the number of pairs."""
+    n = len(bits)
+    class_of = np.arange(n)
+    out = []
+    for i in range(1, n):
+        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]).sum(1) <= most)
+        _, one = np.unique(class_of[near], return_index=True)
+        for j in near[one].tolist():
+            out.append((i, j))
+            class_of[: i + 1][class_of[: i + 1] == class_of[j]] = i
+    return out
+
+
+def similar_links(distinct: DataFrame, most: int) -> DataFrame:
+    """Links (u, v) between rows (number, of_words, of_shingles) that share an anchor of one of the tables and whose shingle
+    fingerprints differ in at most `most` bits. Both go to all anchors within the covering radius plus 1, so two rows
+    within 2 of a table's 46 bits surely meet; an anchor gives a spanning set of its links."""
+    wide = 8 * WIDE
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                longs = np.frombuffer(b"".join(part.column("of_words").to_pylist()), ">i8").astype(np.int64).reshape(-1, TABLES)
+                for t in range(TABLES):
+                    rows, found = anchors(longs[:, t], 1)
+                    pick = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(found | t << 46), part.column("number").take(pick), part.column("of_shingles").take(pick)], ["anchor", "number", "of_shingles"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, numbers, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
+
+        def pairs(keys, numbers, prints) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sizes = np.diff(np.append(starts, len(keys)))
+            two = starts[sizes == 2]
+            two = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(1) <= most]
+            u, v = [numbers[two]], [numbers[two + 1]]
+            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                if found := _forest(prints[s : s + n], most):
+                    i, j = np.array(found).T
+                    u.append(numbers[s + i])
+                    v.append(numbers[s + j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.frombuffer(b"".join(batch.column("of_shingles").to_pylist()), np.uint64).reshape(-1, WIDE)
+            keys, numbers, prints = np.concatenate([keys, batch.column("anchor").to_numpy()]), np.concatenate([numbers, batch.column("number").to_numpy()]), np.concatenate([prints, own])
+            done = int(np.searchsorted(keys, keys[-1]))  # the last anchor may go on
+            if done:
+                yield from pairs(keys[:done], numbers[:done], prints[:done])
+                keys, numbers, prints = keys[done:], numbers[done:], prints[done:]
+        if len(keys):
+            yield from pairs(keys, numbers, prints)
+
+    assert wide == 32
+    placed = distinct.repartition("number").mapInArrow(place, "anchor long, number long, of_shingles binary")
+    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u long, v long").distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (smallest doc_id of its group): documents whose word shingles are alike by `similarity` or more, by the
+    angle that this means for two sets, J = `similarity`: cosine 2 J / (1 + J). Null ids are left out."""
+    most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * WIDE + 1.5)
+    rows = materialize(wide_fingerprints(docs, words).where("doc_id is not null"), "wide")
+    # documents with equal fingerprints are one; the smallest doc_id numbers it
+    distinct = materialize(rows.groupBy("of_words", "of_shingles").agg(F.min("doc_id").alias("number")), "wide-distinct")
+    roots = components(similar_links(distinct, most))
+    named = distinct.join(roots, distinct.number == roots.node, "left").select("of_words", "of_shingles", F.coalesce("root", "number").alias("component_id"))
+    return rows.join(named, ["of_words", "of_shingles"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, one of each group: that of the smallest doc_id (of repeated ids one row); rows with a null id stay."""
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    kept = similar_groups(named, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = named.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__row", rank).where("__row = 1").drop("__row")
+    return one.unionByName(named.where("doc_id is null"))
