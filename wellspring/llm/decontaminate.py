@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are words (ASCII letters lower-cased, digits, bytes from 0x80 on). Every run of `least` words of a document is
+Texts are words (letters lower-cased, digits, and all other characters outside ASCII). Every run of `least` words of a document is
 looked up, by its Karp-Rabin hash, among the runs of the benchmark items: shared seeds. Items whose words the seeds
 could cover to `threshold` are tiled: the longest common unmarked run of item and document is found by hashes of
 running windows, checked word by word, marked on both sides, and so on down to `least` words. The tiles' share of the
@@ -25,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, pieces, texts_of
-from .licenses import words_of
+from .licenses import words_of as _ascii_words
 
 TILES = "doc_id long, item_id long, coverage double, matched_words long, item_words long, longest long, tiles array<struct<item_start:long,doc_start:long,length:long>>"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return _ascii_words(text if text.isascii() else text.decode("utf-8", "replace").lower().encode())
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
