@@ -119,7 +119,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     places = materialize(places.join(F.broadcast(rank), "part").withColumn("first_row", F.col("base") + F.col("rows_before")).select("key", "group_first", "bytes", "members", "ending", "first_row"), "shard-places")
     total, largest = places.agg(F.max("ending"), F.max("bytes")).first()
     ends = cut(places.select("ending"), shards, total or 0, largest or 0)
-    capacity = max((b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)), default=0)
+    capacity = max((b - a for a, b in zip([0, *ends], ends, strict=False)), default=0)
     number = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array().cast("array<long>"), lambda e: e < F.col("ending")))
     places = places.withColumn("shard", number.cast("int"))
     starts = places.groupBy("shard").agg(F.min("first_row").alias("shard_first"))
