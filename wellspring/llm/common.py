@@ -71,3 +71,12 @@ def scan_offsets(df: DataFrame, part: str, total: str) -> DataFrame:
         rows.append((part_id, base))
         base += n or 0
     return df.sparkSession.createDataFrame(rows, f"{part} int, base long")
+
+
+def drawn(df: DataFrame, n: int, *keys: str) -> list:
+    """At most n rows on the driver, in the order of a hash of the keys: those under a hash share that should hold half as many
+    again, so tasks send about that many rows in all and not n each. Where repeated keys make it more, the first 4 n that are found count."""
+    share = min(1.0, (1.5 * n + 50) / max(1, df.count()))
+    u = (F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / (1 << 30)).alias("__u")
+    rows = df.select("*", u).where(F.col("__u") <= share).limit(4 * n).collect()
+    return sorted(rows, key=lambda r: (r["__u"], *[str(r[k]) for k in keys]))[:n]

@@ -161,12 +161,13 @@ class ByteGRU:
 
 
 def fit(docs: DataFrame, per_language: int = 300, sample_bytes: int = 65536) -> ByteGRU:
-    """Learn from text and lang of documents whose crc32(doc_id) mod 4 is not 2. per_language, sample_bytes bound the sample."""
+    """Learn from text and lang of documents whose crc32(doc_id) mod 4 is not 2. per_language and sample_bytes
+    bound the sample; whatever repeats, no more than 256 times per_language rows come to the driver."""
     rows = documents(docs, "lang").where("lang is not null and doc_id is not null").where(crc_mod(4) != 2).where((F.octet_length("text") > 0) & (F.octet_length("text") <= sample_bytes))
     hashed = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)).alias("u")
     counts = rows.groupBy("lang").count()
     chances = counts.select("lang", (F.lit(1.5 * per_language) / F.col("count")).alias("chance"))
-    chosen = rows.select("doc_id", "text", "lang", hashed).join(F.broadcast(chances), "lang").where("u <= chance").select("u", "doc_id", "text", "lang").collect()
+    chosen = rows.select("doc_id", "text", "lang", hashed).join(F.broadcast(chances), "lang").where("u <= chance").select("u", "doc_id", "text", "lang").limit(4 * per_language * 64).collect()
     by: dict[str, list[bytes]] = {}
     for r in sorted(chosen, key=lambda r: (r.u, r.doc_id, r.lang, r.text)):
         text = r.text.encode()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drawn, materialize
 
 
 def usable(vectors: DataFrame, dims: int | None = None) -> DataFrame:
@@ -136,9 +136,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
         return spark.createDataFrame([], schema)
     rows = usable(vectors, sized.d)
     total = sized["count"]
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x, ids = np.array([r.embedding for r in drawn]), np.array([r.vec_id for r in drawn])
-    asked = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(calibration).collect()
+    known = drawn(rows, sample, "vec_id")
+    x, ids = np.array([r.embedding for r in known]), np.array([r.vec_id for r in known])
+    asked = drawn(rows.where(is_query), calibration, "vec_id")
     tree = KMeansTree(x, leaf_size=leaf_size)
     # the sample's k best stand for k * total / sample of all rows' best, so the same share of them is asked for
     near = max(1, round(k * len(x) / total)) if total else k

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, pieces, scan_offsets, scratch
+from .common import documents, drawn, materialize, pieces, scan_offsets, scratch
 from .tokens import encoder
 
 MAGIC = b"WTOK1\0\0\0"
@@ -93,7 +93,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "dropped
     width: bytes of an id; 2 if every id of the vocabulary is under 65536. `sample` bounds what the dictionary sees.
     """
     spark, docs = docs.sparkSession, documents(docs)
-    chosen = docs.where(F.octet_length("text") <= sample_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(sample).collect()
+    chosen = drawn(docs.where(F.octet_length("text") <= sample_bytes), sample, "doc_id")
     encode = encoder(tokenizer, kind, end_id).encode
     ids, counts, _ = encode([r.text for r in chosen])
     bounds = np.concatenate([[0], np.cumsum(counts)])
