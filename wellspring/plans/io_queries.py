@@ -235,3 +235,64 @@ def _(t, spark, folder):
             break
         newest += 1
     return _out(spark.read.schema(schema).parquet(f"{path}/v={newest}"))
+
+
+@q("gen02_equal_area_grid", f"WITH b AS (SELECT CAST(floor(min(longitude) * 1e5 / 2e4) AS BIGINT) AS x0, CAST(ceil(max(longitude) * 1e5 / 2e4) AS BIGINT) AS x1, CAST(floor(min(latitude) * 1e5 / 2e4) AS BIGINT) AS y0, CAST(ceil(max(latitude) * 1e5 / 2e4) AS BIGINT) AS y1 FROM {W} w) SELECT grid_x, grid_y, round(degrees(grid_x * 2e4 / (6378137.0::DOUBLE * sqrt(0.75::DOUBLE) / sqrt(1 - 0.00669437999014::DOUBLE * 0.25))), 6) AS longitude FROM (SELECT unnest(range(x0, x1 + 1)) AS grid_x FROM b) a, (SELECT unnest(range(y0, y1 + 1)) AS grid_y FROM b) c")
+def _(t, spark, folder):
+    """A 20 km grid over the wells' extent, taken as 100 km for a degree."""
+    r = t("wells").agg(F.min("longitude"), F.min("latitude"), F.max("longitude"), F.max("latitude")).first()
+    grid = summaries.equal_area_grid(spark, tuple(x * 1e5 for x in r), 2e4)
+    return grid.select("grid_x", "grid_y", F.round("longitude", 6).alias("longitude"))
+
+
+@q("job01_canonical", f"SELECT 'wells' AS tab, count(*) AS n FROM {W} w UNION ALL SELECT 'permits', count(*) FROM {P} p UNION ALL SELECT 'production', count(*) FROM {sql('production')} p")
+def _(t, spark, folder):
+    tables = jobs.canonical_tables(t("wells"), t("permits"), t("production"))
+    return summaries.layer_counts(tables).select(F.col("layer").alias("tab"), F.col("n_rows").alias("n"))
+
+
+_BINS = f"SELECT l.sample_id, year(seen_at) AS y, floor((dayofyear(CAST(seen_at AS DATE)) - 1) / 10) AS bin, collection IN ('view', 'click') AS s2 FROM {sql('locations')} l JOIN {S} s ON l.longitude BETWEEN west AND east AND l.latitude BETWEEN south AND north"
+
+
+@q("job10_observation_plan", f"SELECT concat(sample_id, '__year_', CAST(y AS VARCHAR)) AS sequence_id, count(*) AS n_bins, CAST(sum(a::INT) AS BIGINT) AS n_s2, CAST(sum(b::INT) AS BIGINT) AS n_s1, CAST(sum((a AND b)::INT) AS BIGINT) AS n_paired FROM (SELECT sample_id, y, bin, bool_or(s2) AS a, bool_or(NOT s2) AS b FROM ({_BINS}) x GROUP BY 1, 2, 3) z GROUP BY 1")
+def _(t, spark, folder):
+    scenes = t("scenes")
+    optical = F.col("collection").isin("view", "click")
+    return jobs.observation_plan(t("locations"), scenes.where(optical), scenes.where(~optical), 10, 3, 37)[1].select("sequence_id", "n_bins", "n_s2", "n_s1", "n_paired")
+
+
+@q("job12_regional_manifest", f"SELECT sample_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split, CAST(26 AS BIGINT) AS n_tiles, CAST(9 AS BIGINT) AS n_windows FROM (SELECT sample_id, ('0x' || substr(md5('tiles::' || sample_id), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM {sql('locations')} l) x")
+def _(t, spark, folder):
+    tiles, windows = jobs.regional_manifest(t("locations"), "sample_id", 2, 2560.0, 1, 1)
+    counts = windows.groupBy("sample_id").agg(F.count("*").alias("n_windows"))
+    return tiles.groupBy("sample_id", "split").agg(F.count("*").alias("n_tiles")).join(counts, "sample_id").select("sample_id", "split", "n_tiles", "n_windows")
+
+
+@q("ml04_regression_trees")
+def _(t, spark, folder):
+    rows = _features(t).withColumn("target", F.col("k") * 10.0)
+    model = models.regressor(rows.where("split_group = 'train'"), "target", ["latitude", "longitude"], ["county_name"], trees=5)
+    return models.predict(model, rows.where("split_group = 'test'"), "y_pred", "log1p").select("well_api", "y_pred")
+
+
+@q("ord04_importances")
+def _(t, spark, folder):
+    model = models.classifier(_features(t), "y", ["latitude", "longitude"], [], "trees", 5)
+    return spark.createDataFrame([(n, float(v)) for n, v in models.importances(model, ["latitude", "longitude"])], "feature string, importance double")
+
+
+@q("snk01_csv_round_trip", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(t, spark, folder):
+    path = scratch(spark, "orders") + ".csv"
+    sinks.write_table(t("orders").select("o_orderkey", "o_orderstatus"), path)
+    return readers.read_table(spark, path).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus")
+
+
+@q("str03_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t, spark, folder):
+    source, out = scratch(spark, "index"), scratch(spark, "seen")
+    rows = t("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    rows.write.parquet(source)
+    stream = refresh.first_seen(spark.readStream.schema(rows.schema).parquet(source), "at", ["user_id", "event_type"])
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_type")

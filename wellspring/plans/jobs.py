@@ -91,3 +91,28 @@ def centres(regions: DataFrame, target: int, separation: int, radius: int) -> Da
     anchors = sampling.separated(spatial.full_clusters(regions, "region_id", radius), "region_id", separation)
     rest = sampling.isolated_centres(spatial.away_from(regions, anchors, separation), "bucket_id", "region_id", target, 0.5)
     return anchors.select("region_id", F.lit("anchor").alias("kind")).unionByName(rest.select("region_id", F.lit("isolated").alias("kind")))
+
+
+def canonical_tables(wells: DataFrame, permits: DataFrame, production: DataFrame) -> dict[str, DataFrame]:
+    """JOB-01: typed wells, permits and production from raw columns of one state."""
+    clean = wells.select(C.well_id(F.col("well_api")).alias("well_api"), F.initcap(F.trim("county_name")).alias("county_name"), C.number(F.col("latitude")).alias("latitude"), C.number(F.col("longitude")).alias("longitude"), F.trim("well_status").alias("well_status"), C.credible_spud(F.col("spud_date")).alias("spud_date"))
+    scoped = production.select(C.well_id(F.col("permit_num")).alias("well_api"), F.col("production_period_start_date").alias("period_start_date"), C.number(F.col("gas_quantity")).alias("gas_quantity"), "production_scope")
+    return {"wells": clean.where("well_api is not null"), "permits": permits.where("authorization_id is not null"), "production": scoped.where("well_api is not null")}
+
+
+def observation_plan(locations: DataFrame, optical: DataFrame, radar: DataFrame, cadence: int, k: int, bins: int) -> tuple[DataFrame, DataFrame]:
+    """JOB-10: (plan, coverage): for each location and time bin whether it has optical and radar scenes, with the shortlists; and the summary of each location and year."""
+    from ..operators import observations
+
+    keys = ["sample_id", "year", "bin"]
+    sides = {n: observations.scene_shortlists(locations, s, cadence, k, optical=n == "s2").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "scene_id"))).alias(n)) for n, s in (("s2", optical), ("s1", radar))}
+    plan = sides["s2"].join(sides["s1"], keys, "full").withColumns({"has_s2": F.col("s2").isNotNull(), "has_s1": F.col("s1").isNotNull()})
+    return plan, observations.coverage(plan.withColumn("sequence_id", F.concat_ws("__year_", "sample_id", F.col("year").cast("string"))), "sequence_id", bins)
+
+
+def regional_manifest(centres: DataFrame, key: str, radius: int, spacing_m: float, core: int, support: int, seed: str = "tiles") -> tuple[DataFrame, DataFrame]:
+    """JOB-12: (tiles with their centre's split, training windows)."""
+    from ..operators import observations
+
+    tiles = observations.tile_manifest(centres, key, radius, spacing_m).withColumn("split", sampling.hash_split(F.col(key), seed, 0.8, 0.1))
+    return tiles, observations.training_windows(tiles, key, core, support)
