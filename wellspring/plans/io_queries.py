@@ -10,7 +10,7 @@ from ..sources import readers, sinks
 from ..sources.scratch import scratch
 from ..streaming import refresh
 from . import jobs
-from .core_queries import _AGG02, _PRORATED, P, S, W, _out, _polygons
+from .core_queries import _AGG02, _PRORATED, _SINCE, MO, P, S, W, _hav, _out, _polygons
 from .fixtures import load, sql
 
 QUERIES: dict = {}
@@ -139,14 +139,28 @@ def _(t, spark, folder):
     return got.agg(F.count("*").alias("n_wells"), F.count_if("label_f12_available").alias("n_f12"), F.count("f12_gas").alias("n_gas"))
 
 
-@q("job05_monthly_table")
+_FIRST = f"SELECT well_api, min(s) AS s, sum(CASE WHEN k BETWEEN 0 AND 11 THEN gas_quantity END) AS g, count(DISTINCT CASE WHEN k BETWEEN 0 AND 11 THEN period_start_date END) AS n FROM ({_SINCE}) x GROUP BY 1"
+_PLACED = f"SELECT w.well_api, latitude, longitude, s FROM {W} w JOIN (SELECT well_api, min(period_start_date) AS s FROM {MO} m WHERE gas_quantity > 0 GROUP BY 1) f ON w.well_api = f.well_api"
+
+
+@q("job05_monthly_table", f"""WITH need AS (SELECT CASE WHEN max(n) <= 40 THEN 4 ELSE 12 END AS m FROM (SELECT count(DISTINCT period_start_date) AS n FROM {MO} m GROUP BY well_api) c),
+near AS (SELECT a.well_api, {_hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km FROM ({_PLACED}) a JOIN ({_PLACED}) b ON abs(a.latitude - b.latitude) < 0.2 AND b.s < a.s),
+stats AS (SELECT p.well_api, coalesce(n2, 0) AS n2, coalesce(n5, 0) AS n5, d FROM ({_PLACED}) p LEFT JOIN (SELECT well_api, count(*) FILTER (WHERE km <= 2) AS n2, count(*) FILTER (WHERE km <= 5) AS n5, min(km) AS d FROM near WHERE km <= 20 GROUP BY 1) x ON p.well_api = x.well_api)
+SELECT w.well_api, f12_gas, label_f12_available, n2 AS count_2km, n5 AS count_5km, round(d, 6) AS nearest_km FROM {W} w LEFT JOIN (SELECT well_api, round(a.g, 6) AS f12_gas FROM ({_FIRST}) a) l ON w.well_api = l.well_api
+LEFT JOIN (SELECT w.well_api, CAST(coalesce(a.n, 0) >= (SELECT m FROM need) AS VARCHAR) AS label_f12_available FROM {W} w LEFT JOIN ({_FIRST}) a ON w.well_api = a.well_api) v ON w.well_api = v.well_api LEFT JOIN stats ON w.well_api = stats.well_api""")
 def _(t, spark, folder):
-    return jobs.monthly_table(t("wells"), t("monthly")).select("well_api", "f12_gas", "label_f12_available", "count_2km", "count_5km", "nearest_km")
+    return _out(jobs.monthly_table(t("wells"), t("monthly")).select("well_api", "f12_gas", "label_f12_available", "count_2km", "count_5km", "nearest_km"))
+
+
+_CELLS = f"SELECT concat(CAST(cx AS VARCHAR), '_', CAST(cy AS VARCHAR)) AS cell_id, (cx + 0.5) * 0.05::DOUBLE AS longitude, (cy + 0.5) * 0.05::DOUBLE AS latitude FROM (SELECT DISTINCT CAST(floor(longitude / 0.05::DOUBLE) AS BIGINT) + dx AS cx, CAST(floor(latitude / 0.05::DOUBLE) AS BIGINT) + dy AS cy FROM {W} w, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) c"
 
 
-@q("job06_prospect_cells")
+@q("job06_prospect_cells", f"""WITH n AS (SELECT cell_id, k, {_hav('c.latitude', 'c.longitude', 'w.latitude', 'w.longitude')} AS km FROM ({_CELLS}) c JOIN {W} w ON abs(c.latitude - w.latitude) < 0.1),
+s AS (SELECT c.cell_id, m FROM ({_CELLS}) c LEFT JOIN (SELECT cell_id, quantile_cont(k, 0.5) AS m FROM n WHERE km <= 10 GROUP BY 1) x ON c.cell_id = x.cell_id),
+p AS (SELECT cell_id, m, CASE WHEN m IS NOT NULL THEN (rank() OVER (ORDER BY m ASC NULLS LAST) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE) / (SELECT count(m) FROM s) END AS pct FROM s)
+SELECT cell_id, round(m, 6) AS score, round(pct, 6) AS score_percentile, CASE WHEN pct IS NULL THEN NULL WHEN pct >= 0.9 THEN 'very_high' WHEN pct >= 0.7 THEN 'high' WHEN pct >= 0.4 THEN 'medium' ELSE 'background' END AS prospect_tier FROM p""")
 def _(t, spark, folder):
-    return jobs.prospect_cells(t("wells"), _polygons(t), ["map_symbol"], 0.05, "k").select("cell_id", "score", "score_percentile", "prospect_tier", "map_symbol")
+    return _out(jobs.prospect_cells(t("wells"), _polygons(t), ["map_symbol"], 0.05, "k").select("cell_id", "score", "score_percentile", "prospect_tier"))
 
 
 def _unified(t):
