@@ -276,6 +276,28 @@ def test_context_mixing_is_a_probability():
     assert (2.0**-ends).sum() < 1
 
 
+def test_context_mixing_is_fitted_on_all_texts(spark):
+    """Texts over 32 KiB teach the weights and the map, and each bit of every training text is counted once."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 8000)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert min(len(t) for _, t in rows) > 32768
+    model = context_mixing.fit(df)
+    assert (model.map > 0).any() and not np.allclose(model.weights, 0.3)
+    bits = 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            buffer, first, last = context_mixing.lay_out([t.encode()])
+            length, _, _ = context_mixing.bits_at(model.code, buffer, context_mixing.contexts(model.code, buffer), *context_mixing.all_places(first, last))
+            bits += int(length.sum())
+    assert model.map.sum() == bits
+
+
+def test_context_mixing_tables_grow():
+    few, many = (context_mixing.Code(np.full((256, 257), n)) for n in (1, 4096))
+    assert all(many.orders[o] > few.orders[o] == w for o, w in context_mixing.ORDERS.items())
+
+
 def test_tiling():
     rng = random.Random(9)
     item = [rng.choice(WORDS) + str(rng.randint(0, 40)) for _ in range(30)]

@@ -9,9 +9,10 @@ scale of the mixed log-odds is learned online: after every block of bytes it mov
 each block is predicted from what stood before it only. bits = minus the sum of log2 of the bits' probabilities.
 
 What is learned where. Byte and bit counts cover all training documents: each task counts its own, the slices of the
-tables are added up by shuffles. The tables' size is fixed (`ORDERS`), so they can be broadcast. Gated weights and the
-probability map are fitted online on a bounded sample (`sample` training documents of at most `sample_bytes` bytes, the smallest hashes of
-doc_id), each document seen with its own counts taken out of the tables.
+tables are added up by shuffles. The tables have the size of `ORDERS`, doubled with the training bytes up to `GROWN` times (they are
+broadcast). Gated weights and the probability map are fitted on all training documents of any length, each seen with its own counts taken
+out of the tables: tasks count (gate, cell of each context's log-odds, bit), and from these counts each gate's weights are
+fitted by Newton's method.
 
 Base. Token counts are exact: each task numbers the distinct tokens of a block of documents (about `block_bytes` of
 text), (block, token hash, count) rows meet by 64-bit hash in one window, and each block's totals return to its
@@ -35,16 +36,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, documents, drawn, materialize, pieces, texts_of
+from .common import LOWER, crc_mod, documents, materialize, pieces, texts_of
 
-#: Context (bytes before, or the word so far) -> bits of the number of a slot.
+#: Context (bytes before, or the word so far) -> bits of the number of a slot, for up to FULL training bytes.
 ORDERS = {3: 20, 5: 21, "word": 22}
+#: Each doubling of FULL adds a bit to each order, GROWN at most.
+FULL, GROWN = 1 << 27, 2
 END, SLICE, PAD = 256, 1 << 17, 8
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD6E8FEB86659FD93
 _LOWERED = np.frombuffer(LOWER, np.uint8)
 #: Buckets of mixed log-odds in the probability map, from -LIMIT to LIMIT.
 LIMIT, BUCKETS = 8.0, 33
+#: Cells of a context's log-odds when weights are fitted, even in asinh up to REACH; bits that the map's prior is worth.
+CELLS, REACH, PRIOR = 27, 3.4, 20
 
 
 def _huffman(counts: list[int]) -> list[list[tuple[int, int]]]:
@@ -76,7 +81,9 @@ class Code:
     """
 
     def __init__(self, counts: np.ndarray) -> None:
-        scatter = np.random.default_rng(7).integers(0, 1 << max(ORDERS.values()), (256, 256))
+        grown = min(GROWN, max(0, int(counts.sum()) // FULL).bit_length())
+        self.orders = {order: width + grown for order, width in ORDERS.items()}
+        scatter = np.random.default_rng(7).integers(0, 1 << max(self.orders.values()), (256, 256))
         steps, length = [], []
         for before in range(256):
             own = scatter[before].tolist()
@@ -108,7 +115,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _KNOWN_POWERS[base][:n]
 
 
-def contexts(buffer: np.ndarray) -> list[np.ndarray]:
+def contexts(code: Code, buffer: np.ndarray) -> list[np.ndarray]:
     """For each context the hash (bits of a slot's number) before every place of the buffer."""
     n = len(buffer)
     history, out, done = np.zeros(n, np.uint64), [], 0
@@ -121,7 +128,7 @@ def contexts(buffer: np.ndarray) -> list[np.ndarray]:
     gap = np.concatenate([[0], gap])[:n]  # the last white space before each place
     start = np.minimum(gap + 1, place)
     word = (sums[place] - sums[start]) * back[start] + np.uint64(77)
-    for order, width in ORDERS.items():
+    for order, width in code.orders.items():
         if order == "word":
             value = word
         else:
@@ -143,7 +150,7 @@ def bits_at(code: Code, buffer: np.ndarray, hashes: list[np.ndarray], places: np
     bit = (step & 1).astype(np.int8)
     step >>= 1
     slots = []
-    for width, h in zip(ORDERS.values(), hashes, strict=True):
+    for width, h in zip(code.orders.values(), hashes, strict=True):
         slot = np.repeat(h[places], length)
         slot ^= step
         slot &= (1 << width) - 1
@@ -195,29 +202,43 @@ class Mixer:
         return np.clip(z, -12, 12, out=z)
 
     def _bucket(self, z: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int32)
-
-    def learn(self, bit: np.ndarray, inputs: list[np.ndarray], rate: float, keep_map: bool) -> None:
-        """One online step on the bits of one block: weights, then the map."""
-        gate = gate_of(inputs)
-        z = self.mix(gate, inputs)
-        error = bit - 1 / (1 + np.exp(-z))
-        pace = rate / np.sqrt(np.bincount(gate, minlength=self.gates) + 1.0)
-        for w, x in zip(self.weights, inputs, strict=True):
-            w += (pace * np.bincount(gate, error * x, self.gates)).astype(np.float32)
-        self.bias += (pace * np.bincount(gate, error, self.gates)).astype(np.float32)
-        if keep_map:
-            np.add.at(self.map, (gate, self._bucket(z), bit), 1)
+        return np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
+
+    def fit(self, cells: np.ndarray, n: np.ndarray, rounds: int = 12, ridge: float = 10.0) -> None:
+        """Weights of each gate by Newton's method, drawn to the start weights by `ridge`, then the map. cells: numbers of `cell_of`, n: how often with bit 0 and 1."""
+        gate = cells // CELLS ** len(ORDERS)
+        x = np.stack([_CENTRES[cells // CELLS**k % CELLS] for k in range(len(ORDERS) - 1, -1, -1)] + [np.ones(len(cells))], 1)
+        for g in np.unique(gate):
+            own = gate == g
+            xs, zeros, ones = x[own], n[own, 0].astype(float), n[own, 1].astype(float)
+            start = w = np.array([*self.weights[:, g], self.bias[g]], float)
+
+            def loss(w, xs=xs, zeros=zeros, ones=ones, start=start):
+                z = xs @ w
+                return ((zeros + ones) * np.logaddexp(0, z) - ones * z).sum() + ridge / 2 * ((w - start) ** 2).sum()
+
+            for _ in range(rounds):
+                p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
+                slope = xs.T @ (ones - (zeros + ones) * p) - ridge * (w - start)
+                step = np.linalg.solve((xs.T * ((zeros + ones) * p * (1 - p))) @ xs + ridge * np.eye(len(w)), slope)
+                pace = 1.0
+                while pace > 1e-3 and loss(w + pace * step) > loss(w):
+                    pace /= 2
+                w = w + pace * step if pace > 1e-3 else w
+            self.weights[:, g], self.bias[g] = w[:-1], w[-1]
+            bucket = self._bucket(np.clip(xs @ w, -12, 12))
+            self.map[g, :, 0] += np.bincount(bucket, zeros, BUCKETS)
+            self.map[g, :, 1] += np.bincount(bucket, ones, BUCKETS)
 
     def freeze(self) -> None:
-        """The map as probabilities of a 1; its prior is the bucket's own middle, worth 20 bits."""
+        """The map as probabilities of a 1; its prior is the bucket's own middle."""
         middle = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, BUCKETS)))
-        self.refined = ((self.map[:, :, 1] + 20 * middle) / (self.map.sum(2) + 20)).astype(np.float32).ravel()
+        self.refined = ((self.map[:, :, 1] + PRIOR * middle) / (self.map.sum(2) + PRIOR)).astype(np.float32).ravel()
 
     def score(self, texts: list[bytes], block: int = 512, rate: float = 0.2) -> np.ndarray:
         """Total bits of each text. Blocks of all texts go side by side, each twice as long as the one before up to 64 KiB; what a text teaches is for its later blocks only."""
         buffer, first, last = lay_out(texts)
-        hashes = contexts(buffer)
+        hashes = contexts(self.code, buffer)
         total, scale = np.zeros(len(texts)), np.ones(len(texts), np.float32)
         at = first.copy()
         alive = np.arange(len(texts))
@@ -248,6 +269,18 @@ class Mixer:
         return total
 
 
+_CENTRES = np.sinh(np.linspace(-REACH, REACH, CELLS))
+
+
+def cell_of(inputs: list[np.ndarray]) -> np.ndarray:
+    """(gate, cell of each context's log-odds) as one number."""
+    out = gate_of(inputs)
+    for x in inputs:
+        out *= CELLS
+        out += np.rint((np.clip(np.arcsinh(x), -REACH, REACH) + REACH) * ((CELLS - 1) / (2 * REACH))).astype(np.int64)
+    return out
+
+
 def byte_counts(train: DataFrame) -> np.ndarray:
     """How often each byte and the end follow each byte (none: 0) in all training texts: 256 x 257."""
 
@@ -266,28 +299,20 @@ def byte_counts(train: DataFrame) -> np.ndarray:
     return out.reshape(256, 257)
 
 
-def bit_counts(train: DataFrame, code: Code) -> list[np.ndarray]:
-    """For each order the counts (slot x 2) of bits over all training texts."""
-    slices = {order: max(1, (1 << width) // SLICE) for order, width in ORDERS.items()}
-    numbers = {order: k for k, order in enumerate(ORDERS)}
+def _row(key, total):
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in key] + [pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["order", "slice", "salt", "counts"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {order: np.zeros(2 << width, np.int32) for order, width in ORDERS.items()}
-        empty, one = True, np.int32(1)
-        for batch in pieces(batches, 1 << 20):
-            empty = False
-            buffer, first, last = lay_out(texts_of(batch))
-            hashes = contexts(buffer)
-            at, is_end = all_places(first, last)
-            for a in range(0, len(at), 1 << 18):
-                _, bit, slots = bits_at(code, buffer, hashes, at[a : a + (1 << 18)], is_end[a : a + (1 << 18)])
-                for counts, slot in zip(held.values(), slots, strict=True):
-                    np.add.at(counts, slot * 2 + bit, one)
-        if not empty:
-            part = TaskContext.get().partitionId() % 8
-            for order, counts in held.items():
-                for k in range(slices[order]):
-                    yield row((numbers[order], k, part), counts[2 * SLICE * k : 2 * SLICE * (k + 1)].astype(np.int64))
+
+def _sliced(number: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's counts as rows of 2 * SLICE numbers; a slice without any count is left out."""
+    part = TaskContext.get().partitionId() % 8
+    for k in range(0, len(counts), 2 * SLICE):
+        if (own := counts[k : k + 2 * SLICE]).any():
+            yield _row((number, k // (2 * SLICE), part), own)
+
+
+def _summed(train: DataFrame, count, sizes: list[int]) -> list[np.ndarray]:
+    """The sums over all tasks of what `count` gives as `_sliced` rows: for each number an array of `sizes` x 2."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted, so one running sum is held at a time."""
@@ -296,53 +321,105 @@ def bit_counts(train: DataFrame, code: Code) -> list[np.ndarray]:
             for order, k, salt, counts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if key != (order, k, salt):
                     if key:
-                        yield row(key, total)
+                        yield _row(key, total)
                     key, total = (order, k, salt), np.zeros(2 * SLICE, np.int64)
-                total += np.frombuffer(zstandard.decompress(counts), "<i8")
+                own = np.frombuffer(zstandard.decompress(counts), "<i8")
+                total[: len(own)] += own
         if key:
-            yield row(key, total)
-
-    def row(key, total):
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in key] + [pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["order", "slice", "salt", "counts"])
+            yield _row(key, total)
 
     schema, keys = "order int, slice int, salt int, counts binary", ("order", "slice", "salt")
     rows = train.mapInArrow(count, schema)
     for salted in (True, False):
         rows = rows if salted else rows.withColumn("salt", F.lit(0))
         rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, schema)
-    out = [np.zeros((1 << width, 2), np.int32) for width in ORDERS.values()]
+    out = [np.zeros((size, 2), np.int32) for size in sizes]
     for r in rows.toLocalIterator():
-        counts = np.frombuffer(zstandard.decompress(r.counts), "<i8").reshape(-1, 2)
-        out[r.order][SLICE * r.slice : SLICE * (r.slice + 1)] = np.minimum(counts, 2**31 - 1)
+        own = out[r.order][SLICE * r.slice : SLICE * (r.slice + 1)]
+        own[:] = np.minimum(np.frombuffer(zstandard.decompress(r.counts), "<i8").reshape(-1, 2)[: len(own)], 2**31 - 1)
     return out
 
 
-def fit(docs: DataFrame, sample: int = 400, sample_bytes: int = 32768) -> Mixer:
+def bit_counts(train: DataFrame, code: Code) -> list[np.ndarray]:
+    """For each order the counts (slot x 2) of bits over all training texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(2 << width, np.int32) for width in code.orders.values()]
+        empty, one = True, np.int32(1)
+        for batch in pieces(batches, 1 << 20):
+            empty = False
+            buffer, first, last = lay_out(texts_of(batch))
+            hashes = contexts(code, buffer)
+            at, is_end = all_places(first, last)
+            for a in range(0, len(at), 1 << 18):
+                _, bit, slots = bits_at(code, buffer, hashes, at[a : a + (1 << 18)], is_end[a : a + (1 << 18)])
+                for counts, slot in zip(held, slots, strict=True):
+                    np.add.at(counts, slot * 2 + bit, one)
+        if not empty:
+            for k, counts in enumerate(held):
+                yield from _sliced(k, counts)
+
+    return _summed(train, count, [1 << width for width in code.orders.values()])
+
+
+class _Again:
+    """The bits of a text's spans, made anew each time they are gone through."""
+
+    def __init__(self, code: Code, buffer: np.ndarray, hashes: list[np.ndarray], spans: list[tuple[int, int]], end: int) -> None:
+        self.code, self.buffer, self.hashes, self.spans, self.end = code, buffer, hashes, spans, end
+
+    def __iter__(self):
+        for a, b in self.spans:
+            at = np.arange(a, b)
+            yield bits_at(self.code, self.buffer, self.hashes, at, at == self.end)
+
+
+def cell_counts(train: DataFrame, code: Code, counts: list[np.ndarray]) -> np.ndarray:
+    """How often each cell (`cell_of`) came with each bit over all training texts, each with its own counts taken out."""
+    shared = train.sparkSession.sparkContext.broadcast(counts)
+    size = 4 ** len(ORDERS) * CELLS ** len(ORDERS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        held, one = np.zeros(2 * size, np.int32), np.int32(1)
+        own = [np.zeros(c.shape, np.int32) for c in tables]
+        for batch in pieces(batches, 1 << 20):
+            buffer, first, last = lay_out(texts_of(batch))
+            hashes = contexts(code, buffer)
+            for begin, end in zip(first.tolist(), last.tolist(), strict=True):
+                # a long text's bits are made anew for each of its parts
+                spans = [(a, min(a + (1 << 16), end + 1)) for a in range(begin, end + 1, 1 << 16)]
+                bits = _Again(code, buffer, hashes, spans, end)
+                if len(spans) == 1:
+                    bits = list(bits)
+                for _, bit, slots in bits:
+                    for mine, slot in zip(own, slots, strict=True):
+                        np.add.at(mine.reshape(-1), slot * 2 + bit, one)
+                for _, bit, slots in bits:
+                    inputs = []
+                    for table, mine, slot in zip(tables, own, slots, strict=True):
+                        left = table[slot] - mine[slot]
+                        inputs.append(log_odds(np.maximum(left[:, 0], 0), np.maximum(left[:, 1], 0)))
+                    np.add.at(held, cell_of(inputs) * 2 + bit, one)
+                for _, _, slots in bits:
+                    for mine, slot in zip(own, slots, strict=True):
+                        mine[slot] = 0
+        yield from _sliced(0, held)
+
+    return _summed(train, count, [size])[0]
+
+
+def fit(docs: DataFrame) -> Mixer:
     """Learn from the documents whose crc32(doc_id) mod 5 is not 1."""
     train = documents(docs).where(crc_mod(5) != 1)
     code = Code(byte_counts(train))
     counts = bit_counts(train, code)
     mixer = Mixer(code, [log_odds(c[:, 0], c[:, 1]) for c in counts])
-    chosen = drawn(train.where((F.octet_length("text") > 0) & (F.octet_length("text") <= sample_bytes)), sample, "doc_id", "text")
-    teach(mixer, counts, [r.text.encode() for r in chosen])
-    return mixer
-
-
-def teach(mixer: Mixer, counts: list[np.ndarray], texts: list[bytes], rounds: int = 2, rate: float = 0.01) -> None:
-    """Fit weights and the probability map online, each text with its own counts taken out."""
-    for turn in range(rounds):
-        for text in texts:
-            buffer, first, last = lay_out([text])
-            _, bit, slots = bits_at(mixer.code, buffer, contexts(buffer), *all_places(first, last))
-            inputs = []
-            for c, slot in zip(counts, slots, strict=True):
-                held, inverse = np.unique(slot, return_inverse=True)
-                ones = np.bincount(inverse, bit, len(held))
-                zeros = np.bincount(inverse, minlength=len(held)) - ones
-                inputs.append(log_odds(np.maximum(c[held, 0] - zeros, 0), np.maximum(c[held, 1] - ones, 0))[inverse])
-            for a in range(0, len(bit), 4096):
-                mixer.learn(bit[a : a + 4096], [x[a : a + 4096] for x in inputs], rate / (turn + 1), turn == rounds - 1)
+    found = cell_counts(train, code, counts)
+    cells = np.flatnonzero(found.any(1))
+    mixer.fit(cells, found[cells])
     mixer.freeze()
+    return mixer
 
 
 class _Block:
