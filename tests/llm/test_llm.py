@@ -293,6 +293,16 @@ def test_context_mixing_is_fitted_on_all_texts(spark):
     assert model.map.sum() == bits
 
 
+def test_context_mixing_adapts_within_short_texts():
+    """Tables that know nothing give each bit of a text's first stride 1 bit; later strides of a short text must cost less, those of long texts all along."""
+    code = context_mixing.Code(np.ones((256, 257), np.int64))
+    model = context_mixing.Mixer(code, [np.zeros(1 << w, np.float32) for w in context_mixing.ORDERS.values()])
+    model.freeze()
+    one, four, long = model.score([b"b" * 120, b"b" * 480, b"b" * 60000])
+    assert four < 3.9 * one
+    assert long < 0.9 * 500 * one  # only one cell is seen, so only the share of ones can be learned
+
+
 def test_context_mixing_tables_grow():
     few, many = (context_mixing.Code(np.full((256, 257), n)) for n in (1, 4096))
     assert all(many.orders[o] > few.orders[o] == w for o, w in context_mixing.ORDERS.items())

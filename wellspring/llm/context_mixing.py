@@ -5,8 +5,8 @@ bytes that follow the byte before, so a symbol takes about 3.5 binary prediction
 word so far) has a hashed table of bit counts: a slot is picked by a hash of the context and the
 code's inner node. A slot's prediction is the log-odds of its counts, and how often it was seen is its level. The
 predictions are mixed in the logistic domain with weights that are gated by the levels of the contexts. The mix is refined by an adaptive probability map of (gate, mixed log-odds). While a text is scored, its own
-scale of the mixed log-odds is learned online: after every block of bytes it moves along the coding loss's gradient, so
-each block is predicted from what stood before it only. bits = minus the sum of log2 of the bits' probabilities.
+scale of the mixed log-odds, gated weights, biases and map are learned online: after every stride of 128 bytes they move along the coding loss's gradient (the map by its counts), so
+each stride is predicted from what stood before it only. bits = minus the sum of log2 of the bits' probabilities.
 
 What is learned where. Byte and bit counts cover all training documents: each task counts its own, the slices of the
 tables are added up by shuffles. The tables have the size of `ORDERS`, doubled with the training bytes up to `GROWN` times (they are
@@ -193,14 +193,6 @@ class Mixer:
         self.bias = np.zeros(self.gates, np.float32)
         self.map = np.zeros((self.gates, BUCKETS, 2))
 
-    def mix(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        z = self.bias[gate]
-        for w, x in zip(self.weights, inputs, strict=True):
-            part = w[gate]
-            part *= x
-            z += part
-        return np.clip(z, -12, 12, out=z)
-
     def _bucket(self, z: np.ndarray) -> np.ndarray:
         return np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
 
@@ -235,25 +227,38 @@ class Mixer:
         middle = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, BUCKETS)))
         self.refined = ((self.map[:, :, 1] + PRIOR * middle) / (self.map.sum(2) + PRIOR)).astype(np.float32).ravel()
 
-    def score(self, texts: list[bytes], block: int = 512, rate: float = 0.2) -> np.ndarray:
-        """Total bits of each text. Blocks of all texts go side by side, each twice as long as the one before up to 64 KiB; what a text teaches is for its later blocks only."""
+    def score(self, texts: list[bytes], stride: int = 128, rate: float = 0.05, scale_rate: float = 0.2, group: int = 512) -> np.ndarray:
+        """Total bits of each text. Texts of a group go side by side, `stride` bytes at a time."""
+        parts = [self._score(texts[a : a + group], stride, rate, scale_rate) for a in range(0, len(texts), group)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _score(self, texts: list[bytes], stride: int, rate: float, scale_rate: float) -> np.ndarray:
+        """Each text has its own copy of weights, biases and map; what a stride teaches is for the text's later strides only."""
         buffer, first, last = lay_out(texts)
         hashes = contexts(self.code, buffer)
         total, scale = np.zeros(len(texts)), np.ones(len(texts), np.float32)
+        places_of_gates = len(texts) * self.gates
+        weights, bias = [np.tile(w, len(texts)) for w in self.weights], np.tile(self.bias, len(texts))
+        hits, ones = np.full(places_of_gates * BUCKETS, PRIOR, np.float32), np.tile(self.refined * np.float32(PRIOR), len(texts))
         at = first.copy()
         alive = np.arange(len(texts))
         while len(alive):
-            stop = np.minimum(at[alive] + block, last[alive] + 1)
+            stop = np.minimum(at[alive] + stride, last[alive] + 1)
             places, _ = all_places(at[alive], stop - 1)
             text_of = np.repeat(alive, stop - at[alive])
             length, bit, slots = bits_at(self.code, buffer, hashes, places, places == last[text_of])
             text = np.repeat(text_of, length)
             inputs = [table[s] for table, s in zip(self.tables, slots, strict=True)]
-            gate = gate_of(inputs)
-            mixed = self.mix(gate, inputs)
-            z = mixed * scale[text]
-            p = 1 / (1 + np.exp(-z))
-            final = p + self.refined[gate * BUCKETS + self._bucket(z)]
+            own = gate_of(inputs)
+            own += text * self.gates
+            mixed = bias[own]
+            for w, x in zip(weights, inputs, strict=True):
+                mixed += w[own] * x
+            np.clip(mixed, -12, 12, out=mixed)
+            p = 1 / (1 + np.exp(-mixed * scale[text]))
+            cell = own * BUCKETS
+            cell += self._bucket(mixed)
+            final = p + ones[cell] / hits[cell]
             final *= 0.5
             np.clip(final, 1e-5, 1 - 1e-5, out=final)
             final -= np.subtract(1, bit, dtype=np.float32)  # now p - 1 or p: less its sign, what was given to the bit that came
@@ -262,10 +267,17 @@ class Mixer:
             at[alive] = stop
             more = at[alive] <= last[alive]
             if more.any():
+                error = bit - p
                 seen = np.bincount(text, minlength=len(texts)) + 1.0
-                scale += (rate * np.bincount(text, (bit - p) * mixed, len(texts)) / seen).astype(np.float32)
+                scale += (scale_rate * np.bincount(text, error * mixed, len(texts)) / seen).astype(np.float32)
                 np.clip(scale, 0.5, 2, out=scale)
-            alive, block = alive[more], min(2 * block, 1 << 16)
+                pace = rate / np.sqrt(np.bincount(own, minlength=places_of_gates) + 1.0)
+                for w, x in zip(weights, inputs, strict=True):
+                    w += (pace * np.bincount(own, error * x, places_of_gates)).astype(np.float32)
+                bias += (pace * np.bincount(own, error, places_of_gates)).astype(np.float32)
+                np.add.at(hits, cell, np.float32(1))
+                np.add.at(ones, cell[bit > 0], np.float32(1))
+            alive = alive[more]
         return total
 
 
@@ -477,7 +489,7 @@ def score(docs: DataFrame, model: Mixer, block_bytes: int = 32 << 20) -> DataFra
                 own = [pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(["doc"] * m), none(pa.int64(), m), none(pa.int32(), m), none(pa.int64(), m), *own], names)
 
-        for batch in pieces(batches, 256 << 10):
+        for batch in pieces(batches, 1 << 20):
             texts = texts_of(batch)
             bits = mixer.score(texts)
             for doc_id, train, b, text in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), bits.tolist(), texts, strict=True):
