@@ -181,6 +181,23 @@ def brute_components(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_licenses_finds_all_notices_of_a_text():
+    """All notices one after the other, and one notice in a long text full of other licences' rare words, are found where they stand."""
+    frequency = {w: 1 for body, _ in licenses.TEMPLATES.values() for w in body.encode().split()}
+    index = licenses.Index(frequency, 1000)
+    bodies = {label: body for label, (body, _) in licenses.TEMPLATES.items()}
+    spans = index.scan(" some code here ".join(bodies.values()).encode())[7]
+    at = 0
+    for label, body in bodies.items():
+        assert any(s[0] == label and abs(s[1] - at) <= 3 for s in spans), label
+        at += len(body.split()) + 3
+    for label, body in bodies.items():
+        stray = [w for other in bodies for w in bodies[other].split() if w not in body.split()]
+        text = " zz ".join(stray * 3) + " " + "zz " * 50 + body + " zz " * 50
+        found = index.scan(text.encode())
+        assert label in found[5] and any(s[0] == label and s[2] > len(stray) * 3 for s in found[7]), label
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(100, 140)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(30)] + [(5, 5)]

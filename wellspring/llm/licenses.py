@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters (lower-cased), digits and all bytes from 0x80 on. The templates' words are weighed by
 their inverse document frequency over all documents (one pass that counts, for the templates' few hundred words only,
-the documents that hold them). Of each text the `rare` highest-IDF licence words are looked up in an index of the
-templates' positions; each occurrence votes for (template, place where the template would begin). Votes of several
+the documents that hold them). Only a template whose mandatory phrases all stand in the text can be found; of each such
+template the `rare` highest-IDF words that the text holds are looked up in an index of its positions, so no template's words hide another's; each occurrence votes for (template, place where the template would begin). Votes of several
 rare words at nearly one place are an intersection by relative position. A candidate is then verified: every
 mandatory key phrase of the template must stand in the text, near that place.
 
@@ -63,17 +63,30 @@ class Index:
         self.idf = {w: log((total + 1) / (frequency.get(w, 0) + 1)) + 1e-9 for w in self.postings}
         self.weight = {label: sum(self.idf[w] for w in body) for label, (body, _) in self.templates.items()}
         self.vocabulary = frozenset(self.postings)
+        self.places: dict[str, dict[bytes, list[int]]] = {label: defaultdict(list) for label in self.templates}
+        for label, (body, _) in self.templates.items():
+            for k, w in enumerate(body):
+                self.places[label][w].append(k)
 
-    def candidates(self, words: list[bytes]) -> list[tuple[str, int]]:
-        """(template, beginning) pairs for which enough different rare words agree on the place."""
+    def candidates(self, words: list[bytes], joined: bytes) -> list[tuple[str, int]]:
+        """(template, beginning) pairs for which enough different rare words agree on the place. joined: the words with spaces between and around them."""
         held = self.vocabulary.intersection(words)
         if len(held) < self.votes:
             return []
-        chosen = frozenset(sorted(held, key=lambda w: (-self.idf[w], w))[: self.rare])
+        chosen: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        for label, (_, must) in self.templates.items():
+            if all(b" " + p + b" " in joined for p in must):
+                own = self.places[label]
+                # the phrases' own words too, so that each place of a phrase is tried
+                rarest = sorted(held.intersection(own), key=lambda w: (-self.idf[w], w))[: self.rare]
+                for w in {*rarest, *b" ".join(must).split()}:
+                    chosen[w] += [(label, k) for k in own[w]]
+        if not chosen:
+            return []
         votes: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
         for p, w in enumerate(words):
             if w in chosen:
-                for label, k in self.postings[w]:
+                for label, k in chosen[w]:
                     votes[label].append((p - k, w))
         out = []
         for label, found in votes.items():
@@ -118,7 +131,7 @@ class Index:
                 places.append(p)
                 base.add(label)
                 spans.append((label, p, p + key.count(b" ") - 1, 1.0))
-        for label, begin in self.candidates(words):
+        for label, begin in self.candidates(words, joined):
             if (found := self.verify(words, label, begin)) and found[2] >= self.least:
                 spans.append((label, *found))
         spans = sorted(set(spans), key=lambda s: (s[1], s[2], s[0], s[3]))
