@@ -51,6 +51,18 @@ def test_units_give_the_tokenizers_ids(name, kind, end, texts):
     assert len(e.units) < 20_000
 
 
+@pytest.mark.parametrize(("name", "kind", "end"), [("byte_bpe_50k.json", "spaced", 0), ("word_bpe_49k.json", "dropped", 2)])
+def test_added_tokens_are_as_in_the_tokenizer_as_loaded(name, kind, end, texts):
+    rng = random.Random(7)
+    parts = [" ", "a", ".", "\n", "É x", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "<|ENDOFTEXT|>", "two  words. "]
+    many = ["end <|endoftext|> next", "<|endoftext|>", *[t or "" for t in texts[:5]], *["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(500)]]
+    e = UnitEncoder(public_tokenizers.path(name), kind, end)
+    want = [x.ids + [end] for x in e.tokenizer.encode_batch(many, add_special_tokens=False)]
+    ids, counts, _ = e.encode(many)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
 def test_best_cuts_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(30):

@@ -42,7 +42,8 @@ class UnitEncoder:
     kind "spaced" (byte-level BPE whose tokens may begin with a space): a unit is what follows a single space, and
     is encoded with it; the first unit of a text, a tuple here, is encoded as it is.
     kind "dropped" (white space only separates): a unit is what stands between spaces or line ends.
-    The strings of special tokens in a text are ordinary text. end_id is appended to each text. Beyond `most_units`
+    An added token's string in a text is that token, as the library has it (ordinary text where the tokenizer's
+    encode_special_tokens is set). end_id is appended to each text. Beyond `most_units`
     units are encoded anew each time, so memory is bounded.
     """
 
@@ -58,6 +59,9 @@ class UnitEncoder:
         self.flat = np.array([end_id], np.uint32)
         self.first, self.length, self.cut = np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, -1, np.int64)
         self.short: dict[str, list[int]] = {}
+        found = t.get_added_tokens_decoder()
+        assert not any(a.single_word or a.lstrip or a.rstrip or a.normalized for a in found.values()), "only added tokens that stand for just their own string are known"
+        self.added = {a.content: (k, a.special) for k, a in found.items()}
 
     def _cut(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each unit, as byte-level BPE writes them."""
@@ -112,6 +116,19 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(all ids one after the other, number of ids of each text with its end, places of sentence ends among all ids)."""
+        added = {c: k for c, (k, special) in self.added.items() if not (special and self.tokenizer.encode_special_tokens)}
+        if not any(c in t for c in added for t in texts):
+            return self._encode(texts)
+        # what stands between added tokens is encoded by itself, as the library does; the token takes the place of its end
+        longest = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")")
+        cut = [longest.split(t) for t in texts]
+        ids, counts, ends = self._encode([x for c in cut for x in c[::2]])
+        ids[np.cumsum(counts) - 1] = [k for c in cut for k in (*[added[x] for x in c[1::2]], self.end_id)]
+        first = np.cumsum([0, *[(len(c) + 1) // 2 for c in cut[:-1]]])
+        return ids, np.add.reduceat(counts, first), ends
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As encode, of texts without added tokens."""
         units: list = []
         counts = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
