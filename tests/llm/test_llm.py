@@ -426,6 +426,16 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_split_the_queries_of_a_leaf(spark, monkeypatch):
+    """Small query blocks give the same rows as one block."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    whole, split = (neighbours.search(df, F.col("vec_id") % 2 == 0, k=5, sample=200, chunk=100, query_block=n).orderBy("query_id", "rank").collect() for n in (10**6, 20))
+    assert whole == split and len(whole) == 300 * 5
+    repeated = df.where("vec_id < 50").unionByName(df.where("vec_id = 2").crossJoin(spark.range(200).select()))
+    assert neighbours.search(repeated, F.col("vec_id") == 2, k=5, query_block=20).count() == 5
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(13)

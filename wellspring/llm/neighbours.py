@@ -5,7 +5,7 @@ by that sample, so it can be broadcast. Every row is put into a leaf. A query wa
 the most promising branch first, by inner product of the query and the branch's centre plus a bound on what its
 members can add. How many leaves each query visits is calibrated: visits widen until the recall of a sample of
 queries against brute force reaches `recall`. Queries meet rows by leaf in a grouped join; a leaf's rows are salted into chunks of about `chunk` rows, so that a hot
-leaf is split, and each chunk gives each query its best `k` only.
+leaf is split, and its queries into blocks of about `query_block`; each block meets each chunk, which gives each query its best `k` only.
 
 Nearness is the inner product in double precision; scores are computed on the original vectors. Vectors that are null,
 zero, of another length than most, or hold null or non-finite components take no part.
@@ -127,7 +127,7 @@ def calibrate(tree: KMeansTree, x: np.ndarray, ids: np.ndarray, queries: np.ndar
     return min(visits, tree.leaves)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sample: int = 20000, calibration: int = 200, leaf_size: int = 64, chunk: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sample: int = 20000, calibration: int = 200, leaf_size: int = 64, chunk: int = 4096, query_block: int = 32768) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for each row where the column is_query holds."""
     spark = vectors.sparkSession
     sized = usable(vectors).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -155,8 +155,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
         for batch in batches:
             if batch.num_rows:
                 found = [shared.value.best_leaves(q, visits) for q in _matrix(batch.column("embedding"))]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column("vec_id").take(row), batch.column("embedding").take(row)], ["leaf", "vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns], ["leaves", "vec_id", "embedding"])
 
     def nearest(key, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -177,10 +176,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
 
     leaf_schema = "leaf int, vec_id long, embedding array<double>"
     placed = materialize(rows.mapInArrow(place, leaf_schema), "leaves")
-    chunks = placed.groupBy("leaf").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / chunk)).cast("int").alias("chunks"))
-    salted = placed.join(F.broadcast(chunks), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("salt"), "vec_id", "embedding")
-    asked = rows.where(is_query).repartition("vec_id").mapInArrow(visit, leaf_schema).join(F.broadcast(chunks), "leaf")
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), "vec_id", "embedding")
-    pairs = asked.groupBy("leaf", "salt").cogroup(salted.groupBy("leaf", "salt")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    visited = materialize(rows.where(is_query).repartition("vec_id").mapInArrow(visit, "leaves array<int>, vec_id long, embedding array<double>").withColumn("row", F.monotonically_increasing_id()), "visits")
+    chunks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    blocks = visited.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+    # one row for each leaf, whose number is bounded by the sample
+    parts = F.broadcast(chunks.join(blocks, "leaf"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    salted = placed.join(parts, "leaf").select("leaf", some("vec_id", "chunks").alias("salt"), every("blocks").alias("block"), "vec_id", "embedding")
+    asked = visited.select(F.explode("leaves").alias("leaf"), "row", "vec_id", "embedding").join(parts, "leaf")
+    asked = asked.select("leaf", every("chunks").alias("salt"), some("row", "blocks").alias("block"), "vec_id", "embedding")
+    keys = ("leaf", "salt", "block")
+    pairs = asked.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
