@@ -273,6 +273,25 @@ def test_similar_groups_by_shingles(spark, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_similar_links_of_a_hot_anchor(spark, monkeypatch):
+    """Rows that all share their anchors are never compared beyond two blocks at a time, and their components are those of all pairs."""
+    rng = np.random.default_rng(5)
+    chain = [np.zeros(256, np.uint8)]
+    for _ in range(120):  # each row is near the one before; the ends are far apart
+        bits = chain[-1].copy()
+        bits[rng.choice(256, 12, replace=False)] ^= 1
+        chain.append(bits)
+    bits = np.array(chain + [b for c in chain[::40] for b in [c ^ (rng.random(256) < 0.3)] * 2], np.uint8)
+    numbers = rng.permutation(len(bits)).tolist()
+    rows = [(n, bytes(48), np.packbits(b).tobytes()) for n, b in zip(numbers, bits, strict=True)]
+    df = spark.createDataFrame(rows, "number long, of_words binary, of_shingles binary")
+    want = brute_components([(numbers[i], numbers[j]) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).sum() <= 15], numbers)
+    sharing = {n for n in numbers if list(want.values()).count(want[n]) > 1}
+    links = simhash.similar_links(df, 15, block=10, pivots=3)
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert got == {n: want[n] for n in sharing}
+
+
 def test_context_mixing(docs, none):
     from math import log10
 

@@ -199,12 +199,20 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, of_words binary, of_shingles binary")
 
 
-def _forest(bits: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Spanning links of the rows of `bits` (n x WIDE unsigned longs) that differ in at most `most` bits: as few as n - 1, whatever the number of pairs."""
+def _forest(bits: np.ndarray, most: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links of the rows of `bits` (n x WIDE unsigned longs) that differ in at most `most` bits: as few as n - 1, whatever the number of pairs.
+    known: the class that each row is already in; only links between classes are given."""
     n = len(bits)
-    class_of = np.arange(n)
+    class_of = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     out = []
     for i in range(1, n):
+        if known is not None:
+            near = np.flatnonzero((class_of[:i] != class_of[i]) & (np.bitwise_count(bits[:i] ^ bits[i]).sum(1) <= most))
+            _, one = np.unique(class_of[near], return_index=True)
+            for j in near[one].tolist():
+                out.append((i, j))
+                class_of[class_of == class_of[j]] = class_of[i]
+            continue
         near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]).sum(1) <= most)
         _, one = np.unique(class_of[near], return_index=True)
         for j in near[one].tolist():
@@ -213,10 +221,14 @@ def _forest(bits: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def similar_links(distinct: DataFrame, most: int) -> DataFrame:
+def similar_links(distinct: DataFrame, most: int, block: int = 4096, pivots: int = 64) -> DataFrame:
     """Links (u, v) between rows (number, of_words, of_shingles) that share an anchor of one of the tables and whose shingle
     fingerprints differ in at most `most` bits. Both go to all anchors within the covering radius plus 1, so two rows
-    within 2 of a table's 46 bits surely meet; an anchor gives a spanning set of its links."""
+    within 2 of a table's 46 bits surely meet; an anchor gives a spanning set of its links.
+
+    An anchor of more than `block` rows goes through memory in blocks, each compared within itself and with the anchor's
+    first `pivots` rows. If that leaves its rows in more than one component, all pairs of its blocks meet, in groups of two blocks, and
+    only rows of different components are compared. So no task holds more than two blocks of an anchor, and no link between components is lost."""
     wide = 8 * WIDE
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +244,8 @@ def similar_links(distinct: DataFrame, most: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
 
+        hot, kept = None, None  # the anchor of which blocks are gone, and its first rows
+
         def pairs(keys, numbers, prints) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.append(starts, len(keys)))
@@ -243,23 +257,47 @@ def similar_links(distinct: DataFrame, most: int) -> DataFrame:
                     i, j = np.array(found).T
                     u.append(numbers[s + i])
                     v.append(numbers[s + j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.zeros(len(u), bool))], ["u", "v", "hot"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.frombuffer(b"".join(batch.column("of_shingles").to_pylist()), np.uint64).reshape(-1, WIDE)
-            keys, numbers, prints = np.concatenate([keys, batch.column("anchor").to_numpy()]), np.concatenate([numbers, batch.column("number").to_numpy()]), np.concatenate([prints, own])
-            done = int(np.searchsorted(keys, keys[-1]))  # the last anchor may go on
-            if done:
-                yield from pairs(keys[:done], numbers[:done], prints[:done])
-                keys, numbers, prints = keys[done:], numbers[done:], prints[done:]
+            for a in range(0, batch.num_rows, block):
+                part = batch.slice(a, block)
+                own = np.frombuffer(b"".join(part.column("of_shingles").to_pylist()), np.uint64).reshape(-1, WIDE)
+                keys, numbers, prints = np.concatenate([keys, part.column("anchor").to_numpy()]), np.concatenate([numbers, part.column("number").to_numpy()]), np.concatenate([prints, own])
+                done = int(np.searchsorted(keys, keys[-1]))  # the last anchor may go on
+                if done:
+                    yield from pairs(keys[:done], numbers[:done], prints[:done])
+                    keys, numbers, prints = keys[done:], numbers[done:], prints[done:]
+                if len(keys) > block + pivots:
+                    yield from pairs(keys, numbers, prints)
+                    if keys[0] != hot:
+                        hot, kept = keys[0], (keys[:pivots], numbers[:pivots], prints[:pivots])
+                        yield pa.RecordBatch.from_arrays([pa.array([hot]), pa.array([hot]), pa.array([True])], ["u", "v", "hot"])
+                    keys, numbers, prints = kept
         if len(keys):
             yield from pairs(keys, numbers, prints)
 
+    def meet_again(group: pa.Table) -> pa.Table:
+        prints = np.frombuffer(b"".join(group.column("of_shingles").to_pylist()), np.uint64).reshape(-1, WIDE)
+        numbers, known = group.column("number").to_numpy(), group.column("root").to_numpy()
+        i, j = np.array(_forest(prints, most, known) or np.zeros((0, 2)), np.int64).T
+        return pa.table({"u": numbers[i], "v": numbers[j]})
+
     assert wide == 32
     placed = distinct.repartition("number").mapInArrow(place, "anchor long, number long, of_shingles binary")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u long, v long").distinct()
+    met = materialize(placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u long, v long, hot boolean"), "wide-links")
+    links, hot = met.where("not hot").select("u", "v").distinct(), met.where("hot").select(F.col("u").alias("anchor")).distinct()
+    if hot.isEmpty():
+        return links
+    roots = components(links)
+    known = distinct.join(roots, distinct.number == roots.node, "left").select("number", F.coalesce("root", "number").alias("root"))
+    held = materialize(placed.join(hot, "anchor").join(known, "number").select("anchor", "number", "of_shingles", "root"), "wide-hot")
+    sizes = held.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), (F.min("root") < F.max("root")).alias("open")).where("open")
+    dealt = held.join(sizes, "anchor").withColumn("own", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.select("anchor", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "number", "of_shingles", "root")
+    return links.union(groups.groupBy("anchor", "one", "two").applyInArrow(meet_again, "u long, v long")).distinct()
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
