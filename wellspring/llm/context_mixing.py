@@ -193,6 +193,12 @@ class Mixer:
         self.bias = np.zeros(self.gates, np.float32)
         self.map = np.zeros((self.gates, BUCKETS, 2))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": [zstandard.compress(t.tobytes(), 1) for t in self.tables]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"tables": [np.frombuffer(zstandard.decompress(t), np.float32) for t in state["tables"]]}
+
     def _bucket(self, z: np.ndarray) -> np.ndarray:
         return np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
 
@@ -284,13 +290,28 @@ class Mixer:
 _CENTRES = np.sinh(np.linspace(-REACH, REACH, CELLS))
 
 
-def cell_of(inputs: list[np.ndarray]) -> np.ndarray:
-    """(gate, cell of each context's log-odds) as one number."""
-    out = gate_of(inputs)
-    for x in inputs:
-        out *= CELLS
-        out += np.rint((np.clip(np.arcsinh(x), -REACH, REACH) + REACH) * ((CELLS - 1) / (2 * REACH))).astype(np.int64)
-    return out
+def _level_and_cell(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Level times CELLS plus cell of the counts' log-odds."""
+    x = log_odds(n0, n1)
+    cell = np.rint((np.clip(np.arcsinh(x), -REACH, REACH) + REACH) * ((CELLS - 1) / (2 * REACH))).astype(np.int64)
+    return (x.view(np.uint32) & np.uint32(3)).astype(np.int64) * CELLS + cell
+
+
+_FEW = 64
+_FEW_CELLS = _level_and_cell(*np.divmod(np.arange(_FEW * _FEW), _FEW))
+
+
+def cell_of(pairs: list[np.ndarray]) -> np.ndarray:
+    """(gate, cell of each context's log-odds) as one number; pairs: counts of bit 0 and 1 (n x 2) for each context."""
+    gate, out = 0, 0
+    for n in pairs:
+        n0, n1 = n[:, 0].astype(np.int64), n[:, 1].astype(np.int64)
+        found = _FEW_CELLS[np.minimum(n0, _FEW - 1) * _FEW + np.minimum(n1, _FEW - 1)]
+        more = np.flatnonzero((n0 | n1) >= _FEW)
+        found[more] = _level_and_cell(n0[more], n1[more])
+        level, cell = np.divmod(found, CELLS)
+        gate, out = gate * 4 + level, out * CELLS + cell
+    return gate * CELLS ** len(pairs) + out
 
 
 def byte_counts(train: DataFrame) -> np.ndarray:
@@ -388,13 +409,14 @@ class _Again:
 
 def cell_counts(train: DataFrame, code: Code, counts: list[np.ndarray]) -> np.ndarray:
     """How often each cell (`cell_of`) came with each bit over all training texts, each with its own counts taken out."""
-    shared = train.sparkSession.sparkContext.broadcast(counts)
+    # packed: most slots of small inputs are empty; a slot's two counts are one long
+    shared = train.sparkSession.sparkContext.broadcast([zstandard.compress(c.tobytes(), 1) for c in counts])
     size = 4 ** len(ORDERS) * CELLS ** len(ORDERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+        tables = [np.frombuffer(zstandard.decompress(c), np.int64) for c in shared.value]
         held, one = np.zeros(2 * size, np.int32), np.int32(1)
-        own = [np.zeros(c.shape, np.int32) for c in tables]
+        own = [np.zeros(len(c), np.int64) for c in tables]
         for batch in pieces(batches, 1 << 20):
             buffer, first, last = lay_out(texts_of(batch))
             hashes = contexts(code, buffer)
@@ -405,20 +427,20 @@ def cell_counts(train: DataFrame, code: Code, counts: list[np.ndarray]) -> np.nd
                 if len(spans) == 1:
                     bits = list(bits)
                 for _, bit, slots in bits:
+                    unit = np.left_shift(1, 32 * bit.astype(np.int64))
                     for mine, slot in zip(own, slots, strict=True):
-                        np.add.at(mine.reshape(-1), slot * 2 + bit, one)
+                        np.add.at(mine, slot, unit)
                 for _, bit, slots in bits:
-                    inputs = []
-                    for table, mine, slot in zip(tables, own, slots, strict=True):
-                        left = table[slot] - mine[slot]
-                        inputs.append(log_odds(np.maximum(left[:, 0], 0), np.maximum(left[:, 1], 0)))
-                    np.add.at(held, cell_of(inputs) * 2 + bit, one)
+                    left = [(table[slot] - mine[slot]).view(np.int32).reshape(-1, 2) for table, mine, slot in zip(tables, own, slots, strict=True)]
+                    np.add.at(held, cell_of(left) * 2 + bit, one)
                 for _, _, slots in bits:
                     for mine, slot in zip(own, slots, strict=True):
                         mine[slot] = 0
         yield from _sliced(0, held)
 
-    return _summed(train, count, [size])[0]
+    out = _summed(train, count, [size])[0]
+    shared.destroy()
+    return out
 
 
 def fit(docs: DataFrame) -> Mixer:
