@@ -45,15 +45,18 @@ def zoned(text):
 
 
 def test_mainframe(spark, tmp_path):
-    parts = [record("01", zoned("00000042")), record("15", packed(1) * 3), record("14", zoned("2103")), record("15", packed(123) + packed(-5) + packed(0)), record("01", zoned("00000043")), record("15", packed(9) * 3), record("14", zoned("9912")), record("15", packed(7) * 3)]
+    # a root: gas code G, district, lease number; amounts with a sign, a bad digit and a month 13
+    root = lambda district, lease: record("01", b"\xc7" + zoned(district) + zoned(lease))
+    parts = [root("02", "000042"), record("15", packed(1) * 3), record("14", zoned("2103")), record("15", packed(123) + packed(-5) + packed(0)), root("03", "000042"), record("15", packed(9) * 3), record("14", zoned("9912")), record("15", packed(7) * 3), record("14", zoned("9913")), record("15", packed(8) * 3), record("14", zoned("4901")), record("15", bytes.fromhex("00000A123C") + packed(2) * 2)]
     (tmp_path / "m.bin").write_bytes(b"".join(parts))
     records = readers.read_mainframe(spark, str(tmp_path / "m.bin"))
-    got = readers.mainframe_production(records).select("well", "year", "month", "gas", "oil").collect()
-    want = [("00000042", 2021, 3, 123, -5), ("00000043", 1999, 12, 7, 7)]
+    names = ("district", "rrc_id", "cycle_key", "production_year", "production_month", "gas_mcf", "gas_lift_mcf", "condensate_bbl")
+    got = readers.mainframe_production(records).select(*names).collect()
+    want = [("02", "000042", "2103", 2021, 3, 123, -5, 0), ("03", "000042", "4901", 2049, 1, 123, 2, 2), ("03", "000042", "9912", 1999, 12, 7, 7, 7)]
     assert sorted(tuple(r) for r in got) == want
     # the same when headers stand in another part than their records
     order = records.withColumn("part", (F.col("part") * 1000 + F.col("position")).cast("int")).withColumn("position", F.lit(0))
-    assert sorted(tuple(r) for r in readers.mainframe_production(order).select("well", "year", "month", "gas", "oil").collect()) == want
+    assert sorted(tuple(r) for r in readers.mainframe_production(order).select(*names).collect()) == want
 
 
 def test_archives(spark, tmp_path):

@@ -9,7 +9,7 @@ from ..functions.columns import chebyshev, compass_role, offset_lat_lon
 from .ranking import top_k
 
 #: The four season windows of a year, as (name, first month, first day, last month, last day).
-SEASONS = (("winter", 1, 1, 3, 31), ("spring", 4, 1, 6, 30), ("summer", 7, 1, 9, 30), ("autumn", 10, 1, 12, 31))
+SEASONS = (("early_spring", 3, 1, 4, 30), ("late_spring", 5, 1, 6, 30), ("summer", 7, 1, 8, 31), ("fall", 9, 1, 10, 31))
 
 
 def bin_of(day: Column, cadence: int) -> Column:
@@ -59,14 +59,35 @@ def scene_shortlists(locations: DataFrame, scenes: DataFrame, cadence: int, k: i
     return top_k(hits, ["sample_id", "year", "bin"], order, k).select("sample_id", "year", "bin", "rank", "scene_id", "cloud_cover")
 
 
-def season_hits(locations: DataFrame, scenes: DataFrame, step: float = 0.5, need: int = 4) -> DataFrame:
-    """JN-16: the clearest scene of each location and quarter; locations without a scene in all `need` quarters drop out."""
+def season_scenes(locations: DataFrame, scenes: DataFrame, most_cloud: float = 35, preferred: tuple = (), step: float = 0.5) -> DataFrame:
+    """JN-16: the scene chosen for each year, season window and tile: it is less cloudy than `most_cloud`, and comes first by the
+    locations it covers, the place of its collection in `preferred`, its cloud cover, the newest, the smallest scene_id. scenes: scene_id, tile_id, collection, epoch_s, cloud_cover and box."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("epoch_s") / 86400).cast("int"))
+    dated = scenes.where(F.col("cloud_cover") < most_cloud).withColumn("day", day).withColumn("year", F.year("day"))
+    inside = lambda a, b, c, d: F.col("day").between(F.make_date("year", F.lit(a), F.lit(b)), F.make_date("year", F.lit(c), F.lit(d)))
+    season = F.coalesce(*[F.when(inside(*days), F.lit(name)) for name, *days in SEASONS])
+    dated = dated.withColumn("season", season).where("season is not null")
+    covered = dated.join(scene_coverage(locations, dated, step), "scene_id")
+    order = [F.desc("n_points"), preference(preferred), F.col("cloud_cover"), F.desc("epoch_s"), F.col("scene_id")]
+    return top_k(covered, ["year", "season", "tile_id"], order, 1).drop("rank")
+
+
+def preference(preferred: tuple) -> Column:
+    """Place of a collection among the preferred ones, 999 for any other."""
+    return F.coalesce(*[F.when(F.col("collection") == c, F.lit(k)) for k, c in enumerate(preferred)], F.lit(999))
+
+
+def season_hits(locations: DataFrame, scenes: DataFrame, most_cloud: float = 35, preferred: tuple = (), step: float = 0.5) -> DataFrame:
+    """JN-16: for each location and season window the best of the chosen scenes (`season_scenes`) whose box holds the point: by
+    collection, cloud, the newest, scene_id. A location without a hit in all windows of a year has none in that year."""
+    chosen = season_scenes(locations, scenes, most_cloud, preferred, step)
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
-    dealt = scenes.withColumn("cx", F.explode(cells("west", "east"))).withColumn("cy", F.explode(cells("south", "north")))
+    dealt = chosen.withColumn("cx", F.explode(cells("west", "east"))).withColumn("cy", F.explode(cells("south", "north")))
     points = locations.select("sample_id", "latitude", "longitude", F.floor(F.col("longitude") / step).cast("long").alias("cx"), F.floor(F.col("latitude") / step).cast("long").alias("cy"))
     hits = points.join(dealt, ["cx", "cy"]).where("longitude between west and east and latitude between south and north")
-    best = top_k(hits, ["sample_id", "quarter"], [F.col("cloud_cover").asc_nulls_last(), F.desc("epoch_s"), F.col("scene_id")], 1)
-    return best.withColumn("n", F.count("*").over(Window.partitionBy("sample_id"))).where(F.col("n") >= need).select("sample_id", "quarter", "scene_id")
+    best = top_k(hits, ["sample_id", "year", "season"], [preference(preferred), F.col("cloud_cover"), F.desc("epoch_s"), F.col("scene_id")], 1)
+    whole = F.count("*").over(Window.partitionBy("sample_id", "year"))
+    return best.withColumn("n", whole).where(F.col("n") == len(SEASONS)).select("sample_id", "year", "season", "scene_id", "tile_id", "n_points")
 
 
 def scene_coverage(points: DataFrame, scenes: DataFrame, step: float = 0.5) -> DataFrame:

@@ -371,9 +371,23 @@ def _(t):
     return _out(observations.scene_shortlists(t("locations"), t("scenes"), 10, 3))
 
 
-@q("jn16_season_hits", f"SELECT sample_id, quarter, scene_id FROM (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n FROM (SELECT *, user_q AS quarter, row_number() OVER (PARTITION BY sample_id, user_q ORDER BY cloud_cover ASC NULLS LAST, epoch_s DESC, scene_id) AS r FROM (SELECT *, scene_id % 4 AS user_q FROM ({_HIT}) h) a) b WHERE r = 1) c WHERE n >= 4")
+# scenes of all months: each event's day is moved by a twelfth of a year for each of its last digits
+_SHIFTED = f"(SELECT scene_id, collection, 'T' || CAST(grid_code % 40 AS VARCHAR) AS tile_id, epoch_s + (scene_id % 12) * 2592000 AS epoch_s, cloud_cover % 60 AS cloud_cover, west, east, south, north FROM {S} s)"
+_SEASONAL = f"""SELECT *, CAST(year(day) AS BIGINT) AS year FROM (SELECT *, CAST(to_timestamp(epoch_s) AT TIME ZONE 'UTC' AS DATE) AS day FROM {_SHIFTED} x) y, (VALUES ('early_spring', 3, 1, 4, 30), ('late_spring', 5, 1, 6, 30), ('summer', 7, 1, 8, 31), ('fall', 9, 1, 10, 31)) w(season, m1, d1, m2, d2)
+WHERE cloud_cover < 35 AND day BETWEEN make_date(year(day), m1, d1) AND make_date(year(day), m2, d2)"""
+_PREFERRED = "CASE collection WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 999 END"
+
+
+@q(
+    "jn16_season_hits",
+    f"""WITH d AS ({_SEASONAL}), c AS (SELECT d.*, (SELECT count(*) FROM {L} l WHERE l.longitude BETWEEN d.west AND d.east AND l.latitude BETWEEN d.south AND d.north) AS n_points FROM d),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year, season, tile_id ORDER BY n_points DESC, {_PREFERRED}, cloud_cover, epoch_s DESC, scene_id) AS r FROM c) x WHERE r = 1),
+h AS (SELECT * FROM (SELECT l.sample_id, t.* EXCLUDE (r), row_number() OVER (PARTITION BY sample_id, year, season ORDER BY {_PREFERRED}, cloud_cover, epoch_s DESC, scene_id) AS k FROM {L} l JOIN t ON l.longitude BETWEEN t.west AND t.east AND l.latitude BETWEEN t.south AND t.north) x WHERE k = 1)
+SELECT sample_id, year, season, scene_id, tile_id, n_points FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, year) AS n FROM h) x WHERE n = 4""",
+)
 def _(t):
-    return observations.season_hits(t("locations"), t("scenes").withColumn("quarter", F.col("scene_id") % 4))
+    scenes = t("scenes").select("scene_id", "collection", F.concat(F.lit("T"), (F.col("grid_code") % 40).cast("string")).alias("tile_id"), (F.col("epoch_s") + F.col("scene_id") % 12 * 2592000).alias("epoch_s"), (F.col("cloud_cover") % 60).alias("cloud_cover"), "west", "east", "south", "north")
+    return _out(observations.season_hits(t("locations"), scenes, preferred=("view", "click")))
 
 
 @q("jn20_back_fill", "SELECT c_custkey AS k, coalesce(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END, s_acctbal) AS bal, s_name AS name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
@@ -660,9 +674,9 @@ def _(t):
     return _out(observations.year_bins(t("orders").select(F.year("o_orderdate").alias("year")).distinct(), 16).select("year", "bin", "bin_start", "bin_end"))
 
 
-@q("gen05_seasons", "SELECT y AS year, s AS season, CAST(make_date(y, m, 1) AS VARCHAR) AS season_start FROM (SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS y FROM orders) o, (VALUES ('winter', 1), ('spring', 4), ('summer', 7), ('autumn', 10)) v(s, m)")
+@q("gen05_seasons", "SELECT y AS year, s AS season, CAST(make_date(y, m1, d1) AS VARCHAR) AS season_start, CAST(make_date(y, m2, d2) AS VARCHAR) AS season_end FROM (SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS y FROM orders) o, (VALUES ('early_spring', 3, 1, 4, 30), ('late_spring', 5, 1, 6, 30), ('summer', 7, 1, 8, 31), ('fall', 9, 1, 10, 31)) v(s, m1, d1, m2, d2)")
 def _(t):
-    return _out(observations.seasons(t("orders").select(F.year("o_orderdate").alias("year")).distinct()).select("year", "season", "season_start"))
+    return _out(observations.seasons(t("orders").select(F.year("o_orderdate").alias("year")).distinct()))
 
 
 @q("gen06_sequences", f"SELECT concat(well_api, '__year_', CAST(year(spud_date) + 1 AS VARCHAR)) AS sequence_id FROM {W} w")

@@ -79,10 +79,10 @@ def read_shards(spark: SparkSession, paths: list[str], key: list[str], order: li
 
 
 def packed_decimal(field: Column) -> Column:
-    """SRC-10: COMP-3: the hex digits are the decimal digits, the last one the sign (D is minus). Bad digits are null."""
+    """SRC-10: COMP-3: the hex digits are the decimal digits, the last one the sign (D is minus). A bad digit counts as 0."""
     text = F.hex(field)
-    digits = F.substring(text, 1, F.length(text) - 1).try_cast("long")
-    return F.when(F.substring(text, -1, 1) == "D", -digits).when(F.substring(text, -1, 1).isin("C", "F"), digits)
+    digits = F.translate(F.substring(text, 1, F.length(text) - 1), "ABCDEF", "000000").try_cast("long")
+    return F.when(F.substring(text, -1, 1) == "D", -digits).otherwise(digits)
 
 
 def zoned_digits(field: Column) -> Column:
@@ -91,32 +91,40 @@ def zoned_digits(field: Column) -> Column:
 
 
 def read_mainframe(spark: SparkSession, path: str, record: int = 102) -> DataFrame:
-    """SRC-10: (part, position, kind, body) of the fixed-length records of a file. Spark's own reader cuts the file into records; the order is part, position."""
-    rdd = spark.sparkContext.binaryRecords(path, record)
-    rows = rdd.mapPartitionsWithIndex(lambda i, it: ((i, k, bytearray(b)) for k, b in enumerate(it)))
-    df = spark.createDataFrame(rows, "part int, position int, body binary")
+    """SRC-10: (part, position, kind, body) of the fixed-length records of a file; the order is part, position. Spark's own reader cuts
+    the file into records, so a file of any size is read by many tasks."""
+
+    def rows(i, records):
+        return ((i, k, bytearray(b)) for k, b in enumerate(records))
+
+    df = spark.createDataFrame(spark.sparkContext.binaryRecords(path, record).mapPartitionsWithIndex(rows), "part int, position int, body binary")
     return df.withColumn("kind", zoned_digits(F.substring("body", 1, 2)))
 
 
 def mainframe_production(records: DataFrame) -> DataFrame:
-    """SRC-10, WIN-08: production records (15) with the well of the latest root (01) and the cycle (14) after it.
-
-    A file's headers are few; each part's last root and cycle are carried into the next parts by a window over parts, so
-    records are filled inside their own part and no task holds a file."""
-    root, cycle = F.when(F.col("kind") == "01", zoned_digits(F.substring("body", 3, 8))), F.when(F.col("kind") == "14", zoned_digits(F.substring("body", 3, 4)))
+    """SRC-10, WIN-08: production records (15) with the root (01) and reporting cycle (14) before them; those before any root, or without
+    a cycle since their root, are left out, as are months outside 1 to 12.
+
+    Fixed values, bytes from 1: root: gas code 3, district 4-5, lease number 6-11; cycle: YYMM 3-6; production: gas 3-7, lift gas 8-12
+    and condensate 13-17, packed decimal. A file's parts are few; each part's last root and cycle are carried into the next parts by a window
+    over parts, so records are filled inside their own part and no task holds a file."""
+    root = F.when(F.col("kind") == "01", F.struct(zoned_digits(F.substring("body", 4, 2)).alias("district"), zoned_digits(F.substring("body", 6, 6)).alias("lease")))
+    cycle = F.when(F.col("kind") == "14", zoned_digits(F.substring("body", 3, 4)))
     rows = records.select("part", "position", "kind", "body", root.alias("r"), cycle.alias("c"))
-    ends = rows.groupBy("part").agg(F.max_by("r", F.when(F.col("r").isNotNull(), F.col("position"))).alias("last_r"), F.max(F.when(F.col("r").isNotNull(), F.col("position"))).alias("r_at"), F.max_by("c", F.when(F.col("c").isNotNull(), F.col("position"))).alias("last_c"), F.max(F.when(F.col("c").isNotNull(), F.col("position"))).alias("c_at"))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("position"))
+    ends = rows.groupBy("part").agg(F.max_by("r", at("r")).alias("last_r"), F.max(at("r")).alias("r_at"), F.max_by("c", at("c")).alias("last_c"), F.max(at("c")).alias("c_at"))
     # a root without a cycle after it in its part ends what earlier parts said
     ends = ends.withColumn("last_c", F.when(F.col("c_at") > F.coalesce("r_at", F.lit(-1)), F.col("last_c")).when(F.col("r_at").isNotNull(), F.lit("")))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("part", F.last("last_r", True).over(before).alias("carried_r"), F.last("last_c", True).over(before).alias("carried_c"))
     upto = Window.partitionBy("part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.join(F.broadcast(carried), "part").withColumn("root_no", F.count("r").over(upto)).withColumn("well", F.coalesce(F.last("r", True).over(upto), F.col("carried_r")))
+    filled = rows.join(F.broadcast(carried), "part").withColumn("root_no", F.count("r").over(upto)).withColumn("root", F.coalesce(F.last("r", True).over(upto), F.col("carried_r")))
     inner = Window.partitionBy("part", "root_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    filled = filled.withColumn("cyc", F.coalesce(F.last("c", True).over(inner), F.when(F.col("root_no") == 0, F.nullif("carried_c", F.lit("")))))
-    amounts = [packed_decimal(F.substring("body", 3 + 5 * k, 5)).alias(n) for k, n in enumerate(("gas", "oil", "water"))]
-    year = century(F.substring("cyc", 1, 2).try_cast("int"))
-    return filled.where("kind = '15' and well is not null and cyc is not null").select("part", "position", "well", year.alias("year"), F.substring("cyc", 3, 2).try_cast("int").alias("month"), *amounts)
+    filled = filled.withColumn("cycle_key", F.coalesce(F.last("c", True).over(inner), F.when(F.col("root_no") == 0, F.nullif("carried_c", F.lit("")))))
+    amounts = [packed_decimal(F.substring("body", 3 + 5 * k, 5)).alias(n) for k, n in enumerate(("gas_mcf", "gas_lift_mcf", "condensate_bbl"))]
+    year, month = century(F.substring("cycle_key", 1, 2).try_cast("int")), F.substring("cycle_key", 3, 2).try_cast("int")
+    kept = filled.where("kind = '15' and root is not null and cycle_key is not null").where(month.between(1, 12))
+    return kept.select("part", "position", "root.district", F.col("root.lease").alias("rrc_id"), "cycle_key", year.alias("production_year"), month.alias("production_month"), *amounts)
 
 
 def archive_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir; only where that is unset, as in tests, a local folder is chosen."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
