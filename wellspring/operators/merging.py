@@ -80,10 +80,11 @@ def require(df: DataFrame, columns: list[str], key: list[str], order: list[Colum
     """VAL-02: (usable rows, one for each key, the first in the order; a report of rows, unusable rows and repeats). Missing columns raise."""
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    usable = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
-    kept = best_of(usable, key, order)
-    counts = df.agg(F.count("*").alias("n_rows")).crossJoin(usable.agg(F.count("*").alias("n_usable"))).crossJoin(kept.agg(F.count("*").alias("n_kept")))
-    return kept, counts.select("n_rows", (F.col("n_rows") - F.col("n_usable")).alias("n_unusable"), (F.col("n_usable") - F.col("n_kept")).alias("n_repeats"))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    kept = best_of(df.where(whole), key, order)
+    groups = df.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(whole).alias("u"))
+    sums = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("u"), F.lit(0)).alias("u"), F.count_if(F.col("u") > 0).alias("kept"))
+    return kept, sums.select("n_rows", (F.col("n_rows") - F.col("u")).alias("n_unusable"), (F.col("u") - F.col("kept")).alias("n_repeats"))
 
 
 def union_regions(frames: dict[str, DataFrame | None]) -> tuple[DataFrame, list[str]]:

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def classification(df: DataFrame, label: str = "y_true", score: str = "score", by: str | None = None) -> DataFrame:
     """ML-09: rows, positives, ROC-AUC (average ranks) and average precision (step sum over distinct thresholds) of each group,
     or of all; null when one class is missing. Rows of equal score are counted together before anything is ordered."""
     keys = [by] if by else []
     per = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    up = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = per.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "tp": F.sum("p").over(down), "seen": F.sum("n").over(down)})
+    # sums over smaller scores in two steps: range parts, each summed by itself, and the sums of the parts before
+    ranged = materialize(per.repartitionByRange(*keys, score).withColumn("__part", F.spark_partition_id()), "scores")
+    parts = ranged.groupBy(*keys, "__part").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    before = parts.select(*[F.col(k).alias("__by") for k in keys], F.col("__part").alias("__own"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}0") for c in "np"], *[F.sum(c).over(whole).alias(f"__{c}1") for c in "np"])
+    same = F.col("__part") == F.col("__own")
+    joined = ranged.join(before, same & F.col(by).eqNullSafe(F.col("__by")) if by else same)
+    local = Window.partitionBy(*keys, "__part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below, p_below = (F.coalesce(F.sum(c).over(local), F.lit(0)) + F.col(f"__{c}0") for c in "np")
+    rows = joined.withColumns({"below": below, "tp": F.col("__p1") - p_below, "seen": F.col("__n1") - below})
     sums = rows.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("rank_sum"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("ap_sum"))
     pos, neg = F.col("n_pos"), F.col("n_rows") - F.col("n_pos")
     both = (pos > 0) & (neg > 0)

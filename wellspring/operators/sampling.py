@@ -139,7 +139,9 @@ def distribute_quota(counts: dict[str, int], target: int, equal_share: float) ->
 def take_quota(df: DataFrame, bucket: str, key: str, quotas: dict[str, int], seed: str = "quota") -> DataFrame:
     """SMP-11: the first rows of each bucket by stable hash; the quotas, one for each bucket, are broadcast."""
     table = df.sparkSession.createDataFrame(list(quotas.items()), f"{bucket} string, __quota long")
-    return _ranked(df.join(F.broadcast(table), bucket), [bucket], key, seed).where("__rank <= __quota").drop("__rank", "__quota")
+    # the largest quota is a literal, so every task keeps no more rows of a bucket
+    ranked = _ranked(df.join(F.broadcast(table), bucket), [bucket], key, seed).where(F.col("__rank") <= max(quotas.values(), default=0))
+    return ranked.where("__rank <= __quota").drop("__rank", "__quota")
 
 
 def bucket_counts(df: DataFrame, bucket: str) -> dict[str, int]:
@@ -193,7 +195,8 @@ def isolated_centres(df: DataFrame, bucket: str, key: str, target: int, equal_sh
 def balanced_phases(df: DataFrame, phase: str, key: str, limit: int) -> DataFrame:
     """SMP-15: half of the limit from each phase in key order; what one phase lacks the other fills."""
     n = df.groupBy(phase).count().count() or 1
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(phase).orderBy(key)))
+    # a phase never gives more than the limit, so every task keeps no more rows of it
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(phase).orderBy(key))).where(F.col("__rank") <= limit)
     return ranked.withColumn("__extra", F.col("__rank") > limit // n).orderBy("__extra", "__rank", phase, key).limit(limit).drop("__rank", "__extra")
 
 

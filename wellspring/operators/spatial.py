@@ -1,13 +1,13 @@
 """Distance, containment and raster joins as equi joins on grid cells.
 
 A distance join would be a nested loop. Here both sides get a cell key; the probe side is exploded to the cells that
-its radius touches, the join is on the cell, and the exact predicate follows. Cell steps are as wide as the radius at
-the highest latitude of the data, cell numbers wrap at 180 degrees, and beyond 80 degrees all longitudes are one cell.
+its radius touches, the join is on the cell, and the exact predicate follows. Cells are as wide as the radius at
+their band's latitude, cell numbers wrap at 180 degrees, and near the poles all longitudes are one cell.
 """
 
 from __future__ import annotations
 
-from math import asin, cos, degrees, floor, radians, sin
+from math import degrees, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,30 +16,33 @@ from ..functions.columns import EARTH_KM, haversine_km
 
 
 class Cells:
-    """Steps of a grid for one radius, up to a latitude."""
+    """A grid for one radius: bands of latitude, each cut into as many columns as its distance from the equator allows."""
 
-    def __init__(self, radius_km: float, highest: float) -> None:
-        reach = radius_km / EARTH_KM
-        self.lat_step = degrees(reach) * 1.01 + 1e-9
-        room = sin(reach) / cos(radians(min(highest + degrees(reach), 89.999))) if highest + degrees(reach) < 80 else 2
-        self.columns = max(1, floor(360 / (degrees(asin(room)) * 1.01 + 1e-9))) if room < 1 else 1
-        self.lon_step = 360 / self.columns
+    def __init__(self, radius_km: float) -> None:
+        self.reach = radius_km / EARTH_KM
+        self.lat_step = degrees(self.reach) * 1.01 + 1e-9
 
     def y(self, lat: Column) -> Column:
         return F.floor((lat + 90) / self.lat_step).cast("long")
 
-    def x(self, lon: Column) -> Column:
-        return F.pmod(F.floor((F.pmod(lon + 180, F.lit(360.0))) / self.lon_step), F.lit(self.columns)).cast("long")
+    def columns(self, y: Column) -> Column:
+        """Columns of a band, each as wide as the radius at the latitude farthest from the equator in the band and the bands beside it; near the poles one."""
+        farthest = F.least(F.greatest(F.abs((y - 1) * self.lat_step - 90), F.abs((y + 2) * self.lat_step - 90)), F.lit(90.0))
+        room = F.lit(sin(self.reach)) / F.cos(F.radians(farthest))
+        return F.when(room < 1, F.greatest(F.floor(360 / (F.degrees(F.asin(room)) * 1.01 + 1e-9)), F.lit(1))).otherwise(1).cast("long")
+
+    def x(self, lon: Column, columns: Column) -> Column:
+        return F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) * columns / 360), columns).cast("long")
 
     def around(self, lat: Column, lon: Column) -> Column:
-        """Distinct cells that may hold neighbours, as an array of (x, y)."""
-        xs = F.array_distinct(F.array(*[F.pmod(self.x(lon) + d, F.lit(self.columns)) for d in (-1, 0, 1)]))
-        return F.flatten(F.transform(xs, lambda x: F.array(*[F.struct(x.alias("cx"), (self.y(lat) + d).alias("cy")) for d in (-1, 0, 1)])))
+        """Distinct cells that may hold neighbours, as an array of (cx, cy)."""
 
+        def band(d: int) -> Column:
+            y = self.y(lat) + d
+            n = self.columns(y)
+            return F.transform(F.array_distinct(F.array(*[F.pmod(self.x(lon, n) + e, n) for e in (-1, 0, 1)])), lambda x: F.struct(x.alias("cx"), y.alias("cy")))
 
-def highest_latitude(*frames: DataFrame) -> float:
-    """The largest absolute latitude: one small aggregation."""
-    return max(df.agg(F.max(F.abs("latitude"))).first()[0] or 0.0 for df in frames)
+        return F.concat(*[band(d) for d in (-1, 0, 1)])
 
 
 def within(targets: DataFrame, sources: DataFrame, key: str, radius_km: float, take: list[str], as_of: tuple[str, str] | None = None) -> DataFrame:
@@ -47,11 +50,11 @@ def within(targets: DataFrame, sources: DataFrame, key: str, radius_km: float, t
 
     as_of: (target date, source date): only sources dated strictly before; a null on either side matches nothing.
     """
-    cells = Cells(radius_km, highest_latitude(targets, sources))
+    cells = Cells(radius_km)
     dates = [F.col(as_of[0]).alias("t_date")] if as_of else []
     probe = targets.where("latitude is not null and longitude is not null").select(F.col(key), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), *dates, F.explode(cells.around(F.col("latitude"), F.col("longitude"))).alias("cell")).select("*", "cell.*").drop("cell")
     names = list(dict.fromkeys([*take, *([as_of[1]] if as_of else [])]))
-    build = sources.where("latitude is not null and longitude is not null").select(F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), *[F.col(c).alias(f"s_{c}") for c in names], cells.x(F.col("longitude")).alias("cx"), cells.y(F.col("latitude")).alias("cy"))
+    build = sources.where("latitude is not null and longitude is not null").select(F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), *[F.col(c).alias(f"s_{c}") for c in names], cells.x(F.col("longitude"), cells.columns(cells.y(F.col("latitude")))).alias("cx"), cells.y(F.col("latitude")).alias("cy"))
     km = haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("s_lat"), F.col("s_lon"))
     joined = probe.join(build, ["cx", "cy"]).withColumn("km", km).where(F.col("km") <= radius_km)
     if as_of:
@@ -204,12 +207,17 @@ def focal_stats(dem: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
     return got.where("elevation is not null").select("tile", "r", "c", "elevation", F.degrees(F.atan(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2))).alias("slope_deg"), "relief")
 
 
-def raster_at(points: DataFrame, tiles: DataFrame, raster: DataFrame, key: str, values: list[str]) -> DataFrame:
+def raster_at(points: DataFrame, tiles: DataFrame, raster: DataFrame, key: str, values: list[str], step: float = 1.0) -> DataFrame:
     """WIN-10: values of the raster cell under each point, from the first tile (by name) that holds it. tiles: tile, west, north,
-    step_x, step_y, n_rows, n_cols: one row for each raster file, so it is broadcast."""
+    step_x, step_y, n_rows, n_cols: one row for each raster file, dealt to the cells of `step` degrees that it touches, so the join is on the cell."""
+    cells = lambda a, b: F.sequence(F.floor(a / step).cast("long"), F.floor(b / step).cast("long"))
+    east, south = F.col("west") + F.col("n_cols") * F.col("step_x"), F.col("north") - F.col("n_rows") * F.col("step_y")
+    dealt = tiles.withColumn("cx", F.explode(cells(F.col("west"), east))).withColumn("cy", F.explode(cells(south, F.col("north"))))
     x = F.floor((F.col("longitude") - F.col("west")) / F.col("step_x")).cast("long")
     y = F.floor((F.col("north") - F.col("latitude")) / F.col("step_y")).cast("long")
-    placed = points.select(key, "latitude", "longitude").join(F.broadcast(tiles), (F.col("longitude") >= F.col("west")) & (F.col("longitude") < F.col("west") + F.col("n_cols") * F.col("step_x")) & (F.col("latitude") <= F.col("north")) & (F.col("latitude") > F.col("north") - F.col("n_rows") * F.col("step_y")))
+    probe = points.select(key, "latitude", "longitude", F.floor(F.col("longitude") / step).cast("long").alias("cx"), F.floor(F.col("latitude") / step).cast("long").alias("cy"))
+    inside = (F.col("longitude") >= F.col("west")) & (F.col("longitude") < east) & (F.col("latitude") <= F.col("north")) & (F.col("latitude") > south)
+    placed = probe.join(dealt, ["cx", "cy"]).where(inside)
     first = placed.groupBy(key).agg(F.min_by(F.struct("tile", y.alias("r"), x.alias("c")), "tile").alias("t")).select(key, "t.*")
     return points.select(key).join(first.join(raster.select("tile", "r", "c", *values), ["tile", "r", "c"], "left"), key, "left")
 

@@ -89,10 +89,13 @@ def _(t):
     return _out(life.cadence(t("monthly")))
 
 
-@q("agg07_label_methods", f"SELECT count(*) AS n FROM {W} w")
+_MONTHLY_LABELS = SQL["agg04_month_labels"]
+
+
+@q("agg07_label_methods", f"SELECT 'monthly' AS method, * FROM ({_MONTHLY_LABELS}) m")
 def _(t):
-    """Dispatch by name: as many labels as wells."""
-    return life.first_life(t("wells"), t("monthly"), "monthly").agg(F.count("*").alias("n"))
+    """Dispatch by name."""
+    return _out(life.first_life(t("wells"), t("monthly"), "monthly").select(F.lit("monthly").alias("method"), "*"))
 
 
 @q("agg08_pivot_horizons", "SELECT o_custkey AS k, max(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS price_f12, max(CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END) AS price_f24 FROM orders GROUP BY 1")
@@ -603,10 +606,10 @@ def _(t):
     return t("wells").select("well_api", sampling.hash_split(F.col("well_api"), "s7", 0.8, 0.1).alias("split"))
 
 
-@q("smp08_balanced_sample", f"SELECT unconventional::VARCHAR AS label, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY unconventional ORDER BY k) AS r, sum((NOT unconventional)::INT) OVER () AS neg FROM {W} w) x WHERE r <= CASE WHEN unconventional THEN 100 - least(50, neg) ELSE least(50, neg) END GROUP BY 1")
+@q("smp08_balanced_sample", f"SELECT well_api, unconventional::VARCHAR AS label FROM (SELECT *, row_number() OVER (PARTITION BY unconventional ORDER BY {_frac('sample', 'well_api')}, well_api) AS r, sum((NOT unconventional)::INT) OVER () AS neg FROM {W} w) x WHERE r <= CASE WHEN unconventional THEN 100 - least(50, neg) ELSE least(50, neg) END")
 def _(t):
     got = sampling.balanced_sample(t("wells"), "unconventional", "well_api", 100)
-    return got.groupBy(F.col("unconventional").cast("string").alias("label")).agg(F.count("*").alias("n"))
+    return got.select("well_api", F.col("unconventional").cast("string").alias("label"))
 
 
 @q("smp09_cap_per_group", f"SELECT well_api FROM (SELECT *, row_number() OVER (PARTITION BY county_name ORDER BY {_frac('cap', 'well_api')}, well_api) AS r FROM {W} w) x WHERE r <= 20")
@@ -614,11 +617,21 @@ def _(t):
     return sampling.cap_per_group(t("wells"), "county_name", "well_api", 20).select("well_api")
 
 
-@q("smp10_quota", f"SELECT count(*) AS n FROM {G} g WHERE k < 300")
+def _quota(target: str, share: float, seed: str) -> str:
+    """Regions taken by quota in SQL: an equal part for each bucket, the rest by what is left, largest remainders first."""
+    return f"""WITH b AS (SELECT bucket_id, count(*) AS n, row_number() OVER (ORDER BY bucket_id) - 1 AS i, count(*) OVER () AS nb, ({target}) AS target FROM {G} g GROUP BY 1),
+    e AS (SELECT *, least(n, CAST(round_even(target * {share}::DOUBLE, 0) AS BIGINT) // nb + (i < CAST(round_even(target * {share}::DOUBLE, 0) AS BIGINT) % nb)::INT) AS first FROM b),
+    x AS (SELECT *, (n - first) * (target - sum(first) OVER ()) / CAST(sum(n - first) OVER () AS DOUBLE) AS exact FROM e),
+    z AS (SELECT *, first + CAST(floor(exact) AS BIGINT) AS base FROM x),
+    q AS (SELECT bucket_id, base + (row_number() OVER (ORDER BY floor(exact) - exact, bucket_id) <= target - sum(base) OVER ())::INT AS quota FROM z)
+    SELECT region_id, g.bucket_id, r FROM (SELECT *, row_number() OVER (PARTITION BY bucket_id ORDER BY {_frac(seed, 'region_id')}, region_id) AS r FROM {G} g) g JOIN q ON g.bucket_id = q.bucket_id WHERE r <= quota"""
+
+
+@q("smp10_quota", f"SELECT region_id, bucket_id FROM ({_quota(f'SELECT count(*) FROM {G} h WHERE k < 300', 0.4, 'quota')}) x")
 def _(t):
-    """Quotas add up to the target; here to as many rows as have k under 300."""
+    """As many rows as have k under 300."""
     r = t("regions")
-    return sampling.quota_sample(r, "bucket_id", "region_id", r.where("k < 300").count(), 0.4).agg(F.count("*").alias("n"))
+    return sampling.quota_sample(r, "bucket_id", "region_id", r.where("k < 300").count(), 0.4).select("region_id", "bucket_id")
 
 
 @q("smp11_take_quota", f"SELECT region_id FROM (SELECT *, row_number() OVER (PARTITION BY bucket_id ORDER BY {_frac('quota', 'region_id')}, region_id) AS r FROM {G} g) x WHERE r <= 7")
@@ -638,9 +651,9 @@ def _(t):
     return _out(sampling.expand_members(t("regions").where("k % 17 = 0"), t("regions"), "region_id", 1))
 
 
-@q("smp14_isolated", f"SELECT CAST(120 AS BIGINT) AS n, CAST(120 AS BIGINT) AS n_distinct FROM {G} g LIMIT 1")
+@q("smp14_isolated", f"SELECT region_id, bucket_id, 'quota' AS pick FROM ({_quota('SELECT 120', 0.5, 'isolated')}) x")
 def _(t):
-    return sampling.isolated_centres(t("regions"), "bucket_id", "region_id", 120, 0.5).agg(F.count("*").alias("n"), F.countDistinct("region_id").alias("n_distinct"))
+    return sampling.isolated_centres(t("regions"), "bucket_id", "region_id", 120, 0.5).select("region_id", "bucket_id", "pick")
 
 
 @q("smp15_phases", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus = 'P' ORDER BY o_orderkey) AS r FROM orders) x ORDER BY r > 100, r, o_orderstatus = 'P', o_orderkey LIMIT 200")
@@ -663,10 +676,10 @@ def _(t):
     return summaries.occupied_cells(t("wells"), 0.05)
 
 
-@q("gen03_location_pool", f"SELECT objectid, count(*) AS n FROM (SELECT objectid, row_number() OVER (PARTITION BY objectid ORDER BY i, j) AS r FROM (SELECT objectid, i, unnest(range(CAST(floor((x1 - x0) / (0.05::DOUBLE / greatest(cos(radians(y0 + i * 0.1::DOUBLE)), 0.01))) AS BIGINT) + 1)) AS j FROM (SELECT *, unnest(range(CAST(floor((y1 - y0) / 0.1::DOUBLE) AS BIGINT) + 1)) AS i FROM {sql('geology')} g) a) b) c WHERE r <= 20 GROUP BY 1")
+@q("gen03_location_pool", f"SELECT objectid, r AS n, round(latitude, 6) AS latitude, round(x0 + j * step, 6) AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY objectid ORDER BY i, j) AS r FROM (SELECT *, unnest(range(CAST(floor((x1 - x0) / step) AS BIGINT) + 1)) AS j FROM (SELECT *, y0 + i * 0.1::DOUBLE AS latitude, 0.05::DOUBLE / greatest(cos(radians(y0 + i * 0.1::DOUBLE)), 0.01) AS step FROM (SELECT *, unnest(range(CAST(floor((y1 - y0) / 0.1::DOUBLE) AS BIGINT) + 1)) AS i FROM {sql('geology')} g) f) a) b) c WHERE r <= 20")
 def _(t):
     g = t("geology").withColumnsRenamed({"x0": "west", "x1": "east", "y0": "south", "y1": "north"})
-    return _out(summaries.location_pool(g, "objectid", 0.1, 0.05, 20).groupBy("objectid").agg(F.count("*").alias("n")))
+    return _out(summaries.location_pool(g, "objectid", 0.1, 0.05, 20))
 
 
 @q("gen04_year_bins", "SELECT y AS year, b AS bin, CAST(make_date(y, 1, 1) + CAST(b * 16 AS INTEGER) AS VARCHAR) AS bin_start, CAST(least(make_date(y, 1, 1) + CAST(b * 16 + 16 AS INTEGER), make_date(y + 1, 1, 1)) AS VARCHAR) AS bin_end FROM (SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS y FROM orders) o, (SELECT unnest(range(23)) AS b) x WHERE make_date(y, 1, 1) + CAST(b * 16 AS INTEGER) < make_date(y + 1, 1, 1)")
@@ -690,16 +703,27 @@ def _(t):
     return _out(observations.observation_events(index, "conv_id", {"turn": "turns", "role": "roles"}))
 
 
-@q("gen08_tile_manifest", f"SELECT sample_id, CAST(26 AS BIGINT) AS n, CAST(8 AS BIGINT) AS ring1 FROM {L} l")
+# offsets of 5 x 5 tiles and the place of each on the sphere
+_SPAN = "(VALUES (-2), (-1), (0), (1), (2))"
+_ANGLE, _BEARING = f"(sqrt(x * x + y * y) / ({R}::DOUBLE * 1000))", "atan2(x, y)"
+_SINE = f"(sin(radians(latitude)) * cos({_ANGLE}) + cos(radians(latitude)) * sin({_ANGLE}) * cos({_BEARING}))"
+_TILES = f"""SELECT sample_id, kind, dx, dy, concat(sample_id, '_', kind, '_', CAST(dx AS VARCHAR), '_', CAST(dy AS VARCHAR)) AS tile_id, greatest(abs(dx), abs(dy)) AS ring,
+CASE WHEN dx = 0 AND dy = 0 THEN 'center' ELSE concat(CASE WHEN dy > 0 THEN 'north' WHEN dy < 0 THEN 'south' ELSE '' END, CASE WHEN dx > 0 THEN 'east' WHEN dx < 0 THEN 'west' ELSE '' END) END AS role, degrees(asin({_SINE})) AS tile_lat,
+degrees(radians(longitude) + atan2(sin({_BEARING}) * sin({_ANGLE}) * cos(radians(latitude)), cos({_ANGLE}) - sin(radians(latitude)) * {_SINE})) AS tile_lon
+FROM (SELECT *, dx * 2560.0::DOUBLE AS x, dy * 2560.0::DOUBLE AS y FROM {L} l, (SELECT 'local' AS kind, a.c AS dx, b.c AS dy FROM {_SPAN} a(c), {_SPAN} b(c) UNION ALL SELECT 'regional', 0, 0) o) z"""
+
+
+@q("gen08_tile_manifest", f"SELECT sample_id, tile_id, kind, dx, dy, ring, role, round(tile_lat, 6) AS tile_lat, round(tile_lon, 6) AS tile_lon FROM ({_TILES}) x")
 def _(t):
-    got = observations.tile_manifest(t("locations"), "sample_id", 2, 2560.0)
-    return got.groupBy("sample_id").agg(F.count("*").alias("n"), F.count_if(F.col("ring") == 1).alias("ring1"))
+    return _out(observations.tile_manifest(t("locations"), "sample_id", 2, 2560.0))
+
+
+_WINDOWS = f"SELECT a.sample_id, a.tile_id AS target_id, count(*) AS n_members, count(*) FILTER (WHERE greatest(abs(b.dx - a.dx), abs(b.dy - a.dy)) <= 1) AS n_support, count(*) FILTER (WHERE greatest(abs(b.dx - a.dx), abs(b.dy - a.dy)) <= 1 AND b.ring > 1) AS n_halo FROM ({_TILES}) a JOIN ({_TILES}) b ON a.sample_id = b.sample_id WHERE a.kind = 'local' AND b.kind = 'local' AND a.ring <= 1 GROUP BY 1, 2"
 
 
-@q("gen09_training_windows", f"SELECT sample_id, CAST(9 AS BIGINT) AS targets, CAST(225 AS BIGINT) AS members, CAST(81 AS BIGINT) AS support, CAST(32 AS BIGINT) AS halo FROM {L} l")
+@q("gen09_training_windows", _WINDOWS)
 def _(t):
-    got = observations.training_windows(observations.tile_manifest(t("locations"), "sample_id", 2, 2560.0), "sample_id", 1, 1)
-    return got.groupBy("sample_id").agg(F.count("*").alias("targets"), F.sum("n_members").alias("members"), F.sum("n_support").alias("support"), F.sum("n_halo").alias("halo"))
+    return _out(observations.training_windows(observations.tile_manifest(t("locations"), "sample_id", 2, 2560.0), "sample_id", 1, 1))
 
 
 @q("gen10_raster_tiles", f"SELECT DISTINCT printf('n%02dw%03d', CAST(ceil(latitude) AS BIGINT), CAST(ceil(-longitude) AS BIGINT)) AS tile_id FROM {W} w")
@@ -766,10 +790,10 @@ def _(t):
     return observations.coverage(_plan(t), "k", 37).where(F.coalesce(F.col("n_paired") / F.nullif("n_bins", F.lit(0)), F.lit(0.0)) >= 0.3).select("k")
 
 
-@q("prj01_align", f"SELECT count(*) AS n, count(well_api) AS n_api, count(nearest_well_km) AS n_near, CAST(46 AS BIGINT) AS n_columns, min(state) AS state FROM (SELECT well_api, longitude AS nearest_well_km, 'PA' AS state FROM {W} w) x")
+@q("prj01_align", f"SELECT well_api, state, region_id, round(longitude, 6) AS nearest_well_km, round(latitude, 6) AS latitude, CAST(spud_date AS VARCHAR) AS spud_date, well_status, CAST(NULL AS DOUBLE) AS f12_gas, CAST(46 AS BIGINT) AS n_columns FROM (SELECT *, 'PA' AS state, 'r1' AS region_id FROM {W} w) x")
 def _(t):
-    got = merging.align(t("wells").withColumn("nearest_well_distance_km", F.col("longitude")), {"nearest_well_distance_km": "nearest_well_km"}, state="PA")
-    return got.agg(F.count("*").alias("n"), F.count("well_api").alias("n_api"), F.count("nearest_well_km").alias("n_near"), F.lit(len(got.columns)).cast("long").alias("n_columns"), F.min("state").alias("state"))
+    got = merging.align(t("wells").withColumn("nearest_well_distance_km", F.col("longitude")), {"nearest_well_distance_km": "nearest_well_km"}, state="PA", region_id="r1")
+    return _out(got.select("well_api", "state", "region_id", "nearest_well_km", "latitude", "spud_date", "well_status", "f12_gas", F.lit(len(got.columns)).alias("n_columns")))
 
 
 @q("prj02_ensure_features", "SELECT c_custkey AS k, TRY_CAST(c_name AS DOUBLE) AS c_name, CAST(NULL AS DOUBLE) AS extra, CAST(c_nationkey AS VARCHAR) AS cat FROM customer")

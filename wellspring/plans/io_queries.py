@@ -10,7 +10,7 @@ from ..sources import readers, sinks
 from ..sources.scratch import scratch
 from ..streaming import refresh
 from . import jobs
-from .core_queries import _AGG02, _PRORATED, _SINCE, MO, P, S, W, _hav, _out, _polygons
+from .core_queries import _AGG02, _PRORATED, _SINCE, _TILES, _WINDOWS, MO, P, S, W, _frac, _hav, _out, _polygons
 from .fixtures import load, sql
 
 QUERIES: dict = {}
@@ -98,13 +98,14 @@ def _(t, spark, folder):
     return readers.asset_status(("orders", a, "o_orderpriority"), ("parts", t("part").select("p_brand", F.col("p_name").alias("local_path")), "p_brand"))
 
 
-@q("snk03_cell_features", f"SELECT count(*) AS n, CAST(sum(length(CAST(objectid AS VARCHAR))) AS BIGINT) AS chars FROM {sql('geology')} g")
+@q("snk03_cell_features", f"SELECT CAST(objectid AS BIGINT) AS objectid, 'Polygon' AS kind, round(x0, 5) AS west, round(y1, 5) AS north, CAST(5 AS BIGINT) AS corners FROM {sql('geology')} g")
 def _(t, spark, folder):
     cells = t("geology").select(F.col("x0").alias("min_lon"), F.col("y0").alias("min_lat"), F.col("x1").alias("max_lon"), F.col("y1").alias("max_lat"), "objectid")
     path = scratch(spark, "features")
     sinks.write_features(cells, ["objectid"], path)
     back = readers.read_json_lines(spark, path)
-    return back.agg(F.count("*").alias("n"), F.sum(F.length(F.col("properties.objectid").cast("string"))).alias("chars"))
+    ring = F.col("geometry.coordinates")[0]
+    return _out(back.select(F.col("properties.objectid").cast("long").alias("objectid"), F.col("geometry.type").alias("kind"), F.round(F.array_min(F.transform(ring, lambda p: p[0])), 5).alias("west"), F.round(F.array_max(F.transform(ring, lambda p: p[1])), 5).alias("north"), F.size(ring).alias("corners")))
 
 
 @q("snk04_append", "SELECT count(*) * 2 AS n FROM part")
@@ -124,19 +125,36 @@ def _(t, spark, folder):
     return sinks.latest(spark, path).select("p_brand", "n", F.col("snapshot_id").cast("string").alias("snapshot_id"))
 
 
-_JOB = f"SELECT count(*) AS n_wells, count(*) FILTER (WHERE label_f12_available = 'true') AS n_f12, count(f12_gas) AS n_gas FROM ({_PRORATED}) x"
+_TRAINABLE = "(w.well_status IN ('Active','Plugged OG Well','Abandoned') OR y.well_api IS NOT NULL)"
+_AT = f"SELECT w.*, coalesce(CASE WHEN w.spud_date >= DATE '1950-01-01' THEN w.spud_date END, x.d) AS at FROM {W} w LEFT JOIN (SELECT well_api, min(permit_issued_date) AS d FROM {P} p GROUP BY 1) x ON w.well_api = x.well_api"
 
 
-@q("job03_training_table_v1", f"SELECT count(*) AS n_wells, CAST(sum(permit_count) AS BIGINT) AS permits, count(*) FILTER (WHERE t) AS n_trainable FROM (SELECT coalesce(permit_count, 0) AS permit_count, (w.well_status IN ('Active','Plugged OG Well','Abandoned') OR y.well_api IS NOT NULL) AND w.well_status NOT IN ('Duplicate','Proposed But Never Materialized') AS t FROM {W} w LEFT JOIN (SELECT well_api, count(*) AS permit_count FROM {P} p GROUP BY 1) x ON w.well_api = x.well_api LEFT JOIN ({_AGG02}) y ON w.well_api = y.well_api) z")
+def _neighbours(source: str, date: str, condition: str = "", value: str = "NULL") -> str:
+    """Rows of a table before each well's context date: km and value."""
+    return f"SELECT a.well_api, {_hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km, {value} AS v FROM ({_AT}) a JOIN {source} b ON abs(a.latitude - b.latitude) < 0.2 AND b.{date} < a.at {condition}"
+
+
+_COUNTS = "round(min(km) FILTER (WHERE km <= 20), 6) AS nearest, count(*) FILTER (WHERE km <= 2) AS n2, count(*) FILTER (WHERE km <= 5) AS n5"
+_V1 = f"""SELECT w.well_api, CAST(w.at AS VARCHAR) AS context_date, coalesce(permit_count, 0) AS permit_count, CAST({_TRAINABLE} AND w.well_status NOT IN ('Duplicate','Proposed But Never Materialized') AS VARCHAR) AS trainable_v1,
+CAST(coalesce(y.well_api IS NOT NULL AND date_diff('day', w.spud_date, observed_first_prod_date) BETWEEN 0 AND 180 AND observed_rows >= 10, false) AS VARCHAR) AS label_f12_like_available,
+b.nearest AS well_nearest_km, coalesce(b.n2, 0) AS well_count_2km, coalesce(b.n5, 0) AS well_count_5km, c.nearest AS permit_nearest_km, coalesce(c.n2, 0) AS permit_count_2km, coalesce(c.n5, 0) AS permit_count_5km
+FROM ({_AT}) w LEFT JOIN (SELECT well_api, count(*) AS permit_count FROM {P} p GROUP BY 1) x ON w.well_api = x.well_api LEFT JOIN ({_AGG02}) y ON w.well_api = y.well_api
+LEFT JOIN (SELECT well_api, {_COUNTS} FROM ({_neighbours(W, 'spud_date')}) n WHERE km <= 20 GROUP BY 1) b ON w.well_api = b.well_api LEFT JOIN (SELECT well_api, {_COUNTS} FROM ({_neighbours(P, 'permit_issued_date')}) n WHERE km <= 20 GROUP BY 1) c ON w.well_api = c.well_api"""
+_MATURE = f"(SELECT w.latitude, w.longitude, CAST(l.first_prod_date AS DATE) AS first_prod_date, l.f12_gas FROM ({_PRORATED}) l JOIN {W} w ON w.well_api = l.well_api WHERE label_f12_available = 'true')"
+_V2 = f"""SELECT v.*, l.first_prod_date, l.f12_gas, l.label_f12_available, round(m.nearest, 6) AS mature_nearest_km, coalesce(m.n5, 0) AS mature_count_5km, round(m.m5, 6) AS mature_median_5km, round(m.q10, 6) AS mature_p90_10km
+FROM ({_V1}) v JOIN ({_PRORATED}) l ON v.well_api = l.well_api LEFT JOIN (SELECT well_api, min(km) AS nearest, count(*) FILTER (WHERE km <= 5) AS n5, quantile_cont(v, 0.5) FILTER (WHERE km <= 5) AS m5, quantile_cont(v, 0.9) FILTER (WHERE km <= 10) AS q10 FROM ({_neighbours(_MATURE, 'first_prod_date', value='b.f12_gas')}) n WHERE km <= 10 GROUP BY 1) m ON v.well_api = m.well_api"""
+_V1_COLUMNS = ("well_api", "context_date", "permit_count", "trainable_v1", "label_f12_like_available", "well_nearest_km", "well_count_2km", "well_count_5km", "permit_nearest_km", "permit_count_2km", "permit_count_5km")
+
+
+@q("job03_training_table_v1", _V1)
 def _(t, spark, folder):
-    got = jobs.training_table_v1(t("wells"), t("permits"), t("production"), _polygons(t), ["map_symbol"])
-    return got.agg(F.count("*").alias("n_wells"), F.sum("permit_count").alias("permits"), F.count_if("trainable_v1").alias("n_trainable"))
+    return _out(jobs.training_table_v1(t("wells"), t("permits"), t("production"), _polygons(t), ["map_symbol"]).select(*_V1_COLUMNS))
 
 
-@q("job04_training_table_v2", _JOB)
+@q("job04_training_table_v2", _V2)
 def _(t, spark, folder):
     got = jobs.training_table_v2(t("wells"), t("permits"), t("production"), _polygons(t), ["map_symbol"])
-    return got.agg(F.count("*").alias("n_wells"), F.count_if("label_f12_available").alias("n_f12"), F.count("f12_gas").alias("n_gas"))
+    return _out(got.select(*_V1_COLUMNS, "first_prod_date", "f12_gas", "label_f12_available", "mature_nearest_km", "mature_count_5km", "mature_median_5km", "mature_p90_10km"))
 
 
 _FIRST = f"SELECT well_api, min(s) AS s, sum(CASE WHEN k BETWEEN 0 AND 11 THEN gas_quantity END) AS g, count(DISTINCT CASE WHEN k BETWEEN 0 AND 11 THEN period_start_date END) AS n FROM ({_SINCE}) x GROUP BY 1"
@@ -168,14 +186,14 @@ def _unified(t):
     return jobs.unified_table({"a": (w.where("unconventional"), {}, {"state": "PA"}), "b": (w.where("not unconventional"), {}, {"state": "WV"}), "c": (None, {}, {})})[0]
 
 
-@q("job07_unified_table", f"SELECT CASE WHEN unconventional THEN 'a' ELSE 'b' END AS region_id, CASE WHEN unconventional THEN 'PA' ELSE 'WV' END AS state, count(*) AS n FROM {W} w GROUP BY 1, 2")
+@q("job07_unified_table", f"SELECT CASE WHEN unconventional THEN 'a' ELSE 'b' END AS region_id, CASE WHEN unconventional THEN 'PA' ELSE 'WV' END AS state, well_api, CAST(spud_date AS VARCHAR) AS context_date, round(latitude, 6) AS latitude, k * 1.0e0 AS f12_gas, CAST(k % 4 <> 0 AS VARCHAR) AS label_f12_available FROM {W} w")
 def _(t, spark, folder):
-    return _unified(t).groupBy("region_id", "state").agg(F.count("*").alias("n"))
+    return _out(_unified(t).select("region_id", "state", "well_api", "context_date", "latitude", "f12_gas", "label_f12_available"))
 
 
-@q("job08_cohort", f"SELECT region_id, least(50, count(*)) AS n FROM (SELECT CASE WHEN unconventional THEN 'a' ELSE 'b' END AS region_id FROM {W} w WHERE k % 4 <> 0) x GROUP BY 1")
+@q("job08_cohort", f"SELECT region_id, concat('well::', well_api) AS sample_id, CASE WHEN spud_date < DATE '1998-01-01' THEN 'train' ELSE 'test' END AS split_group FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY {_frac('cap', 'well_api')}, well_api) AS r FROM (SELECT *, CASE WHEN unconventional THEN 'a' ELSE 'b' END AS region_id FROM {W} w WHERE k % 4 <> 0) x) y WHERE r <= 50")
 def _(t, spark, folder):
-    return jobs.cohort(_unified(t), "f12_gas", "label_f12_available", 50, "1998-01-01").groupBy("region_id").agg(F.count("*").alias("n"))
+    return jobs.cohort(_unified(t), "f12_gas", "label_f12_available", 50, "1998-01-01").select("region_id", "sample_id", "split_group")
 
 
 @q("job09_daily_benchmark", f"SELECT a.sample_id, CAST(a.date AS VARCHAR) AS date, round(a.value, 6) AS a_value, round(x.value, 6) AS value_plus_1d FROM {sql('daily_a')} a JOIN {sql('daily_b')} b ON a.sample_id = b.sample_id AND a.date = b.date LEFT JOIN {sql('daily_a')} x ON a.sample_id = x.sample_id AND x.date = a.date + 1")
@@ -259,10 +277,17 @@ def _(t, spark, folder):
     return grid.select("grid_x", "grid_y", F.round("longitude", 6).alias("longitude"))
 
 
-@q("job01_canonical", f"SELECT 'wells' AS tab, count(*) AS n FROM {W} w UNION ALL SELECT 'permits', count(*) FROM {P} p UNION ALL SELECT 'production', count(*) FROM {sql('production')} p")
+_TITLE = "array_to_string(list_transform(string_split(lower(county_name), ' '), lambda w: concat(upper(w[1]), w[2:])), ' ')"
+
+
+@q("job01_canonical", f"SELECT 'wells' AS tab, well_api AS id, {_TITLE} AS a, well_status AS b, CAST(spud_date AS VARCHAR) AS day, round(latitude, 6) AS x FROM {W} w UNION ALL SELECT 'permits', CAST(authorization_id AS VARCHAR), well_api, county_name, CAST(permit_issued_date AS VARCHAR), round(latitude, 6) FROM {P} p UNION ALL SELECT 'production', permit_num, production_scope, NULL, CAST(production_period_start_date AS VARCHAR), round(gas_quantity, 6) FROM {sql('production')} p")
 def _(t, spark, folder):
+    """Rows of all three tables, beside each other."""
     tables = jobs.canonical_tables(t("wells"), t("permits"), t("production"))
-    return summaries.layer_counts(tables).select(F.col("layer").alias("tab"), F.col("n_rows").alias("n"))
+    wells = tables["wells"].select(F.lit("wells").alias("tab"), F.col("well_api").alias("id"), F.col("county_name").alias("a"), F.col("well_status").alias("b"), F.col("spud_date").cast("string").alias("day"), F.col("latitude").alias("x"))
+    permits = tables["permits"].select(F.lit("permits"), F.col("authorization_id").cast("string"), "well_api", "county_name", F.col("permit_issued_date").cast("string"), "latitude")
+    production = tables["production"].select(F.lit("production"), "well_api", "production_scope", F.lit(None).cast("string"), F.col("period_start_date").cast("string"), "gas_quantity")
+    return _out(wells.union(permits).union(production))
 
 
 _BINS = f"SELECT l.sample_id, year(seen_at) AS y, floor((dayofyear(CAST(seen_at AS DATE)) - 1) / 10) AS bin, collection IN ('view', 'click') AS s2 FROM {sql('locations')} l JOIN {S} s ON l.longitude BETWEEN west AND east AND l.latitude BETWEEN south AND north"
@@ -275,11 +300,12 @@ def _(t, spark, folder):
     return jobs.observation_plan(t("locations"), scenes.where(optical), scenes.where(~optical), 10, 3, 37)[1].select("sequence_id", "n_bins", "n_s2", "n_s1", "n_paired")
 
 
-@q("job12_regional_manifest", f"SELECT sample_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split, CAST(26 AS BIGINT) AS n_tiles, CAST(9 AS BIGINT) AS n_windows FROM (SELECT sample_id, ('0x' || substr(md5('tiles::' || sample_id), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM {sql('locations')} l) x")
+@q("job12_regional_manifest", f"SELECT x.sample_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split, t.tile_id, t.role, w.n_support, w.n_halo FROM (SELECT sample_id, {_frac('tiles', 'sample_id')} AS u FROM {sql('locations')} l) x JOIN ({_TILES}) t ON t.sample_id = x.sample_id LEFT JOIN ({_WINDOWS}) w ON w.target_id = t.tile_id")
 def _(t, spark, folder):
+    """Each tile with its centre's split and, where it is a target, its window's support."""
     tiles, windows = jobs.regional_manifest(t("locations"), "sample_id", 2, 2560.0, 1, 1)
-    counts = windows.groupBy("sample_id").agg(F.count("*").alias("n_windows"))
-    return tiles.groupBy("sample_id", "split").agg(F.count("*").alias("n_tiles")).join(counts, "sample_id").select("sample_id", "split", "n_tiles", "n_windows")
+    targets = windows.select(F.col("target_id").alias("tile_id"), "n_support", "n_halo")
+    return tiles.join(targets, "tile_id", "left").select("sample_id", "split", "tile_id", "role", "n_support", "n_halo")
 
 
 @q("ml04_regression_trees")
