@@ -143,6 +143,28 @@ def test_separated_equals_the_greedy_walk(spark):
     assert sorted(r.k for r in sampling.separated(df, "k", 2).collect()) == sorted(k for k, _, _ in kept)
 
 
+def test_anchors_by_quota_equal_the_walk_by_bucket(spark):
+    cells = [(f"c{i}", i % 15, i // 15, "ab"[i % 3 == 0]) for i in range(150)]
+    df = spark.createDataFrame(cells, "k string, grid_x long, grid_y long, b string")
+    order = sorted((r.u, r.k, r.grid_x, r.grid_y, r.b) for r in df.select("*", C.stable_fraction(F.col("k"), "anchor").alias("u")).collect())
+    quotas = sampling.distribute_quota(sampling.bucket_counts(df, "b"), 14, 0.5)
+    kept: list = []
+
+    def walk(rows, most):
+        n = 0
+        for _, k, x, y, _ in rows:
+            if n < most and all(max(abs(x - a), abs(y - b)) >= 3 for _, a, b in kept):
+                kept.append((k, x, y))
+                n += 1
+
+    for b in sorted(quotas):
+        walk([r for r in order if r[4] == b], quotas[b])
+    walk(order, 14 - len(kept))
+    assert sorted(r.k for r in sampling.quota_anchors(df, "b", "k", 14, 3, 0.5).collect()) == sorted(k for k, _, _ in kept)
+    with pytest.raises(ValueError, match="of 100 anchors"):
+        sampling.quota_anchors(df, "b", "k", 100, 3, 0.5)
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(i, date(2000, 1, 1 + i), i < 9) for i in range(10)], "k long, day date, y boolean")
     q, got = sampling.split_with_fallback(df, "day", 0.9, "y")

@@ -174,6 +174,30 @@ def separated(df: DataFrame, key: str, distance: int, seed: str = "anchor") -> D
     return df.limit(0) if kept is None else df.join(kept.select(key), key, "left_semi")
 
 
+def quota_anchors(df: DataFrame, bucket: str, key: str, target: int, distance: int, equal_share: float, seed: str = "anchor") -> DataFrame:
+    """SMP-12: `target` rows, each at least `distance` (Chebyshev) from all others: bucket after bucket, in name order, up to its quota (SMP-10) by
+    a greedy walk in stable-hash order; what the quotas leave open is filled from all buckets. Fewer than `target` raise.
+
+    The first n rows of a greedy walk are the first n of all that it would keep, so each walk is `separated` on the cells that are still open."""
+    chosen: list[tuple] = []  # at most `target` rows
+    span = F.sequence(F.lit(1 - distance), F.lit(distance - 1))
+
+    def walk(rows: DataFrame, most: int) -> None:
+        if chosen:
+            taken = df.sparkSession.createDataFrame(chosen, "k string, x long, y long").withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
+            rows = rows.join(taken.select((F.col("x") + F.col("dx")).alias("grid_x"), (F.col("y") + F.col("dy")).alias("grid_y")).distinct(), ["grid_x", "grid_y"], "left_anti")
+        kept = separated(rows, key, distance - 1, seed).orderBy(stable_fraction(F.col(key), seed), key).limit(most)
+        chosen.extend((str(r[key]), r["grid_x"], r["grid_y"]) for r in kept.collect())
+
+    for name, quota in sorted(distribute_quota(bucket_counts(df, bucket), target, equal_share).items()):
+        walk(df.where(F.col(bucket) == name), quota)
+    if len(chosen) < target:
+        walk(df, target - len(chosen))
+    if len(chosen) < target:
+        raise ValueError(f"only {len(chosen)} of {target} anchors keep a distance of {distance}")
+    return df.join(df.sparkSession.createDataFrame([(k,) for k, _, _ in chosen], f"`{key}` string"), key, "left_semi")
+
+
 def expand_members(anchors: DataFrame, cells: DataFrame, key: str, radius: int) -> DataFrame:
     """SMP-13: the cells around each anchor with their offsets."""
     span = F.sequence(F.lit(-radius), F.lit(radius))

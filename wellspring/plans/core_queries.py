@@ -617,14 +617,14 @@ def _(t):
     return sampling.cap_per_group(t("wells"), "county_name", "well_api", 20).select("well_api")
 
 
-def _quota(target: str, share: float, seed: str) -> str:
+def _quota(target: str, share: float, seed: str, table: str = G) -> str:
     """Regions taken by quota in SQL: an equal part for each bucket, the rest by what is left, largest remainders first."""
-    return f"""WITH b AS (SELECT bucket_id, count(*) AS n, row_number() OVER (ORDER BY bucket_id) - 1 AS i, count(*) OVER () AS nb, ({target}) AS target FROM {G} g GROUP BY 1),
+    return f"""WITH b AS (SELECT bucket_id, count(*) AS n, row_number() OVER (ORDER BY bucket_id) - 1 AS i, count(*) OVER () AS nb, ({target}) AS target FROM {table} g GROUP BY 1),
     e AS (SELECT *, least(n, CAST(round_even(target * {share}::DOUBLE, 0) AS BIGINT) // nb + (i < CAST(round_even(target * {share}::DOUBLE, 0) AS BIGINT) % nb)::INT) AS first FROM b),
     x AS (SELECT *, (n - first) * (target - sum(first) OVER ()) / CAST(sum(n - first) OVER () AS DOUBLE) AS exact FROM e),
     z AS (SELECT *, first + CAST(floor(exact) AS BIGINT) AS base FROM x),
     q AS (SELECT bucket_id, base + (row_number() OVER (ORDER BY floor(exact) - exact, bucket_id) <= target - sum(base) OVER ())::INT AS quota FROM z)
-    SELECT region_id, g.bucket_id, r FROM (SELECT *, row_number() OVER (PARTITION BY bucket_id ORDER BY {_frac(seed, 'region_id')}, region_id) AS r FROM {G} g) g JOIN q ON g.bucket_id = q.bucket_id WHERE r <= quota"""
+    SELECT region_id, g.bucket_id, r, quota FROM (SELECT *, row_number() OVER (PARTITION BY bucket_id ORDER BY {_frac(seed, 'region_id')}, region_id) AS r FROM {table} g) g JOIN q ON g.bucket_id = q.bucket_id WHERE r <= quota"""
 
 
 @q("smp10_quota", f"SELECT region_id, bucket_id FROM ({_quota(f'SELECT count(*) FROM {G} h WHERE k < 300', 0.4, 'quota')}) x")
@@ -640,12 +640,38 @@ def _(t):
     return sampling.take_quota(r, "bucket_id", "region_id", {k: 7 for k in sampling.bucket_counts(r, "bucket_id")}).select("region_id")
 
 
-@q("smp12_separated")
+def _walk(rows: str, apart: int, target: int = 1 << 30) -> str:
+    """A greedy walk in SQL over rows (region_id, grid_x, grid_y, bucket_id, i: place from 1, q: quota of the bucket): each is kept
+    if it is at least `apart` from all kept, its bucket has fewer than q, and fewer than `target` are kept."""
+    near = "len(list_filter(c, lambda p: greatest(abs(p.x - o.grid_x), abs(p.y - o.grid_y)) < {}))".format(apart)
+    room = f"len(list_filter(c, lambda p: p.b = o.bucket_id)) < o.q AND len(c) < {target}" if target < 1 << 30 else "true"
+    return f"""WITH RECURSIVE o AS MATERIALIZED ({rows}), w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x BIGINT, y BIGINT, b VARCHAR, k VARCHAR)[]) AS c
+    UNION ALL SELECT o.i, CASE WHEN {near} = 0 AND {room} THEN list_append(c, {{'x': CAST(o.grid_x AS BIGINT), 'y': CAST(o.grid_y AS BIGINT), 'b': o.bucket_id, 'k': o.region_id}}) ELSE c END FROM w JOIN o ON o.i = w.i + 1)
+    SELECT p.k AS region_id, p.b AS bucket_id, p.x AS grid_x, p.y AS grid_y FROM (SELECT unnest(c) AS p FROM w WHERE i = (SELECT max(i) FROM w)) z"""
+
+
+@q("smp12_separated", f"SELECT region_id FROM ({_walk(f'SELECT *, 1 AS q, row_number() OVER (ORDER BY ' + _frac('anchor', 'region_id') + f', region_id) AS i FROM {G} g', 3)}) x")
 def _(t):
-    """No SQL: a greedy walk; tests hold it against the sequential one."""
+    """Each farther than 2 from all others."""
     return sampling.separated(t("regions"), "region_id", 2).select("region_id")
 
 
+# regions in five buckets; anchors by quota among cells with all neighbours, then a second round over all of them
+_REGIONS = f"(SELECT grid_x, grid_y, region_id, split_part(bucket_id, ' ', 1) AS bucket_id FROM {G} r)"
+_WHOLE = f"(SELECT a.* FROM {_REGIONS} a WHERE (SELECT count(*) FROM {_REGIONS} b WHERE abs(b.grid_x - a.grid_x) <= 1 AND abs(b.grid_y - a.grid_y) <= 1) = 9)"
+_PASSES = f"""SELECT *, row_number() OVER (ORDER BY pass, CASE WHEN pass = 1 THEN bucket_id ELSE '' END, {_frac('anchor', 'region_id')}, region_id) AS i FROM (
+SELECT 1 AS pass, h.*, q FROM {_WHOLE} h JOIN (SELECT bucket_id, max(quota) AS q FROM ({_quota('SELECT 12', 0.5, 'anchor', _WHOLE)}) z GROUP BY 1) y ON h.bucket_id = y.bucket_id UNION ALL SELECT 2, h.*, 1000000 FROM {_WHOLE} h) u"""
+_ANCHORS = _walk(_PASSES, 3, 12)
+_AWAY = f"(SELECT g.* FROM {_REGIONS} g WHERE NOT EXISTS (SELECT 1 FROM ({_ANCHORS}) a WHERE greatest(abs(a.grid_x - g.grid_x), abs(a.grid_y - g.grid_y)) <= 3))"
+
+
+@q("job11_centres", f"SELECT region_id, bucket_id, 'anchor' AS kind FROM ({_ANCHORS}) a UNION ALL SELECT region_id, bucket_id, 'isolated' FROM ({_quota('SELECT 20', 0.5, 'isolated', _AWAY)}) b")
+def _(t):
+    from .jobs import centres
+
+    return centres(t("regions").withColumn("bucket_id", F.substring_index("bucket_id", " ", 1)), 12, 20, 3, 1)
+
+
 @q("smp13_members", f"SELECT a.region_id AS anchor, b.region_id, b.grid_x - a.grid_x AS dx, b.grid_y - a.grid_y AS dy FROM {G} a JOIN {G} b ON abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1 WHERE a.k % 17 = 0")
 def _(t):
     return _out(sampling.expand_members(t("regions").where("k % 17 = 0"), t("regions"), "region_id", 1))

@@ -202,11 +202,6 @@ def _(t, spark, folder):
     return _out(got.select("sample_id", "date", "a_value", "value_plus_1d"))
 
 
-@q("job11_centres")
-def _(t, spark, folder):
-    return jobs.centres(t("regions"), 40, 3, 1)
-
-
 @q("job13_layers", f"SELECT 'wells' AS layer, count(*) AS n_rows FROM {W} w UNION ALL SELECT 'scenes', count(*) FROM {S} s UNION ALL SELECT 'geology', count(*) FROM {sql('geology')} g")
 def _(t, spark, folder):
     return summaries.layer_counts({n: t(n) for n in ("wells", "scenes", "geology")})

@@ -86,11 +86,12 @@ def daily_benchmark(sources: dict[str, DataFrame], required: list[str], column:
     return merging.future_targets(merged, next(iter(sources.values())), column, horizons)
 
 
-def centres(regions: DataFrame, target: int, separation: int, radius: int) -> DataFrame:
-    """JOB-11: anchors with whole neighbourhoods and a minimum separation, then isolated centres away from them by quota."""
-    anchors = sampling.separated(spatial.full_clusters(regions, "region_id", radius), "region_id", separation)
-    rest = sampling.isolated_centres(spatial.away_from(regions, anchors, separation), "bucket_id", "region_id", target, 0.5)
-    return anchors.select("region_id", F.lit("anchor").alias("kind")).unionByName(rest.select("region_id", F.lit("isolated").alias("kind")))
+def centres(regions: DataFrame, anchors: int, isolated: int, separation: int, radius: int, equal_share: float = 0.5) -> DataFrame:
+    """JOB-11: `anchors` cells with whole neighbourhoods by bucket quota and minimum separation, then `isolated` centres farther than
+    `separation` from them, by quota and top-up."""
+    first = sampling.quota_anchors(spatial.full_clusters(regions, "region_id", radius), "bucket_id", "region_id", anchors, separation, equal_share)
+    rest = sampling.isolated_centres(spatial.away_from(regions, first, separation), "bucket_id", "region_id", isolated, equal_share)
+    return first.select("region_id", "bucket_id", F.lit("anchor").alias("kind")).unionByName(rest.select("region_id", "bucket_id", F.lit("isolated").alias("kind")))
 
 
 def canonical_tables(wells: DataFrame, permits: DataFrame, production: DataFrame) -> dict[str, DataFrame]:
