@@ -247,21 +247,12 @@ def _(t, spark, folder):
 def _(t, spark, folder):
     """Old rows come first, fresh ones in a second micro-batch."""
     path, source = scratch(spark, "catalog"), scratch(spark, "source")
-    schema = None
-    for i, name in enumerate(("catalog_old", "catalog_new")):
+    for name in ("catalog_old", "catalog_new"):
         df = t(name)
-        schema = df.schema
         df.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
         refresh.upsert_stream(stream, path, ["id"], f"{path}_progress").trigger(availableNow=True).start().awaitTermination()
-    newest = 0
-    while True:
-        try:
-            spark.read.parquet(f"{path}/v={newest + 1}")
-        except Exception:  # noqa: BLE001  there is no later version
-            break
-        newest += 1
-    return _out(spark.read.schema(schema).parquet(f"{path}/v={newest}"))
+    return _out(refresh.catalog(spark, path))
 
 
 @q("gen02_equal_area_grid", f"WITH b AS (SELECT CAST(floor(min(longitude) * 1e5 / 2e4) AS BIGINT) AS x0, CAST(ceil(max(longitude) * 1e5 / 2e4) AS BIGINT) AS x1, CAST(floor(min(latitude) * 1e5 / 2e4) AS BIGINT) AS y0, CAST(ceil(max(latitude) * 1e5 / 2e4) AS BIGINT) AS y1 FROM {W} w) SELECT grid_x, grid_y, round(degrees(grid_x * 2e4 / (6378137.0::DOUBLE * sqrt(0.75::DOUBLE) / sqrt(1 - 0.00669437999014::DOUBLE * 0.25))), 6) AS longitude FROM (SELECT unnest(range(x0, x1 + 1)) AS grid_x FROM b) a, (SELECT unnest(range(y0, y1 + 1)) AS grid_y FROM b) c")

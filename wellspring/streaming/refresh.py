@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -10,17 +10,23 @@ from ..operators.merging import upsert
 
 
 def upsert_stream(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> DataStreamWriter:
-    """STR-01: each micro-batch is merged into the catalog at `path`/v=<batch>; the newest complete version is the catalog.
+    """STR-01: each micro-batch is merged into the catalog at `path`/v=<batch>; `path`_version names the newest complete one (`catalog`).
     A batch that is run again writes its own version again from the one before, so a replay changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
         upsert(old, batch, key).write.mode("overwrite").parquet(f"{path}/v={number}")
+        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}_version")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """STR-01: the newest complete version of a catalog."""
+    return spark.read.parquet(f"{path}/v={spark.read.parquet(f'{path}_version').first().version}")
+
+
 def binned_counts(stream: DataFrame, time: str, key: str, days: int, late: str = "3 days") -> DataFrame:
     """STR-02: rows for each key and bin of so many days; the watermark plays the part of the overlap days."""
     start = F.date_trunc("year", time)
