@@ -3,6 +3,11 @@
 Each stage works on all that the one before kept; its result is written as Parquet and read again. All but the last
 return the columns of documents. SQL can't express the stages (learned models, SimHash, string tiling), so ORACLE_SQL
 is None and tests hold the stages against brute force.
+
+Defined results: other columns stay to the last stage but one, whatever their names; a null or empty text is in no known language and goes at
+the second stage; rows with a null doc_id are rows like any other; of rows that repeat doc_id and text one stays, rows of one doc_id
+with different texts all count; without labels of both kinds all documents are good; without a language none is kept; an empty table
+or an empty benchmark leaves every stage's table as it is.
 """
 
 from __future__ import annotations
