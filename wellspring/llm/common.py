@@ -15,9 +15,11 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir, which all executors share; where that is unset a local one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -37,6 +39,19 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*[(docs[c] if c in have else F.lit(None)).cast(types.get(c, "string")).alias(c) for c in ("doc_id", "text", *more)])
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for a repartition that AQE must not coalesce: few small rows that give many."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or that with underscores before it, such that df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(n: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo n; a null id gives -1 and so is in no fold."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(-1)).cast("int")

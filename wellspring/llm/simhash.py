@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, documents, materialize, pieces, texts_of
+from .common import LOWER, documents, materialize, pieces, shuffle_parts, texts_of, unused
 from .components import components
 
 #: Generator of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -110,14 +111,13 @@ def anchors(fps: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
         r1, a1 = _by_anchor(high, one, excess)
         for other in range(excess + 1 - one):
             r2, a2 = _by_anchor(low, other, excess)
-            n1, n2 = np.bincount(r1, minlength=len(fps)), np.bincount(r2, minlength=len(fps))
+            n2 = np.bincount(r2, minlength=len(fps))
             # every anchor of the first half beside every anchor of the second
             again = np.repeat(np.arange(len(r1)), n2[r1])
             first2 = (np.cumsum(n2) - n2)[r1]
             inner = np.arange(len(again)) - np.repeat(np.cumsum(n2[r1]) - n2[r1], n2[r1])
             rows.append(r1[again])
             found.append(a1[again] << 23 | a2[np.repeat(first2, n2[r1]) + inner])
-            assert len(again) == int((n1 * n2).sum())
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -147,8 +147,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     """One row for each document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) and copies (rows in its class)."""
     rows = materialize(fingerprints(docs, words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), "distinct")
-    # few fingerprints give many anchors, so they are dealt out first
-    roots = components(links(distinct.select("fp").repartition("fp"), threshold))
+    # few fingerprints give many anchors, so they are dealt out first, in a number that isn't made smaller again
+    roots = components(links(distinct.select("fp").repartition(shuffle_parts(docs.sparkSession), "fp"), threshold))
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "members", F.coalesce("root", "fp").alias("root"))
     classes = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("members").alias("copies"))
     named = joined.join(classes, "root").select("fp", "component_id", "copies")
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 # Similarity search on wider fingerprints, for groups of near copies whose shingles differ in up to a fifth.
 
 #: Long numbers of a word fingerprint (each is one table of anchors) and of a shingle fingerprint.
-TABLES, WIDE = 6, 4
+TABLES, WIDE = 8, 6
 
 
 def _majority(digests: list[bytes], size: int) -> bytes:
@@ -171,7 +171,7 @@ def _majority(digests: list[bytes], size: int) -> bytes:
 
 
 def wide_fingerprint(text: bytes, words: int = 5) -> tuple[bytes, bytes]:
-    """(of the distinct words, 384 bits; of the word shingles, repeats included, 256 bits). Few words give one shingle."""
+    """(of the distinct words, TABLES longs; of the word shingles, repeats included, WIDE longs). Few words give one shingle."""
     import xxhash
 
     digest = xxhash.xxh3_128_digest
@@ -185,18 +185,19 @@ def wide_fingerprint(text: bytes, words: int = 5) -> tuple[bytes, bytes]:
     else:
         starts = np.concatenate([[0], ends[: len(found) - words] + 1]).tolist()
         shingles = [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    return _majority([digest(w, s) for w in {w.strip(b".,;:!?") for w in found} for s in (1, 2, 3)], 8 * TABLES), _majority([digest(x, s) for x in shingles for s in (4, 5)], 8 * WIDE)
+    return _majority([digest(w, s) for w in {w.strip(b".,;:!?") for w in found} for s in range(1, 1 + TABLES // 2)], 8 * TABLES), _majority([digest(x, s) for x in shingles for s in range(11, 11 + WIDE // 2)], 8 * WIDE)
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, of_words and of_shingles (binary) of each document."""
+    """doc_id, text_hash (XXH64 of the text, null of a null one), of_words and of_shingles (binary) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20):
             one, other = zip(*(wide_fingerprint(t, words) for t in texts_of(batch)), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(one, pa.binary()), pa.array(other, pa.binary())], ["doc_id", "of_words", "of_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(one, pa.binary()), pa.array(other, pa.binary())], ["doc_id", "text_hash", "of_words", "of_shingles"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, of_words binary, of_shingles binary")
+    rows = documents(docs).withColumn("text_hash", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, of_words binary, of_shingles binary")
 
 
 def _forest(bits: np.ndarray, most: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -229,7 +230,6 @@ def similar_links(distinct: DataFrame, most: int, block: int = 4096, pivots: int
     An anchor of more than `block` rows goes through memory in blocks, each compared within itself and with the anchor's
     first `pivots` rows. If that leaves its rows in more than one component, all pairs of its blocks meet, in groups of two blocks, and
     only rows of different components are compared. So no task holds more than two blocks of an anchor, and no link between components is lost."""
-    wide = 8 * WIDE
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +284,7 @@ def similar_links(distinct: DataFrame, most: int, block: int = 4096, pivots: int
         i, j = np.array(_forest(prints, most, known) or np.zeros((0, 2)), np.int64).T
         return pa.table({"u": numbers[i], "v": numbers[j]})
 
-    assert wide == 32
-    placed = distinct.repartition("number").mapInArrow(place, "anchor long, number long, of_shingles binary")
+    placed = distinct.repartition(shuffle_parts(distinct.sparkSession), "number").mapInArrow(place, "anchor long, number long, of_shingles binary")
     met = materialize(placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u long, v long, hot boolean"), "wide-links")
     links, hot = met.where("not hot").select("u", "v").distinct(), met.where("hot").select(F.col("u").alias("anchor")).distinct()
     if hot.isEmpty():
@@ -300,22 +299,31 @@ def similar_links(distinct: DataFrame, most: int, block: int = 4096, pivots: int
     return links.union(groups.groupBy("anchor", "one", "two").applyInArrow(meet_again, "u long, v long")).distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id (smallest doc_id of its group): documents whose word shingles are alike by `similarity` or more, by the
-    angle that this means for two sets, J = `similarity`: cosine 2 J / (1 + J). Null ids are left out."""
-    most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * WIDE + 1.5)
-    rows = materialize(wide_fingerprints(docs, words).where("doc_id is not null"), "wide")
-    # documents with equal fingerprints are one; the smallest doc_id numbers it
-    distinct = materialize(rows.groupBy("of_words", "of_shingles").agg(F.min("doc_id").alias("number")), "wide-distinct")
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.8) -> DataFrame:
+    """One row for each document: doc_id, text_hash (XXH64 of the text) and root (the number of its group): documents whose word shingles are alike
+    by `similarity` or more, by the angle that this means for two sets, J = `similarity`: cosine 2 J / (1 + J). The bits in which
+    two fingerprints differ scatter about that angle; `slack` is how many standard deviations more still count as alike."""
+    bits = 64 * WIDE
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
+    rows = materialize(wide_fingerprints(docs, words), "wide")
+    # documents with equal fingerprints are one, numbered by their hash
+    rows = rows.withColumn("number", F.xxhash64("of_words", "of_shingles"))
+    distinct = materialize(rows.groupBy("number").agg(F.first("of_words").alias("of_words"), F.first("of_shingles").alias("of_shingles")), "wide-distinct")
     roots = components(similar_links(distinct, most))
-    named = distinct.join(roots, distinct.number == roots.node, "left").select("of_words", "of_shingles", F.coalesce("root", "number").alias("component_id"))
-    return rows.join(named, ["of_words", "of_shingles"]).select("doc_id", "component_id")
+    return rows.join(roots, rows.number == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "number").alias("root"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, one of each group: that of the smallest doc_id (of repeated ids one row); rows with a null id stay."""
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, one of each group: that of the smallest doc_id (null last), of repeated ids that of the smallest text hash (a null text first).
+    Rows are told apart by doc_id and text; of rows that repeat both one stays, that of the smallest hash of all its columns."""
     named = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    kept = similar_groups(named, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = named.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__row", rank).where("__row = 1").drop("__row")
-    return one.unionByName(named.where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = similar_groups(named, words, similarity, slack).groupBy("root").agg(F.min(order).alias("best")).select("best.doc_id", "best.text_hash")
+    hashed, rank = unused(docs, "text_hash"), unused(docs, "rank")
+    own = named.withColumn(hashed, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    best = best.select(F.col("doc_id").alias(unused(docs, "best_id")), F.col("text_hash").alias(unused(docs, "best_hash")))
+    kept = own.join(best, own.doc_id.eqNullSafe(best[best.columns[0]]) & own[hashed].eqNullSafe(best[best.columns[1]]), "left_semi")
+    simple = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    first = Window.partitionBy("doc_id", hashed).orderBy(F.xxhash64(*simple))
+    return kept.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
