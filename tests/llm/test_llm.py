@@ -146,6 +146,33 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_base_phrases_are_those_of_a_word_by_word_search():
+    rng = random.Random(21)
+    parts = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "x", "Und\u00e9r", "MIT"]
+    index = licenses.Index({}, 1)
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "-", ", ", "\n", ""]) for _ in range(rng.randint(0, 80)))
+        if rng.random() < 0.5:
+            text += " Under the MIT license, cc by nc cc-by-nc apache license version 2"
+        words, word = [], b""
+        for c in text.encode() + b" ":
+            if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128:
+                word += bytes([c]).lower() if c < 128 else bytes([c])
+            elif word:
+                words, word = [*words, word], b""
+        hits = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.encode().split()]
+        n_words, n_base, first, last, base, *_ = index.scan(text.encode())
+        assert (n_words, n_base, first, last, base) == (len(words), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), sorted({x for _, x in hits}))
+
+
+def test_base_phrases_of_a_long_text_take_one_count(monkeypatch):
+    import time
+
+    began = time.process_time()
+    assert licenses.Index({}, 1).scan(b"cc by nc " * 100_000)[1] == 100_000
+    assert time.process_time() - began < 20
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(0)
     model = language.ByteGRU(["a", "b"], hidden=4)
@@ -302,26 +329,28 @@ def test_similar_groups_by_shingles(spark, none):
         for k in rng.sample(range(300), 3):
             changed[k] = rng.choice(vocabulary)
         rows.append((200 + i, " ".join(changed)))
-    rows += [(None, "x y"), (300, None), (301, ""), (302, "a b"), (302, "a b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x"))
+    rows += [(None, "x y"), (None, "x y"), (None, rows[0][1]), (300, None), (301, ""), (302, "a b"), (302, "a b"), (302, "quite another text of the same id"), (303, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit("x")).withColumn("rank", F.lit("x"))
     kept = simhash.keep_one(df).toPandas()
     ids = kept.doc_id.dropna().astype(int).tolist()
-    assert sorted(ids) == [*range(30), 300, 302]
-    assert kept.doc_id.isna().sum() == 1 and set(kept.columns) == {"doc_id", "text", "lang"}
+    assert sorted(ids) == [*range(30), 300, 302, 302]
+    assert set(kept[kept.doc_id == 302].text) == {"a b", "quite another text of the same id"}
+    assert kept[kept.doc_id.isna()].text.tolist() == ["x y"] and kept.columns.tolist() == ["doc_id", "text", "text_hash", "rank"]
     assert simhash.keep_one(none).count() == 0
 
 
 def test_similar_links_of_a_hot_anchor(spark, monkeypatch):
     """Rows that all share their anchors are never compared beyond two blocks at a time, and their components are those of all pairs."""
     rng = np.random.default_rng(5)
-    chain = [np.zeros(256, np.uint8)]
+    size = 64 * simhash.WIDE
+    chain = [np.zeros(size, np.uint8)]
     for _ in range(120):  # each row is near the one before; the ends are far apart
         bits = chain[-1].copy()
-        bits[rng.choice(256, 12, replace=False)] ^= 1
+        bits[rng.choice(size, 12, replace=False)] ^= 1
         chain.append(bits)
-    bits = np.array(chain + [b for c in chain[::40] for b in [c ^ (rng.random(256) < 0.3)] * 2], np.uint8)
+    bits = np.array(chain + [b for c in chain[::40] for b in [c ^ (rng.random(size) < 0.3)] * 2], np.uint8)
     numbers = rng.permutation(len(bits)).tolist()
-    rows = [(n, bytes(48), np.packbits(b).tobytes()) for n, b in zip(numbers, bits, strict=True)]
+    rows = [(n, bytes(8 * simhash.TABLES), np.packbits(b).tobytes()) for n, b in zip(numbers, bits, strict=True)]
     df = spark.createDataFrame(rows, "number long, of_words binary, of_shingles binary")
     want = brute_components([(numbers[i], numbers[j]) for i in range(len(bits)) for j in range(i) if (bits[i] ^ bits[j]).sum() <= 15], numbers)
     sharing = {n for n in numbers if list(want.values()).count(want[n]) > 1}
@@ -355,7 +384,7 @@ def test_context_mixing_is_a_probability():
     """Over all texts of one byte or none, and longer ones, the probabilities add up to at most 1, and to nearly 1 with those of two bytes left open."""
     counts = np.ones((256, 257), np.int64)
     code = context_mixing.Code(counts)
-    model = context_mixing.Mixer(code, [np.zeros(1 << w, np.float32) for w in context_mixing.ORDERS.values()])
+    model = context_mixing.Mixer(code, [context_mixing.codes_of(np.zeros((1 << w, 2), np.int64)) for w in context_mixing.ORDERS.values()])
     model.freeze()
     ends = model.score([b"", *[bytes([b]) for b in range(256)]])
     assert 2.0 ** -ends[0] == pytest.approx(2.0 ** -code.length[256], rel=1e-3)
@@ -382,13 +411,85 @@ def test_context_mixing_is_fitted_on_all_texts(spark):
 def test_context_mixing_adapts_within_short_texts():
     """Tables that know nothing give each bit of a text's first stride 1 bit; later strides of a short text must cost less, those of long texts all along."""
     code = context_mixing.Code(np.ones((256, 257), np.int64))
-    model = context_mixing.Mixer(code, [np.zeros(1 << w, np.float32) for w in context_mixing.ORDERS.values()])
+    model = context_mixing.Mixer(code, [context_mixing.codes_of(np.zeros((1 << w, 2), np.int64)) for w in context_mixing.ORDERS.values()])
     model.freeze()
     one, four, long = model.score([b"b" * 120, b"b" * 480, b"b" * 60000])
     assert four < 3.9 * one
     assert long < 0.9 * 500 * one  # only one cell is seen, so only the share of ones can be learned
 
 
+def plain_score(model, text, stride=128, rate=0.05):
+    """Bits of one text, bit by bit: contexts, hashes, mixing, map and updates after each stride in plain Python."""
+    cm, mask = context_mixing, (1 << 64) - 1
+    low = text.translate(cm.LOWER)
+
+    def hashed(value, width):
+        value = value * 0x9E3779B97F4A7C15 & mask
+        value ^= value >> 31
+        return (value * 0x9E3779B97F4A7C15 & mask) >> (64 - width)
+
+    def slots(at):
+        out = []
+        for order, width in model.code.orders.items():
+            if order == "word":
+                begin = at
+                while begin > max(0, at - cm.WORD) and text[begin - 1] > 32:
+                    begin -= 1
+                value = (sum((c + 1) * pow(cm._STEP, k, 1 << 64) for k, c in enumerate(low[begin:at])) + 77) & mask
+            else:
+                value = (int.from_bytes(text[max(0, at - order) : at].rjust(order, b"\0"), "little") + order) & mask
+            out.append(hashed(value, width))
+        return out
+
+    weights, bias = model.weights.astype(float), model.bias.astype(float)
+    hits, ones = np.full(model.gates * cm.BUCKETS, float(cm.PRIOR)), model.refined.astype(float) * cm.PRIOR
+    total = 0.0
+    for begin in range(0, len(text) + 1, stride):
+        seen = []
+        for at in range(begin, min(begin + stride, len(text) + 1)):
+            symbol = (text[at - 1] if at else 0) * 257 + (text[at] if at < len(text) else cm.END)
+            first = model.code.start[symbol]
+            for step in model.code.steps[first : first + model.code.length[symbol]].tolist():
+                codes = [int(t[h ^ (step >> 1)]) for t, h in zip(model.tables, slots(at), strict=True)]
+                x = [cm._VALUE_OF[c] for c in codes]
+                gate = 0
+                for c in codes:
+                    gate = gate * 4 + c % 4
+                mixed = float(bias[gate] + sum(weights[k, gate] * float(v) for k, v in enumerate(x)))
+                p = 1 / (1 + np.exp(-mixed))
+                cell = gate * cm.BUCKETS + int(np.clip(np.floor(mixed * (cm.BUCKETS - 1) / (2 * cm.LIMIT) + cm.BUCKETS / 2), 0, cm.BUCKETS - 1))
+                final = min(max((p + ones[cell] / hits[cell]) / 2, 1e-5), 1 - 1e-5)
+                total -= np.log2(final if step & 1 else 1 - final)
+                seen.append((gate, cell, step & 1, (step & 1) - p, [float(v) for v in x]))
+        many = {g: sum(s[0] == g for s in seen) for g in {s[0] for s in seen}}
+        for gate, cell, bit, error, x in seen:
+            pace = rate / (many[gate] + 1) ** 0.5
+            weights[:, gate] += pace * error * np.array(x)
+            bias[gate] += pace * error
+            hits[cell] += 1
+            ones[cell] += bit
+    return total
+
+
+def test_context_mixing_scores_are_those_of_a_plain_loop(docs, texts):
+    model = context_mixing.fit(docs)
+    some = [t.encode() for t in [*(t for t in texts[:6] if t), "Zwölf Boxkämpfer\tjagen. " * 20, "x" * 300, ""]]
+    got = model.score(some, group=4)
+    assert got == pytest.approx([plain_score(model, t) for t in some], rel=2e-3)
+
+
+def test_context_mixing_counts_of_16_bits_lose_nothing():
+    rng = np.random.default_rng(6)
+    counts, want = context_mixing._Counts(17), np.zeros((1 << 17, 2), np.int64)
+    for _ in range(40):
+        slot, bit = np.where(rng.random(8000) < 0.8, 5, rng.integers(0, 1 << 17, 8000)), (rng.random(8000) < 0.3).astype(np.int8)
+        counts.known(slot)
+        np.add.at(want, (slot, bit), 1)
+        counts.add(slot.copy(), bit)
+    assert counts.table.max() < 1 << 15 and want.max() > 1 << 17
+    assert (np.concatenate(list(counts.slices())).reshape(-1, 2) == want).all()
+
+
 def test_context_mixing_tables_grow():
     few, many = (context_mixing.Code(np.full((256, 257), n)) for n in (1, 4096))
     assert all(many.orders[o] > few.orders[o] == w for o, w in context_mixing.ORDERS.items())
@@ -407,6 +508,55 @@ def test_tiling():
     assert sorted(n for _, _, n in decontaminate.tile(a, b, 2)) == [3, 4]
 
 
+def plain_tiles(item, text, least):
+    """Greedy string tiling by comparing all pairs of places."""
+    marked_a, marked_b, out = set(), set(), []
+    while True:
+        best = []
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and i + n not in marked_a and j + n not in marked_b:
+                    n += 1
+                if n >= least:
+                    best.append((n, j, i))
+        if not best:
+            return out
+        n = max(best)[0]
+        for _, j, i in sorted(b for b in best if b[0] == n):
+            if not (marked_a.intersection(range(i, i + n)) or marked_b.intersection(range(j, j + n))):
+                marked_a.update(range(i, i + n))
+                marked_b.update(range(j, j + n))
+                out.append((i, j, n))
+
+
+def test_tiling_is_that_of_all_pairs_of_places():
+    rng = random.Random(22)
+    for _ in range(60):
+        item, text = (np.array([rng.randint(0, 3) for _ in range(rng.randint(0, n))], np.int64) for n in (25, 40))
+        assert sorted(decontaminate.tile(item, text, 3)) == sorted(plain_tiles(item.tolist(), text.tolist(), 3))
+
+
+def test_found_items_are_those_of_plain_tiling():
+    rng = random.Random(23)
+    words = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(4, 20)))) for k in range(15)]
+    index = decontaminate.BenchmarkIndex([(k, t.encode()) for k, t in items], 3, 0.6)
+    for _ in range(60):
+        text = []
+        for _ in range(4):
+            source = rng.choice(items)[1].split()
+            a = rng.randrange(len(source))
+            text += source[a : a + rng.randint(1, 20)] + [rng.choice(words) for _ in range(rng.randint(0, 3))]
+        want = {}
+        for k, t in items:
+            own = t.split()
+            matched = sum(n for _, _, n in plain_tiles(own, text, 3))
+            if matched >= 0.6 * len(own):
+                want[k] = matched
+        assert {f[0]: f[2] for f in index.find(" ".join(text).encode())} == want
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(10)
     items = [(k, " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(25))) for k in range(12)] + [(50, None), (51, ""), (0, "again the same id")]
@@ -440,6 +590,15 @@ def test_quality(spark, none):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     assert got[500].score == got[501].score
     assert quality.score(none, quality.fit(none, table.limit(0))).count() == 0
+    # four labels of a document count four times, with one text of it, however often its id occurs
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality.BradleyTerry, "fit", lambda self, x, good, bad: seen.append((x, good, bad)) or self)
+        few = spark.createDataFrame([(0, 1), (0, 1), (0, 0), (0, 1), (2, 0), (3, 1), (3, None), (None, 1)], "doc_id long, quality int")
+        quality.fit(docs.unionByName(docs).unionByName(docs), few)
+    x, good, bad = seen[0]
+    ids = [i for i in (0, 2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert (good.tolist(), bad.tolist()) == ([{0: 3, 2: 0, 3: 1}[i] for i in ids], [{0: 1, 2: 1, 3: 0}[i] for i in ids]) and len(x) == len(ids)
     assert {r.score for r in quality.score(docs, quality.fit(docs, table.limit(0))).collect()} == {0.5}
 
 
@@ -478,6 +637,12 @@ def test_neighbours(spark):
         assert found.score.tolist() == sorted(found.score, reverse=True)
         hits += len(set(best) & set(found.vec_id))
     assert got.query_id.nunique() == 150 and hits >= 0.9 * 150 * 20
+    # a query that occurs often is one query; equal vectors tie, and the smaller ids win
+    same = df.where("vec_id < 200").unionByName(df.where("vec_id = 20")).unionByName(df.where("vec_id = 7").crossJoin(spark.range(9000, 9045).select("id")).select(F.col("id").alias("vec_id"), "embedding", "label", "leaf"))
+    many = neighbours.search(same, F.col("vec_id") == 20, k=50, chunk=30).toPandas()
+    assert many["rank"].tolist() == list(range(1, 51)) and many.vec_id.is_unique
+    ties = many[many.score == many[many.vec_id == 7].score.iloc[0]].vec_id.tolist() if (many.vec_id == 7).any() else []
+    assert ties == sorted(ties)
     few = df.where("vec_id < 5")
     assert neighbours.search(few, F.col("vec_id") == 0, k=20).count() == 4
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -512,3 +677,18 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert kept == set(range(60))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, rank string, label string"
+    odd = [(None, None, None, None, None, "a", "b", None), (1, "", "en", "s", 0, "a", "b", "c"), (2, "word " * 30_000, "en", "s", 1, "a", "b", "c"), (2, "word " * 30_000, "en", "s", 1, "a", "b", "c"), (3, "the house and the reed", "en", "s", 1, None, None, None), (None, "the casa is here", None, None, None, None, None, None)]
+    for name, rows in (("none", []), ("odd", odd)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).toPandas()
+        # without labels all documents are good; those whose language isn't known go, of the repeated row one stays
+        assert set(got.doc_id.dropna()) == (set() if name == "none" else {2, 3})
+        assert got[got.doc_id == 2].length.sum() == (0 if name == "none" else got[got.doc_id == 2].doc_tokens.iloc[0])
