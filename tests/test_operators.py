@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.functions import columns as C
-from wellspring.operators import life, merging, metrics, observations, ranking, sampling, spatial, summaries
+from wellspring.operators import life, merging, metrics, models, observations, ranking, sampling, spatial, summaries
 
 
 def rows(df):
@@ -202,3 +202,52 @@ def test_window_flags(spark):
     df = spark.createDataFrame([(i, 1.0, 1.0) for i in range(5)], "k long, latitude double, longitude double")
     flags = lambda limit, layer: {r.truncated for r in summaries.window_query(df, 0, 0, 1, 1, limit, ["k"], layer=layer).collect()}
     assert (flags(5, False), flags(5, True), flags(4, False), flags(6, True)) == ({False}, {True}, {True}, {False})
+
+
+def _labelled(spark):
+    rows = [(i, float(i % 37) / 37, float(i * 7 % 41) / 41, "ab"[i % 2], int((i % 37) / 37 + (i * 7 % 41) / 82 > 0.7), "train" if i % 4 else "test") for i in range(400)]
+    return spark.createDataFrame(rows, "id long, x double, y double, c string, label int, split_group string")
+
+
+def test_models_report_what_their_predictions_give(spark):
+    df = _labelled(spark)
+    model, report = models.evaluate_and_refit(df, "label", ["x", "y"], ["c"])
+    got = report.first()
+    first = models.classifier(df.where("split_group = 'train'"), "label", ["x", "y"], ["c"])
+    scored = [(r.label, r.score) for r in models.predict(first, df.where("split_group = 'test'")).collect()]
+    ones, zeros = [s for y, s in scored if y], [s for y, s in scored if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert got.roc_auc == pytest.approx(auc) and auc > 0.95 and got.n_rows == len(scored)
+    cells = models.score_cells(model, df.select("id", "x", "y", "c")).toPandas()
+    assert cells.score_percentile.tolist() == pytest.approx((cells.score.rank(method="average") / len(cells)).tolist())
+    assert all(t == next(name for least, name in C.PROSPECT_TIERS if p >= (least or 0)) for p, t in zip(cells.score_percentile, cells.prospect_tier, strict=True))
+
+
+def test_trees_learn_and_rank_their_features(spark):
+    df = _labelled(spark).withColumn("value", F.col("x") * 100)
+    model = models.classifier(df, "label", ["x", "y"], [], "trees", 10)
+    names = models.importances(model, ["x", "y"])
+    assert [n for n, _ in names] == ["x", "y"] and names[0][1] > names[1][1] > 0 and sum(v for _, v in names) == pytest.approx(1)
+    right = models.predict(model, df).where("(score >= 0.5) = (label = 1)").count()
+    assert right > 380
+    got = models.predict(models.regressor(df, "value", ["x", "y"], [], trees=20), df, "y_pred", "log1p").toPandas()
+    assert ((got.y_pred - got["value"]).abs() < 12).mean() > 0.9
+
+
+def test_fused_metrics_are_those_of_both_models(spark):
+    df = _labelled(spark).withColumn("v", F.array("y", F.col("x") * F.col("y"))).withColumn("target", F.col("x") * 10 + F.col("y") * 40 + 1)
+    got = {r.features: r for r in models.compare_fused(df, "target", ["x"], [], "v").collect()}
+    assert set(got) == {"tabular", "fused"} and got["fused"].rmse < got["tabular"].rmse and got["fused"].n_rows == 100
+
+
+def test_ridge_probe_is_the_closed_form(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4)) * [1, 2, 3, 4]
+    y = x @ [1.0, -2, 0, 0.5] + rng.normal(size=60) * 3
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, v array<double>, y double")
+    got = models.probe_scores(models.probe(df, "v", "y", "ridge", 5.0), df, "v").orderBy("id").toPandas().score
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    w = np.linalg.solve(z.T @ z + 5 * np.eye(4), z.T @ (y - y.mean()))
+    assert got.tolist() == pytest.approx((y.mean() + z @ w).tolist(), abs=1e-6)

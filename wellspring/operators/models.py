@@ -90,8 +90,12 @@ def probe(df: DataFrame, vector: str, label: str, kind: str = "logistic", alpha:
     """ML-08: a linear probe on scaled vectors: logistic, or ridge with that alpha."""
     rows = df.withColumn("v", array_to_vector(F.col(vector).cast("array<double>")))
     scaler = StandardScaler(inputCol="v", outputCol="features", withMean=True)
-    n = rows.count() or 1
-    model = LogisticRegression(labelCol=label, maxIter=100) if kind == "logistic" else LinearRegression(labelCol=label, regParam=alpha / n, elasticNetParam=0.0, standardization=False)
+    if kind == "logistic":
+        model = LogisticRegression(labelCol=label, maxIter=100)
+    else:
+        # the solver divides the penalty by the label's deviation and the number of rows
+        n, deviation = rows.agg(F.count("*"), F.stddev_pop(label)).first()
+        model = LinearRegression(labelCol=label, regParam=alpha * (deviation or 1.0) / (n or 1), elasticNetParam=0.0, standardization=False, solver="normal")
     return Pipeline(stages=[scaler, model]).fit(rows)
 
 

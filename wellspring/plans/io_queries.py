@@ -207,6 +207,17 @@ def _(t, spark, folder):
     return summaries.layer_counts({n: t(n) for n in ("wells", "scenes", "geology")})
 
 
+_IN_VIEW = "NOT (east < -80.5 OR west > -80 OR north < 39.5 OR south > 40)"
+_VIEW = f"SELECT 'points' AS layer, CAST(k AS BIGINT) AS id, row_number() OVER (ORDER BY k) AS r, count(*) OVER () > 60 AS truncated, 60 AS most FROM {W} w WHERE longitude BETWEEN -80.5 AND -80 AND latitude BETWEEN 39.5 AND 40 UNION ALL SELECT 'scenes', scene_id, row_number() OVER (ORDER BY scene_id), count(*) OVER () > 60, 60 FROM {S} s WHERE {_IN_VIEW} UNION ALL SELECT 'geology', objectid, row_number() OVER (ORDER BY objectid), count(*) OVER () >= 60, 60 FROM (SELECT *, x0 AS west, x1 AS east, y0 AS south, y1 AS north FROM {sql('geology')} g) g WHERE {_IN_VIEW} UNION ALL SELECT 'prospects', k, row_number() OVER (ORDER BY latitude DESC, k), false, 25 FROM {W} w"
+
+
+@q("job13_map_view", f"SELECT layer, CAST(id AS VARCHAR) AS id, CAST(truncated AS VARCHAR) AS truncated FROM ({_VIEW}) v WHERE r <= most")
+def _(t, spark, folder):
+    wells = t("wells").withColumn("id", F.col("k"))
+    geology = t("geology").select(F.col("objectid").alias("id"), F.col("x0").alias("west"), F.col("x1").alias("east"), F.col("y0").alias("south"), F.col("y1").alias("north"))
+    return _out(jobs.map_view(wells, t("scenes").withColumn("id", F.col("scene_id")), {"geology": geology}, wells.select("id", F.col("latitude").alias("score")), (-80.5, 39.5, -80.0, 40.0), 60, 25))
+
+
 def _features(t):
     df = t("wells").withColumn("y", (F.col("latitude") + F.col("longitude") / 3 > 13.3).cast("int"))
     return sampling.split_by_date(df, "spud_date", "1998-06-01")
@@ -243,6 +254,21 @@ def _(t, spark, folder):
     return models.probe_scores(models.probe(e, "embedding", "y"), e, "embedding").select("vec_id", "score")
 
 
+_PROBED = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) + 2 * CAST(embedding[1] AS DOUBLE) AS y FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) >= 3"
+
+
+@q(
+    "ml08_ridge_probe",
+    f"""WITH e AS ({_PROBED}), z AS (SELECT vec_id, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS p, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS q, y, avg(y) OVER () AS m FROM e),
+    s AS (SELECT sum(p * p) + 1 AS pp, sum(q * q) + 1 AS qq, sum(p * q) AS pq, sum(p * (y - m)) AS py, sum(q * (y - m)) AS qy FROM z)
+    SELECT vec_id, round(m + p * (py * qq - qy * pq) / (pp * qq - pq * pq) + q * (qy * pp - py * pq) / (pp * qq - pq * pq), 6) AS score FROM z, s""",
+)
+def _(t, spark, folder):
+    """A ridge probe (alpha 1) on two scaled components; SQL solves its normal equations."""
+    e = t("embeddings").where("size(embedding) >= 3").select("vec_id", F.slice("embedding", 1, 2).alias("v"), (F.get("embedding", F.lit(2)).cast("double") + 2 * F.get("embedding", F.lit(0)).cast("double")).alias("y"))
+    return _out(models.probe_scores(models.probe(e, "v", "y", "ridge", 1.0), e, "v").select("vec_id", "score"))
+
+
 @q("str01_upsert_stream", f"SELECT id, CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM (SELECT id, day, value FROM {sql('catalog_new')} n UNION ALL SELECT id, day, value FROM {sql('catalog_old')} o WHERE id NOT IN (SELECT id FROM {sql('catalog_new')} n)) u")
 def _(t, spark, folder):
     """Old rows come first, fresh ones in a second micro-batch."""

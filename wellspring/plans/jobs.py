@@ -101,6 +101,19 @@ def canonical_tables(wells: DataFrame, permits: DataFrame, production: DataFrame
     return {"wells": clean.where("well_api is not null"), "permits": permits.where("authorization_id is not null"), "production": scoped.where("well_api is not null")}
 
 
+def map_view(points: DataFrame, scenes: DataFrame, layers: dict[str, DataFrame], scored: DataFrame, box: tuple[float, float, float, float], limit: int, top: int) -> DataFrame:
+    """JOB-13: what a map window shows: (layer, id, place, truncated): points inside it, scenes and layers' boxes that touch it, at most
+    `limit` of each by id, and the `top` prospects by score. points, scenes and layers have id; scored has id and score."""
+    found = {"points": summaries.window_query(points, *box, limit, ["id"]), "scenes": summaries.window_query(scenes, *box, limit, ["id"], boxes=True)}
+    found |= {name: summaries.window_query(df, *box, limit, ["id"], boxes=True, layer=True) for name, df in layers.items()}
+    best = scored.orderBy(F.desc("score"), "id").limit(top).withColumn("truncated", F.lit(False))
+    rows = [df.select(F.lit(name).alias("layer"), F.col("id").cast("string").alias("id"), "truncated") for name, df in {**found, "prospects": best}.items()]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def observation_plan(locations: DataFrame, optical: DataFrame, radar: DataFrame, cadence: int, k: int, bins: int) -> tuple[DataFrame, DataFrame]:
     """JOB-10: (plan, coverage): for each location and time bin whether it has optical and radar scenes, with the shortlists; and the summary of each location and year."""
     from ..operators import observations
