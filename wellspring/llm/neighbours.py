@@ -7,11 +7,11 @@ members can add. How many leaves each query visits is calibrated: visits widen u
 queries against brute force reaches `recall`. Queries meet rows by leaf in a grouped join; a leaf's rows are salted into chunks of about `chunk` rows, so that a hot
 leaf is split, and its queries into blocks of about `query_block`; each block meets each chunk, which gives each query its best `k` only.
 
-Nearness is the inner product in double precision; scores are computed on the original vectors. Vectors that are null,
-zero, of another length than most, or hold null or non-finite components take no part.
+Nearness is the inner product in double precision; scores are computed on the original vectors, for the rows that are kept once more by a sum of fixed order,
+so that equal vectors have equal scores. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
 
 Defined results: rows with a null id take no part; of repeated ids each row is a candidate (but none for a query of
-the same id); ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table gives no rows;
+the same id), and the query is the smallest of its vectors; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drawn, materialize
+from .common import drawn, materialize, shuffle_parts
 
 
 def usable(vectors: DataFrame, dims: int | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ class KMeansTree:
                 stack += [(child, rows[near == c]) for c, child in enumerate(children)]
         return out
 
-    def best_leaves(self, q: np.ndarray, most: int, spread: float = 1.0) -> list[int]:
+    def best_leaves(self, q: np.ndarray, most: int, spread: float = 2.0) -> list[int]:
         """Leaves in best-bin-first order, `most` at most."""
         size = float(np.sqrt(q @ q))
         queue, found = [(0.0, self.root)], []
@@ -127,7 +127,7 @@ def calibrate(tree: KMeansTree, x: np.ndarray, ids: np.ndarray, queries: np.ndar
     return min(visits, tree.leaves)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, sample: int = 20000, calibration: int = 200, leaf_size: int = 64, chunk: int = 4096, query_block: int = 32768) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, sample: int = 20000, calibration: int = 200, leaf_size: int = 64, chunk: int = 4096, query_block: int = 32768) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for each row where the column is_query holds."""
     spark = vectors.sparkSession
     sized = usable(vectors).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -165,18 +165,25 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
             q_ids, v_ids = (t.column("vec_id").to_numpy() for t in (left, right))
             order = np.argsort(v_ids, kind="stable")
             v, v_ids = v[order], v_ids[order]
+            # equal vectors are multiplied once, so they tie whatever their places in the block
+            seen: dict[bytes, int] = {}
+            of_row = np.array([seen.setdefault(r.tobytes(), len(seen)) for r in v])
+            single = v[np.unique(of_row, return_index=True)[1]]
             for at in range(0, len(q), 256):
-                scores = np.where(v_ids == q_ids[at : at + 256, None], -np.inf, q[at : at + 256] @ v.T)
+                own = q[at : at + 256]
+                scores = np.where(v_ids == q_ids[at : at + 256, None], -np.inf, (own @ single.T)[:, of_row])
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(scores, best, 1)
-                row, col = np.nonzero(value > -np.inf)
-                found.append([q_ids[at : at + 256][row], v_ids[best[row, col]], value[row, col]])
+                row, col = np.nonzero(np.take_along_axis(scores, best, 1) > -np.inf)
+                near = best[row, col]
+                found.append([q_ids[at : at + 256][row], v_ids[near], np.einsum("ij,ij->i", own[row], v[near])])
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(names, columns, strict=True)))
 
     leaf_schema = "leaf int, vec_id long, embedding array<double>"
     placed = materialize(rows.mapInArrow(place, leaf_schema), "leaves")
-    visited = materialize(rows.where(is_query).repartition("vec_id").mapInArrow(visit, "leaves array<int>, vec_id long, embedding array<double>").withColumn("row", F.monotonically_increasing_id()), "visits")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # by another hash than the groups have, or the repartition would be left out
+    visited = materialize(queries.repartition(shuffle_parts(spark), F.xxhash64("vec_id")).mapInArrow(visit, "leaves array<int>, vec_id long, embedding array<double>").withColumn("row", F.monotonically_increasing_id()), "visits")
     chunks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     blocks = visited.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
     # one row for each leaf, whose number is bounded by the sample
