@@ -98,6 +98,108 @@ def _(t, spark, folder):
     return readers.asset_status(("orders", a, "o_orderpriority"), ("parts", t("part").select("p_brand", F.col("p_name").alias("local_path")), "p_brand"))
 
 
+@q("src07_manifested", "SELECT o_orderkey AS order_key, year(o_orderdate) AS period_id, concat('year ', CAST(year(o_orderdate) AS VARCHAR)) AS label FROM orders")
+def _(t, spark, folder):
+    """A folder of CSV files for each year; the manifest lists them all."""
+    path = scratch(spark, "periods")
+    orders = t("orders").select(F.col("o_orderkey").cast("string").alias("Order Key"), F.year("o_orderdate").alias("year"))
+    years = [r.year for r in orders.select("year").distinct().orderBy("year").collect()]
+    for year in years:
+        orders.where(F.col("year") == year).select("Order Key").write.option("header", True).csv(f"{path}/{year}")
+    found = spark.read.text([f"{path}/{y}" for y in years]).select("_metadata.file_path").distinct().withColumn("parts", F.split("file_path", "/"))
+    year = F.element_at("parts", -2)
+    manifest = found.select(F.concat_ws("/", year, F.element_at("parts", -1)).alias("file"), year.cast("long").alias("period_id"), F.concat(F.lit("year "), year).alias("label"))
+    return readers.read_manifested(spark, manifest, path).select(F.col("order_key").cast("long").alias("order_key"), "period_id", "label")
+
+
+def _digits(c, n: int):
+    """A number as EBCDIC digits, in hex."""
+    return F.regexp_replace(F.lpad(c.cast("string"), n, "0"), "(.)", "F$1")
+
+
+_WHOLE = [f"CAST(floor({c}_quantity) AS BIGINT) AS {n}" for c, n in (("gas", "gas_mcf"), ("oil", "gas_lift_mcf"), ("water", "condensate_bbl"))]
+
+
+@q("src10_mainframe", f"SELECT lpad(CAST(CAST(well_api AS BIGINT) % 13 AS VARCHAR), 2, '0') AS district, lpad(well_api, 6, '0') AS rrc_id, strftime(period_start_date, '%y%m') AS cycle_key, year(period_start_date) AS production_year, month(period_start_date) AS production_month, {', '.join(_WHOLE)} FROM {MO} m")
+def _(t, spark, folder):
+    """A root for each well, a cycle and a production record for each of its months, in records of 102 bytes, the last one a line end."""
+    path, key = scratch(spark, "mainframe"), F.col("well_api").cast("long")
+    months = t("monthly")
+    packed = lambda c: F.concat(F.lpad(F.floor(f"{c}_quantity").cast("long").cast("string"), 9, "0"), F.lit("C"))
+    root = months.select(key.alias("well"), F.lit("").alias("month"), F.lit(0).alias("n"), F.concat(F.lit("F0F1C7"), _digits(key % 13, 2), _digits(key, 6)).alias("hex")).distinct()
+    month = F.date_format("period_start_date", "yyyyMM").alias("month")
+    cycle = months.select(key, month, F.lit(1), F.concat(F.lit("F1F4"), _digits(F.date_format("period_start_date", "yyMM"), 4)))
+    amounts = months.select(key, month, F.lit(2), F.concat(F.lit("F1F5"), packed("gas"), packed("oil"), packed("water")))
+    records = root.union(cycle).union(amounts).repartitionByRange("well").sortWithinPartitions("well", "month", "n")
+    records.select(F.unhex(F.rpad("hex", 202, "40")).cast("string").alias("value")).write.text(path)
+    return _out(readers.mainframe_production(readers.read_mainframe(spark, path)).drop("part", "position"))
+
+
+def _archives(t, path: str) -> None:
+    """A ZIP archive for each region: a table of its nations and a note."""
+
+    def pack(rows):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w") as z:
+            z.writestr("Nation Table.csv", "Nation Key,n name\n" + "".join(f"{k},{n}\n" for k, n in zip(rows.n_nationkey, rows.n_name, strict=True)))
+            z.writestr("note.txt", "note")
+        return pd.DataFrame({"r": [rows.n_regionkey.iloc[0]], "box": [box.getvalue()]})
+
+    boxes = t("nation").select("n_regionkey", "n_nationkey", "n_name").groupBy("n_regionkey").applyInPandas(pack, "r int, box binary")
+    # Spark's text sink writes the bytes as they are, and a line end that no reader of ZIP minds
+    boxes.select(F.col("box").cast("string").alias("value"), "r").repartition("r").write.partitionBy("r").text(path)
+
+
+@q("src11_archive_inventory", "SELECT CAST(n_regionkey AS VARCHAR) AS region, 'Nation Table.csv' AS member, 18 + sum(length(CAST(n_nationkey AS VARCHAR)) + length(n_name) + 2) AS size FROM nation GROUP BY 1 UNION ALL SELECT DISTINCT CAST(n_regionkey AS VARCHAR), 'note.txt', 4 FROM nation")
+def _(t, spark, folder):
+    path = scratch(spark, "archives")
+    _archives(t, path)
+    got = readers.archive_inventory(spark, f"{path}/r=*")
+    return got.select(F.regexp_extract("archive", "r=(\\d+)", 1).alias("region"), "member", "size")
+
+
+@q("src13_reference_tables", "SELECT 'nation_table' AS dataset, CAST(n_nationkey AS VARCHAR) AS nation_key, n_name FROM nation")
+def _(t, spark, folder):
+    path = scratch(spark, "archives")
+    _archives(t, path)
+    tables = readers.archive_tables(spark, f"{path}/r=*", scratch(spark, "members"))
+    return tables["nation_table"].where("nation_key <> 'Nation Key'").select(F.lit("nation_table").alias("dataset"), "nation_key", "n_name")
+
+
+_SCENE_TEXT = "CAST(scene_id AS VARCHAR)"
+
+
+@q("src14_raster_assets", f"SELECT concat('source ', CAST(scene_id % 20 AS VARCHAR)) AS source_id, {_SCENE_TEXT} AS scene_id, collection, cloud_cover, CASE WHEN scene_id % 3 = 0 THEN NULL ELSE CAST(scene_id * 10 AS DOUBLE) END AS file_size_bytes, round(west, 6) AS bbox_west, '2024-05-01' AS checked_at_utc FROM {S} s")
+def _(t, spark, folder):
+    path = scratch(spark, "manifests")
+    size = F.when(F.col("scene_id") % 3 == 0, "unknown").otherwise((F.col("scene_id") * 10).cast("string"))
+    item = F.struct(F.col("scene_id").cast("string").alias("scene_id"), "collection", F.col("cloud_cover").cast("string").alias("cloud_cover"), size.alias("file_size_bytes"), F.col("west").cast("string").alias("bbox_west"))
+    t("scenes").groupBy(F.concat(F.lit("source "), (F.col("scene_id") % 20).cast("string")).alias("source_id")).agg(F.collect_list(item).alias("downloads")).withColumn("checked_at_utc", F.lit("2024-05-01")).write.json(path)
+    return _out(readers.raster_assets(readers.read_raster_manifests(spark, path)).select("source_id", "scene_id", "collection", "cloud_cover", "file_size_bytes", "bbox_west", "checked_at_utc"))
+
+
+@q("src14_raster_composites", f"SELECT concat('source ', CAST(g % 5 AS VARCHAR)) AS source_id, concat('c', CAST(g AS VARCHAR)) AS composite_id, string_agg({_SCENE_TEXT}, ';' ORDER BY scene_id) AS scene_ids, CAST(count(*) AS DOUBLE) AS scene_count FROM (SELECT *, grid_code % 200 AS g FROM {S} s) x GROUP BY g")
+def _(t, spark, folder):
+    path = scratch(spark, "manifests")
+    g = t("scenes").groupBy((F.col("grid_code") % 200).alias("g")).agg(F.transform(F.array_sort(F.collect_list("scene_id")), lambda x: x.cast("string")).alias("scene_ids"), F.count("*").cast("string").alias("scene_count"))
+    item = F.struct(F.concat(F.lit("c"), F.col("g").cast("string")).alias("composite_id"), "scene_ids", "scene_count")
+    g.groupBy(F.concat(F.lit("source "), (F.col("g") % 5).cast("string")).alias("source_id")).agg(F.collect_list(item).alias("composites")).write.json(path)
+    return readers.raster_composites(readers.read_raster_manifests(spark, path)).select("source_id", "composite_id", "scene_ids", "scene_count")
+
+
+@q("src14_order_drafts", "SELECT concat('draft ', CAST(o_custkey AS VARCHAR)) AS draft_name, 'scenes' AS source_type, min(o_orderstatus) AS item_type, count(*) AS item_count FROM orders GROUP BY o_custkey")
+def _(t, spark, folder):
+    path = scratch(spark, "drafts")
+    product = F.struct(F.min("o_orderstatus").alias("item_type"), F.collect_list(F.col("o_orderkey").cast("string")).alias("item_ids"))
+    t("orders").groupBy("o_custkey").agg(product.alias("p")).select(F.concat(F.lit("draft "), F.col("o_custkey").cast("string")).alias("name"), F.lit("scenes").alias("source_type"), F.array("p").alias("products")).write.json(path)
+    return _out(readers.order_drafts(spark, path).select("draft_name", "source_type", "item_type", "item_count"))
+
+
 @q("snk03_cell_features", f"SELECT CAST(objectid AS BIGINT) AS objectid, 'Polygon' AS kind, round(x0, 5) AS west, round(y1, 5) AS north, CAST(5 AS BIGINT) AS corners FROM {sql('geology')} g")
 def _(t, spark, folder):
     cells = t("geology").select(F.col("x0").alias("min_lon"), F.col("y0").alias("min_lat"), F.col("x1").alias("max_lon"), F.col("y1").alias("max_lat"), "objectid")

@@ -58,10 +58,10 @@ def polygon_bbox(coordinates: Column) -> dict[str, Column]:
 
 
 def read_manifested(spark: SparkSession, manifest: DataFrame, path: str, reader=read_raw_csv) -> DataFrame:
-    """SRC-07: all files of a manifest (file, period_id, label) in one scan, each row with its file's period and label. The manifest has a row for each file and is broadcast."""
+    """SRC-07: all files of a manifest (file, in folders or not, period_id, label) in one scan, each row with its file's period and label. File names differ; the manifest has a row for each file and is broadcast."""
     names = [r.file for r in manifest.select("file").distinct().orderBy("file").collect()]
     rows = reader(spark, [f"{path}/{n}" for n in names]).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    return rows.join(F.broadcast(manifest), "file")
+    return rows.join(F.broadcast(manifest.withColumn("file", F.element_at(F.split("file", "/"), -1))), "file")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -173,3 +173,36 @@ def asset_status(*manifests: tuple[str, DataFrame, str]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
+
+
+#: Fields of a downloaded asset and of a composite in a raster manifest, in order; those in MEASURES are numbers.
+ASSET_FIELDS = ("collection", "scene_id", "grid_code", "datetime", "cloud_cover", "platform", "asset_kind", "asset_role", "status", "href", "local_path", "file_size_bytes", "image_width", "image_height", "bbox_west", "bbox_south", "bbox_east", "bbox_north")
+COMPOSITE_FIELDS = ("composite_id", "collection", "composite_kind", "rendering_method", "scene_count", "scene_ids", "image_path", "image_width", "image_height", "bbox_west", "bbox_south", "bbox_east", "bbox_north", "generated_at_utc")
+MEASURES = ("cloud_cover", "scene_count", "file_size_bytes", "image_width", "image_height", "bbox_west", "bbox_south", "bbox_east", "bbox_north")
+
+
+def read_raster_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-14: one row for each JSON manifest: source_id, checked_at_utc, downloads and composites; every inner field as text, so that no bad value spoils a manifest."""
+    inner = lambda names: ", ".join(f"{n}: {'array<string>' if n == 'scene_ids' else 'string'}" for n in names)
+    return spark.read.schema(f"source_id string, checked_at_utc string, downloads array<struct<{inner(ASSET_FIELDS)}>>, composites array<struct<{inner(COMPOSITE_FIELDS)}>>").json(path)
+
+
+def _typed(item: str, names: tuple[str, ...]) -> list[Column]:
+    return [(F.col(f"{item}.{n}").try_cast("double") if n in MEASURES else F.array_join(F.coalesce(F.col(f"{item}.{n}"), F.array().cast("array<string>")), ";") if n == "scene_ids" else F.col(f"{item}.{n}")).alias(n) for n in names]
+
+
+def raster_assets(manifests: DataFrame) -> DataFrame:
+    """SRC-14: one row for each downloaded asset; numbers that aren't are null."""
+    return manifests.select("source_id", "checked_at_utc", F.explode("downloads").alias("a")).select("source_id", *_typed("a", ASSET_FIELDS), "checked_at_utc")
+
+
+def raster_composites(manifests: DataFrame) -> DataFrame:
+    """SRC-14: one row for each composite, its scene ids joined by ';'."""
+    return manifests.select("source_id", F.explode("composites").alias("c")).select("source_id", *_typed("c", COMPOSITE_FIELDS))
+
+
+def order_drafts(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-14: one row for each JSON order draft: name, types, the first product's item type and bundle, and how many items it has."""
+    drafts = spark.read.schema("name string, source_type string, order_type string, products array<struct<item_type: string, product_bundle: string, item_ids: array<string>>>").json(path)
+    product = F.get("products", F.lit(0))
+    return drafts.select(F.col("name").alias("draft_name"), "source_type", "order_type", product["item_type"].alias("item_type"), product["product_bundle"].alias("product_bundle"), F.coalesce(F.size(product["item_ids"]), F.lit(0)).alias("item_count"))
