@@ -11,6 +11,7 @@ from ..sources.scratch import scratch
 from ..streaming import refresh
 from . import jobs
 from .core_queries import _AGG02, _PRORATED, _SINCE, _TILES, _WINDOWS, MO, P, S, W, _frac, _hav, _out, _polygons
+from .core_queries import SQL as CORE
 from .fixtures import load, sql
 
 QUERIES: dict = {}
@@ -231,31 +232,50 @@ _TRAINABLE = "(w.well_status IN ('Active','Plugged OG Well','Abandoned') OR y.we
 _AT = f"SELECT w.*, coalesce(CASE WHEN w.spud_date >= DATE '1950-01-01' THEN w.spud_date END, x.d) AS at FROM {W} w LEFT JOIN (SELECT well_api, min(permit_issued_date) AS d FROM {P} p GROUP BY 1) x ON w.well_api = x.well_api"
 
 
+_BASIN = "county_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 4 = 0)"
+_SCOPED = f"(SELECT * FROM ({_AT}) s WHERE unconventional AND {_BASIN})"
+
+
 def _neighbours(source: str, date: str, condition: str = "", value: str = "NULL") -> str:
     """Rows of a table before each well's context date: km and value."""
-    return f"SELECT a.well_api, {_hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km, {value} AS v FROM ({_AT}) a JOIN {source} b ON abs(a.latitude - b.latitude) < 0.2 AND b.{date} < a.at {condition}"
+    return f"SELECT a.well_api, {_hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km, {value} AS v FROM {_SCOPED} a JOIN {source} b ON abs(a.latitude - b.latitude) < 0.2 AND b.{date} < a.at {condition}"
 
 
 _COUNTS = "round(min(km) FILTER (WHERE km <= 20), 6) AS nearest, count(*) FILTER (WHERE km <= 2) AS n2, count(*) FILTER (WHERE km <= 5) AS n5"
+# faults: a line for each region; a degree is taken as 85 and 111 km
+SQL_FOCAL = CORE["win09_focal"]
+_FAULTS = f"""SELECT well_api, round(min(m) FILTER (WHERE m <= 30000) / 1000, 6) AS fault_km FROM (SELECT well_api, sqrt(power(x - (x1 + t * (x2 - x1)), 2) + power(y - (y1 + t * (y2 - y1)), 2)) AS m FROM (
+SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM (SELECT well_api, longitude * 85000.0::DOUBLE AS x, latitude * 111000.0::DOUBLE AS y FROM {W} w) p,
+(SELECT (-81 + r_regionkey * 0.4::DOUBLE) * 85000.0::DOUBLE AS x1, 39 * 111000.0::DOUBLE AS y1, (-80.7::DOUBLE + r_regionkey * 0.4::DOUBLE) * 85000.0::DOUBLE AS x2, 40.5::DOUBLE * 111000.0::DOUBLE AS y2 FROM region) s) u) v GROUP BY 1"""
 _V1 = f"""SELECT w.well_api, CAST(w.at AS VARCHAR) AS context_date, coalesce(permit_count, 0) AS permit_count, CAST({_TRAINABLE} AND w.well_status NOT IN ('Duplicate','Proposed But Never Materialized') AS VARCHAR) AS trainable_v1,
 CAST(coalesce(y.well_api IS NOT NULL AND date_diff('day', w.spud_date, observed_first_prod_date) BETWEEN 0 AND 180 AND observed_rows >= 10, false) AS VARCHAR) AS label_f12_like_available,
-b.nearest AS well_nearest_km, coalesce(b.n2, 0) AS well_count_2km, coalesce(b.n5, 0) AS well_count_5km, c.nearest AS permit_nearest_km, coalesce(c.n2, 0) AS permit_count_2km, coalesce(c.n5, 0) AS permit_count_5km
+b.nearest AS well_nearest_km, coalesce(b.n2, 0) AS well_count_2km, coalesce(b.n5, 0) AS well_count_5km, c.nearest AS permit_nearest_km, coalesce(c.n2, 0) AS permit_count_2km, coalesce(c.n5, 0) AS permit_count_5km, h.elevation, h.slope_deg, h.relief, l.fault_km
 FROM ({_AT}) w LEFT JOIN (SELECT well_api, count(*) AS permit_count FROM {P} p GROUP BY 1) x ON w.well_api = x.well_api LEFT JOIN ({_AGG02}) y ON w.well_api = y.well_api
-LEFT JOIN (SELECT well_api, {_COUNTS} FROM ({_neighbours(W, 'spud_date')}) n WHERE km <= 20 GROUP BY 1) b ON w.well_api = b.well_api LEFT JOIN (SELECT well_api, {_COUNTS} FROM ({_neighbours(P, 'permit_issued_date')}) n WHERE km <= 20 GROUP BY 1) c ON w.well_api = c.well_api"""
-_MATURE = f"(SELECT w.latitude, w.longitude, CAST(l.first_prod_date AS DATE) AS first_prod_date, l.f12_gas FROM ({_PRORATED}) l JOIN {W} w ON w.well_api = l.well_api WHERE label_f12_available = 'true')"
+LEFT JOIN ({SQL_FOCAL}) h ON h.r = CAST(floor((41 - w.latitude) / 0.1::DOUBLE) AS BIGINT) AND h.c = CAST(floor((w.longitude + 81) / 0.1::DOUBLE) AS BIGINT) LEFT JOIN ({_FAULTS}) l ON w.well_api = l.well_api
+LEFT JOIN (SELECT well_api, {_COUNTS} FROM ({_neighbours(_SCOPED, 'at')}) n WHERE km <= 20 GROUP BY 1) b ON w.well_api = b.well_api LEFT JOIN (SELECT well_api, {_COUNTS} FROM ({_neighbours(f'(SELECT * FROM {P} p WHERE {_BASIN})', 'permit_issued_date')}) n WHERE km <= 20 GROUP BY 1) c ON w.well_api = c.well_api
+WHERE w.unconventional AND w.{_BASIN}"""
+_MATURE = f"(SELECT w.latitude, w.longitude, CAST(l.first_prod_date AS DATE) AS first_prod_date, l.f12_gas FROM ({_PRORATED}) l JOIN {_SCOPED} w ON w.well_api = l.well_api WHERE label_f12_available = 'true')"
 _V2 = f"""SELECT v.*, l.first_prod_date, l.f12_gas, l.label_f12_available, round(m.nearest, 6) AS mature_nearest_km, coalesce(m.n5, 0) AS mature_count_5km, round(m.m5, 6) AS mature_median_5km, round(m.q10, 6) AS mature_p90_10km
 FROM ({_V1}) v JOIN ({_PRORATED}) l ON v.well_api = l.well_api LEFT JOIN (SELECT well_api, min(km) AS nearest, count(*) FILTER (WHERE km <= 5) AS n5, quantile_cont(v, 0.5) FILTER (WHERE km <= 5) AS m5, quantile_cont(v, 0.9) FILTER (WHERE km <= 10) AS q10 FROM ({_neighbours(_MATURE, 'first_prod_date', value='b.f12_gas')}) n WHERE km <= 10 GROUP BY 1) m ON v.well_api = m.well_api"""
-_V1_COLUMNS = ("well_api", "context_date", "permit_count", "trainable_v1", "label_f12_like_available", "well_nearest_km", "well_count_2km", "well_count_5km", "permit_nearest_km", "permit_count_2km", "permit_count_5km")
+_V1_COLUMNS = ("well_api", "context_date", "permit_count", "trainable_v1", "label_f12_like_available", "well_nearest_km", "well_count_2km", "well_count_5km", "permit_nearest_km", "permit_count_2km", "permit_count_5km", "elevation", "slope_deg", "relief", "fault_km")
+
+
+def _places(t) -> dict:
+    """Basin, terrain and faults of the training tables."""
+    tiles = t("dem").groupBy("tile").agg(F.lit(-81.0).alias("west"), F.lit(41.0).alias("north"), F.lit(0.1).alias("step_x"), F.lit(0.1).alias("step_y"), (F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"))
+    faults = t("region").select(((F.lit(-81.0) + F.col("r_regionkey") * 0.4) * 85000).alias("x1"), F.lit(39 * 111000.0).alias("y1"), ((F.lit(-80.7) + F.col("r_regionkey") * 0.4) * 85000).alias("x2"), F.lit(40.5 * 111000).alias("y2"))
+    counties = [r[0] for r in t("nation").where("n_nationkey % 4 <> 0").select(F.upper("n_name")).collect()]
+    return {"counties": counties, "terrain": (tiles, t("dem"), 30.0, 30.0), "faults": (faults, F.col("longitude") * 85000, F.col("latitude") * 111000, 30000.0)}
 
 
 @q("job03_training_table_v1", _V1)
 def _(t, spark, folder):
-    return _out(jobs.training_table_v1(t("wells"), t("permits"), t("production"), _polygons(t), ["map_symbol"]).select(*_V1_COLUMNS))
+    return _out(jobs.training_table_v1(t("wells"), t("permits"), t("production"), _polygons(t), ["map_symbol"], **_places(t)).select(*_V1_COLUMNS))
 
 
 @q("job04_training_table_v2", _V2)
 def _(t, spark, folder):
-    got = jobs.training_table_v2(t("wells"), t("permits"), t("production"), _polygons(t), ["map_symbol"])
+    got = jobs.training_table_v2(t("wells"), t("permits"), t("production"), _polygons(t), ["map_symbol"], **_places(t))
     return _out(got.select(*_V1_COLUMNS, "first_prod_date", "f12_gas", "label_f12_available", "mature_nearest_km", "mature_count_5km", "mature_median_5km", "mature_p90_10km"))
 
 

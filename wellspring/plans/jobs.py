@@ -22,23 +22,45 @@ def training_table_v0(wells: DataFrame, permits: DataFrame, production: DataFram
     return table.withColumns({n: F.when(F.col("trainable_v0"), c) for n, c in labels.items()})
 
 
-def training_table_v1(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str]) -> DataFrame:
-    """JOB-03: v0 with as-of neighbour features, the newer trainable rule, and whether the label is like a first year's: first
-    production 0 to 180 days after spud and at least 10 records."""
-    table = training_table_v0(wells, permits, production, geology, attributes)
+def basin_scope(wells: DataFrame, counties: list[str]) -> DataFrame:
+    """FLT-01: unconventional wells with a place in the basin's counties (upper case)."""
+    return wells.where(F.col("unconventional") & F.upper(F.trim("county_name")).isin(*counties) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+
+
+def place_features(wells: DataFrame, terrain: tuple | None, faults: tuple | None) -> DataFrame:
+    """well_api with elevation, slope_deg and relief of the raster cell under it (WIN-09, WIN-10), and fault_km (JN-14).
+    terrain: (tiles, heights, cell width and height in metres); faults: (segments, x and y of a well in their projection, cap in metres)."""
+    out = wells.select("well_api")
+    if terrain:
+        tiles, heights, dx, dy = terrain
+        out = out.join(spatial.raster_at(wells, tiles, spatial.focal_stats(heights, dx, dy), "well_api", ["elevation", "slope_deg", "relief"]), "well_api", "left").drop("tile", "r", "c")
+    if faults:
+        segments, x, y, cap = faults
+        out = out.join(spatial.nearest_line_km(wells.select("well_api", x.alias("x"), y.alias("y")), segments, "well_api", cap).withColumnRenamed("line_km", "fault_km"), "well_api", "left")
+    return out
+
+
+def training_table_v1(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str], counties: list[str] | None = None, terrain: tuple | None = None, faults: tuple | None = None) -> DataFrame:
+    """JOB-03: v0 of the basin's wells and permits with terrain, fault distance and as-of neighbour features among them, the newer trainable rule,
+    and whether the label is like a first year's: first production 0 to 180 days after spud and at least 10 records."""
+    scope = basin_scope(wells, counties) if counties else wells
+    permits = permits.where(F.upper(F.trim("county_name")).isin(*counties)) if counties else permits
+    table = training_table_v0(scope, permits, production, geology, attributes)
     dated = table.withColumn("context_date", C.context_date(C.credible_spud(F.col("spud_date")), F.col("first_permit_issued_date")))
     targets = dated.select("well_api", "latitude", "longitude", F.col("context_date").alias("at"))
-    near_wells = spatial.neighbour_stats(targets, wells.select("latitude", "longitude", "spud_date"), "well_api", [2, 5], 20, ("at", "spud_date"))
+    near_wells = spatial.neighbour_stats(targets, targets.select("latitude", "longitude", F.col("at").alias("since")), "well_api", [2, 5], 20, ("at", "since"))
     near_permits = spatial.neighbour_stats(targets, permits.select("latitude", "longitude", "permit_issued_date"), "well_api", [2, 5], 20, ("at", "permit_issued_date"))
     near_wells, near_permits = (df.withColumnsRenamed({c: f"{kind}_{c}" for c in df.columns if c != "well_api"}) for kind, df in (("well", near_wells), ("permit", near_permits)))
     gap = F.datediff("observed_first_prod_date", "spud_date")
     like = F.coalesce(F.col("has_production") & gap.between(0, 180) & (F.col("observed_rows") >= 10), F.lit(False))
-    return dated.join(near_wells, "well_api", "left").join(near_permits, "well_api", "left").withColumn("label_f12_like_available", like)
+    out = dated.join(place_features(scope, terrain, faults), "well_api", "left") if terrain or faults else dated
+    return out.join(near_wells, "well_api", "left").join(near_permits, "well_api", "left").withColumn("label_f12_like_available", like)
 
 
-def training_table_v2(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str]) -> DataFrame:
-    """JOB-04: v1 with true first-life labels and the value of mature neighbours, those whose first year is known and began before."""
-    table = training_table_v1(wells, permits, production, geology, attributes)
+def training_table_v2(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str], **v1) -> DataFrame:
+    """JOB-04: v1 (with its options) and true first-life labels and the value of mature neighbours, those whose first year is known and began before."""
+    table = training_table_v1(wells, permits, production, geology, attributes, **v1)
+    wells = basin_scope(wells, v1["counties"]) if v1.get("counties") else wells
     labels = life.day_prorated_labels(wells, production)
     mature = wells.select("well_api", "latitude", "longitude").join(labels.where("label_f12_available").select("well_api", F.col("first_prod_date").alias("mature_date"), "f12_gas"), "well_api")
     targets = table.select("well_api", "latitude", "longitude", F.col("context_date").alias("at"))
