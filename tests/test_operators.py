@@ -53,6 +53,17 @@ def test_radius_join_equals_brute_force(spark, lat0, lon0, spread):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_raster_values_by_cell(spark):
+    tiles = spark.createDataFrame([("a", -81.0, 41.0, 0.5, 0.5, 4, 4), ("b", -80.0, 41.0, 0.5, 0.5, 4, 4)], "tile string, west double, north double, step_x double, step_y double, n_rows int, n_cols int")
+    raster = spark.createDataFrame([(t, r, c, float(10 * r + c + (100 if t == "b" else 0))) for t in "ab" for r in range(4) for c in range(4)], "tile string, r long, c long, z double")
+    points = spark.createDataFrame([(1, 40.9, -80.9), (2, 40.9, -79.9), (3, 40.1, -78.6), (4, 50.0, 0.0), (5, 41.0, -81.0), (6, None, None)], "k long, latitude double, longitude double")
+    got = spatial.raster_at(points, tiles, raster, "k", ["z"])
+    # where tiles overlap the first by name counts
+    assert {r.k: r.z for r in got.collect()} == {1: 0.0, 2: 2.0, 3: 112.0, 4: None, 5: 0.0, 6: None}
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_nearest_is_unbounded_and_breaks_ties(spark):
     targets = spark.createDataFrame([(1, 40.0, -80.0), (2, -30.0, 120.0), (3, None, 5.0)], "k long, latitude double, longitude double")
     sources = spark.createDataFrame([(7, 40.0, -79.9, "b"), (6, 40.0, -80.1, "a"), (8, 10.0, 10.0, "c")], "s long, latitude double, longitude double, name string")
