@@ -303,6 +303,20 @@ def _(t, spark, folder):
     return _out(jobs.prospect_cells(t("wells"), _polygons(t), ["map_symbol"], 0.05, "k").select("cell_id", "score", "score_percentile", "prospect_tier"))
 
 
+_EXTENT = f"SELECT concat(CAST(cx AS VARCHAR), '_', CAST(cy AS VARCHAR)) AS cell_id, (cx + 0.5) * 0.05::DOUBLE AS longitude, (cy + 0.5) * 0.05::DOUBLE AS latitude FROM (SELECT unnest(range(CAST(floor(min(longitude) / 0.05::DOUBLE) AS BIGINT), CAST(ceil(max(longitude) / 0.05::DOUBLE) AS BIGINT))) AS cx FROM {W} w) a, (SELECT unnest(range(CAST(floor(min(latitude) / 0.05::DOUBLE) AS BIGINT), CAST(ceil(max(latitude) / 0.05::DOUBLE) AS BIGINT))) AS cy FROM {W} w) b"
+
+
+@q("job06_prospect_surface", f"""WITH n AS (SELECT cell_id, well_api, county_name, {_hav('c.latitude', 'c.longitude', 'w.latitude', 'w.longitude')} AS km FROM ({_EXTENT}) c JOIN {W} w ON abs(c.latitude - w.latitude) < 0.1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY km, well_api) AS r FROM n WHERE km <= 4) x WHERE r = 1),
+g AS (SELECT c.cell_id, min(g.objectid) AS objectid FROM ({_EXTENT}) c JOIN {sql('geology')} g ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1 AND NOT (objectid % 3 = 0 AND longitude > x0 + 0.1 AND longitude < x0 + 0.3 AND latitude > y0 + 0.1 AND latitude < y0 + 0.3) GROUP BY 1),
+s AS (SELECT b.*, g.objectid, coalesce(g.objectid, 0) - km AS score FROM b LEFT JOIN g ON b.cell_id = g.cell_id), p AS (SELECT *, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / count(*) OVER () AS pct FROM s)
+SELECT cell_id, well_api AS nearest_well_api, county_name, round(km, 6) AS nearest_well_distance_km, CAST(objectid AS BIGINT) AS objectid, round(pct, 6) AS score_percentile, CASE WHEN pct >= 0.9 THEN 'very_high' WHEN pct >= 0.7 THEN 'high' WHEN pct >= 0.4 THEN 'medium' ELSE 'background' END AS prospect_tier FROM p""")
+def _(t, spark, folder):
+    """Scored by geology and nearness, for want of a model that SQL can repeat."""
+    got = jobs.prospect_surface(t("wells"), _polygons(t), ["map_symbol"], 0.05, 4.0, F.coalesce("objectid", F.lit(0)) - F.col("nearest_well_distance_km"))
+    return _out(got.select("cell_id", "nearest_well_api", "county_name", "nearest_well_distance_km", "objectid", "score_percentile", "prospect_tier"))
+
+
 def _unified(t):
     w = t("wells").withColumn("context_date", F.col("spud_date")).withColumn("f12_gas", F.col("k") * 1.0).withColumn("label_f12_available", F.col("k") % 4 != 0)
     return jobs.unified_table({"a": (w.where("unconventional"), {}, {"state": "PA"}), "b": (w.where("not unconventional"), {}, {"state": "WV"}), "c": (None, {}, {})})[0]

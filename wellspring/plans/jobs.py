@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -90,6 +90,20 @@ def prospect_cells(wells: DataFrame, geology: DataFrame, attributes: list[str],
     return scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
 
 
+def prospect_surface(wells: DataFrame, geology: DataFrame, attributes: list[str], step: float, most_km: float, score: Column) -> DataFrame:
+    """JOB-06, the surface over the wells' extent: grid cells with a well within `most_km`, the nearest well's place and distance (ties to the
+    smaller well_api), geology, and score, percentile and tier; `score` is an expression of these columns."""
+    from ..operators.ranking import average_rank_percentile
+
+    cells = summaries.degree_grid(wells, step, 0.0).select(F.concat_ws("_", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("cell_id"), ((F.col("cx") + 0.5) * step).alias("longitude"), ((F.col("cy") + 0.5) * step).alias("latitude"))
+    found = spatial.within(cells, wells, "cell_id", most_km, ["well_api", "county_name"])
+    best = found.groupBy("cell_id").agg(F.min_by(F.struct("s_well_api", "s_county_name", "km"), F.struct("km", "s_well_api")).alias("b"))
+    near = best.select("cell_id", F.col("b.s_well_api").alias("nearest_well_api"), F.col("b.s_county_name").alias("county_name"), F.col("b.km").alias("nearest_well_distance_km"))
+    table = cells.join(near, "cell_id").join(spatial.points_in_polygons(cells, geology, "cell_id", "objectid", attributes), "cell_id", "left")
+    scored = average_rank_percentile(table.withColumn("score", score), "score", "score_percentile")
+    return scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
+
+
 def unified_table(regions: dict[str, tuple[DataFrame | None, dict[str, str], dict[str, str]]]) -> tuple[DataFrame, list[str]]:
     """JOB-07: region -> (table, renames, constants), aligned and united; regions without a table are named."""
     return merging.union_regions({r: merging.align(df, renames, region_id=r, **constants) if df is not None else None for r, (df, renames, constants) in regions.items()})
