@@ -5,17 +5,18 @@ bytes that follow the byte before, so a symbol takes about 3.5 binary prediction
 word so far) has a hashed table of bit counts: a slot is picked by a hash of the context and the
 code's inner node. A slot's prediction is the log-odds of its counts, and how often it was seen is its level. The
 predictions are mixed in the logistic domain with weights that are gated by the levels of the contexts. The mix is refined by an adaptive probability map of (gate, mixed log-odds). While a text is scored, its own
-scale of the mixed log-odds, gated weights, biases and map are learned online: after every stride of 128 bytes they move along the coding loss's gradient (the map by its counts), so
+gated weights, biases and map are learned online: after every stride of 128 bytes they move along the coding loss's gradient (the map by its counts), so
 each stride is predicted from what stood before it only. bits = minus the sum of log2 of the bits' probabilities.
 
 What is learned where. Byte and bit counts cover all training documents: each task counts its own, the slices of the
 tables are added up by shuffles. The tables have the size of `ORDERS`, doubled with the training bytes up to `GROWN` times (they are
-broadcast). Gated weights and the probability map are fitted on all training documents of any length, each seen with its own counts taken
-out of the tables: tasks count (gate, cell of each context's log-odds, bit), and from these counts each gate's weights are
-fitted by Newton's method.
+broadcast). Gated weights and the probability map are fitted on every bit of all training documents, of any length, in the same pass: a
+task predicts each stretch of its texts from what it counted before, then counts it, and adds up (gate, cell of each
+context's log-odds, bit). From these sums each gate's weights are fitted by Newton's method. So bit counts don't depend on how the input is
+parted, weights do a little: a small task meets more contexts that it doesn't know, which are other gates.
 
 Base. Token counts are exact: each task numbers the distinct tokens of a block of documents (about `block_bytes` of
-text), (block, token hash, count) rows meet by 64-bit hash in one window, and each block's totals return to its
+text), (block, token hash, count) rows are added up by 64-bit hash, and each block's totals return to its
 documents. The rows grow with the blocks' distinct tokens, not with all tokens.
 
 Defined results: null or empty text has the end only; repeated rows are scored each (and count each in training); a
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, crc_mod, documents, materialize, pieces, texts_of
@@ -42,7 +43,10 @@ from .common import LOWER, crc_mod, documents, materialize, pieces, texts_of
 ORDERS = {3: 20, 5: 21, "word": 22}
 #: Each doubling of FULL adds a bit to each order, GROWN at most.
 FULL, GROWN = 1 << 27, 2
-END, SLICE, PAD = 256, 1 << 17, 8
+#: Nodes of a path whose slots are neighbours: 2 ** NEAR slots are one line of memory.
+NEAR = 3
+#: Symbol of a text's end; numbers of a table in one row; bytes before a place that its contexts can reach, and of a word.
+END, SLICE, PAD, WORD = 256, 1 << 17, 24, 16
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD6E8FEB86659FD93
 _LOWERED = np.frombuffer(LOWER, np.uint8)
@@ -83,13 +87,17 @@ class Code:
     def __init__(self, counts: np.ndarray) -> None:
         grown = min(GROWN, max(0, int(counts.sum()) // FULL).bit_length())
         self.orders = {order: width + grown for order, width in ORDERS.items()}
-        scatter = np.random.default_rng(7).integers(0, 1 << max(self.orders.values()), (256, 256))
+        scatter = (np.random.default_rng(7).integers(0, 1 << (min(ORDERS.values()) - NEAR), (256, 256)) << NEAR).tolist()
         steps, length = [], []
         for before in range(256):
-            own = scatter[before].tolist()
             for path in _huffman(counts[before].tolist()):
                 length.append(len(path))
-                steps += [own[node] << 1 | bit for node, bit in path]
+                for depth, (node, bit) in enumerate(path):
+                    # NEAR nodes on a path lie beside each other in the tables, so a symbol takes few lines of memory
+                    if depth % NEAR == 0:
+                        base, place = scatter[before][node] if depth else 0, 1
+                    steps.append((base | place) << 1 | bit)
+                    place = place * 2 + bit
         self.length, self.steps = np.array(length), np.array(steps)
         self.start = np.cumsum(self.length) - self.length
 
@@ -103,7 +111,7 @@ def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buffer, first, first + sizes
 
 
-#: Base -> its powers, as many as any buffer of this worker needed.
+#: Base -> its powers, as many as any stretch of this worker needed; stretches are short.
 _KNOWN_POWERS: dict[int, np.ndarray] = {}
 
 
@@ -116,28 +124,29 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def contexts(code: Code, buffer: np.ndarray) -> list[np.ndarray]:
-    """For each context the hash (bits of a slot's number) before every place of the buffer."""
+    """For each context the hash (bits of a slot's number) before every place of the buffer; good from PAD bytes after its begin on."""
     n = len(buffer)
-    history, out, done = np.zeros(n, np.uint64), [], 0
+    led = np.concatenate([np.zeros(8, np.uint8), buffer])
+    history = np.ndarray((n,), "<u8", led.data, 0, (1,)).copy()  # the 8 bytes before each place, the last one highest
     place = np.arange(n)
-    low = _LOWERED[buffer]
     # rolling hashes of word parts: sums of byte times power, shifted back to the part's start
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, n), dtype=np.uint64)])
-    back = _powers(pow(_STEP, -1, 1 << 64), n + 1)
-    gap = np.maximum.accumulate(np.where(buffer <= 32, place, 0))
-    gap = np.concatenate([[0], gap])[:n]  # the last white space before each place
-    start = np.minimum(gap + 1, place)
-    word = (sums[place] - sums[start]) * back[start] + np.uint64(77)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((_LOWERED[buffer].astype(np.uint64) + np.uint64(1)) * _powers(_STEP, n), out=sums[1:])
+    start = np.zeros(n, np.int64)  # behind the last white space before each place
+    np.maximum.accumulate(np.where(buffer[:-1] <= 32, place[1:], 0), out=start[1:])
+    np.maximum(start, place - WORD, out=start)
+    word = sums[:-1]
+    word -= word[start]
+    word *= _powers(pow(_STEP, -1, 1 << 64), n)[start]
+    word += np.uint64(77)
+    out = []
     for order, width in code.orders.items():
-        if order == "word":
-            value = word
-        else:
-            for j in range(done, order):
-                history[j + 1 :] |= buffer[: n - j - 1].astype(np.uint64) << np.uint64(8 * j)
-            done, value = order, history + np.uint64(order)
-        mixed = value * _MULTIPLY
-        mixed ^= mixed >> np.uint64(31)
-        out.append(((mixed * _MULTIPLY) >> np.uint64(64 - width)).astype(np.int64))
+        value = word if order == "word" else (history >> np.uint64(64 - 8 * order)) + np.uint64(order)
+        value *= _MULTIPLY
+        value ^= value >> np.uint64(31)
+        value *= _MULTIPLY
+        value >>= np.uint64(64 - width)
+        out.append(value.view(np.int64))
     return out
 
 
@@ -150,10 +159,9 @@ def bits_at(code: Code, buffer: np.ndarray, hashes: list[np.ndarray], places: np
     bit = (step & 1).astype(np.int8)
     step >>= 1
     slots = []
-    for width, h in zip(code.orders.values(), hashes, strict=True):
-        slot = np.repeat(h[places], length)
+    for h in hashes:
+        slot = np.repeat(h.take(places, mode="clip"), length)
         slot ^= step
-        slot &= (1 << width) - 1
         slots.append(slot)
     return length, bit, slots
 
@@ -167,25 +175,25 @@ def all_places(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, is_end
 
 
-def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log-odds of the counts as float32, with the level of n0 + n1 (0, 1 to 2, 3 to 9, more) in the two lowest bits."""
-    value = np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
-    n = n0 + n1
-    level = (n > 0).astype(np.uint32) + (n > 2) + (n > 9)
-    return ((value.view(np.uint32) & np.uint32(0xFFFFFFFC)) | level.astype(np.uint32)).view(np.float32)
+#: Number of bits seen -> level.
+_LEVEL_OF = np.array([0, 1, 1, 2, 2, 2, 2, 2, 2, 2, 3])
+#: Cells of a slot's log-odds when texts are scored, even in asinh up to FAR; a code is cell times 4 plus level, one byte.
+FINE, FAR = 63, 3.4
+_VALUE_OF = np.repeat(np.sinh(np.linspace(-FAR, FAR, FINE)), 4).astype(np.float32)
 
 
-def gate_of(inputs: list[np.ndarray]) -> np.ndarray:
-    """The levels of the contexts as one number."""
-    gate = inputs[0].view(np.uint32) & np.uint32(3)
-    for x in inputs[1:]:
-        gate *= np.uint32(4)
-        gate |= x.view(np.uint32) & np.uint32(3)
-    return gate.astype(np.int64)
+def codes_of(counts: np.ndarray) -> np.ndarray:
+    """Code of each slot by its counts of bit 0 and 1 (n x 2): log-odds, and the level of their sum (0, 1 to 2, 3 to 9, more)."""
+    out = np.empty(len(counts), np.uint8)
+    for a in range(0, len(counts), 1 << 20):
+        n0, n1 = counts[a : a + (1 << 20), 0].astype(np.float32), counts[a : a + (1 << 20), 1].astype(np.float32)
+        cell = np.rint((np.clip(np.arcsinh(np.log((n1 + 0.4) / (n0 + 0.4))), -FAR, FAR) + FAR) * ((FINE - 1) / (2 * FAR))).astype(np.uint8)
+        out[a : a + (1 << 20)] = cell * 4 + _LEVEL_OF.take((n0 + n1).astype(np.int64), mode="clip").astype(np.uint8)
+    return out
 
 
 class Mixer:
-    """Weights and bias for each gate, and the probability map; tables: one array of log-odds for each context."""
+    """Weights and bias for each gate, and the probability map; tables: one array of codes (`codes_of`) for each context."""
 
     def __init__(self, code: Code, tables: list[np.ndarray]) -> None:
         self.code, self.tables, self.gates = code, tables, 4 ** len(ORDERS)
@@ -197,10 +205,14 @@ class Mixer:
         return self.__dict__ | {"tables": [zstandard.compress(t.tobytes(), 1) for t in self.tables]}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"tables": [np.frombuffer(zstandard.decompress(t), np.float32) for t in state["tables"]]}
+        self.__dict__ = state | {"tables": [np.frombuffer(zstandard.decompress(t), np.uint8) for t in state["tables"]]}
 
     def _bucket(self, z: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))).astype(np.int64)
+        at = z * np.float32((BUCKETS - 1) / (2 * LIMIT))
+        at += np.float32(BUCKETS / 2)
+        np.maximum(at, 0, out=at)
+        np.minimum(at, np.float32(BUCKETS - 0.5), out=at)
+        return at.astype(np.int64)
 
     def fit(self, cells: np.ndarray, n: np.ndarray, rounds: int = 12, ridge: float = 10.0) -> None:
         """Weights of each gate by Newton's method, drawn to the start weights by `ridge`, then the map. cells: numbers of `cell_of`, n: how often with bit 0 and 1."""
@@ -233,56 +245,80 @@ class Mixer:
         middle = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, BUCKETS)))
         self.refined = ((self.map[:, :, 1] + PRIOR * middle) / (self.map.sum(2) + PRIOR)).astype(np.float32).ravel()
 
-    def score(self, texts: list[bytes], stride: int = 128, rate: float = 0.05, scale_rate: float = 0.2, group: int = 512) -> np.ndarray:
-        """Total bits of each text. Texts of a group go side by side, `stride` bytes at a time."""
-        parts = [self._score(texts[a : a + group], stride, rate, scale_rate) for a in range(0, len(texts), group)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+    def score(self, texts: list[bytes], stride: int = 128, rate: float = 0.05, group: int = 256, group_bytes: int = 2 << 20) -> np.ndarray:
+        """Total bits of each text. Texts of about one length go side by side in a group, `stride` bytes at a time."""
+        total = np.zeros(len(texts))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        own: list[int] = []
+        for k in np.argsort(sizes, kind="stable").tolist():
+            if len(own) == group or (own and sizes[own].sum() + sizes[k] > group_bytes):
+                total[own] = self._score([texts[i] for i in own], stride, rate)
+                own = []
+            own.append(k)
+        if own:
+            total[own] = self._score([texts[i] for i in own], stride, rate)
+        return total
 
-    def _score(self, texts: list[bytes], stride: int, rate: float, scale_rate: float) -> np.ndarray:
+    def _score(self, texts: list[bytes], stride: int, rate: float) -> np.ndarray:
         """Each text has its own copy of weights, biases and map; what a stride teaches is for the text's later strides only."""
         buffer, first, last = lay_out(texts)
-        hashes = contexts(self.code, buffer)
-        total, scale = np.zeros(len(texts)), np.ones(len(texts), np.float32)
-        places_of_gates = len(texts) * self.gates
+        total = np.zeros(len(texts))
+        n_gates = len(texts) * self.gates
         weights, bias = [np.tile(w, len(texts)) for w in self.weights], np.tile(self.bias, len(texts))
-        hits, ones = np.full(places_of_gates * BUCKETS, PRIOR, np.float32), np.tile(self.refined * np.float32(PRIOR), len(texts))
-        at = first.copy()
-        alive = np.arange(len(texts))
+        hits, ones = np.full(n_gates * BUCKETS, PRIOR, np.float32), np.tile(self.refined * np.float32(PRIOR), len(texts))
+        at, alive, row = first.copy(), np.arange(len(texts)), np.arange(-PAD, stride)
         while len(alive):
-            stop = np.minimum(at[alive] + stride, last[alive] + 1)
-            places, _ = all_places(at[alive], stop - 1)
-            text_of = np.repeat(alive, stop - at[alive])
-            length, bit, slots = bits_at(self.code, buffer, hashes, places, places == last[text_of])
-            text = np.repeat(text_of, length)
-            inputs = [table[s] for table, s in zip(self.tables, slots, strict=True)]
-            own = gate_of(inputs)
-            own += text * self.gates
-            mixed = bias[own]
+            # the next stride of each text with the PAD bytes before it
+            near = np.minimum(at[alive][:, None] + row, len(buffer) - 1)
+            part = buffer[near].ravel()
+            size = np.minimum(stride, last[alive] + 1 - at[alive])
+            places, is_last = all_places(begin := np.arange(len(alive)) * (PAD + stride) + PAD, begin + size - 1)
+            ending = np.repeat(at[alive] + size > last[alive], size)
+            length, bit, slots = bits_at(self.code, part, contexts(self.code, part), places, is_last & ending)
+            starts = np.concatenate([[0], np.cumsum(length)[np.cumsum(size) - 1]])
+            of_text = np.diff(starts)
+            starts = starts[:-1]
+            codes = [table.take(s, mode="clip") for table, s in zip(self.tables, slots, strict=True)]
+            inputs = [_VALUE_OF.take(c, mode="clip") for c in codes]
+            level = codes[0] & 3
+            for c in codes[1:]:
+                level = level << 2 | c & 3
+            gate = np.repeat(alive * self.gates, of_text)
+            gate += level
+            mixed = bias.take(gate, mode="clip")
             for w, x in zip(weights, inputs, strict=True):
-                mixed += w[own] * x
-            np.clip(mixed, -12, 12, out=mixed)
-            p = 1 / (1 + np.exp(-mixed * scale[text]))
-            cell = own * BUCKETS
+                step = w.take(gate, mode="clip")
+                step *= x
+                mixed += step
+            cell = gate * BUCKETS
             cell += self._bucket(mixed)
-            final = p + ones[cell] / hits[cell]
+            p = np.negative(mixed, out=mixed)
+            with np.errstate(over="ignore"):
+                np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            final = ones.take(cell, mode="clip")
+            final /= hits.take(cell, mode="clip")
+            final += p
             final *= 0.5
-            np.clip(final, 1e-5, 1 - 1e-5, out=final)
-            final -= np.subtract(1, bit, dtype=np.float32)  # now p - 1 or p: less its sign, what was given to the bit that came
+            np.maximum(final, 1e-5, out=final)
+            np.minimum(final, 1 - 1e-5, out=final)
+            truth = bit.astype(np.float32)
+            final += truth
+            final -= 1  # p - 1 or p: less its sign, what was given to the bit that came
             np.abs(final, out=final)
-            total -= np.bincount(text, np.log2(final, out=final), len(texts))
-            at[alive] = stop
+            total[alive] -= np.add.reduceat(np.log2(final, out=final), starts)
+            at[alive] += size
             more = at[alive] <= last[alive]
             if more.any():
-                error = bit - p
-                seen = np.bincount(text, minlength=len(texts)) + 1.0
-                scale += (scale_rate * np.bincount(text, error * mixed, len(texts)) / seen).astype(np.float32)
-                np.clip(scale, 0.5, 2, out=scale)
-                pace = rate / np.sqrt(np.bincount(own, minlength=places_of_gates) + 1.0)
+                error = np.subtract(truth, p, out=p)
+                pace = (rate / np.sqrt(np.bincount(gate, minlength=n_gates) + 1.0)).astype(np.float32)
                 for w, x in zip(weights, inputs, strict=True):
-                    w += (pace * np.bincount(own, error * x, places_of_gates)).astype(np.float32)
-                bias += (pace * np.bincount(own, error, places_of_gates)).astype(np.float32)
+                    x *= error
+                    w += pace * np.bincount(gate, x, n_gates)
+                bias += pace * np.bincount(gate, error, n_gates)
                 np.add.at(hits, cell, np.float32(1))
-                np.add.at(ones, cell[bit > 0], np.float32(1))
+                np.add.at(ones, cell, truth)
             alive = alive[more]
         return total
 
@@ -290,27 +326,22 @@ class Mixer:
 _CENTRES = np.sinh(np.linspace(-REACH, REACH, CELLS))
 
 
-def _level_and_cell(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Level times CELLS plus cell of the counts' log-odds."""
-    x = log_odds(n0, n1)
-    cell = np.rint((np.clip(np.arcsinh(x), -REACH, REACH) + REACH) * ((CELLS - 1) / (2 * REACH))).astype(np.int64)
-    return (x.view(np.uint32) & np.uint32(3)).astype(np.int64) * CELLS + cell
-
-
-_FEW = 64
-_FEW_CELLS = _level_and_cell(*np.divmod(np.arange(_FEW * _FEW), _FEW))
+#: Sixteenths of an octave (of the counts' ratio, from -32 to 32 octaves) -> cell.
+_CELL_OF = np.rint((np.clip(np.arcsinh(np.arange(-512, 513) * (np.log(2) / 16)), -REACH, REACH) + REACH) * ((CELLS - 1) / (2 * REACH))).astype(np.int64)
 
 
 def cell_of(pairs: list[np.ndarray]) -> np.ndarray:
-    """(gate, cell of each context's log-odds) as one number; pairs: counts of bit 0 and 1 (n x 2) for each context."""
+    """(gate, cell of each context's log-odds) as one number; pairs: counts of bit 0 and 1 (n x 2) for each context.
+    The log of a count is read from the exponent and the highest bits of its float."""
     gate, out = 0, 0
     for n in pairs:
-        n0, n1 = n[:, 0].astype(np.int64), n[:, 1].astype(np.int64)
-        found = _FEW_CELLS[np.minimum(n0, _FEW - 1) * _FEW + np.minimum(n1, _FEW - 1)]
-        more = np.flatnonzero((n0 | n1) >= _FEW)
-        found[more] = _level_and_cell(n0[more], n1[more])
-        level, cell = np.divmod(found, CELLS)
-        gate, out = gate * 4 + level, out * CELLS + cell
+        log = n.astype(np.float32)
+        log += np.float32(0.4)
+        log = log.view(np.int32)
+        log >>= 19
+        seen = n[:, 0] + n[:, 1]
+        gate = gate * 4 + _LEVEL_OF.take(seen, mode="clip")
+        out = out * CELLS + _CELL_OF.take(log[:, 1] - log[:, 0] + 512, mode="clip")
     return gate * CELLS ** len(pairs) + out
 
 
@@ -333,15 +364,22 @@ def byte_counts(train: DataFrame) -> np.ndarray:
 
 
 def _row(key, total):
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in key] + [pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["order", "slice", "salt", "counts"])
+    # one byte says how many bytes a number has
+    width = next(w for w in (1, 2, 4, 8) if total.max(initial=0) < 1 << (8 * w - 1))
+    packed = bytes([width]) + zstandard.compress(total.astype(f"<i{width}").tobytes(), 1)
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in key] + [pa.array([packed], pa.binary())], ["order", "slice", "salt", "counts"])
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed[1:]), f"<i{packed[0]}").astype(np.int64)
 
 
-def _sliced(number: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sliced(number: int, slices: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """A task's counts as rows of 2 * SLICE numbers; a slice without any count is left out."""
     part = TaskContext.get().partitionId() % 8
-    for k in range(0, len(counts), 2 * SLICE):
-        if (own := counts[k : k + 2 * SLICE]).any():
-            yield _row((number, k // (2 * SLICE), part), own)
+    for k, own in enumerate(slices):
+        if own.any():
+            yield _row((number, k, part), own)
 
 
 def _summed(train: DataFrame, count, sizes: list[int]) -> list[np.ndarray]:
@@ -356,7 +394,7 @@ def _summed(train: DataFrame, count, sizes: list[int]) -> list[np.ndarray]:
                     if key:
                         yield _row(key, total)
                     key, total = (order, k, salt), np.zeros(2 * SLICE, np.int64)
-                own = np.frombuffer(zstandard.decompress(counts), "<i8")
+                own = _numbers(counts)
                 total[: len(own)] += own
         if key:
             yield _row(key, total)
@@ -369,87 +407,84 @@ def _summed(train: DataFrame, count, sizes: list[int]) -> list[np.ndarray]:
     out = [np.zeros((size, 2), np.int32) for size in sizes]
     for r in rows.toLocalIterator():
         own = out[r.order][SLICE * r.slice : SLICE * (r.slice + 1)]
-        own[:] = np.minimum(np.frombuffer(zstandard.decompress(r.counts), "<i8").reshape(-1, 2)[: len(own)], 2**31 - 1)
+        own[:] = np.minimum(_numbers(r.counts).reshape(-1, 2)[: len(own)], 2**31 - 1)
     return out
 
 
-def bit_counts(train: DataFrame, code: Code) -> list[np.ndarray]:
-    """For each order the counts (slot x 2) of bits over all training texts."""
+#: Symbols that are counted at once, at most: no 16-bit count overflows in between.
+MOST = 1 << 13
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(2 << width, np.int32) for width in code.orders.values()]
-        empty, one = True, np.int32(1)
-        for batch in pieces(batches, 1 << 20):
-            empty = False
-            buffer, first, last = lay_out(texts_of(batch))
-            hashes = contexts(code, buffer)
-            at, is_end = all_places(first, last)
-            for a in range(0, len(at), 1 << 18):
-                _, bit, slots = bits_at(code, buffer, hashes, at[a : a + (1 << 18)], is_end[a : a + (1 << 18)])
-                for counts, slot in zip(held, slots, strict=True):
-                    np.add.at(counts, slot * 2 + bit, one)
-        if not empty:
-            for k, counts in enumerate(held):
-                yield from _sliced(k, counts)
 
-    return _summed(train, count, [1 << width for width in code.orders.values()])
+class _Counts:
+    """A task's counts of bits by slot in 16 bits each. Of a slot that has many, half of both counts go to a list, so that nothing is lost and their ratio stays."""
 
+    def __init__(self, width: int) -> None:
+        self.table, self.gone = np.zeros((1 << width, 2), np.int16), [(np.zeros(0, np.int64), np.zeros((0, 2), np.int16))]
 
-class _Again:
-    """The bits of a text's spans, made anew each time they are gone through."""
+    def known(self, slot: np.ndarray) -> np.ndarray:
+        """Counts of bit 0 and 1 of each slot (n x 2); both are read at once."""
+        out = self.table.view(np.int32).ravel().take(slot, mode="clip").view(np.int16).reshape(-1, 2)
+        if out.max(initial=0) > 2 * MOST:
+            many = np.unique(slot[out.max(1) > 2 * MOST])
+            self.gone.append((many, self.table[many] >> 1))
+            self.table[many] -= self.gone[-1][1]
+        return out
 
-    def __init__(self, code: Code, buffer: np.ndarray, hashes: list[np.ndarray], spans: list[tuple[int, int]], end: int) -> None:
-        self.code, self.buffer, self.hashes, self.spans, self.end = code, buffer, hashes, spans, end
+    def add(self, slot: np.ndarray, bit: np.ndarray) -> None:
+        slot *= 2
+        slot += bit
+        np.add.at(self.table.reshape(-1), slot, np.int16(1))
 
-    def __iter__(self):
-        for a, b in self.spans:
-            at = np.arange(a, b)
-            yield bits_at(self.code, self.buffer, self.hashes, at, at == self.end)
+    def slices(self) -> Iterator[np.ndarray]:
+        """All counts, SLICE slots at a time."""
+        slots, halves = (np.concatenate(x) for x in zip(*self.gone, strict=True))
+        for a in range(0, len(self.table), SLICE):
+            own = self.table[a : a + SLICE].astype(np.int64)
+            here = (slots >= a) & (slots < a + SLICE)
+            np.add.at(own, slots[here] - a, halves[here])
+            yield own.ravel()
 
 
-def cell_counts(train: DataFrame, code: Code, counts: list[np.ndarray]) -> np.ndarray:
-    """How often each cell (`cell_of`) came with each bit over all training texts, each with its own counts taken out."""
-    # packed: most slots of small inputs are empty; a slot's two counts are one long
-    shared = train.sparkSession.sparkContext.broadcast([zstandard.compress(c.tobytes(), 1) for c in counts])
-    size = 4 ** len(ORDERS) * CELLS ** len(ORDERS)
+def learn(train: DataFrame, code: Code) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the counts (slot x 2) of bits over all training texts, and how often each cell (`cell_of`) came with each bit."""
+    cells = 4 ** len(ORDERS) * CELLS ** len(ORDERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.frombuffer(zstandard.decompress(c), np.int64) for c in shared.value]
-        held, one = np.zeros(2 * size, np.int32), np.int32(1)
-        own = [np.zeros(len(c), np.int64) for c in tables]
+        held = [_Counts(width) for width in code.orders.values()]
+        came, one, most = np.zeros(2 * cells, np.int32), np.int32(1), 1 << 12
+        empty = True
         for batch in pieces(batches, 1 << 20):
+            empty = False
             buffer, first, last = lay_out(texts_of(batch))
-            hashes = contexts(code, buffer)
-            for begin, end in zip(first.tolist(), last.tolist(), strict=True):
-                # a long text's bits are made anew for each of its parts
-                spans = [(a, min(a + (1 << 16), end + 1)) for a in range(begin, end + 1, 1 << 16)]
-                bits = _Again(code, buffer, hashes, spans, end)
-                if len(spans) == 1:
-                    bits = list(bits)
-                for _, bit, slots in bits:
-                    unit = np.left_shift(1, 32 * bit.astype(np.int64))
-                    for mine, slot in zip(own, slots, strict=True):
-                        np.add.at(mine, slot, unit)
-                for _, bit, slots in bits:
-                    left = [(table[slot] - mine[slot]).view(np.int32).reshape(-1, 2) for table, mine, slot in zip(tables, own, slots, strict=True)]
-                    np.add.at(held, cell_of(left) * 2 + bit, one)
-                for _, _, slots in bits:
-                    for mine, slot in zip(own, slots, strict=True):
-                        mine[slot] = 0
-        yield from _sliced(0, held)
-
-    out = _summed(train, count, [size])[0]
-    shared.destroy()
-    return out
+            at, is_end = all_places(first, last)
+            a = 0
+            while a < len(at):
+                here = at[a : a + most]
+                low = int(here[0]) - PAD
+                part = buffer[low : int(here[-1]) + 1]
+                _, bit, slots = bits_at(code, part, contexts(code, part), here - low, is_end[a : a + most])
+                cell = cell_of([counts.known(slot) for counts, slot in zip(held, slots, strict=True)])
+                cell *= 2
+                cell += bit
+                np.add.at(came, cell, one)
+                for counts, slot in zip(held, slots, strict=True):
+                    counts.add(slot, bit)
+                a, most = a + len(here), min(2 * most, MOST)
+        if not empty:
+            for k, counts in enumerate(held):
+                yield from _sliced(k, counts.slices())
+            yield from _sliced(len(held), (came[k : k + 2 * SLICE] for k in range(0, len(came), 2 * SLICE)))
+
+    *tables, came = _summed(train, count, [1 << width for width in code.orders.values()] + [cells])
+    return tables, came
 
 
 def fit(docs: DataFrame) -> Mixer:
     """Learn from the documents whose crc32(doc_id) mod 5 is not 1."""
     train = documents(docs).where(crc_mod(5) != 1)
     code = Code(byte_counts(train))
-    counts = bit_counts(train, code)
-    mixer = Mixer(code, [log_odds(c[:, 0], c[:, 1]) for c in counts])
-    found = cell_counts(train, code, counts)
+    counts, found = learn(train, code)
+    mixer = Mixer(code, [codes_of(c) for c in counts])
     cells = np.flatnonzero(found.any(1))
     mixer.fit(cells, found[cells])
     mixer.freeze()
@@ -511,7 +546,7 @@ def score(docs: DataFrame, model: Mixer, block_bytes: int = 32 << 20) -> DataFra
                 own = [pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(["doc"] * m), none(pa.int64(), m), none(pa.int32(), m), none(pa.int64(), m), *own], names)
 
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, 8 << 20):
             texts = texts_of(batch)
             bits = mixer.score(texts)
             for doc_id, train, b, text in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), bits.tolist(), texts, strict=True):
@@ -524,9 +559,9 @@ def score(docs: DataFrame, model: Mixer, block_bytes: int = 32 << 20) -> DataFra
 
     seen = materialize(documents(docs).withColumn("train", crc_mod(5) != 1).mapInArrow(run, _ROWS), "lm-rows")
     tokens = seen.where("kind = 'token'").select("block", "hash", "number", "n")
-    same = Window.partitionBy("hash")
-    totals = materialize(tokens.select("block", "number", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")), "lm-totals")
-    n, v = totals.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    sums = materialize(tokens.groupBy("hash").agg(F.sum("n").alias("c")), "lm-totals")
+    n, v = sums.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    totals = tokens.select(F.col("block").alias("of_block"), "hash", "number").join(sums, "hash").select("of_block", "number", "c")
     norm = log10(n + 0.5 * (v + 1))
 
     def base(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -543,6 +578,6 @@ def score(docs: DataFrame, model: Mixer, block_bytes: int = 32 << 20) -> DataFra
         return pa.table({"doc_id": right.column("doc_id"), "train": right.column("train"), "n_tokens": right.column("n_tokens"), "n_known": pa.array(hits, pa.int64()), "base_score": pa.array(np.array(sums) - n_tokens * norm), "bits": right.column("bits"), "n_bytes": right.column("n_bytes")})
 
     rows = seen.where("kind = 'doc'").select("block", "doc_id", "train", "bits", "n_bytes", "n_tokens", "numbers")
-    based = totals.select("block", "number", "c").groupBy("block").cogroup(rows.groupBy("block"))
+    based = totals.groupBy("of_block").cogroup(rows.groupBy("block"))
     got = based.applyInArrow(base, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long")
     return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "bits", "n_bytes", (F.col("bits") / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"))
