@@ -125,9 +125,10 @@ class Index:
         joined = b" " + b" ".join(words) + b" "
         spans: list[tuple[str, int, int, float]] = []
         for phrase, label in BASE.items():
-            key, at = b" " + phrase.encode() + b" ", -1
+            key, at, before, p = b" " + phrase.encode() + b" ", -1, 0, 0
             while (at := joined.find(key, at + 1)) >= 0:
-                p = joined.count(b" ", 0, at)
+                p += joined.count(b" ", before, at)  # words since the hit before, so a text is counted once
+                before = at
                 places.append(p)
                 base.add(label)
                 spans.append((label, p, p + key.count(b" ") - 1, 1.0))
