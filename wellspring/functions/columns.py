@@ -17,7 +17,10 @@ F12_THRESHOLDS, F24_THRESHOLDS = (100_000, 250_000, 500_000, 1_000_000, 2_000_00
 #: Tiers by percentile, the smallest percentile of each.
 PROSPECT_TIERS = ((0.9, "very_high"), (0.7, "high"), (0.4, "medium"), (None, "background"))
 SAMPLE_TIERS = ((0.99, "tier_1"), (0.95, "tier_2"), (0.90, "tier_3"), (None, "tier_4"))
+#: Date formats that are tried in this order.
 DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd")
+#: Texts that stand for nothing, in flags, in names, and in buckets.
+NO_FLAG, NO_NAME, NO_BUCKET = ("", "nan", "<na>"), ("", "nan", "NA", "<NA>"), ("", "nan", "none")
 EARTH_KM = 6371.0088
 
 
@@ -64,13 +67,13 @@ def county_code(c: Column) -> Column:
 def clean_flag(c: Column) -> Column:
     """NRM-07: trimmed, lower; placeholders are null."""
     text = F.lower(F.trim(c))
-    return F.when(~text.isin("", "nan", "<na>"), text)
+    return F.when(~text.isin(*NO_FLAG), text)
 
 
 def clean_formation(c: Column) -> Column:
     """NRM-07: trimmed, case kept; placeholders are null."""
     text = F.trim(c)
-    return F.when(~text.isin("", "nan", "NA", "<NA>"), text)
+    return F.when(~text.isin(*NO_NAME), text)
 
 
 def well_id(c: Column, numeric: bool = False) -> Column:
@@ -113,7 +116,7 @@ def bucket_slug(c: Column, default: str) -> Column:
     """NRM-14."""
     text = F.lower(F.trim(c))
     slug = F.translate(F.replace(text, F.lit("&"), F.lit("and")), "/- ", "___")
-    return F.when(F.coalesce(text, F.lit("")).isin("", "nan", "none"), default).otherwise(slug)
+    return F.when(F.coalesce(text, F.lit("")).isin(*NO_BUCKET), default).otherwise(slug)
 
 
 def _signed(c: Column, digits: int) -> Column:
