@@ -152,7 +152,7 @@ def vectors(seed, n, scale):
     return rows + [(n + 6, [1.0, 2.0], 1), (10 * n, [1.0, 2.0], 1), (n + 7, [0.5, 1.0], 0), (10 * n + 10, [0.0] * 4, 1), (20, [0.1] * 4, 0), (20, [0.1] * 4, 2), rows[3], rows[4]]
 
 
-@pytest.mark.parametrize(("n", "scale", "sizes"), [(150, 1.0, {}), (150, 1.0, {"chunk": 20, "block": 4}), (40, 1e7, {"chunk": 10})])
+@pytest.mark.parametrize(("n", "scale", "sizes"), [(150, 1.0, {}), (150, 1.0, {"chunk": 20, "block": 4}), (60, 1e6, {"chunk": 10})])
 def test_hard_negatives_are_as_by_full_sort(spark, n, scale, sizes):
     rows = vectors(4, n, scale)
     given = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, score int, chunk string").repartition(3)
