@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.functions import columns as C
-from wellspring.operators import life, merging, metrics, models, observations, ranking, sampling, spatial, summaries
+from wellspring.operators import asof, life, merging, metrics, models, observations, ranking, sampling, spatial, summaries
 
 
 def rows(df):
@@ -41,7 +41,7 @@ def test_radius_join_equals_brute_force(spark, lat0, lon0, spread):
     rng = random.Random(lat0)
     points = [(i, lat0 + rng.uniform(-spread, spread), (lon0 + rng.uniform(-spread, spread) + 180) % 360 - 180, date(2000, 1, 1 + rng.randint(0, 20))) for i in range(150)]
     df = spark.createDataFrame([*points, (900, None, 1.0, None)], "k long, latitude double, longitude double, day date")
-    got = {r.k: r for r in spatial.neighbour_stats(df, df, "k", [5, 20], 20, ("day", "day"), "k").collect()}
+    got = {r.k: r for r in asof.neighbour_stats(df, df, "k", [5, 20], 20, ("day", "day"), "k").collect()}
     for k, lat, lon, day in points:
         near = sorted((haversine((lat, lon), p[1:3]), p[0]) for p in points if p[3] < day)
         within = [x for x in near if x[0] <= 20]
@@ -49,10 +49,47 @@ def test_radius_join_equals_brute_force(spark, lat0, lon0, spread):
         assert got[k]["count_20km"] == len(within)
         assert got[k]["nearest_km"] == (pytest.approx(within[0][0]) if within else None)
     assert (got[900]["count_5km"], got[900]["nearest_km"], got[900]["median_5km"]) == (0, None, None)
-    plan = spatial.neighbour_stats(df, df, "k", [5], 20)._jdf.queryExecution().toString()
+    plan = asof.neighbour_stats(df, df, "k", [5], 20)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize(("lat0", "lon0", "as_of", "gap", "radii"), [(0, 179.99, ("day", "day"), None, [2, 20]), (83, 10, None, 1e-6, [5])])
+def test_dense_places_equal_brute_force(spark, monkeypatch, lat0, lon0, as_of, gap, radii):
+    """Half of all points in one spot, others around it: time tables, halved tiles and widening searches, with small limits."""
+    rng = random.Random(7)
+    spreads = [0.002] * 90 + [0.02] * 40 + [0.3] * 60
+    points = [(i, lat0 + rng.gauss(0, s), (lon0 + rng.gauss(0, s) + 180) % 360 - 180, date(2000, 1, rng.randint(1, 28)) if i % 17 else None) for i, s in enumerate(spreads)] + [(500, lat0 * 1.0, lon0 * 1.0, date(2000, 1, 15))] * 1 + [(501, lat0 * 1.0, lon0 * 1.0, date(2000, 1, 20))]
+    df = spark.createDataFrame([*points, (900, None, 1.0, None)], "k long, latitude double, longitude double, day date")
+    monkeypatch.setattr(asof, "MOST_LEVELS", 3)
+    got = {r.k: r for r in asof.neighbour_stats(df, df, "k", radii, 20, as_of, self_gap=gap, dense=30, chunk=40).collect()}
+    assert len(got) == len(points) + 1
+    for k, lat, lon, day in points:
+        near = [haversine((lat, lon), p[1:3]) for p in points if as_of is None or (p[3] is not None and day is not None and p[3] < day)]
+        near = sorted(x for x in near if gap is None or x > gap)
+        assert [got[k][f"count_{r}km"] for r in radii] == [sum(x <= r for x in near) for r in radii]
+        assert got[k]["nearest_km"] == (pytest.approx(near[0]) if near and near[0] <= 20 else None)
+
+
+def test_no_task_of_a_dense_spot_stands_out(spark):
+    """Rows that each group gets: targets in chunks, sources of a tile's border only, whole tiles as time tables."""
+    df = spark.range(4000).selectExpr("id as k", "40 + pmod(id * 7919, 1000) / 1e5 * (case when id % 2 = 0 then 1 else 300 end) as latitude", "-80 + pmod(id * 104729, 1000) / 1e5 * (case when id % 2 = 0 then 1 else 300 end) as longitude", "date_add(date'2000-01-01', cast(id % 365 as int)) as day")
+    sent = []
+    real = asof._met
+
+    def spied(targets, there, function, chunk):
+        sent.append((targets.groupBy("band", "column").count().agg(F.max("count")).first()[0], there.groupBy("band", "column").count().agg(F.max("count")).first()[0]))
+        return real(targets, there, function, chunk)
+
+    asof._met = spied
+    try:
+        got = asof.neighbour_stats(df, df, "k", [20], 20, ("day", "day"), dense=500, chunk=200)
+        total = got.agg(F.sum("count_20km")).first()[0]
+    finally:
+        asof._met = real
+    assert total > 2_000_000  # pairs within reach, none of them a row
+    assert max(s[1] or 0 for s in sent) < 2500
+
+
 def test_raster_values_by_cell(spark):
     tiles = spark.createDataFrame([("a", -81.0, 41.0, 0.5, 0.5, 4, 4), ("b", -80.0, 41.0, 0.5, 0.5, 4, 4)], "tile string, west double, north double, step_x double, step_y double, n_rows int, n_cols int")
     raster = spark.createDataFrame([(t, r, c, float(10 * r + c + (100 if t == "b" else 0))) for t in "ab" for r in range(4) for c in range(4)], "tile string, r long, c long, z double")

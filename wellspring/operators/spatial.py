@@ -34,15 +34,11 @@ class Cells:
     def x(self, lon: Column, columns: Column) -> Column:
         return F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) * columns / 360), columns).cast("long")
 
-    def around(self, lat: Column, lon: Column) -> Column:
-        """Distinct cells that may hold neighbours, as an array of (cx, cy)."""
-
-        def band(d: int) -> Column:
-            y = self.y(lat) + d
-            n = self.columns(y)
-            return F.transform(F.array_distinct(F.array(*[F.pmod(self.x(lon, n) + e, n) for e in (-1, 0, 1)])), lambda x: F.struct(x.alias("cx"), y.alias("cy")))
-
-        return F.concat(*[band(d) for d in (-1, 0, 1)])
+    def around(self, df: DataFrame, lat: str, lon: str) -> DataFrame:
+        """A row for each cell (cx, cy) that may hold neighbours; band and columns are computed once for each band."""
+        steps = F.array(*[F.lit(e) for e in (-1, 0, 1)])
+        bands = df.withColumn("__d", F.explode(steps)).withColumn("cy", self.y(F.col(lat)) + F.col("__d")).withColumn("__n", self.columns(F.col("cy"))).withColumn("__x", self.x(F.col(lon), F.col("__n")))
+        return bands.withColumn("cx", F.explode(F.array_distinct(F.transform(steps, lambda e: F.pmod(F.col("__x") + e, F.col("__n")))))).drop("__d", "__n", "__x")
 
 
 def within(targets: DataFrame, sources: DataFrame, key: str, radius_km: float, take: list[str], as_of: tuple[str, str] | None = None) -> DataFrame:
@@ -52,7 +48,7 @@ def within(targets: DataFrame, sources: DataFrame, key: str, radius_km: float, t
     """
     cells = Cells(radius_km)
     dates = [F.col(as_of[0]).alias("t_date")] if as_of else []
-    probe = targets.where("latitude is not null and longitude is not null").select(F.col(key), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), *dates, F.explode(cells.around(F.col("latitude"), F.col("longitude"))).alias("cell")).select("*", "cell.*").drop("cell")
+    probe = cells.around(targets.where("latitude is not null and longitude is not null").select(F.col(key), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), *dates), "t_lat", "t_lon")
     names = list(dict.fromkeys([*take, *([as_of[1]] if as_of else [])]))
     build = sources.where("latitude is not null and longitude is not null").select(F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), *[F.col(c).alias(f"s_{c}") for c in names], cells.x(F.col("longitude"), cells.columns(cells.y(F.col("latitude")))).alias("cx"), cells.y(F.col("latitude")).alias("cy"))
     km = haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("s_lat"), F.col("s_lon"))
@@ -62,26 +58,6 @@ def within(targets: DataFrame, sources: DataFrame, key: str, radius_km: float, t
     return joined.select(key, "km", *[f"s_{c}" for c in names])
 
 
-def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: list[float], cap_km: float, as_of: tuple[str, str] | None = None, value: str | None = None, self_gap: float | None = None) -> DataFrame:
-    """JN-05 .. JN-09: for each target counts within each radius, the nearest distance within the cap, and (with value) count, median and 90 %
-    quantile of known values within each radius. One join at the largest distance carries all as conditional aggregates.
-
-    self_gap: leave out sources nearer than that (JN-07's self exclusion). Targets without neighbours keep count 0 and null otherwise.
-    """
-    found = within(targets, sources, key, max([cap_km, *radii]), [value] if value else [], as_of)
-    if self_gap is not None:
-        found = found.where(F.col("km") > self_gap)
-    out = [F.min(F.when(F.col("km") <= cap_km, F.col("km"))).alias("nearest_km")]
-    for r in radii:
-        near = F.col("km") <= r
-        if value:
-            v = F.when(near, F.col(f"s_{value}"))
-            out += [F.count(v).alias(f"value_count_{r:g}km"), F.percentile(v, F.lit(0.5)).alias(f"median_{r:g}km"), F.percentile(v, F.lit(0.9)).alias(f"p90_{r:g}km")]
-        out.append(F.count(F.when(near, 1)).alias(f"count_{r:g}km"))
-    got = targets.select(key).join(found.groupBy(key).agg(*out), key, "left")
-    return got.fillna(0, [c for c in got.columns if "count_" in c])
-
-
 def nearest(targets: DataFrame, sources: DataFrame, key: str, source_key: str, attributes: list[str] = (), start_km: float = 5.0, most_km: float = 20_100.0) -> DataFrame:
     """JN-10: for each target its nearest source (ties to the smaller key) and its attributes, whatever the distance. Rings of
     start_km, twice, four times ... are searched for the targets not yet resolved only; no ring needs more than half the globe."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import life, merging, metrics, observations, ranking, sampling, spatial, summaries
+from ..operators import asof, life, merging, metrics, observations, ranking, sampling, spatial, summaries
 from .fixtures import load, sql
 
 QUERIES: dict = {}
@@ -307,7 +307,7 @@ _NEAR = f"SELECT a.well_api, b.well_api AS other, {_hav('a.latitude', 'a.longitu
 
 def _stats(t, **kw):
     wells = t("wells").withColumn("spud", F.col("spud_date"))
-    return spatial.neighbour_stats(wells, wells, "well_api", **kw)
+    return asof.neighbour_stats(wells, wells, "well_api", **kw)
 
 
 @q("jn05_asof_counts", f"SELECT w.well_api, round(nearest_km, 6) AS nearest_km, coalesce(n2, 0) AS count_2km, coalesce(n5, 0) AS count_5km, coalesce(n10, 0) AS count_10km FROM {W} w LEFT JOIN (SELECT well_api, min(km) AS nearest_km, count(*) FILTER (WHERE km <= 2) AS n2, count(*) FILTER (WHERE km <= 5) AS n5, count(*) FILTER (WHERE km <= 10) AS n10 FROM ({_NEAR}) x WHERE km <= 20 AND s < t GROUP BY 1) y ON w.well_api = y.well_api")

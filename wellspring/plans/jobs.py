@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import life, merging, sampling, spatial, summaries
+from ..operators import asof, life, merging, sampling, spatial, summaries
 
 #: Thresholds of the observed-gas labels.
 OBSERVED_THRESHOLDS = (1_000, 10_000, 50_000, 100_000, 250_000, 500_000, 1_000_000)
@@ -48,8 +48,8 @@ def training_table_v1(wells: DataFrame, permits: DataFrame, production: DataFram
     table = training_table_v0(scope, permits, production, geology, attributes)
     dated = table.withColumn("context_date", C.context_date(C.credible_spud(F.col("spud_date")), F.col("first_permit_issued_date")))
     targets = dated.select("well_api", "latitude", "longitude", F.col("context_date").alias("at"))
-    near_wells = spatial.neighbour_stats(targets, targets.select("latitude", "longitude", F.col("at").alias("since")), "well_api", [2, 5], 20, ("at", "since"))
-    near_permits = spatial.neighbour_stats(targets, permits.select("latitude", "longitude", "permit_issued_date"), "well_api", [2, 5], 20, ("at", "permit_issued_date"))
+    near_wells = asof.neighbour_stats(targets, targets.select("latitude", "longitude", F.col("at").alias("since")), "well_api", [2, 5], 20, ("at", "since"))
+    near_permits = asof.neighbour_stats(targets, permits.select("latitude", "longitude", "permit_issued_date"), "well_api", [2, 5], 20, ("at", "permit_issued_date"))
     near_wells, near_permits = (df.withColumnsRenamed({c: f"{kind}_{c}" for c in df.columns if c != "well_api"}) for kind, df in (("well", near_wells), ("permit", near_permits)))
     gap = F.datediff("observed_first_prod_date", "spud_date")
     like = F.coalesce(F.col("has_production") & gap.between(0, 180) & (F.col("observed_rows") >= 10), F.lit(False))
@@ -64,7 +64,7 @@ def training_table_v2(wells: DataFrame, permits: DataFrame, production: DataFram
     labels = life.day_prorated_labels(wells, production)
     mature = wells.select("well_api", "latitude", "longitude").join(labels.where("label_f12_available").select("well_api", F.col("first_prod_date").alias("mature_date"), "f12_gas"), "well_api")
     targets = table.select("well_api", "latitude", "longitude", F.col("context_date").alias("at"))
-    stats = spatial.neighbour_stats(targets, mature, "well_api", [5, 10], 10, ("at", "mature_date"), "f12_gas")
+    stats = asof.neighbour_stats(targets, mature, "well_api", [5, 10], 10, ("at", "mature_date"), "f12_gas")
     stats = stats.withColumnsRenamed({c: f"mature_{c}" for c in stats.columns if c != "well_api"})
     out = table.join(labels, "well_api", "left").join(stats, "well_api", "left")
     return out.withColumns(C.threshold_labels(F.col("f12_gas"), F.col("label_f12_available"), "label_f12", C.F12_THRESHOLDS) | C.threshold_labels(F.col("f24_gas"), F.col("label_f24_available"), "label_f24", C.F24_THRESHOLDS))
@@ -76,7 +76,7 @@ def monthly_table(wells: DataFrame, production: DataFrame) -> DataFrame:
     labels = life.month_labels(wells, production, need.f12_periods, need.f24_periods)
     producing = wells.select("well_api", "latitude", "longitude").join(labels.where("first_prod_date is not null").select("well_api", "first_prod_date"), "well_api")
     targets = producing.withColumnRenamed("first_prod_date", "at")
-    return wells.join(labels, "well_api", "left").join(spatial.neighbour_stats(targets, producing, "well_api", [2, 5], 20, ("at", "first_prod_date")), "well_api", "left")
+    return wells.join(labels, "well_api", "left").join(asof.neighbour_stats(targets, producing, "well_api", [2, 5], 20, ("at", "first_prod_date")), "well_api", "left")
 
 
 def prospect_cells(wells: DataFrame, geology: DataFrame, attributes: list[str], step: float, value: str, radius_km: float = 10.0) -> DataFrame:
@@ -84,7 +84,7 @@ def prospect_cells(wells: DataFrame, geology: DataFrame, attributes: list[str],
     from ..operators.ranking import average_rank_percentile
 
     cells = summaries.occupied_cells(wells, step).select(F.concat_ws("_", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("cell_id"), ((F.col("cx") + 0.5) * step).alias("longitude"), ((F.col("cy") + 0.5) * step).alias("latitude"))
-    stats = spatial.neighbour_stats(cells, wells, "cell_id", [radius_km], radius_km, value=value)
+    stats = asof.neighbour_stats(cells, wells, "cell_id", [radius_km], radius_km, value=value)
     table = cells.join(stats, "cell_id").join(spatial.points_in_polygons(cells, geology, "cell_id", "objectid", attributes), "cell_id", "left")
     scored = average_rank_percentile(table.withColumn("score", F.col(f"median_{radius_km:g}km")), "score", "score_percentile")
     return scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
