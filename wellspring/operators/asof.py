@@ -48,8 +48,9 @@ class Tiles:
         """With band and column."""
         return df.withColumn("band", self.band(F.col("lat"))).withColumn("__n", self.columns(F.col("band"))).withColumn("column", self.column(F.col("lon"), F.col("__n"))).drop("__n")
 
-    def around(self, tiles: DataFrame, km: float) -> DataFrame:
-        """tiles (band, column, more) -> more, band, column, b2, c2 for all tiles that may hold a point within km of one of theirs, and `whole`: all their points are."""
+    def around(self, tiles: DataFrame, km: float, tell: bool = False) -> DataFrame:
+        """tiles (band, column) -> band, column, b2, c2 for all tiles that may hold a point within km of one of theirs; with `tell`
+        without those that distances rule out, and with `whole`: all their points are within km. Else whole is false."""
         reach, bands = km / EARTH_KM, int(degrees(km / EARTH_KM) / self.step) + 1
         low, high = (lambda b: F.greatest(b * self.step - 90, F.lit(-90.0))), (lambda b: F.least((b + 1) * self.step - 90, F.lit(90.0)))
         own = tiles.withColumn("n1", self.columns(F.col("band"))).withColumns({"w": F.col("column") * 360 / F.col("n1"), "far": F.greatest(F.abs(low(F.col("band"))), F.abs(high(F.col("band"))))})
@@ -60,6 +61,8 @@ class Tiles:
         spread = spread.withColumns({"first": first.cast("long"), "last": last.cast("long")})
         every = F.when(F.col("last") - F.col("first") + 1 >= F.col("n2"), F.sequence(F.lit(0), F.col("n2") - 1)).otherwise(F.transform(F.sequence("first", "last"), lambda x: F.pmod(x, F.col("n2"))))
         spread = spread.withColumn("c2", F.explode(every))
+        if not tell:
+            return spread.select("band", "column", "b2", "c2", F.lit(False).alias("whole"))
         mid = lambda b: (low(b) + high(b)) / 2
         lon = lambda c, n: (c + 0.5) * 360 / n - 180
 
@@ -70,7 +73,7 @@ class Tiles:
         one, two = (F.col("band"), F.col("column"), F.col("n1")), (F.col("b2"), F.col("c2"), F.col("n2"))
         spread = spread.withColumns({"apart": haversine_km(mid(one[0]), lon(*one[1:]), mid(two[0]), lon(*two[1:])), "rims": radius(*one) + radius(*two)})
         kept = spread.where(F.col("apart") - F.col("rims") <= km * (1 + 1e-9)).withColumn("whole", F.col("apart") + F.col("rims") <= km * (1 - 1e-9))
-        return kept.select(*tiles.columns, "b2", "c2", "whole")
+        return kept.select("band", "column", "b2", "c2", "whole")
 
 
 def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
@@ -166,7 +169,7 @@ def _dense_counts(targets: DataFrame, sources: DataFrame, radius: float, functio
     for level in range(MOST_LEVELS + 1):
         grid = Tiles(radius / 2 ** (level + 1))
         near, there = grid.placed(targets), grid.placed(sources)
-        tiles = materialize(grid.around(near.select("band", "column").distinct(), radius), "tiles")
+        tiles = materialize(grid.around(near.select("band", "column").distinct(), radius, tell=True), "tiles")
         last = level == MOST_LEVELS
         if last:
             yield _met(near, _sent(tiles, there, True), function, chunk)
@@ -188,7 +191,7 @@ def _dense_nearest(targets: DataFrame, sources: DataFrame, cap_km: float, functi
     for radius in reversed(radii):
         grid = Tiles(radius)
         near, there = grid.placed(targets), grid.placed(sources)
-        tiles = grid.around(near.select("band", "column").distinct(), radius).withColumn("whole", F.lit(False))
+        tiles = grid.around(near.select("band", "column").distinct(), radius)
         found = materialize(_met(near, _sent(tiles, there), function_of(radius), chunk).where("nearest is not null"), "nearest")
         yield found
         if radius == cap_km:
@@ -212,9 +215,9 @@ def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: lis
     there = materialize(there.where("at is not null"), "sources")
     here = numbered.select("id", "lat", "lon", "at")
     most = max([cap_km, *radii])
-    grid = Tiles(most)
+    grid = Tiles(2 * most)  # few large groups; crowded ones are bounded below
     near, around = grid.placed(here), grid.placed(there)
-    tiles = grid.around(near.select("band", "column").distinct(), most).withColumn("whole", F.lit(False))
+    tiles = grid.around(near.select("band", "column").distinct(), most)
     every = _compare(tuple(radii), cap_km, as_of is not None, value is not None, self_gap)
     parts = []
     if value is None and there.count() > dense:
@@ -229,7 +232,7 @@ def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: lis
             if self_gap is not None:  # what the time tables counted within the gap goes again
                 small = Tiles(max(self_gap, 0.05))
                 spots = small.placed(full)
-                gap = _met(spots, _sent(small.around(spots.select("band", "column").distinct(), self_gap).withColumn("whole", F.lit(False)), small.placed(there)), _compare((self_gap,), None, as_of is not None, False, None), chunk)
+                gap = _met(spots, _sent(small.around(spots.select("band", "column").distinct(), self_gap), small.placed(there)), _compare((self_gap,), None, as_of is not None, False, None), chunk)
                 parts += [gap.withColumn("radius", F.lit(r)).withColumn("n", -F.col("n")) for r in range(len(radii))]
     found = _met(near, _sent(tiles, around), every, chunk)
     for df in parts:
