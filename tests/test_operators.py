@@ -1,5 +1,6 @@
 """Operators on tiny tables: nulls, ties, borders, and equality with brute force."""
 
+import json
 import random
 from datetime import date
 from math import asin, cos, radians, sin, sqrt
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.functions import columns as C
-from wellspring.operators import asof, life, merging, metrics, models, observations, ranking, sampling, spatial, summaries
+from wellspring.functions import projections
+from wellspring.operators import asof, life, lines, merging, metrics, models, observations, polygons, ranking, sampling, spatial, summaries
 
 
 def rows(df):
@@ -114,17 +116,107 @@ def test_polygons_edges_holes_parts(spark):
         return [{"x": float(x), "y": float(y)} for x, y in p]
 
     outer, hole, part = ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((1, 1), (3, 1), (3, 3), (1, 3)), ring((10, 0), (11, 0), (11, 1))
-    polygons = spark.createDataFrame([(2, "big", [outer, hole, part]), (1, "first", [ring((3.5, 3.5), (6, 3.5), (6, 6), (3.5, 6))])], "id long, name string, rings array<array<struct<x:double,y:double>>>")
+    shapes = spark.createDataFrame([(2, "big", [[outer, hole], [part]]), (1, "first", [[ring((3.5, 3.5), (6, 3.5), (6, 6), (3.5, 6))]])], "id long, name string, parts array<array<array<struct<x:double,y:double>>>>")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 0.0, 2.0), (4, 4.0, 4.0), (5, 10.5, 0.4), (6, 9.0, 9.0), (7, 1.0, 2.0)], "k long, longitude double, latitude double")
-    got = {r.k: r.name for r in spatial.points_in_polygons(points, polygons, "k", "id", ["name"]).collect()}
+    got = {r.k: r.name for r in polygons.polygon_attributes(points, shapes, "k", "id", ["name"]).collect()}
     assert got == {1: "big", 2: None, 3: "big", 4: "first", 5: "big", 6: None, 7: "big"}
 
 
 def test_line_distance(spark):
-    points = spark.createDataFrame([(1, 0.0, 3.0), (2, -4.0, -3.0), (3, 500.0, 0.0)], "k long, x double, y double")
-    lines = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0), (2.0, 2.0, 2.0, 2.0)], "x1 double, y1 double, x2 double, y2 double")
-    got = {r.k: r.line_km for r in spatial.nearest_line_km(points, lines, "k", 50.0).collect()}
-    assert got[1] == pytest.approx(sqrt(5) / 1000) and got[2] == pytest.approx(0.005) and got[3] is None
+    points = spark.createDataFrame([(1, 0.0, 3.0), (2, -4.0, -3.0), (3, 500.0, 0.0), (4, None, 1.0)], "k long, x double, y double")
+    ends = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0), (2.0, 2.0, 2.0, 2.0)], "x1 double, y1 double, x2 double, y2 double")
+    got = {r.k: r.line_km for r in lines.nearest_line_km(points, ends, "k", 50.0).collect()}
+    assert got[1] == pytest.approx(sqrt(5) / 1000) and got[2] == pytest.approx(0.005) and got[3] == pytest.approx(0.49) and got[4] is None
+    assert [r.line_km for r in lines.nearest_line_km(points, ends.limit(0), "k").collect()] == [None] * 4
+
+
+def test_nearest_lines_equal_brute_force(spark):
+    rng = random.Random(5)
+    ends = [tuple(rng.uniform(-1e5, 1e5) for _ in range(4)) for _ in range(30)] + [(0.0, 0.0, 2e5, 0.0), (5e4, -1e5, 5e4, 1e5)]
+    places = [(i, rng.uniform(-4e5, 4e5), rng.uniform(-4e5, 4e5)) for i in range(60)]
+
+    def distance(x, y, x1, y1, x2, y2):
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2)
+
+    segments = spark.createDataFrame(ends, "x1 double, y1 double, x2 double, y2 double")
+    got = {r.k: r.line_km for r in lines.nearest_line_km(spark.createDataFrame(places, "k long, x double, y double"), segments, "k", 3000.0).collect()}
+    for k, x, y in places:
+        assert got[k] == pytest.approx(min(distance(x, y, *e) for e in ends) / 1000)
+    # a long diagonal lies in the cells along it, not in those of its box
+    assert lines.cells_along(spark.createDataFrame([(0.0, 0.0, 1e5, 9e4)], "x1 double, y1 double, x2 double, y2 double"), 1000.0).count() < 300
+
+
+def test_projections(spark):
+    """Known coordinates: Clarke 1866, parallels 33 and 45, origin 23 N 96 W; and the equal-area projection's inverse."""
+    df = spark.createDataFrame([(35.0, -75.0)], "lat double, lon double")
+    x, y = df.select(*projections.lambert_conic(F.col("lat"), F.col("lon"), 33, 45, 23, -96, "clarke1866")).first()
+    assert (x, y) == (pytest.approx(1894410.9, abs=0.1), pytest.approx(1564649.5, abs=0.1))
+    east, north = projections.equal_area(F.col("lat"), F.col("lon"))
+    assert tuple(df.select(*projections.equal_area_inverse(east, north)).first()) == (pytest.approx(35.0), pytest.approx(-75.0))
+
+
+def contains(geometry, x, y, box):
+    """Membership by the rules of scene footprints, in plain Python."""
+
+    def ring(points):
+        if len(points) < 4:
+            return False
+        odd = False
+        for (x1, y1), (x2, y2) in zip(points, points[1:], strict=False):
+            if abs((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)) <= 1e-9 and min(x1, x2) - 1e-9 <= x <= max(x1, x2) + 1e-9 and min(y1, y2) - 1e-9 <= y <= max(y1, y2) + 1e-9:
+                return True
+            odd ^= (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+        return odd
+
+    def part(rings):
+        return bool(rings) and ring(rings[0]) and not any(ring(h) for h in rings[1:])
+
+    if not geometry:
+        return box is not None and box[0] <= x <= box[2] and box[1] <= y <= box[3]
+    kind = geometry.get("type")
+    if kind == "Polygon":
+        return part(geometry["coordinates"])
+    if kind == "MultiPolygon":
+        return any(part(p) for p in geometry["coordinates"])
+    return kind == "GeometryCollection" and any(contains(g, x, y, None) for g in geometry["geometries"] if g)
+
+
+def test_footprints_equal_plain_rules(spark):
+    rng = random.Random(11)
+
+    def star(cx, cy, r, n):
+        points = [[cx + r * rng.uniform(0.3, 1) * cos(2 * 3.14159265 * i / n), cy + r * rng.uniform(0.3, 1) * sin(2 * 3.14159265 * i / n)] for i in range(n)]
+        return [*points, points[0]]
+
+    square = lambda a, b, s: [[a, b], [a + s, b], [a + s, b + s], [a, b + s], [a, b]]
+    shapes = [
+        {"type": "Polygon", "coordinates": [square(0, 0, 8), square(2, 2, 4), square(3, 3, 4)]},  # overlapping holes
+        {"type": "MultiPolygon", "coordinates": [[square(0, 0, 5)], [square(3, 3, 5)], [square(1, 1, 1), square(1.2, 1.2, 0.2)]]},  # overlapping parts
+        {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 1]}, {"type": "GeometryCollection", "geometries": [{"type": "Polygon", "coordinates": [square(-3, -3, 4)]}, {"type": "MultiPolygon", "coordinates": [[star(5, 5, 3, 200)]]}]}]},
+        {"type": "Polygon", "coordinates": [star(4, 4, 6, 400), star(4, 4, 1, 50)]}, {"type": "Polygon", "coordinates": [[[0, 0], [9, 0], [0, 0]]]}, {"type": "Polygon", "coordinates": []}, {"type": "LineString", "coordinates": [[0, 0], [9, 9]]}, {}, None, None,
+        {"type": "Polygon", "coordinates": [[[x, (9 if x % 2 else 0)] for x in range(9)] + [[9, -1], [0, -1], [0, 0]]]},  # a comb
+    ]
+    boxes = [None if i == 9 else (-1.0, -1.0, 3.0, 3.5) for i in range(len(shapes))]
+    rows_ = [(i, None if g is None else json.dumps(g), *(b or (None,) * 4)) for i, (g, b) in enumerate(zip(shapes, boxes, strict=True))] + [(99, "not json", -1.0, -1.0, 3.0, 3.5)]
+    places = [(i, rng.choice([rng.uniform(-4, 10), float(rng.randint(-4, 10))]), rng.choice([rng.uniform(-4, 10), float(rng.randint(-4, 10))])) for i in range(400)] + [(900, None, 1.0)]
+    given = spark.createDataFrame(rows_, "id long, geometry string, w double, s double, e double, n double")
+    rings = polygons.from_geojson(given, "id", box=("w", "s", "e", "n"))
+    got = {tuple(r) for r in polygons.points_in_polygons(spark.createDataFrame(places, "k long, longitude double, latitude double"), rings, "k", strict=True).collect()}
+    want = {(k, i) for k, x, y in places if x is not None for i, (g, b) in enumerate(zip([*shapes, None], [*boxes, (-1.0, -1.0, 3.0, 3.5)], strict=True)) if contains(g, x, y, b)}
+    assert got == {(k, 99 if i == len(shapes) else i) for k, i in want}
+
+
+def test_grid_points_inside_equal_ray_casting(spark):
+    rng = random.Random(2)
+    shape = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    star = shape(*[(10 + 9 * rng.uniform(0.4, 1) * cos(i / 10), 10 + 9 * rng.uniform(0.4, 1) * sin(i / 10)) for i in range(62)])
+    parts = [[[shape((0, 0), (6, 0), (6, 6), (0, 6)), shape((2, 2), (4, 2), (4, 4), (2, 4))]], [[star]], [[shape((0, 8), (3, 8), (1.5, 11))], [shape((1, 8), (5, 8), (5, 9))]], [[shape((30, 30), (30.2, 30), (30.1, 30.2))]]]
+    rings = polygons.from_parts(spark.createDataFrame(list(enumerate(parts)), "id long, parts array<array<array<struct<x:double,y:double>>>>"), "id")
+    got = {tuple(r) for r in polygons.grid_points_inside(rings, 0.5).collect()}
+    grid = spark.range(-10, 80).select(F.col("id").alias("gx"), F.explode(F.sequence(F.lit(-10), F.lit(80)).cast("array<long>")).alias("gy")).select(F.struct("gx", "gy").alias("k"), (F.col("gx") * 0.5).alias("longitude"), (F.col("gy") * 0.5).alias("latitude"))
+    want = {(r.pid, r.k.gx, r.k.gy) for r in polygons.points_in_polygons(grid, rings, "k").collect()}
+    assert got == want and len(got) > 300
 
 
 def test_prorated_labels_count_overlaps_twice(spark):

@@ -6,7 +6,7 @@ one group, and numpy compares them there, so pairs are never rows of a table. A
 Where the tiles around hold more than `dense` sources, counts are taken otherwise, radius by radius. Tiles are halved again and again; of
 the tiles around a target's tile, those wholly within the radius of all its points send a time table only (instant, count), which is summed up
 for the tile and looked up by bisection, and those on the border send their sources. A tile is halved until its border holds no more
-than `dense` sources. The nearest distance is searched in small tiles first, and in larger ones for targets without a hit only.
+than `dense` sources. The nearest distance is searched within the largest radius first, or in small tiles, and in larger ones for targets without a hit only.
 
 A tile's reach is bounded by distances of centres and corners: |km(centres)| minus or plus both tiles' radii.
 """
@@ -182,24 +182,26 @@ def _dense_counts(targets: DataFrame, sources: DataFrame, radius: float, functio
         targets = materialize(near.join(crowded, ["band", "column"], "left_semi").select("id", "lat", "lon", "at"), "crowded-targets")
 
 
-def _dense_nearest(targets: DataFrame, sources: DataFrame, cap_km: float, function_of, chunk: int) -> Iterator[DataFrame]:
-    """Nearest distances: small tiles first, then wider ones for the targets that are left."""
-    radius, radii = cap_km, []
-    while len(radii) < MOST_LEVELS:
-        radii.append(radius)
-        radius /= 2
-    for radius in reversed(radii):
+def _widening(targets: DataFrame, sources: DataFrame, first_km: float, cap_km: float, function_of, chunk: int, factor: int = 2) -> Iterator[DataFrame]:
+    """Nearest distances within the cap: tiles of first_km, then wider ones for the targets that are left. A tile gets the sources before the last of its targets only."""
+    radius = min(first_km, cap_km)
+    while True:
         grid = Tiles(radius)
         near, there = grid.placed(targets), grid.placed(sources)
-        tiles = grid.around(near.select("band", "column").distinct(), radius)
-        found = materialize(_met(near, _sent(tiles, there), function_of(radius), chunk).where("nearest is not null"), "nearest")
+        own = near.groupBy("band", "column").agg(F.max("at").alias("last"))
+        tiles = grid.around(own.select("band", "column"), radius)
+        sent = _sent(tiles, there).join(own, ["band", "column"]).where(F.col("at") <= F.col("last")).drop("last")
+        found = materialize(_met(near, sent, function_of(radius), chunk).where("nearest is not null"), "nearest")
         yield found
-        if radius == cap_km:
+        if radius >= cap_km:
             return
         targets = materialize(targets.join(found.select("id"), "id", "left_anti"), "left")
+        if not targets.take(1):
+            return
+        radius = min(radius * factor, cap_km)
 
 
-def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: list[float], cap_km: float, as_of: tuple[str, str] | None = None, value: str | None = None, self_gap: float | None = None, dense: int = 16_384, chunk: int = 4096) -> DataFrame:
+def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: list[float], cap_km: float, as_of: tuple[str, str] | None = None, value: str | None = None, self_gap: float | None = None, dense: int = 65_536, chunk: int = 1024) -> DataFrame:
     """JN-05 .. JN-09: for each target counts within each radius, the nearest distance within the cap, and (with value) count, median and 90 %
     quantile of known values within each radius. Both tables have latitude, longitude; key is unique among the targets.
 
@@ -214,27 +216,33 @@ def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: lis
     there = sources.where(known).select(*place, (instant(as_of[1]) if as_of else F.lit(0)).cast("long").alias("at"), (F.col(value).cast("double") if value else F.lit(None).cast("double")).alias("value"))
     there = materialize(there.where("at is not null"), "sources")
     here = numbered.select("id", "lat", "lon", "at")
-    most = max([cap_km, *radii])
-    grid = Tiles(2 * most)  # few large groups; crowded ones are bounded below
+    reach = max(radii) if radii else cap_km / 4
+    if value or cap_km <= reach:
+        reach = max([cap_km, *radii])
+    grid = Tiles(2 * reach)  # few large groups; crowded ones are bounded below
     near, around = grid.placed(here), grid.placed(there)
-    tiles = grid.around(near.select("band", "column").distinct(), most)
-    every = _compare(tuple(radii), cap_km, as_of is not None, value is not None, self_gap)
+    tiles = grid.around(near.select("band", "column").distinct(), reach)
+    compare = lambda rs, cap, gap=self_gap: _compare(tuple(rs), cap, as_of is not None, value is not None, gap)
     parts = []
     if value is None and there.count() > dense:
         crowded = materialize(_crowded(tiles, around, dense), "crowded")
         if crowded.take(1):
             full = materialize(near.join(crowded, ["band", "column"], "left_semi").select("id", "lat", "lon", "at"), "crowded-targets")
             near, tiles = (df.join(crowded, ["band", "column"], "left_anti") for df in (near, tiles))
-            parts += list(_dense_nearest(full, there, cap_km, lambda r: _compare((), r, as_of is not None, False, self_gap), chunk))
+            parts += list(_widening(full, there, cap_km / 2**7, cap_km, lambda r: compare((), r), chunk))
             for r, radius in enumerate(radii):
-                one = _compare((radius,), None, as_of is not None, False, None)
-                parts += [df.withColumn("radius", F.lit(r)) for df in _dense_counts(full, there, radius, one, dense, chunk)]
+                parts += [df.withColumn("radius", F.lit(r)) for df in _dense_counts(full, there, radius, compare((radius,), None, None), dense, chunk)]
             if self_gap is not None:  # what the time tables counted within the gap goes again
                 small = Tiles(max(self_gap, 0.05))
                 spots = small.placed(full)
-                gap = _met(spots, _sent(small.around(spots.select("band", "column").distinct(), self_gap), small.placed(there)), _compare((self_gap,), None, as_of is not None, False, None), chunk)
+                gap = _met(spots, _sent(small.around(spots.select("band", "column").distinct(), self_gap), small.placed(there)), compare((self_gap,), None, None), chunk)
                 parts += [gap.withColumn("radius", F.lit(r)).withColumn("n", -F.col("n")) for r in range(len(radii))]
-    found = _met(near, _sent(tiles, around), every, chunk)
+    found = _met(near, _sent(tiles, around), compare(radii, min(cap_km, reach)), chunk)
+    if cap_km > reach:
+        found = materialize(found, "near")
+        left = materialize(near.select("id", "lat", "lon", "at").join(found.where("nearest is not null").select("id"), "id", "left_anti"), "left")
+        if left.take(1):
+            parts += list(_widening(left, there, 4 * reach, cap_km, lambda r: compare((), r), chunk, 4))
     for df in parts:
         found = found.unionByName(df)
     pick = lambda r, c, f: f(F.when(F.col("radius") == r, F.col(c)))

@@ -85,90 +85,6 @@ def repair_keys(foreign: DataFrame, official: DataFrame, key: str, official_key:
     return got.groupBy(key).agg(best).select(key, F.col(f"b.s_{official_key}").alias("official_key"), F.col("b.km").alias("km"))
 
 
-# Polygons: rows with an id, attributes and `rings`, an array of rings, each an array of struct<x,y>. Holes and further parts
-# are rings too: a point is inside if it is inside an odd number of rings, or on an edge.
-
-
-def edges_of(rings: Column) -> Column:
-    """All edges as array<struct<x1,y1,x2,y2>>; a ring need not repeat its first point."""
-
-    def edges(ring: Column) -> Column:
-        turned = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))
-        return F.zip_with(ring, turned, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-
-    return F.flatten(F.transform(rings, edges))
-
-
-def on_edge(x: Column, y: Column, edges: Column, eps: float = 1e-9) -> Column:
-    def near(e: Column) -> Column:
-        cross = (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])
-        inside = (x >= F.least(e["x1"], e["x2"]) - eps) & (x <= F.greatest(e["x1"], e["x2"]) + eps) & (y >= F.least(e["y1"], e["y2"]) - eps) & (y <= F.greatest(e["y1"], e["y2"]) + eps)
-        return (F.abs(cross) <= eps) & inside
-
-    return F.exists(edges, near)
-
-
-def inside(x: Column, y: Column, edges: Column, eps: float = 1e-9) -> Column:
-    """JN-13: ray casting, boundary included."""
-
-    def crossing(e: Column) -> Column:
-        straddles = (e["y1"] > y) != (e["y2"] > y)
-        at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
-        return F.when(straddles & (x < at), 1).otherwise(0)
-
-    parity = F.aggregate(edges, F.lit(0), lambda n, e: n + crossing(e)) % 2
-    return (parity == 1) | on_edge(x, y, edges, eps)
-
-
-def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, attributes: list[str], step: float = 0.25) -> DataFrame:
-    """JN-12: attributes of the polygon (smallest id) that covers each point; nulls for none. points: latitude, longitude.
-    A polygon is exploded to the cells of its bounding box."""
-    flat = F.flatten("rings")
-    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
-    boxed = polygons.select("*", edges_of(F.col("rings")).alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
-    dealt = boxed.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
-    probe = points.select(key, F.col("longitude").alias("px"), F.col("latitude").alias("py")).withColumns({"cx": F.floor(F.col("px") / step).cast("long"), "cy": F.floor(F.col("py") / step).cast("long")})
-    box = (F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))
-    hits = probe.join(dealt, ["cx", "cy"]).where(box).where(inside(F.col("px"), F.col("py"), F.col("edges")))
-    best = hits.groupBy(key).agg(F.min_by(F.struct(polygon_id, *attributes), polygon_id).alias("g")).select(key, "g.*")
-    return points.select(key).join(best, key, "left")
-
-
-def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Distance of a point and a segment in the plane."""
-    dx, dy = x2 - x1, y2 - y1
-    size = dx * dx + dy * dy
-    t = F.when(size > 0, ((x - x1) * dx + (y - y1) * dy) / F.nullif(size, F.lit(0.0))).otherwise(0.0)
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
-
-
-def lambert_conic(lat: Column, lon: Column, lat1: float, lat2: float, lat0: float, lon0: float) -> tuple[Column, Column]:
-    """Lambert conformal conic on the sphere, in metres (Snyder's formulas)."""
-    from math import log, pi, tan
-
-    p1, p2, p0, radius = radians(lat1), radians(lat2), radians(lat0), EARTH_KM * 1000
-    n = sin(p1) if lat1 == lat2 else log(cos(p1) / cos(p2)) / log(tan(pi / 4 + p2 / 2) / tan(pi / 4 + p1 / 2))
-    f = cos(p1) * tan(pi / 4 + p1 / 2) ** n / n
-    rho = radius * f / F.pow(F.tan(F.lit(pi / 4) + F.radians(lat) / 2), F.lit(n))
-    rho0 = radius * f / tan(pi / 4 + p0 / 2) ** n
-    theta = n * F.radians(lon - lon0)
-    return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
-
-
-def nearest_line_km(points: DataFrame, segments: DataFrame, key: str, cap_m: float) -> DataFrame:
-    """JN-14: distance in km of each point (x, y in metres) to the nearest segment (x1, y1, x2, y2) within the cap. A segment is exploded to
-    the cells of its bounding box, widened by the cap, of a grid of the cap's width."""
-    cells = lambda a, b: F.sequence(F.floor((F.least(a, b) - cap_m) / cap_m).cast("long"), F.floor((F.greatest(a, b) + cap_m) / cap_m).cast("long"))
-    dealt = segments.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
-    probe = points.select(key, "x", "y", F.floor(F.col("x") / cap_m).cast("long").alias("cx"), F.floor(F.col("y") / cap_m).cast("long").alias("cy"))
-    metres = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-    best = probe.join(dealt, ["cx", "cy"]).withColumn("m", metres).where(F.col("m") <= cap_m).groupBy(key).agg((F.min("m") / 1000).alias("line_km"))
-    return points.select(key).join(best, key, "left")
-
-
 def focal_stats(dem: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
     """WIN-09: Horn slope (degrees; null if a neighbour is missing) and relief (largest minus smallest known height) of each
     3 x 3 neighbourhood. dem: tile, r, c, z. Each cell is sent to its nine neighbourhoods, then one grouped aggregation."""

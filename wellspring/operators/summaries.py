@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, floor, radians, sin, sqrt
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.projections import equal_area_inverse
+
 
 def units(df: DataFrame, columns: list[str]) -> DataFrame:
     """AGG-13: distinct combinations."""
@@ -123,18 +125,11 @@ def occupied_cells(wells: DataFrame, step: float, ring: int = 1) -> DataFrame:
 
 def equal_area_grid(spark: SparkSession, bounds: tuple[float, float, float, float], spacing_m: float, standard: float = 30.0) -> DataFrame:
     """GEN-02: grid points (grid_x, grid_y, longitude, latitude) of a cylindrical equal-area projection on the WGS84 ellipsoid, standard parallel 30 degrees."""
-    a, e = 6378137.0, sqrt(0.00669437999014)
-    k0 = sqrt(1 - sin(radians(standard)) ** 2) / sqrt(1 - (e * sin(radians(standard))) ** 2)
     x0, y0 = floor(bounds[0] / spacing_m), floor(bounds[1] / spacing_m)
     x1, y1 = ceil(bounds[2] / spacing_m), ceil(bounds[3] / spacing_m)
     rows = spark.range(x0, x1 + 1).select(F.col("id").alias("grid_x"), F.explode(F.expr(f"sequence({y0}L, {y1}L)")).alias("grid_y"))
-    from math import log
-
-    qp = (1 - e * e) * (1 / (1 - e * e) - log((1 - e) / (1 + e)) / (2 * e))
-    beta = F.asin(F.least(F.greatest(2 * F.col("grid_y") * spacing_m * k0 / (a * qp), F.lit(-1.0)), F.lit(1.0)))
-    e2, e4, e6 = e**2, e**4, e**6
-    lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + (761 * e6 / 45360) * F.sin(6 * beta)
-    return rows.select("grid_x", "grid_y", F.degrees(F.col("grid_x") * spacing_m / (a * k0)).alias("longitude"), F.degrees(lat).alias("latitude"))
+    lat, lon = equal_area_inverse(F.col("grid_x") * spacing_m, F.col("grid_y") * spacing_m, standard)
+    return rows.select("grid_x", "grid_y", lon.alias("longitude"), lat.alias("latitude"))
 
 
 def location_pool(regions: DataFrame, key: str, lat_step: float, lon_step_equator: float, per_region: int) -> DataFrame:

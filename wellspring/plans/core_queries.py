@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import asof, life, merging, metrics, observations, ranking, sampling, spatial, summaries
+from ..functions import projections
+from ..operators import asof, life, lines, merging, metrics, observations, polygons, ranking, sampling, spatial, summaries
 from .fixtures import load, sql
 
 QUERIES: dict = {}
@@ -350,19 +351,78 @@ def _polygons(t):
     x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
     box = ring((x0, y0), (x1, y0), (x1, y1), (x0, y1))
     hole = ring((x0 + 0.1, y0 + 0.1), (x0 + 0.3, y0 + 0.1), (x0 + 0.3, y0 + 0.3), (x0 + 0.1, y0 + 0.3))
-    return t("geology").select("objectid", "map_symbol", F.when(F.col("objectid") % 3 == 0, F.array(box, hole)).otherwise(F.array(box)).alias("rings"))
+    return t("geology").select("objectid", "map_symbol", F.array(F.when(F.col("objectid") % 3 == 0, F.array(box, hole)).otherwise(F.array(box))).alias("parts"))
 
 
 @q("jn12_point_in_polygon", f"SELECT w.well_api, min(g.objectid) AS objectid, arg_min(g.map_symbol, g.objectid) AS map_symbol FROM {W} w LEFT JOIN {sql('geology')} g ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1 AND NOT (objectid % 3 = 0 AND longitude > x0 + 0.1 AND longitude < x0 + 0.3 AND latitude > y0 + 0.1 AND latitude < y0 + 0.3) GROUP BY 1")
 def _(t):
-    return _out(spatial.points_in_polygons(t("wells"), _polygons(t), "well_api", "objectid", ["map_symbol"]))
+    return _out(polygons.polygon_attributes(t("wells"), _polygons(t), "well_api", "objectid", ["map_symbol"]))
 
 
-@q("jn14_nearest_line", "WITH p AS (SELECT c_custkey AS k, (c_custkey * 37 % 1000) * 100.0::DOUBLE AS x, (c_custkey * 91 % 1000) * 100.0::DOUBLE AS y FROM customer), s AS (SELECT r_regionkey * 20000.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, r_regionkey * 20000.0::DOUBLE + 15000 AS x2, 90000.0::DOUBLE AS y2 FROM region), d AS (SELECT k, sqrt(power(x - (x1 + t*(x2-x1)), 2) + power(y - (y1 + t*(y2-y1)), 2)) AS m FROM (SELECT p.*, s.*, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS t FROM p, s) u) SELECT p.k, round(min(m) / 1000, 6) AS line_km FROM p LEFT JOIN (SELECT * FROM d WHERE m <= 5000) d ON p.k = d.k GROUP BY 1")
+def _box_text(x0, x1, y0, y1):
+    """A closed ring's coordinates as JSON text."""
+    return F.concat(F.lit("["), *[F.concat(F.lit(c), F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]")) for c, (x, y) in zip(("", ",", ",", ",", ","), ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)), strict=True)], F.lit("]"))
+
+
+def _footprints(t):
+    """A footprint for each tile of geology, by its id's remainder of 5: polygon with a hole, overlapping parts, nested collection, none, empty."""
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    polygon = lambda *rings: F.concat(F.lit('{"type":"Polygon","coordinates":['), F.concat_ws(",", *rings), F.lit("]}"))
+    holed = polygon(_box_text(x0, x1, y0, y1), _box_text(x0 + 0.1, x0 + 0.3, y0 + 0.1, y0 + 0.3))
+    parts = F.concat(F.lit('{"type":"MultiPolygon","coordinates":[['), _box_text(x0, x0 + 0.3, y0, y1), F.lit("],["), _box_text(x0 + 0.1, x1, y0, y1), F.lit("]]}"))
+    nested = F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[0,0]},{"type":"GeometryCollection","geometries":['), polygon(_box_text(x0, x0 + 0.2, y0, y1)), F.lit("]}]}"))
+    kind = F.col("objectid") % 5
+    return t("geology").select("objectid", "x0", "y0", "x1", "y1", F.when(kind == 0, holed).when(kind == 1, parts).when(kind == 2, nested).when(kind == 3, None).otherwise("{}").alias("geometry"))
+
+
+@q("jn13_footprints", f"SELECT w.well_api, g.objectid FROM {W} w JOIN {sql('geology')} g ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1 AND NOT (objectid % 5 = 0 AND longitude BETWEEN x0 + 0.1 AND x0 + 0.3 AND latitude BETWEEN y0 + 0.1 AND y0 + 0.3) AND NOT (objectid % 5 = 2 AND longitude > x0 + 0.2)")
+def _(t):
+    rings = polygons.from_geojson(_footprints(t), "objectid", box=("x0", "y0", "x1", "y1"))
+    return polygons.points_in_polygons(t("wells"), rings, "well_api", strict=True).select("well_api", F.col("pid").alias("objectid"))
+
+
+_CONIC = (40.9, 41.95, 40.16666, -77.75)  # parallels and origin
+
+
+def _lambert_sql(lat: str, lon: str) -> tuple[str, str]:
+    """The conic projection on GRS80 in SQL."""
+    import math
+
+    e2, (a1, a2, a0, o) = 0.00669438002290, _CONIC
+    e, (p1, p2, p0) = math.sqrt(e2), map(math.radians, (a1, a2, a0))
+    m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    n = math.log(m(p1) / m(p2)) / math.log(t(p1) / t(p2))
+    scale = 6378137.0 * m(p1) / (n * t(p1) ** n)
+    rho = f"({scale!r}::DOUBLE * power(tan(pi() / 4 - radians({lat}) / 2) / power((1 - {e!r}::DOUBLE * sin(radians({lat}))) / (1 + {e!r}::DOUBLE * sin(radians({lat}))), {e / 2!r}::DOUBLE), {n!r}::DOUBLE))"
+    theta = f"({n!r}::DOUBLE * radians({lon} - ({o!r}::DOUBLE)))"
+    return f"({rho} * sin({theta}))", f"({scale * t(p0) ** n!r}::DOUBLE - {rho} * cos({theta}))"
+
+
+def faults_sql(wells: str) -> str:
+    """(well_api, fault_km) of all wells by brute force: a line of two segments for each region, west of most wells."""
+    (px, py), (ax, ay), (bx, by) = _lambert_sql("latitude", "longitude"), _lambert_sql("la", "lo"), _lambert_sql("lb", "lc")
+    return f"""SELECT well_api, round(min(sqrt(power(x - (x1 + t * (x2 - x1)), 2) + power(y - (y1 + t * (y2 - y1)), 2))) / 1000, 6) AS fault_km FROM (
+SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM (SELECT well_api, {px} AS x, {py} AS y FROM {wells} w) p,
+(SELECT {ax} AS x1, {ay} AS y1, {bx} AS x2, {by} AS y2 FROM (SELECT 39.0::DOUBLE + r_regionkey * 0.02 AS la, -81.0::DOUBLE + r_regionkey * 0.1 AS lo, 40.0::DOUBLE + r_regionkey * 0.02 AS lb, -80.9::DOUBLE + r_regionkey * 0.1 AS lc FROM region
+UNION ALL SELECT 40.0::DOUBLE + r_regionkey * 0.02, -80.9::DOUBLE + r_regionkey * 0.1, 40.3::DOUBLE + r_regionkey * 0.02, -80.2::DOUBLE + r_regionkey * 0.1 FROM region) g) s) u GROUP BY 1"""
+
+
+def fault_segments(t):
+    """The same lines, projected."""
+    corner = lambda lat, lon: F.struct(*[c.alias(n) for c, n in zip(projections.lambert_conic(lat + F.col("r_regionkey") * 0.02, lon + F.col("r_regionkey") * 0.1, *_CONIC), "xy", strict=True)])
+    return lines.segments_of(t("region").select(F.array(*[corner(F.lit(a), F.lit(b)) for a, b in ((39.0, -81.0), (40.0, -80.9), (40.3, -80.2))]).alias("points")))
+
+
+def well_places() -> tuple:
+    return projections.lambert_conic(F.col("latitude"), F.col("longitude"), *_CONIC)
+
+
+@q("jn14_nearest_line", faults_sql(W))
 def _(t):
-    pts = t("customer").select(F.col("c_custkey").alias("k"), ((F.col("c_custkey") * 37 % 1000) * 100.0).alias("x"), ((F.col("c_custkey") * 91 % 1000) * 100.0).alias("y"))
-    seg = t("region").select((F.col("r_regionkey") * 20000.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("r_regionkey") * 20000.0 + 15000).alias("x2"), F.lit(90000.0).alias("y2"))
-    return _out(spatial.nearest_line_km(pts, seg, "k", 5000.0))
+    x, y = well_places()
+    got = lines.nearest_line_km(t("wells").select("well_api", x.alias("x"), y.alias("y")), fault_segments(t), "well_api")
+    return _out(got.withColumnRenamed("line_km", "fault_km"))
 
 
 S, L = sql("scenes"), sql("locations")
@@ -419,10 +479,11 @@ def _(t):
     return spatial.away_from(t("regions"), t("regions").where("k % 101 = 0"), 2).select("region_id")
 
 
-@q("jn24_first_per_cell", f"SELECT gx AS grid_x, gy AS grid_y, min(county_name) AS county_name FROM (SELECT CAST(floor(longitude / 0.25) AS BIGINT) AS gx, CAST(floor(latitude / 0.25) AS BIGINT) AS gy, county_name FROM {W} w) x GROUP BY 1, 2")
+@q("jn24_first_per_cell", f"SELECT grid_x, grid_y, map_symbol, well_api FROM (SELECT *, row_number() OVER (PARTITION BY grid_x, grid_y ORDER BY map_symbol, objectid, well_api) AS r FROM (SELECT CAST(floor(longitude / 0.05::DOUBLE) AS BIGINT) AS grid_x, CAST(floor(latitude / 0.05::DOUBLE) AS BIGINT) AS grid_y, map_symbol, objectid, well_api FROM {W} w JOIN {sql('geology')} g ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1 AND NOT (objectid % 3 = 0 AND longitude > x0 + 0.1 AND longitude < x0 + 0.3 AND latitude > y0 + 0.1 AND latitude < y0 + 0.3)) x) y WHERE r = 1")
 def _(t):
-    rows = t("wells").select(F.floor(F.col("longitude") / 0.25).alias("grid_x"), F.floor(F.col("latitude") / 0.25).alias("grid_y"), "county_name")
-    return spatial.first_per_cell(rows, ["county_name"])
+    hits = polygons.points_in_polygons(t("wells"), polygons.from_parts(_polygons(t), "objectid"), "well_api").withColumnRenamed("pid", "objectid")
+    rows = hits.join(t("wells"), "well_api").join(t("geology").select("objectid", "map_symbol"), "objectid").select(F.floor(F.col("longitude") / 0.05).alias("grid_x"), F.floor(F.col("latitude") / 0.05).alias("grid_y"), "map_symbol", "objectid", "well_api")
+    return spatial.first_per_cell(rows, ["map_symbol", "objectid", "well_api"]).select("grid_x", "grid_y", "map_symbol", "well_api")
 
 
 @q("jn25_overlay", "SELECT coalesce(c_custkey, s_suppkey) AS k, coalesce(s_acctbal, c_acctbal) AS bal, c_mktsegment AS seg FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 3")

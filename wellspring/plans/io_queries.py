@@ -10,7 +10,7 @@ from ..sources import readers, sinks
 from ..sources.scratch import scratch
 from ..streaming import refresh
 from . import jobs
-from .core_queries import _AGG02, _PRORATED, _SINCE, _TILES, _WINDOWS, MO, P, S, W, _frac, _hav, _out, _polygons
+from .core_queries import _AGG02, _PRORATED, _SINCE, _TILES, _WINDOWS, MO, P, S, W, _frac, _hav, _out, _polygons, _quota, fault_segments, faults_sql, well_places
 from .core_queries import SQL as CORE
 from .fixtures import load, sql
 
@@ -242,11 +242,8 @@ def _neighbours(source: str, date: str, condition: str = "", value: str = "NULL"
 
 
 _COUNTS = "round(min(km) FILTER (WHERE km <= 20), 6) AS nearest, count(*) FILTER (WHERE km <= 2) AS n2, count(*) FILTER (WHERE km <= 5) AS n5"
-# faults: a line for each region; a degree is taken as 85 and 111 km
 SQL_FOCAL = CORE["win09_focal"]
-_FAULTS = f"""SELECT well_api, round(min(m) FILTER (WHERE m <= 30000) / 1000, 6) AS fault_km FROM (SELECT well_api, sqrt(power(x - (x1 + t * (x2 - x1)), 2) + power(y - (y1 + t * (y2 - y1)), 2)) AS m FROM (
-SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM (SELECT well_api, longitude * 85000.0::DOUBLE AS x, latitude * 111000.0::DOUBLE AS y FROM {W} w) p,
-(SELECT (-81 + r_regionkey * 0.4::DOUBLE) * 85000.0::DOUBLE AS x1, 39 * 111000.0::DOUBLE AS y1, (-80.7::DOUBLE + r_regionkey * 0.4::DOUBLE) * 85000.0::DOUBLE AS x2, 40.5::DOUBLE * 111000.0::DOUBLE AS y2 FROM region) s) u) v GROUP BY 1"""
+_FAULTS = faults_sql(W)
 _V1 = f"""SELECT w.well_api, CAST(w.at AS VARCHAR) AS context_date, coalesce(permit_count, 0) AS permit_count, CAST({_TRAINABLE} AND w.well_status NOT IN ('Duplicate','Proposed But Never Materialized') AS VARCHAR) AS trainable_v1,
 CAST(coalesce(y.well_api IS NOT NULL AND date_diff('day', w.spud_date, observed_first_prod_date) BETWEEN 0 AND 180 AND observed_rows >= 10, false) AS VARCHAR) AS label_f12_like_available,
 b.nearest AS well_nearest_km, coalesce(b.n2, 0) AS well_count_2km, coalesce(b.n5, 0) AS well_count_5km, c.nearest AS permit_nearest_km, coalesce(c.n2, 0) AS permit_count_2km, coalesce(c.n5, 0) AS permit_count_5km, h.elevation, h.slope_deg, h.relief, l.fault_km
@@ -263,9 +260,8 @@ _V1_COLUMNS = ("well_api", "context_date", "permit_count", "trainable_v1", "labe
 def _places(t) -> dict:
     """Basin, terrain and faults of the training tables."""
     tiles = t("dem").groupBy("tile").agg(F.lit(-81.0).alias("west"), F.lit(41.0).alias("north"), F.lit(0.1).alias("step_x"), F.lit(0.1).alias("step_y"), (F.max("r") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"))
-    faults = t("region").select(((F.lit(-81.0) + F.col("r_regionkey") * 0.4) * 85000).alias("x1"), F.lit(39 * 111000.0).alias("y1"), ((F.lit(-80.7) + F.col("r_regionkey") * 0.4) * 85000).alias("x2"), F.lit(40.5 * 111000).alias("y2"))
     counties = [r[0] for r in t("nation").where("n_nationkey % 4 <> 0").select(F.upper("n_name")).collect()]
-    return {"counties": counties, "terrain": (tiles, t("dem"), 30.0, 30.0), "faults": (faults, F.col("longitude") * 85000, F.col("latitude") * 111000, 30000.0)}
+    return {"counties": counties, "terrain": (tiles, t("dem"), 30.0, 30.0), "faults": (fault_segments(t), *well_places())}
 
 
 @q("job03_training_table_v1", _V1)
@@ -425,6 +421,35 @@ def _(t, spark, folder):
     return grid.select("grid_x", "grid_y", F.round("longitude", 6).alias("longitude"))
 
 
+_K0 = "(sqrt(0.75::DOUBLE) / sqrt(1 - 0.00669437999014::DOUBLE * 0.25))"
+
+
+def _northing(lat: str) -> str:
+    """Northing of the equal-area projection in SQL."""
+    e = "sqrt(0.00669437999014::DOUBLE)"
+    s_ = f"sin(radians({lat}))"
+    return f"(6378137.0::DOUBLE * (1 - {e} * {e}) * ({s_} / (1 - {e} * {e} * {s_} * {s_}) - ln((1 - {e} * {s_}) / (1 + {e} * {s_})) / (2 * {e})) / (2 * {_K0}))"
+
+
+# rectangles stay rectangles in this projection, so the oracle tests each grid point against each tile's projected sides
+_EAST = lambda lon: f"(6378137.0::DOUBLE * {_K0} * radians({lon}))"
+_LAND = f"SELECT objectid, map_symbol, name, {_EAST('x0')} AS w, {_EAST('x1')} AS e, {_northing('y0')} AS s, {_northing('y1')} AS n, {_EAST('x0 + 0.1')} AS hw, {_EAST('x0 + 0.3')} AS he, {_northing('y0 + 0.1')} AS hs, {_northing('y0 + 0.3')} AS hn FROM {sql('geology')} g"
+_SPACING = 4000.0
+_ON_LAND = f"""SELECT grid_x, grid_y, min({{'continent': map_symbol, 'country': name}}) AS b FROM ({_LAND}) l, (SELECT unnest(range(CAST(floor((SELECT min(w) FROM ({_LAND}) z) / {_SPACING}) AS BIGINT), CAST(ceil((SELECT max(e) FROM ({_LAND}) z) / {_SPACING}) AS BIGINT) + 1)) AS grid_x) a,
+(SELECT unnest(range(CAST(floor((SELECT min(s) FROM ({_LAND}) z) / {_SPACING}) AS BIGINT), CAST(ceil((SELECT max(n) FROM ({_LAND}) z) / {_SPACING}) AS BIGINT) + 1)) AS grid_y) c
+WHERE grid_x * {_SPACING} BETWEEN w AND e AND grid_y * {_SPACING} BETWEEN s AND n AND NOT (objectid % 3 = 0 AND grid_x * {_SPACING} > hw AND grid_x * {_SPACING} < he AND grid_y * {_SPACING} > hs AND grid_y * {_SPACING} < hn) GROUP BY 1, 2"""
+_BAND_OF = f"CASE WHEN grid_y * {_SPACING} >= {_northing('40.0::DOUBLE')} THEN 'lat_p40_p41' ELSE 'lat_p39_p40' END"
+_CANDIDATES = f"(SELECT concat('cand_004km_xm', lpad(CAST(-grid_x AS VARCHAR), 6, '0'), '_yp', lpad(CAST(grid_y AS VARCHAR), 6, '0')) AS region_id, concat(b.continent, '__', {_BAND_OF}) AS bucket_id, grid_x, grid_y, b.country AS country_bucket FROM ({_ON_LAND}) o)"
+
+
+@q("job11_candidates", f"SELECT q.region_id, q.bucket_id, c.country_bucket, c.grid_x, c.grid_y, round(degrees((c.grid_x * {_SPACING} - 1000) / (6378137.0::DOUBLE * {_K0})), 6) AS min_lon FROM ({_quota('SELECT 300', 0.5, 'region', _CANDIDATES)}) q JOIN {_CANDIDATES} c ON q.region_id = c.region_id")
+def _(t, spark, folder):
+    """Regions of 2 km on a 4 km grid over the tiles of geology."""
+    land = _polygons(t).join(t("geology").select("objectid", "name"), "objectid").select(F.col("objectid").alias("land_id"), F.col("map_symbol").alias("continent_bucket"), F.col("name").alias("country_bucket"), "parts")
+    got = jobs.candidate_regions(land, 4000.0, 2000.0, 300, 0.5, 1.0, "cand")
+    return _out(got.select("region_id", "bucket_id", "country_bucket", "grid_x", "grid_y", "min_lon"))
+
+
 _TITLE = "array_to_string(list_transform(string_split(lower(county_name), ' '), lambda w: concat(upper(w[1]), w[2:])), ' ')"
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import asof, life, merging, sampling, spatial, summaries
+from ..functions import projections
+from ..operators import asof, life, lines, merging, polygons, sampling, spatial, summaries
+from ..sources.scratch import materialize
 
 #: Thresholds of the observed-gas labels.
 OBSERVED_THRESHOLDS = (1_000, 10_000, 50_000, 100_000, 250_000, 500_000, 1_000_000)
@@ -15,7 +17,7 @@ OBSERVED_THRESHOLDS = (1_000, 10_000, 50_000, 100_000, 250_000, 500_000, 1_000_0
 def training_table_v0(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str]) -> DataFrame:
     """JOB-02: wells with permit and production aggregates, geology, status flags and observed-gas labels (null where not trainable)."""
     joined = wells.join(life.permit_summary(permits), "well_api", "left").join(life.production_summary(production).withColumn("has_production", F.lit(True)), "well_api", "left")
-    joined = joined.join(spatial.points_in_polygons(wells, geology, "well_api", "objectid", attributes), "well_api", "left")
+    joined = joined.join(polygons.polygon_attributes(wells, geology, "well_api", "objectid", attributes), "well_api", "left")
     flags = C.status_flags(F.col("well_status"), F.col("has_production"))
     table = joined.fillna(0, ["permit_count", "observed_rows"]).fillna(0.0, ["observed_gas", "observed_gas_avg", "observed_gas_max"]).fillna(False, ["has_production"]).withColumns(flags)
     labels = {"label_obs_gt_0": F.col("observed_gas") > 0} | {f"label_obs_ge_{t}": F.col("observed_gas") >= t for t in OBSERVED_THRESHOLDS}
@@ -29,44 +31,59 @@ def basin_scope(wells: DataFrame, counties: list[str]) -> DataFrame:
 
 def place_features(wells: DataFrame, terrain: tuple | None, faults: tuple | None) -> DataFrame:
     """well_api with elevation, slope_deg and relief of the raster cell under it (WIN-09, WIN-10), and fault_km (JN-14).
-    terrain: (tiles, heights, cell width and height in metres); faults: (segments, x and y of a well in their projection, cap in metres)."""
+    terrain: (tiles, heights, cell width and height in metres); faults: (segments, x and y of a well in their projection)."""
     out = wells.select("well_api")
     if terrain:
         tiles, heights, dx, dy = terrain
         out = out.join(spatial.raster_at(wells, tiles, spatial.focal_stats(heights, dx, dy), "well_api", ["elevation", "slope_deg", "relief"]), "well_api", "left").drop("tile", "r", "c")
     if faults:
-        segments, x, y, cap = faults
-        out = out.join(spatial.nearest_line_km(wells.select("well_api", x.alias("x"), y.alias("y")), segments, "well_api", cap).withColumnRenamed("line_km", "fault_km"), "well_api", "left")
+        segments, x, y = faults
+        out = out.join(lines.nearest_line_km(wells.select("well_api", x.alias("x"), y.alias("y")), segments, "well_api").withColumnRenamed("line_km", "fault_km"), "well_api", "left")
     return out
 
 
-def training_table_v1(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str], counties: list[str] | None = None, terrain: tuple | None = None, faults: tuple | None = None) -> DataFrame:
-    """JOB-03: v0 of the basin's wells and permits with terrain, fault distance and as-of neighbour features among them, the newer trainable rule,
-    and whether the label is like a first year's: first production 0 to 180 days after spud and at least 10 records."""
-    scope = basin_scope(wells, counties) if counties else wells
-    permits = permits.where(F.upper(F.trim("county_name")).isin(*counties)) if counties else permits
-    table = training_table_v0(scope, permits, production, geology, attributes)
-    dated = table.withColumn("context_date", C.context_date(C.credible_spud(F.col("spud_date")), F.col("first_permit_issued_date")))
-    targets = dated.select("well_api", "latitude", "longitude", F.col("context_date").alias("at"))
-    near_wells = asof.neighbour_stats(targets, targets.select("latitude", "longitude", F.col("at").alias("since")), "well_api", [2, 5], 20, ("at", "since"))
+def well_targets(wells: DataFrame, permits: DataFrame) -> DataFrame:
+    """well_api, latitude, longitude and `at`, the context date: a credible spud date, else the first permit. Written once, since every as-of join asks with it."""
+    first = permits.groupBy("well_api").agg(F.min("permit_issued_date").alias("first"))
+    at = C.context_date(C.credible_spud(F.col("spud_date")), F.col("first"))
+    return materialize(wells.select("well_api", "latitude", "longitude", "spud_date").join(first, "well_api", "left").select("well_api", "latitude", "longitude", at.alias("at")), "well-targets")
+
+
+def _scoped(wells: DataFrame, permits: DataFrame, counties: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    if not counties:
+        return wells, permits
+    return basin_scope(wells, counties), permits.where(F.upper(F.trim("county_name")).isin(*counties))
+
+
+def _v1(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str], targets: DataFrame, terrain: tuple | None, faults: tuple | None) -> DataFrame:
+    """v1 of wells and permits in scope, around their targets."""
+    table = training_table_v0(wells, permits, production, geology, attributes)
+    near_wells = asof.neighbour_stats(targets, targets.withColumnRenamed("at", "since"), "well_api", [2, 5], 20, ("at", "since"))
     near_permits = asof.neighbour_stats(targets, permits.select("latitude", "longitude", "permit_issued_date"), "well_api", [2, 5], 20, ("at", "permit_issued_date"))
     near_wells, near_permits = (df.withColumnsRenamed({c: f"{kind}_{c}" for c in df.columns if c != "well_api"}) for kind, df in (("well", near_wells), ("permit", near_permits)))
     gap = F.datediff("observed_first_prod_date", "spud_date")
     like = F.coalesce(F.col("has_production") & gap.between(0, 180) & (F.col("observed_rows") >= 10), F.lit(False))
-    out = dated.join(place_features(scope, terrain, faults), "well_api", "left") if terrain or faults else dated
+    out = table.join(targets.select("well_api", F.col("at").alias("context_date")), "well_api", "left")
+    out = out.join(place_features(wells, terrain, faults), "well_api", "left") if terrain or faults else out
     return out.join(near_wells, "well_api", "left").join(near_permits, "well_api", "left").withColumn("label_f12_like_available", like)
 
 
-def training_table_v2(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str], **v1) -> DataFrame:
-    """JOB-04: v1 (with its options) and true first-life labels and the value of mature neighbours, those whose first year is known and began before."""
-    table = training_table_v1(wells, permits, production, geology, attributes, **v1)
-    wells = basin_scope(wells, v1["counties"]) if v1.get("counties") else wells
-    labels = life.day_prorated_labels(wells, production)
-    mature = wells.select("well_api", "latitude", "longitude").join(labels.where("label_f12_available").select("well_api", F.col("first_prod_date").alias("mature_date"), "f12_gas"), "well_api")
-    targets = table.select("well_api", "latitude", "longitude", F.col("context_date").alias("at"))
+def training_table_v1(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str], counties: list[str] | None = None, terrain: tuple | None = None, faults: tuple | None = None) -> DataFrame:
+    """JOB-03: v0 of the basin's wells and permits with terrain, fault distance and as-of neighbour features among them, the newer trainable rule,
+    and whether the label is like a first year's: first production 0 to 180 days after spud and at least 10 records."""
+    wells, permits = _scoped(wells, permits, counties)
+    return _v1(wells, permits, production, geology, attributes, well_targets(wells, permits), terrain, faults)
+
+
+def training_table_v2(wells: DataFrame, permits: DataFrame, production: DataFrame, geology: DataFrame, attributes: list[str], counties: list[str] | None = None, terrain: tuple | None = None, faults: tuple | None = None) -> DataFrame:
+    """JOB-04: v1 and true first-life labels and the value of mature neighbours, those whose first year is known and began before."""
+    wells, permits = _scoped(wells, permits, counties)
+    targets = well_targets(wells, permits)
+    labels = materialize(life.day_prorated_labels(wells, production), "labels")
+    mature = targets.select("well_api", "latitude", "longitude").join(labels.where("label_f12_available").select("well_api", F.col("first_prod_date").alias("mature_date"), "f12_gas"), "well_api")
     stats = asof.neighbour_stats(targets, mature, "well_api", [5, 10], 10, ("at", "mature_date"), "f12_gas")
     stats = stats.withColumnsRenamed({c: f"mature_{c}" for c in stats.columns if c != "well_api"})
-    out = table.join(labels, "well_api", "left").join(stats, "well_api", "left")
+    out = _v1(wells, permits, production, geology, attributes, targets, terrain, faults).join(labels, "well_api", "left").join(stats, "well_api", "left")
     return out.withColumns(C.threshold_labels(F.col("f12_gas"), F.col("label_f12_available"), "label_f12", C.F12_THRESHOLDS) | C.threshold_labels(F.col("f24_gas"), F.col("label_f24_available"), "label_f24", C.F24_THRESHOLDS))
 
 
@@ -85,7 +102,7 @@ def prospect_cells(wells: DataFrame, geology: DataFrame, attributes: list[str],
 
     cells = summaries.occupied_cells(wells, step).select(F.concat_ws("_", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("cell_id"), ((F.col("cx") + 0.5) * step).alias("longitude"), ((F.col("cy") + 0.5) * step).alias("latitude"))
     stats = asof.neighbour_stats(cells, wells, "cell_id", [radius_km], radius_km, value=value)
-    table = cells.join(stats, "cell_id").join(spatial.points_in_polygons(cells, geology, "cell_id", "objectid", attributes), "cell_id", "left")
+    table = cells.join(stats, "cell_id").join(polygons.polygon_attributes(cells, geology, "cell_id", "objectid", attributes), "cell_id", "left")
     scored = average_rank_percentile(table.withColumn("score", F.col(f"median_{radius_km:g}km")), "score", "score_percentile")
     return scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
 
@@ -99,7 +116,7 @@ def prospect_surface(wells: DataFrame, geology: DataFrame, attributes: list[str]
     found = spatial.within(cells, wells, "cell_id", most_km, ["well_api", "county_name"])
     best = found.groupBy("cell_id").agg(F.min_by(F.struct("s_well_api", "s_county_name", "km"), F.struct("km", "s_well_api")).alias("b"))
     near = best.select("cell_id", F.col("b.s_well_api").alias("nearest_well_api"), F.col("b.s_county_name").alias("county_name"), F.col("b.km").alias("nearest_well_distance_km"))
-    table = cells.join(near, "cell_id").join(spatial.points_in_polygons(cells, geology, "cell_id", "objectid", attributes), "cell_id", "left")
+    table = cells.join(near, "cell_id").join(polygons.polygon_attributes(cells, geology, "cell_id", "objectid", attributes), "cell_id", "left")
     scored = average_rank_percentile(table.withColumn("score", score), "score", "score_percentile")
     return scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
 
@@ -130,6 +147,25 @@ def centres(regions: DataFrame, anchors: int, isolated: int, separation: int, ra
     return first.select("region_id", "bucket_id", F.lit("anchor").alias("kind")).unionByName(rest.select("region_id", "bucket_id", F.lit("isolated").alias("kind")))
 
 
+def candidate_regions(land: DataFrame, spacing_m: float, side_m: float, target: int, equal_share: float, band: float, prefix: str, standard: float = 30.0) -> DataFrame:
+    """JOB-11: regions drawn by bucket (continent and latitude band) from the equal-area grid points on land, with their boxes.
+
+    land: land_id, continent_bucket, country_bucket and parts in longitude and latitude. Of the polygons on a grid point the first by continent
+    and country counts. Grid points are made inside polygons only.
+    """
+    place = lambda p: F.struct(*[c.alias(n) for c, n in zip(projections.equal_area(p["y"], p["x"], standard), "xy", strict=True)])
+    rings = polygons.from_parts(land, "land_id").withColumn("points", F.transform("points", place))
+    inside = polygons.grid_points_inside(rings, spacing_m).join(land.select(F.col("land_id").alias("pid"), "continent_bucket", "country_bucket"), "pid")
+    first = inside.groupBy("grid_x", "grid_y").agg(F.min(F.struct("continent_bucket", "country_bucket")).alias("b")).select("grid_x", "grid_y", "b.*")
+    x, y = F.col("grid_x") * spacing_m, F.col("grid_y") * spacing_m
+    lat, lon = projections.equal_area_inverse(x, y, standard)
+    centres_ = first.withColumns({"center_latitude": lat, "center_longitude": lon}).withColumn("latitude_band", C.latitude_band(F.col("center_latitude"), band))
+    named = centres_.withColumns({"bucket_id": F.concat("continent_bucket", F.lit("__"), "latitude_band"), "region_id": C.region_id(prefix, round(spacing_m / 1000), F.col("grid_x"), F.col("grid_y"))})
+    chosen = sampling.quota_sample(materialize(named, "candidates"), "bucket_id", "region_id", target, equal_share, "region")
+    (south, west), (north, east) = (projections.equal_area_inverse(x + d, y + d, standard) for d in (-side_m / 2, side_m / 2))
+    return chosen.withColumns({"min_lon": west, "min_lat": south, "max_lon": east, "max_lat": north})
+
+
 def canonical_tables(wells: DataFrame, permits: DataFrame, production: DataFrame) -> dict[str, DataFrame]:
     """JOB-01: typed wells, permits and production from raw columns of one state."""
     clean = wells.select(C.well_id(F.col("well_api")).alias("well_api"), F.initcap(F.trim("county_name")).alias("county_name"), C.number(F.col("latitude")).alias("latitude"), C.number(F.col("longitude")).alias("longitude"), F.trim("well_status").alias("well_status"), C.credible_spud(F.col("spud_date")).alias("spud_date"))
