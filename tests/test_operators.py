@@ -391,3 +391,11 @@ def test_ridge_probe_is_the_closed_form(spark):
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     w = np.linalg.solve(z.T @ z + 5 * np.eye(4), z.T @ (y - y.mean()))
     assert got.tolist() == pytest.approx((y.mean() + z @ w).tolist(), abs=1e-6)
+
+
+@pytest.mark.parametrize("values", [[3.0, 1.0, 2.0, 2.0], [1e308, -1e308, 0.0, 5e-324, 1.0] * 3, [float(i % 7) for i in range(5000)], [i * 1e-9 for i in range(3000)] + [1e9]])
+def test_order_statistics_by_selection(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    ranks = [0, len(values) // 3, len(values) // 2, len(values) - 1]
+    assert metrics.order_statistics(df, "v", ranks, bins=8, few=2) == {r: sorted(values)[r] for r in ranks}
+    assert metrics.order_statistics(df.limit(0), "v", [0]) == {}

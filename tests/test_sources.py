@@ -1,5 +1,8 @@
 """Readers, sinks and streams on small files."""
 
+import json
+import random
+import shutil
 import zipfile
 
 import pytest
@@ -22,6 +25,9 @@ def test_raw_csv_keeps_text_and_drops_the_mark(spark, tmp_path):
     assert got.columns == ["well_api", "gas_oil"] and got.first()[:] == ("007", "1.50")
     (tmp_path / "b.csv").write_bytes("name\nPe\xf1a\n".encode("latin-1"))
     assert readers.read_raw_csv(spark, str(tmp_path / "b.csv"), "ISO-8859-1").first()[0] == "Peña"
+    (tmp_path / "c.csv").write_bytes("\ufeffname,more\nJosé,2\n".encode())
+    got = readers.read_raw_csv(spark, [str(tmp_path / x) for x in ("b.csv", "c.csv")])
+    assert sorted((r.name, r.more) for r in got.collect()) == [("José", "2"), ("Peña", None)]
 
 
 def test_manifested_files(spark, tmp_path):
@@ -59,6 +65,69 @@ def test_mainframe(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.mainframe_production(order).select(*names).collect()) == want
 
 
+def test_mainframe_files_are_apart(spark, tmp_path):
+    """What the first file's last root and cycle say doesn't hold in the second."""
+    root = record("01", b"\xc7" + zoned("02") + zoned("000042"))
+    (tmp_path / "a.bin").write_bytes(b"".join([root, record("14", zoned("2103")), record("15", packed(1) * 3)]))
+    (tmp_path / "b.bin").write_bytes(b"".join([record("15", packed(9) * 3), record("14", zoned("2104")), record("15", packed(8) * 3), root, record("15", packed(7) * 3), record("14", zoned("2105")), record("15", packed(2) * 3)]))
+    got = readers.mainframe_production(readers.read_mainframe(spark, str(tmp_path), batch=2)).select("cycle_key", "gas_mcf").collect()
+    assert sorted(tuple(r) for r in got) == [("2103", 1), ("2105", 2)]
+
+
+def test_collections_are_cut_anywhere(spark, tmp_path):
+    """Small byte ranges, braces and quotes in texts, members before and after the features, other arrays of objects."""
+    rng = random.Random(4)
+    odd = ["}", "{", '"', "\\", "]", "[", "a", "é", "\n", ",", '"features": [', "x" * 50]
+    features = [{"type": "Feature", "properties": {"k": i, "Some Text": "".join(rng.choice(odd) for _ in range(rng.randint(0, 40))), "inner": None}, "geometry": {"type": "Point", "coordinates": [i / 8, -i / 4]}} for i in range(300)]
+    one = {"type": "FeatureCollection", "crs": {"a": {"b": [1, 2]}}, "features": features[:200], "links": [{"rel": "next", "type": "text"}, {"rel": "x"}], "n": {"z": 1}}
+    two = {"features": features[200:]}
+    for name, c in (("a", one), ("b", two), ("c", {"type": "FeatureCollection", "features": []})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(c, indent=rng.choice([None, 2]), ensure_ascii=False))
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("777b", had):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.read_features(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+        assert sorted((r.k, r.some_text, r.longitude, r.latitude) for r in got) == [(f["properties"]["k"], f["properties"]["Some Text"], *f["geometry"]["coordinates"]) for f in features]
+
+
+def test_replacing_an_index(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    assert sinks.index_version(spark, path) == 0
+    assert sinks.replace_index(spark.range(3), path, 0) == 1
+    old = sinks.read_index(spark, path)
+    assert sinks.replace_index(spark.range(5), path, 1) == 2
+    for stale in (0, 1):
+        with pytest.raises(sinks.Conflict):
+            sinks.replace_index(spark.range(9), path, stale)
+    assert (old.count(), sinks.read_index(spark, path).count(), sinks.read_index(spark, path, 1).count()) == (3, 5, 3)
+
+
+def test_upsert_stream_writes_batches_and_compacts(spark, tmp_path):
+    path, key = f"{tmp_path}/catalog", ["id"]
+    spark.range(1000).selectExpr("id", "0L as v").write.parquet(f"{tmp_path}/in")
+    for i in range(1, 5):
+        stream = spark.readStream.schema("id long, v long").parquet(f"{tmp_path}/in")
+        refresh.upsert_stream(stream, path, key, f"{tmp_path}/p", buckets=2, compact_every=3).trigger(availableNow=True).start().awaitTermination()
+        spark.sql(f"select {i}L as id, {i}L as v union all select {1000 + i}L, {i}L").write.mode("append").parquet(f"{tmp_path}/in")
+        if i == 2:  # two batches so far: the second wrote its two rows, not the catalog
+            assert spark.read.parquet(f"{path}/delta/v=1").count() == 2
+            assert refresh.catalog(spark, path, key).count() == 1001
+    got = {r.id: r.v for r in refresh.catalog(spark, path, key).collect()}
+    assert len(got) == 1003 and (got[1], got[3], got[4], got[1003]) == (1, 3, 0, 3)
+    # the third batch made a new base, and what it replaced is gone
+    assert not (tmp_path / "catalog/delta/v=1").exists() and spark.read.parquet(f"{path}/base/v=2").count() == 1002
+    # a replay changes nothing
+    before = refresh._state(spark, path)
+    shutil.rmtree(tmp_path / "p/commits")
+    stream = spark.readStream.schema("id long, v long").parquet(f"{tmp_path}/in")
+    refresh.upsert_stream(stream, path, key, f"{tmp_path}/p", buckets=2, compact_every=99).trigger(availableNow=True).start().awaitTermination()
+    again = {r.id: r.v for r in refresh.catalog(spark, path, key).collect()}
+    assert {k: v for k, v in again.items() if k not in (4, 1004)} == {k: v for k, v in got.items() if k not in (4, 1004)} and refresh._state(spark, path)[0] == before[0]
+
+
 def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("Ref Table.csv", "Some Name,v\nx,1\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, floor, isfinite
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +61,47 @@ def iou(pixels: DataFrame, classes: list[int], pred: str = "pred", target: str =
     return got.withColumn("mean_iou", sum(F.col(f"iou_{c}") for c in classes) / len(classes))
 
 
+def order_statistics(df: DataFrame, column: str, ranks: list[int], bins: int = 1024, few: int = 4096) -> dict[int, float]:
+    """The values at given ranks (from 0) of a column of doubles without nulls, by distributed selection: a histogram between the least and the
+    largest value tells in which bin each rank lies, and only these bins are counted further. A bin of few rows is sorted, one of equal values is done; no buffer holds all distinct values."""
+    found: dict[int, float] = {}
+    edge = df.agg(F.min(column), F.max(column)).first()
+    open_ = {r: (edge[0], edge[1], r) for r in ranks} if edge[0] is not None else {}  # least, largest, rank among the rows between
+    found |= {r: lo for r, (lo, hi, _) in open_.items() if lo == hi}
+    open_ = {r: x for r, x in open_.items() if r not in found}
+    v = F.col(column)
+    share = lambda lo, hi: (v - lo) / (hi - lo) if isfinite(hi - lo) else (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    while open_:
+        spans = sorted({x[:2] for x in open_.values()})  # as many as ranks, and apart from each other
+        span = F.coalesce(*[F.when((v >= lo) & (v <= hi), F.lit(i)) for i, (lo, hi) in enumerate(spans)])
+        place_in = F.coalesce(*[F.when((v >= lo) & (v <= hi), F.least(F.floor(share(lo, hi) * bins).cast("int"), F.lit(bins - 1))) for lo, hi in spans])
+        counts: dict[tuple, list] = {}
+        for i, _, n, least, most in df.groupBy(span.alias("span"), place_in.alias("bin")).agg(F.count("*"), F.min(column), F.max(column)).where("span is not null").orderBy("span", "bin").collect():
+            counts.setdefault(spans[i], []).append((n, least, most))
+        left = {}
+        for r, (lo, hi, place) in open_.items():
+            for n, least, most in counts[lo, hi]:
+                if place < n:
+                    break
+                place -= n
+            if least == most:
+                found[r] = least
+            elif n <= few:
+                found[r] = df.where((v >= least) & (v <= most)).select(column).orderBy(column).collect()[place][0]
+            else:
+                left[r] = (least, most, place)
+        open_ = left
+    return found
+
+
 def score_distribution(df: DataFrame, score: str) -> DataFrame:
-    """AGG-31."""
-    q = F.percentile(score, F.array(F.lit(0.5), F.lit(0.9)))
-    return df.agg(F.min(score).alias("min_score"), q[0].alias("p50"), q[1].alias("p90"), F.max(score).alias("max_score"), F.count(score).alias("n_scored"))
+    """AGG-31: least and largest known score, median and 90 % quantile between the two nearest ranks, and how many are known."""
+    known = materialize(df.select(F.col(score).cast("double").alias("score")).where("score is not null and not isnan(score)"), "scores")
+    n = known.count()
+    places = {q: q * (n - 1) for q in (0.5, 0.9)}
+    at = order_statistics(known, "score", sorted({f(p) for p in places.values() for f in (floor, ceil)})) if n else {}
+    cut = {q: at[floor(p)] + (p - floor(p)) * (at[ceil(p)] - at[floor(p)]) if n else None for q, p in places.items()}
+    return known.agg(F.min("score").alias("min_score"), F.lit(cut[0.5]).cast("double").alias("p50"), F.lit(cut[0.9]).cast("double").alias("p90"), F.max("score").alias("max_score"), F.count("score").alias("n_scored"))
 
 
 def pool_vectors(df: DataFrame, key: str, vector: str, steps: int, normalise: bool) -> DataFrame:

@@ -10,7 +10,7 @@ from ..sources import readers, sinks
 from ..sources.scratch import scratch
 from ..streaming import refresh
 from . import jobs
-from .core_queries import _AGG02, _PRORATED, _SINCE, _TILES, _WINDOWS, MO, P, S, W, _frac, _hav, _out, _polygons, _quota, fault_segments, faults_sql, well_places
+from .core_queries import _AGG02, _PRORATED, _SINCE, _TILES, _WINDOWS, MO, P, S, W, _frac, _hav, _out, _polygons, _box_text, _quota, fault_segments, faults_sql, well_places
 from .core_queries import SQL as CORE
 from .fixtures import load, sql
 
@@ -35,10 +35,12 @@ def _(t, spark, folder):
     return readers.read_table(spark, f"{folder}/customer.parquet").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@q("src02_raw_csv", "SELECT CAST(c_custkey AS VARCHAR) AS cust_key, c_name AS full_name FROM customer")
+@q("src02_raw_csv", "SELECT CAST(c_custkey AS VARCHAR) AS cust_key, concat(c_name, ' é') AS full_name FROM customer")
 def _(t, spark, folder):
-    path = scratch(spark, "csv") + ".csv"
-    sinks.write_table(t("customer").select(F.col("c_custkey").alias("Cust Key"), F.col("c_name").alias("fullName")), path)
+    """Files in UTF-8 with a byte-order mark, and files in latin-1, in one folder."""
+    path, rows = scratch(spark, "csv"), t("customer").select(F.col("c_custkey").cast("string").alias("k"), F.concat("c_name", F.lit(" é")).alias("name"))
+    for encoding, mark, part in (("UTF-8", "\ufeff", rows.where("k % 2 = 0")), ("ISO-8859-1", "", rows.where("k % 2 = 1"))):
+        part.toDF(f"{mark}Cust Key", "fullName").write.mode("append").option("header", True).option("encoding", encoding).csv(path)
     return readers.read_raw_csv(spark, path)
 
 
@@ -69,14 +71,25 @@ def _(t, spark, folder):
     return got.select("scene_id", "collection", "cloud_cover", F.round("bbox_west", 9).alias("bbox_west"), F.round("bbox_north", 9).alias("bbox_north"), "instruments", "assets")
 
 
-@q("src05_polygon_bbox", f"SELECT objectid, x0 AS west, y0 AS south, x1 AS east, y1 AS north FROM {sql('geology')} g")
+@q("src05_polygon_bbox", f"SELECT concat('s', CAST(objectid AS VARCHAR)) AS scene_id, CASE WHEN objectid % 4 = 1 THEN NULL ELSE objectid * 1.0::DOUBLE END AS cloud_cover, concat('2021-03-', lpad(CAST(1 + objectid AS VARCHAR), 2, '0')) AS acquired, concat('t', CAST(objectid AS VARCHAR)) AS thumbnail_href, CASE WHEN objectid % 5 < 3 THEN x0 END AS bbox_west, CASE WHEN objectid % 5 < 3 THEN y0 END AS bbox_south, CASE WHEN objectid % 5 = 1 THEN x1 + 1 WHEN objectid % 5 < 3 THEN x1 END AS bbox_east, CASE WHEN objectid % 5 < 3 THEN y1 END AS bbox_north FROM {sql('geology')} g")
 def _(t, spark, folder):
-    corners = [F.array(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]
-    box = readers.polygon_bbox(F.array(F.array(*corners)))
-    return _out(t("geology").select(F.col("objectid").cast("long"), *[c.alias(n) for n, c in box.items()]), 9)
+    """One collection of polygons, multi-polygons and missing geometries, with braces and quotes in its texts."""
+    path = scratch(spark, "polygon-scenes")
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    ring, kind = _box_text(x0, x1, y0, y1), F.col("objectid") % 5
+    polygon = F.concat(F.lit('{"type":"Polygon","coordinates":['), ring, F.lit("]}"))
+    many = F.concat(F.lit('{"type": "MultiPolygon", "coordinates": [['), ring, F.lit("],["), _box_text(x0 + 1, x1 + 1, y0, y1), F.lit("]]}"))
+    geometry = F.when(kind == 0, polygon).when(kind == 1, many).when(kind == 2, polygon).when(kind == 3, "null").otherwise('{"type": "GeometryCollection"}')
+    feature = F.concat(F.lit('{"id": "s'), F.col("objectid"), F.lit('", "_links": {"thumbnail": "t'), F.col("objectid"), F.lit('"}, "properties": {"note": "}] \\" {\\\\", "cloud_cover": '), F.when(F.col("objectid") % 4 == 1, F.lit('"none"')).otherwise(F.col("objectid").cast("string")), F.lit(', "acquired": "2021-03-'), F.lpad((F.col("objectid") + 1).cast("string"), 2, "0"), F.lit('T01:02:03Z"}, "geometry": '), geometry, F.lit(',\n "type": "Feature"}'))
+    # one document over many lines, made by one task, as a catalog's file is
+    lines = t("geology").select(F.col("objectid").alias("n"), F.concat(feature, F.when(F.col("objectid") < F.lit(24), ",").otherwise("]}")).alias("value"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("n"), F.lit('{"type": "FeatureCollection", "crs": {"name": "features"}, "features": [').alias("value"))
+    head.unionByName(lines.withColumn("n", F.col("n").cast("long"))).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    got = readers.read_polygon_catalog(spark, path, "polygon_scenes")
+    return _out(got.select("scene_id", "cloud_cover", "acquired", "thumbnail_href", "bbox_west", "bbox_south", "bbox_east", "bbox_north"), 9)
 
 
-SQL["src05_polygon_bbox"] = f"SELECT CAST(objectid AS BIGINT) AS objectid, round(CAST(x0 AS DOUBLE), 9) AS west, round(CAST(y0 AS DOUBLE), 9) AS south, round(CAST(x1 AS DOUBLE), 9) AS east, round(CAST(y1 AS DOUBLE), 9) AS north FROM {sql('geology')} g"
+SQL["src05_polygon_bbox"] = "SELECT scene_id, round(cloud_cover, 9) AS cloud_cover, acquired, thumbnail_href, round(bbox_west::DOUBLE, 9) AS bbox_west, round(bbox_south::DOUBLE, 9) AS bbox_south, round(bbox_east::DOUBLE, 9) AS bbox_east, round(bbox_north::DOUBLE, 9) AS bbox_north FROM (" + SQL["src05_polygon_bbox"] + ") z"
 
 
 @q("src08_json_lines", "SELECT doc_id, n_chars FROM documents")
@@ -133,7 +146,7 @@ def _(t, spark, folder):
     amounts = months.select(key, month, F.lit(2), F.concat(F.lit("F1F5"), packed("gas"), packed("oil"), packed("water")))
     records = root.union(cycle).union(amounts).repartitionByRange("well").sortWithinPartitions("well", "month", "n")
     records.select(F.unhex(F.rpad("hex", 202, "40")).cast("string").alias("value")).write.text(path)
-    return _out(readers.mainframe_production(readers.read_mainframe(spark, path)).drop("part", "position"))
+    return _out(readers.mainframe_production(readers.read_mainframe(spark, path)).drop("file", "part", "position"))
 
 
 def _archives(t, path: str) -> None:
@@ -211,12 +224,25 @@ def _(t, spark, folder):
     return _out(back.select(F.col("properties.objectid").cast("long").alias("objectid"), F.col("geometry.type").alias("kind"), F.round(F.array_min(F.transform(ring, lambda p: p[0])), 5).alias("west"), F.round(F.array_max(F.transform(ring, lambda p: p[1])), 5).alias("north"), F.size(ring).alias("corners")))
 
 
-@q("snk04_append", "SELECT count(*) * 2 AS n FROM part")
+@q("snk04_append", "SELECT p_partkey, p_name FROM part UNION ALL SELECT p_partkey + 1000000, p_name FROM part")
 def _(t, spark, folder):
     path = scratch(spark, "append")
-    for _i in range(2):
-        sinks.append_rows(t("part"), path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    for more in (0, 1_000_000):
+        sinks.append_rows(t("part").select((F.col("p_partkey") + more).alias("p_partkey"), "p_name"), path)
+    return spark.read.parquet(path)
+
+
+@q("snk04_replace", "SELECT p_partkey, p_size + 1 AS p_size FROM part")
+def _(t, spark, folder):
+    """Two writers begin from one version: the first wins, the second gets a conflict and leaves the index as it is."""
+    path, parts = scratch(spark, "index"), t("part").select("p_partkey", "p_size")
+    first = sinks.replace_index(parts, path, 0)
+    sinks.replace_index(sinks.read_index(spark, path).withColumn("p_size", F.col("p_size") + 1), path, first)
+    try:
+        sinks.replace_index(parts.limit(1), path, first)
+    except sinks.Conflict:
+        return sinks.read_index(spark, path)
+    raise AssertionError("two writers replaced one version")
 
 
 @q("snk05_publish", "SELECT p_brand, count(*) AS n, '2024-02' AS snapshot_id FROM part GROUP BY 1")
@@ -403,14 +429,14 @@ def _(t, spark, folder):
 
 @q("str01_upsert_stream", f"SELECT id, CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM (SELECT id, day, value FROM {sql('catalog_new')} n UNION ALL SELECT id, day, value FROM {sql('catalog_old')} o WHERE id NOT IN (SELECT id FROM {sql('catalog_new')} n)) u")
 def _(t, spark, folder):
-    """Old rows come first, fresh ones in a second micro-batch."""
+    """Old rows come first, fresh ones in a second micro-batch; base and delta are merged when they are read."""
     path, source = scratch(spark, "catalog"), scratch(spark, "source")
     for name in ("catalog_old", "catalog_new"):
         df = t(name)
         df.write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
-        refresh.upsert_stream(stream, path, ["id"], f"{path}_progress").trigger(availableNow=True).start().awaitTermination()
-    return _out(refresh.catalog(spark, path))
+        refresh.upsert_stream(stream, path, ["id"], f"{path}_progress", compact_every=1 if name == "catalog_old" else 16).trigger(availableNow=True).start().awaitTermination()
+    return _out(refresh.catalog(spark, path, ["id"]))
 
 
 @q("gen02_equal_area_grid", f"WITH b AS (SELECT CAST(floor(min(longitude) * 1e5 / 2e4) AS BIGINT) AS x0, CAST(ceil(max(longitude) * 1e5 / 2e4) AS BIGINT) AS x1, CAST(floor(min(latitude) * 1e5 / 2e4) AS BIGINT) AS y0, CAST(ceil(max(latitude) * 1e5 / 2e4) AS BIGINT) AS y1 FROM {W} w) SELECT grid_x, grid_y, round(degrees(grid_x * 2e4 / (6378137.0::DOUBLE * sqrt(0.75::DOUBLE) / sqrt(1 - 0.00669437999014::DOUBLE * 0.25))), 6) AS longitude FROM (SELECT unnest(range(x0, x1 + 1)) AS grid_x FROM b) a, (SELECT unnest(range(y0, y1 + 1)) AS grid_y FROM b) c")
@@ -509,3 +535,27 @@ def _(t, spark, folder):
     stream = refresh.first_seen(spark.readStream.schema(rows.schema).parquet(source), "at", ["user_id", "event_type"])
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_type")
+
+
+@q("str02_binned_stream", """SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, user_id, CAST(floor((dayofyear(CAST(ts AS DATE)) - 1) / 10) AS INTEGER) AS bin, count(*) AS n FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY GROUP BY 1, 2, 3""")
+def _(t, spark, folder):
+    """All events in a first run, one late row in a second from the same checkpoint: days that the watermark has closed are told once, and the late row changes none."""
+    source, out = scratch(spark, "events"), scratch(spark, "bins")
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    late = rows.agg(F.min_by(F.struct("user_id", "at"), "at").alias("r")).select("r.*")
+    for batch in (rows, late):
+        batch.write.mode("append").parquet(source)
+        stream = refresh.binned_counts(spark.readStream.schema(rows.schema).parquet(source), "at", "user_id", 10)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}_progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.col("day").cast("date").cast("string").alias("day"), "user_id", "bin", F.col("count").alias("n"))
+
+
+@q("src06_chunk_files", f"SELECT well_api, county_name FROM {W} w WHERE k >= 0")
+def _(t, spark, folder):
+    """A list of chunk files, each a collection."""
+    path = scratch(spark, "chunks")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("well_api").alias("WellAPI"), F.col("county_name").alias("County Name")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"))
+    _collection(t("wells"), feature, F.floor(F.col("k") / 2000), path)
+    files = [r.f for r in spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().orderBy("f").collect()]
+    return readers.read_features(spark, files).select("well_api", "county_name")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import century, snake_name
+from ..functions.columns import century, number, snake_name, to_day
+from .collections import feature_lines
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -22,16 +23,30 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown table suffix: {path}")
 
 
-def read_raw_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
-    """SRC-02: every column is text, the header is snake-cased, a byte-order mark is dropped. encoding: for instance ISO-8859-1."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
-    return df.toDF(*[snake_name(c.lstrip("﻿")) for c in df.columns])
+def read_raw_csv(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
+    """SRC-02: every column is text, the header is snake-cased, a byte-order mark is dropped. Without an encoding each file is UTF-8
+    if all its lines are, else ISO-8859-1; columns of files of both kinds are matched by name."""
+
+    def read(files, own: str) -> DataFrame:
+        df = spark.read.option("header", True).option("inferSchema", False).option("encoding", own).option("multiLine", True).option("escape", '"').csv(files)
+        return df.toDF(*[snake_name(c.lstrip("\ufeff").removeprefix("ï»¿")) for c in df.columns])
+
+    if encoding:
+        return read(path, encoding)
+    # the text source doesn't decode, so lines still have the file's bytes; the driver has the list of files anyway
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    other = [r.file for r in lines.where("not valid").select("file").distinct().orderBy("file").collect()]
+    if not other:
+        return read(path, "UTF-8")
+    good = [r.file for r in lines.where(~F.col("file").isin(other)).select("file").distinct().orderBy("file").collect()]
+    latin = read(other, "ISO-8859-1")
+    return read(good, "UTF-8").unionByName(latin, allowMissingColumns=True) if good else latin
 
 
 def read_features(spark: SparkSession, path) -> DataFrame:
-    """SRC-03: one row for each feature of GeoJSON collections: snake-cased properties; longitude and latitude of points; the geometry's own JSON.
+    """SRC-03: one row for each feature of GeoJSON collections, which any number of tasks read: snake-cased properties; longitude and latitude of points; the geometry's own JSON.
     path: one file, or a list or glob of chunk files (SRC-06)."""
-    whole = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    whole = spark.read.json(feature_lines(spark, path)).select(F.struct("*").alias("f"))
     names = whole.select("f.properties.*").columns
     geometry = F.col("f.geometry")
     point = F.when(geometry["type"] == "Point", F.from_json(F.to_json(geometry["coordinates"]), "array<double>"))
@@ -39,9 +54,9 @@ def read_features(spark: SparkSession, path) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
-    """SRC-04: one flat row for each scene of STAC item collections. Missing parts are null."""
-    kind = schema or "features array<struct<id:string,collection:string,bbox:array<double>,properties:map<string,string>,assets:map<string,struct<href:string>>,geometry:string>>"
-    rows = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    """SRC-04: one flat row for each scene of STAC item collections. Missing parts are null. schema: of a feature."""
+    kind = schema or "id string, collection string, bbox array<double>, properties map<string,string>, assets map<string,struct<href:string>>, geometry string"
+    rows = spark.read.schema(kind).json(feature_lines(spark, path)).select(F.struct("*").alias("f"))
     p = lambda k: F.try_element_at("f.properties", F.lit(k))
     return rows.select(
         F.col("f.id").alias("scene_id"), F.col("f.collection").alias("collection"), p("platform").alias("platform"), F.array_join(F.coalesce(F.from_json(p("instruments"), "array<string>"), F.array().cast("array<string>")), ";").alias("instruments"),
@@ -50,13 +65,36 @@ def read_catalog(spark: SparkSession, path, schema: str | None = None) -> DataFr
     )
 
 
-def polygon_bbox(coordinates: Column) -> dict[str, Column]:
-    """SRC-05: bounds of a polygon's coordinates (array of rings of [x, y]): west, south, east, north."""
-    points = F.flatten(coordinates)
-    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+def geometry_bbox(geometry: Column) -> dict[str, Column]:
+    """SRC-05: bounds of a geometry's coordinates at any depth: west, south, east, north; null without coordinates. geometry: JSON text. A position
+    is an innermost array that begins with two numbers."""
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    text = F.get_json_object(geometry, "$.coordinates")
+    xs, ys = (F.transform(F.regexp_extract_all(text, F.lit(rf"\[\s*{number}\s*,\s*{number}"), F.lit(k)), lambda v: v.cast("double")) for k in (1, 2))
     return {"west": F.array_min(xs), "south": F.array_min(ys), "east": F.array_max(xs), "north": F.array_max(ys)}
 
 
+#: A polygon scene's properties in order, its links, and which of all columns are numbers or days.
+SCENE_PROPERTIES = ("item_type", "acquired", "published", "updated", "cloud_cover", "cloud_percent", "clear_percent", "clear_confidence_percent", "visible_percent", "visible_confidence_percent", "gsd", "ground_control", "quality_category", "instrument", "satellite_id", "provider", "strip_id", "view_angle")
+SCENE_LINKS = {"thumbnail": "thumbnail_href", "assets": "assets_href", "_self": "self_href"}
+SCENE_NUMBERS = ("cloud_cover", "cloud_percent", "clear_percent", "clear_confidence_percent", "visible_percent", "visible_confidence_percent", "gsd", "view_angle")
+SCENE_DAYS = ("acquired", "published", "updated")
+
+
+def read_polygon_catalog(spark: SparkSession, path, source: str, checked_at: str | None = None) -> DataFrame:
+    """SRC-05: one row for each scene of polygon-scene collections: source_id, scene_id, properties (numbers and days read leniently), links, the
+    geometry's bounds and when the catalog was checked."""
+    rows = spark.read.schema("id string, properties map<string,string>, _links map<string,string>, geometry string").json(feature_lines(spark, path))
+    value = lambda m, k: F.try_element_at(m, F.lit(k))
+
+    def typed(n: str) -> Column:
+        c = value("properties", n)
+        return (number(c) if n in SCENE_NUMBERS else to_day(F.substring(c, 1, 10)).cast("string") if n in SCENE_DAYS else c).alias(n)
+
+    box = [c.alias(f"bbox_{n}") for n, c in geometry_bbox(F.col("geometry")).items()]
+    return rows.select(F.lit(source).alias("source_id"), F.col("id").alias("scene_id"), *[typed(n) for n in SCENE_PROPERTIES], *[value("_links", k).alias(n) for k, n in SCENE_LINKS.items()], *box, F.lit(checked_at).alias("catalog_checked_at_utc"))
+
+
 def read_manifested(spark: SparkSession, manifest: DataFrame, path: str, reader=read_raw_csv) -> DataFrame:
     """SRC-07: all files of a manifest (file, in folders or not, period_id, label) in one scan, each row with its file's period and label. File names differ; the manifest has a row for each file and is broadcast."""
     names = [r.file for r in manifest.select("file").distinct().orderBy("file").collect()]
@@ -90,15 +128,28 @@ def zoned_digits(field: Column) -> Column:
     return F.regexp_replace(F.hex(field), "F(.)", "$1")
 
 
-def read_mainframe(spark: SparkSession, path: str, record: int = 102) -> DataFrame:
-    """SRC-10: (part, position, kind, body) of the fixed-length records of a file; the order is part, position. Spark's own reader cuts
-    the file into records, so a file of any size is read by many tasks."""
+def read_mainframe(spark: SparkSession, path: str, record: int = 102, batch: int = 4096) -> DataFrame:
+    """SRC-10: (file, part, position, kind, body) of the fixed-length records of one file, or all files of a folder or glob; the order within
+    a file is part, position. Spark's own reader cuts a file into records, so one of any size is read by many tasks; Python hands on a batch of records as one value, which is cut up by Spark."""
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+
+    def of(file: str):
+        def rows(i, records):
+            held, base = [], 0
+            for r in records:
+                held.append(r)
+                if len(held) == batch:
+                    yield file, i, base, len(held), bytearray(b"".join(held))
+                    held, base = [], base + batch
+            if held:
+                yield file, i, base, len(held), bytearray(b"".join(held))
 
-    def rows(i, records):
-        return ((i, k, bytearray(b)) for k, b in enumerate(records))
+        return spark.sparkContext.binaryRecords(file, record).mapPartitionsWithIndex(rows)
 
-    df = spark.createDataFrame(spark.sparkContext.binaryRecords(path, record).mapPartitionsWithIndex(rows), "part int, position int, body binary")
-    return df.withColumn("kind", zoned_digits(F.substring("body", 1, 2)))
+    df = spark.createDataFrame(spark.sparkContext.union([of(f) for f in files]) if files else [], "file string, part int, base int, n int, bodies binary")
+    cut = df.select("file", "part", "base", "bodies", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    cut = cut.select("file", "part", (F.col("base") + F.col("k")).alias("position"), F.substring("bodies", F.col("k") * record + 1, F.lit(record)).alias("body"))
+    return cut.withColumn("kind", zoned_digits(F.substring("body", 1, 2)))
 
 
 def mainframe_production(records: DataFrame) -> DataFrame:
@@ -106,25 +157,25 @@ def mainframe_production(records: DataFrame) -> DataFrame:
     a cycle since their root, are left out, as are months outside 1 to 12.
 
     Fixed values, bytes from 1: root: gas code 3, district 4-5, lease number 6-11; cycle: YYMM 3-6; production: gas 3-7, lift gas 8-12
-    and condensate 13-17, packed decimal. A file's parts are few; each part's last root and cycle are carried into the next parts by a window
-    over parts, so records are filled inside their own part and no task holds a file."""
+    and condensate 13-17, packed decimal. A file's parts are few; each part's last root and cycle are carried into the next parts of that file by a window
+    over its parts, so records are filled inside their own part and no task holds a file. Nothing is carried from file to file."""
     root = F.when(F.col("kind") == "01", F.struct(zoned_digits(F.substring("body", 4, 2)).alias("district"), zoned_digits(F.substring("body", 6, 6)).alias("lease")))
     cycle = F.when(F.col("kind") == "14", zoned_digits(F.substring("body", 3, 4)))
-    rows = records.select("part", "position", "kind", "body", root.alias("r"), cycle.alias("c"))
+    rows = records.select("file", "part", "position", "kind", "body", root.alias("r"), cycle.alias("c"))
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("position"))
-    ends = rows.groupBy("part").agg(F.max_by("r", at("r")).alias("last_r"), F.max(at("r")).alias("r_at"), F.max_by("c", at("c")).alias("last_c"), F.max(at("c")).alias("c_at"))
+    ends = rows.groupBy("file", "part").agg(F.max_by("r", at("r")).alias("last_r"), F.max(at("r")).alias("r_at"), F.max_by("c", at("c")).alias("last_c"), F.max(at("c")).alias("c_at"))
     # a root without a cycle after it in its part ends what earlier parts said
     ends = ends.withColumn("last_c", F.when(F.col("c_at") > F.coalesce("r_at", F.lit(-1)), F.col("last_c")).when(F.col("r_at").isNotNull(), F.lit("")))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("part", F.last("last_r", True).over(before).alias("carried_r"), F.last("last_c", True).over(before).alias("carried_c"))
-    upto = Window.partitionBy("part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.join(F.broadcast(carried), "part").withColumn("root_no", F.count("r").over(upto)).withColumn("root", F.coalesce(F.last("r", True).over(upto), F.col("carried_r")))
-    inner = Window.partitionBy("part", "root_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "part", F.last("last_r", True).over(before).alias("carried_r"), F.last("last_c", True).over(before).alias("carried_c"))
+    upto = Window.partitionBy("file", "part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.join(F.broadcast(carried), ["file", "part"]).withColumn("root_no", F.count("r").over(upto)).withColumn("root", F.coalesce(F.last("r", True).over(upto), F.col("carried_r")))
+    inner = Window.partitionBy("file", "part", "root_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     filled = filled.withColumn("cycle_key", F.coalesce(F.last("c", True).over(inner), F.when(F.col("root_no") == 0, F.nullif("carried_c", F.lit("")))))
     amounts = [packed_decimal(F.substring("body", 3 + 5 * k, 5)).alias(n) for k, n in enumerate(("gas_mcf", "gas_lift_mcf", "condensate_bbl"))]
     year, month = century(F.substring("cycle_key", 1, 2).try_cast("int")), F.substring("cycle_key", 3, 2).try_cast("int")
     kept = filled.where("kind = '15' and root is not null and cycle_key is not null").where(month.between(1, 12))
-    return kept.select("part", "position", "root.district", F.col("root.lease").alias("rrc_id"), "cycle_key", year.alias("production_year"), month.alias("production_month"), *amounts)
+    return kept.select("file", "part", "position", "root.district", F.col("root.lease").alias("rrc_id"), "cycle_key", year.alias("production_year"), month.alias("production_month"), *amounts)
 
 
 def archive_inventory(spark: SparkSession, path: str) -> DataFrame:
