@@ -67,8 +67,9 @@ def _within(months: int) -> Column:
     return (F.col("months_since_first") >= 0) & (F.col("months_since_first") < months)
 
 
-def month_labels(wells: DataFrame, production: DataFrame, f12_months: int = 12, f24_months: int = 24) -> DataFrame:
-    """AGG-04: gas of the first 12 and 24 months from the first month with gas; coverage counts distinct months, as 30.44 days each."""
+def month_labels(wells: DataFrame, production: DataFrame, f12_months: int = 12, f24_months: int = 24, f12_periods: int | None = None, f24_periods: int | None = None) -> DataFrame:
+    """AGG-04: gas of the first 12 and 24 months from the first month with gas; coverage counts distinct months, as 30.44 days each. A label is
+    available with so many covered periods (all months, if none is given; fewer where a state reports by quarters)."""
     rows = _since_first(production.join(wells.select("well_api").distinct(), "well_api", "left_semi"))
     sums = []
     for name, months in (("f12", f12_months), ("f24", f24_months)):
@@ -77,7 +78,7 @@ def month_labels(wells: DataFrame, production: DataFrame, f12_months: int = 12,
     labels = wells.select("well_api").join(got, "well_api", "left")
     return labels.select(
         "well_api", "first_prod_date", "f12_gas", "f24_gas", (F.col("months_f12") * 30.44).alias("covered_days_f12"), (F.col("months_f24") * 30.44).alias("covered_days_f24"),
-        (F.coalesce("months_f12", F.lit(0)) >= f12_months).alias("label_f12_available"), (F.coalesce("months_f24", F.lit(0)) >= f24_months).alias("label_f24_available"),
+        (F.coalesce("months_f12", F.lit(0)) >= (f12_periods or f12_months)).alias("label_f12_available"), (F.coalesce("months_f24", F.lit(0)) >= (f24_periods or f24_months)).alias("label_f24_available"),
     )
 
 

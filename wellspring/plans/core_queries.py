@@ -414,8 +414,8 @@ def fault_segments(t):
     return lines.segments_of(t("region").select(F.array(*[corner(F.lit(a), F.lit(b)) for a, b in ((39.0, -81.0), (40.0, -80.9), (40.3, -80.2))]).alias("points")))
 
 
-def well_places() -> tuple:
-    return projections.lambert_conic(F.col("latitude"), F.col("longitude"), *_CONIC)
+def well_places(lat=None, lon=None) -> tuple:
+    return projections.lambert_conic(F.col("latitude") if lat is None else lat, F.col("longitude") if lon is None else lon, *_CONIC)
 
 
 @q("jn14_nearest_line", faults_sql(W))

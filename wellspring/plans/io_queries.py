@@ -314,6 +314,54 @@ def _(t, spark, folder):
     return _out(jobs.monthly_table(t("wells"), t("monthly")).select("well_api", "f12_gas", "label_f12_available", "count_2km", "count_5km", "nearest_km"))
 
 
+_AT_FIRST = f"(SELECT w.well_api, w.latitude, w.longitude, coalesce(f.s, w.spud_date) AS at, CASE WHEN coalesce(f.n, 0) >= (SELECT CASE WHEN max(n) <= 40 THEN 4 ELSE 12 END FROM (SELECT count(DISTINCT period_start_date) AS n FROM {MO} m GROUP BY well_api) c) THEN f.g END AS mature FROM {W} w LEFT JOIN ({_FIRST}) f ON w.well_api = f.well_api)"
+
+
+def _asof_sql(source: str, at: str, condition: str = "true") -> str:
+    return f"SELECT a.well_api, {_hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km, b.* FROM {_AT_FIRST} a JOIN {source} b ON abs(a.latitude - b.latitude) < 0.2 AND b.{at} < a.at AND {condition}"
+
+
+@q("job05_state_table", f"""SELECT w.well_api, CAST(w.at AS VARCHAR) AS context_date, coalesce(n.n2, 0) AS well_count_2km, coalesce(n.n5, 0) AS well_count_5km, round(n.d, 6) AS well_nearest_km, coalesce(p.n2, 0) AS permit_count_2km, round(p.d, 6) AS permit_nearest_km,
+coalesce(m.n5, 0) AS mature_value_count_5km, round(m.m5, 6) AS mature_median_5km, coalesce(m.n10, 0) AS mature_value_count_10km, round(m.q10, 6) AS mature_p90_10km FROM {_AT_FIRST} w
+LEFT JOIN (SELECT well_api, count(*) FILTER (WHERE km <= 2) AS n2, count(*) FILTER (WHERE km <= 5) AS n5, min(km) AS d FROM ({_asof_sql(_AT_FIRST.replace('w.well_api, w.lat', 'w.lat', 1), 'at')}) x WHERE km <= 20 GROUP BY 1) n ON w.well_api = n.well_api
+LEFT JOIN (SELECT well_api, count(*) FILTER (WHERE km <= 2) AS n2, min(km) AS d FROM ({_asof_sql(f'(SELECT latitude, longitude, permit_issued_date FROM {P} p)', 'permit_issued_date')}) x WHERE km <= 20 GROUP BY 1) p ON w.well_api = p.well_api
+LEFT JOIN (SELECT well_api, count(*) FILTER (WHERE km <= 5) AS n5, quantile_cont(mature, 0.5) FILTER (WHERE km <= 5) AS m5, count(*) FILTER (WHERE km <= 10) AS n10, quantile_cont(mature, 0.9) FILTER (WHERE km <= 10) AS q10 FROM ({_asof_sql(_AT_FIRST.replace('w.well_api, w.lat', 'w.lat', 1), 'at', 'b.mature IS NOT NULL')}) x WHERE km <= 10 GROUP BY 1) m ON w.well_api = m.well_api""")
+def _(t, spark, folder):
+    """Context dates fall back to the spud date."""
+    got = jobs.state_table(t("wells"), t("permits"), t("monthly"), ["spud_date"], "permit_issued_date")
+    return _out(got.select("well_api", "context_date", "well_count_2km", "well_count_5km", "well_nearest_km", "permit_count_2km", "permit_nearest_km", "mature_value_count_5km", "mature_median_5km", "mature_value_count_10km", "mature_p90_10km"))
+
+
+_STATUS = "CASE WHEN k % 4 = 0 THEN 'Permit Issued' WHEN k % 4 = 1 THEN 'Final permit' ELSE well_status END"
+
+
+@q("job01_states", f"""WITH w AS (SELECT well_api, county_name, longitude, {_STATUS} AS status, CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(spud_date AS VARCHAR) END AS day, k FROM {W} w)
+SELECT 'wv' AS state, 'wells' AS tab, well_api, status, day, round(longitude, 6) AS x FROM w UNION ALL SELECT 'wv', 'permits', well_api, status, day, round(longitude, 6) FROM w WHERE status = 'Permit Issued'
+UNION ALL SELECT 'wv', 'laterals', well_api, status, day, k * 1.5::DOUBLE FROM w WHERE k % 3 = 0 UNION ALL SELECT 'oh', 'wells', well_api, status, day, round(longitude, 6) FROM w UNION ALL SELECT 'oh', 'permits', well_api, status, day, round(longitude, 6) FROM w WHERE lower(status) LIKE '%permit%'""")
+def _(t, spark, folder):
+    """Wells, permits and laterals of two states whose features differ in names; days as text, some of them bad."""
+    status, day = F.expr(_STATUS), F.when(F.col("k") % 7 == 0, F.lit("unknown")).otherwise(F.col("spud_date").cast("string"))
+    point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
+    wells = t("wells").select("k", point.alias("geometry"), F.col("well_api"), "county_name", status.alias("status"), day.alias("day"))
+    shapes = {
+        "wv": (wells, F.struct(F.col("well_api").alias("api"), F.col("status").alias("wellstatus"), F.col("day").alias("issuedate"), F.col("county_name").alias("respparty")), jobs.WV_FIELDS, "permit_issued_date"),
+        "laterals": (wells.where("k % 3 = 0"), F.struct(F.col("well_api").alias("api"), F.col("status").alias("wellstatus"), F.col("day").alias("compdate"), (F.col("k") * 1.5).cast("string").alias("st_length_shape")), jobs.LATERAL_FIELDS, "completion_date"),
+        "oh": (wells, F.struct(F.col("well_api").alias("API_WELLNO"), F.col("status").alias("WL_STATUS_DESC"), F.col("day").alias("Spud Date"), F.col("county_name").alias("WL_CNTY")), jobs.OH_FIELDS, "spud_date"),
+    }
+    tables = {}
+    for name, (df, properties, fields, at) in shapes.items():
+        path = scratch(spark, name)
+        _collection(df, F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), "geometry"), F.floor(F.col("k") / 1000), path)
+        got = jobs.state_features(readers.read_features(spark, path), fields)
+        tables[name] = got.select("well_api", F.col("well_status").alias("status"), F.col(at).alias("day"), (F.col("shape_length_m") if name == "laterals" else F.col("longitude")).alias("x"))
+    rows = [("wv", "wells", tables["wv"]), ("wv", "laterals", tables["laterals"]), ("oh", "wells", tables["oh"])]
+    rows += [(s, "permits", jobs.state_permits(tables[s].withColumnRenamed("status", "well_status"), kinds).withColumnRenamed("well_status", "status")) for s, kinds in (("wv", jobs.PERMIT_STATUSES), ("oh", None))]
+    out = [df.select(F.lit(s).alias("state"), F.lit(tab).alias("tab"), "well_api", "status", "day", "x") for s, tab, df in rows]
+    for df in out[1:]:
+        out[0] = out[0].unionByName(df)
+    return _out(out[0])
+
+
 _CELLS = f"SELECT concat(CAST(cx AS VARCHAR), '_', CAST(cy AS VARCHAR)) AS cell_id, (cx + 0.5) * 0.05::DOUBLE AS longitude, (cy + 0.5) * 0.05::DOUBLE AS latitude FROM (SELECT DISTINCT CAST(floor(longitude / 0.05::DOUBLE) AS BIGINT) + dx AS cx, CAST(floor(latitude / 0.05::DOUBLE) AS BIGINT) + dy AS cy FROM {W} w, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) c"
 
 
@@ -339,6 +387,28 @@ def _(t, spark, folder):
     return _out(got.select("cell_id", "nearest_well_api", "county_name", "nearest_well_distance_km", "objectid", "score_percentile", "prospect_tier"))
 
 
+_PADDED = f"SELECT concat(CAST(cx AS VARCHAR), '_', CAST(cy AS VARCHAR)) AS cell_id, cx, cy, (cx + 0.5) * 0.05::DOUBLE AS longitude, (cy + 0.5) * 0.05::DOUBLE AS latitude FROM (SELECT unnest(range(CAST(floor((min(longitude) - 0.05) / 0.05::DOUBLE) AS BIGINT), CAST(ceil((max(longitude) + 0.05) / 0.05::DOUBLE) AS BIGINT))) AS cx FROM {W} w) a, (SELECT unnest(range(CAST(floor((min(latitude) - 0.05) / 0.05::DOUBLE) AS BIGINT), CAST(ceil((max(latitude) + 0.05) / 0.05::DOUBLE) AS BIGINT))) AS cy FROM {W} w) b"
+
+
+def _near_cells(source: str) -> str:
+    return f"SELECT cell_id, min(km) FILTER (WHERE km <= 20) AS d, count(*) FILTER (WHERE km <= 2) AS n2, count(*) FILTER (WHERE km <= 5) AS n5 FROM (SELECT cell_id, {_hav('c.latitude', 'c.longitude', 'w.latitude', 'w.longitude')} AS km FROM ({_PADDED}) c JOIN {source} w ON abs(c.latitude - w.latitude) < 0.2) x GROUP BY 1"
+
+
+@q("job06_feature_surface", f"""WITH s AS (SELECT c.cell_id, c.cx, c.cy, n.d, coalesce(n.n5, 0) AS n5, coalesce(p.n5, 0) AS p5, f.fault_km, h.elevation, 2 * coalesce(n.n5, 0) + coalesce(p.n2, 0) - f.fault_km / 7 AS score FROM ({_PADDED}) c JOIN ({_near_cells(W)}) n ON c.cell_id = n.cell_id AND n.d <= 4 LEFT JOIN ({_near_cells(P)}) p ON c.cell_id = p.cell_id
+JOIN ({faults_sql(f'(SELECT cell_id AS well_api, latitude, longitude FROM ({_PADDED}) z)')}) f ON c.cell_id = f.well_api LEFT JOIN ({SQL_FOCAL}) h ON h.r = CAST(floor((41 - c.latitude) / 0.1::DOUBLE) AS BIGINT) AND h.c = CAST(floor((c.longitude + 81) / 0.1::DOUBLE) AS BIGINT)),
+p AS (SELECT *, (rank() OVER (ORDER BY round(score, 9)) + (count(*) OVER (PARTITION BY round(score, 9)) - 1) / 2.0::DOUBLE) / count(*) OVER () AS pct FROM s)
+SELECT cell_id, round(score, 6) AS score, round(pct, 6) AS score_percentile, CASE WHEN pct >= 0.9 THEN 'very_high' WHEN pct >= 0.7 THEN 'high' WHEN pct >= 0.4 THEN 'medium' ELSE 'background' END AS prospect_tier, n5 AS well_count_5km, p5 AS permit_count_5km, fault_km, round(elevation, 6) AS elevation, round(cx * 0.05::DOUBLE, 6) AS west, round((cy + 1) * 0.05::DOUBLE, 6) AS north FROM p""")
+def _(t, spark, folder):
+    """Cells with all features, scored, exported as GeoJSON lines and read back. A sum of features stands for the model, so that SQL can repeat it."""
+    sum_of = lambda df: df.withColumn("score", F.round(2 * F.col("well_count_5km") + F.col("permit_count_2km") - F.round("fault_km", 6) / 7, 9))
+    got = jobs.feature_surface(t("wells"), t("permits"), _polygons(t), ["map_symbol"], 0.05, 4.0, 0.05, sum_of, _places(t)["terrain"], (fault_segments(t), well_places))
+    path = scratch(spark, "surface")
+    sinks.write_features(got, ["cell_id", "score", "score_percentile", "prospect_tier", "well_count_5km", "permit_count_5km", "fault_km", "elevation"], path, 6)
+    rows = spark.read.schema("properties struct<cell_id:string,score:double,score_percentile:double,prospect_tier:string,well_count_5km:long,permit_count_5km:long,fault_km:double,elevation:double>, geometry struct<coordinates:array<array<array<double>>>>").json(path)
+    ring = F.col("geometry.coordinates")[0]
+    return rows.select("properties.*", ring[0][0].alias("west"), ring[2][1].alias("north"))
+
+
 def _unified(t):
     w = t("wells").withColumn("context_date", F.col("spud_date")).withColumn("f12_gas", F.col("k") * 1.0).withColumn("label_f12_available", F.col("k") % 4 != 0)
     return jobs.unified_table({"a": (w.where("unconventional"), {}, {"state": "PA"}), "b": (w.where("not unconventional"), {}, {"state": "WV"}), "c": (None, {}, {})})[0]

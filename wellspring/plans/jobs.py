@@ -90,12 +90,33 @@ def training_table_v2(wells: DataFrame, permits: DataFrame, production: DataFram
 def monthly_table(wells: DataFrame, production: DataFrame) -> DataFrame:
     """JOB-05: month labels with the reporting cadence's thresholds, and producing neighbours as of the first production."""
     need = life.cadence(production).first()
-    labels = life.month_labels(wells, production, need.f12_periods, need.f24_periods)
+    labels = life.month_labels(wells, production, f12_periods=need.f12_periods, f24_periods=need.f24_periods)
     producing = wells.select("well_api", "latitude", "longitude").join(labels.where("first_prod_date is not null").select("well_api", "first_prod_date"), "well_api")
     targets = producing.withColumnRenamed("first_prod_date", "at")
     return wells.join(labels, "well_api", "left").join(asof.neighbour_stats(targets, producing, "well_api", [2, 5], 20, ("at", "first_prod_date")), "well_api", "left")
 
 
+def state_table(wells: DataFrame, permits: DataFrame, production: DataFrame, fallbacks: list[str], permit_date: str) -> DataFrame:
+    """JOB-05: wells of a state with month labels by its reporting cadence, a context date (first production, else the first known of the fallback
+    columns), as-of counts and nearest distances of wells and permits, and the first-year gas of mature neighbours, those with a label."""
+    wells = wells.where("well_api is not null and latitude is not null and longitude is not null").dropDuplicates(["well_api"])
+    need = life.cadence(production).first()
+    labels = materialize(life.month_labels(wells, production, f12_periods=need.f12_periods, f24_periods=need.f24_periods), "labels")
+    at = C.context_date(F.col("first_prod_date"), *[F.col(c) for c in fallbacks])
+    targets = materialize(wells.join(labels.select("well_api", "first_prod_date"), "well_api", "left").select("well_api", "latitude", "longitude", at.alias("at")), "well-targets")
+    since = targets.withColumnRenamed("at", "since")
+    mature = since.where("since is not null").join(labels.where("label_f12_available").select("well_api", "f12_gas"), "well_api")
+    parts = {
+        "well": asof.neighbour_stats(targets, since, "well_api", [2, 5], 20, ("at", "since")),
+        "permit": asof.neighbour_stats(targets, permits.select("latitude", "longitude", F.col(permit_date).alias("since")), "well_api", [2, 5], 20, ("at", "since")),
+        "mature": asof.neighbour_stats(targets, mature, "well_api", [5, 10], 10, ("at", "since"), "f12_gas"),
+    }
+    out = wells.join(labels, "well_api", "left").join(targets.select("well_api", F.col("at").alias("context_date")), "well_api", "left")
+    for kind, df in parts.items():
+        out = out.join(df.withColumnsRenamed({c: f"{kind}_{c}" for c in df.columns if c != "well_api"}), "well_api", "left")
+    return out.withColumns(C.threshold_labels(F.col("f12_gas"), F.col("label_f12_available"), "label_f12", C.F12_THRESHOLDS) | C.threshold_labels(F.col("f24_gas"), F.col("label_f24_available"), "label_f24", C.F24_THRESHOLDS))
+
+
 def prospect_cells(wells: DataFrame, geology: DataFrame, attributes: list[str], step: float, value: str, radius_km: float = 10.0) -> DataFrame:
     """JOB-06: grid cells near wells with current neighbours' values, geology and a percentile and tier by their median."""
     from ..operators.ranking import average_rank_percentile
@@ -121,6 +142,34 @@ def prospect_surface(wells: DataFrame, geology: DataFrame, attributes: list[str]
     return scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
 
 
+def feature_surface(wells: DataFrame, permits: DataFrame, geology: DataFrame, attributes: list[str], step: float, most_km: float, pad: float, score, terrain: tuple | None = None, faults: tuple | None = None) -> DataFrame:
+    """JOB-06, the surface by features: grid cells with a well within `most_km`, each with bounds, the nearest well's county, geology, terrain, fault
+    distance, and current counts and nearest distances of wells and permits; then score, percentile, tier and rank.
+
+    score: takes the table of cells and gives it with a column `score`, as a fitted model's `predict` does. faults: (segments, projection of latitude and longitude).
+    """
+    from ..operators.ranking import average_rank_percentile, number_rows
+
+    grid = summaries.degree_grid(wells, step, pad)
+    cells = grid.select(F.concat_ws("_", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("cell_id"), "min_lon", "min_lat", "max_lon", "max_lat", ((F.col("cx") + 0.5) * step).alias("longitude"), ((F.col("cy") + 0.5) * step).alias("latitude"))
+    found = spatial.within(cells, wells, "cell_id", most_km, ["well_api", "county_name"])
+    best = found.groupBy("cell_id").agg(F.min_by("s_county_name", F.struct("km", "s_well_api")).alias("county_name"))
+    cells = materialize(cells.join(best, "cell_id"), "cells")
+    places = cells.select("cell_id", "latitude", "longitude")
+    table = cells.join(polygons.polygon_attributes(places, geology, "cell_id", "objectid", attributes), "cell_id", "left")
+    for kind, df in (("well", wells), ("permit", permits)):
+        near = asof.neighbour_stats(places, df, "cell_id", [2, 5], 20)
+        table = table.join(near.withColumnsRenamed({c: f"{kind}_{c}" for c in near.columns if c != "cell_id"}), "cell_id", "left")
+    if terrain or faults:
+        segments, projection = faults if faults else (None, None)
+        x, y = projection(F.col("latitude"), F.col("longitude")) if faults else (None, None)
+        near = place_features(places.withColumnRenamed("cell_id", "well_api"), terrain, (segments, x, y) if faults else None)
+        table = table.join(near.withColumnRenamed("well_api", "cell_id"), "cell_id", "left")
+    scored = average_rank_percentile(materialize(score(table), "scored"), "score", "score_percentile")
+    tiered = scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
+    return number_rows(tiered, [F.desc("score"), F.col("well_nearest_km").asc_nulls_last(), F.col("cell_id")], "score_rank")
+
+
 def unified_table(regions: dict[str, tuple[DataFrame | None, dict[str, str], dict[str, str]]]) -> tuple[DataFrame, list[str]]:
     """JOB-07: region -> (table, renames, constants), aligned and united; regions without a table are named."""
     return merging.union_regions({r: merging.align(df, renames, region_id=r, **constants) if df is not None else None for r, (df, renames, constants) in regions.items()})
@@ -173,6 +222,27 @@ def canonical_tables(wells: DataFrame, permits: DataFrame, production: DataFrame
     return {"wells": clean.where("well_api is not null"), "permits": permits.where("authorization_id is not null"), "production": scoped.where("well_api is not null")}
 
 
+#: Columns of two states' well features and of lateral features, by their canonical names; which of them are numbers or days.
+WV_FIELDS = {"api": "well_api", "permitid": "permit_id", "respparty": "operator_name", "welltype": "well_type", "welluse": "well_use", "welldepth": "well_depth_class", "wellrig": "well_rig_class", "permittype": "permit_type", "issuedate": "permit_issued_date", "compdate": "completion_date", "wellstatus": "well_status", "farmname": "farm_name", "wellnumber": "well_number", "recdate": "record_date", "formation": "formation_name"}
+LATERAL_FIELDS = WV_FIELDS | {"st_length_shape": "shape_length_m"}
+OH_FIELDS = {"api_wellno": "well_api", "wl_cnty": "county_name", "wl_twp": "township_name", "slant": "well_type", "wl_status_desc": "well_status", "mapsymbol_desc": "map_symbol", "co_name": "operator_name", "proposedformation": "proposed_formation", "producingformation1": "formation_name", "producingformation2": "formation_name_2", "wh_lat": "wh_latitude", "wh_long": "wh_longitude", "well_nm": "well_name", "well_no": "well_number", "utica_shale": "utica_flag", "marcellus_shale": "marcellus_flag", "status_reas": "status_reason"}
+FEATURE_NUMBERS = ("longitude", "latitude", "wellx", "welly", "objectid", "pkey", "surface_x", "surface_y", "landing_x", "landing_y", "bottom_x", "bottom_y", "shape_length_m")
+FEATURE_DAYS = ("permit_issued_date", "spud_date", "completion_date", "record_date")
+PERMIT_STATUSES = ("Permit Issued", "Permit Application")
+
+
+def state_features(features: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """JOB-01: wells or laterals of a state from its features (`readers.read_features`): canonical names, lenient numbers and days (ISO text); other columns stay."""
+    named = features.withColumnsRenamed({k: v for k, v in fields.items() if k in features.columns})
+    return named.withColumns({c: C.number(F.col(c)) for c in FEATURE_NUMBERS if c in named.columns} | {c: C.to_day(F.col(c).cast("string")).cast("string") for c in FEATURE_DAYS if c in named.columns})
+
+
+def state_permits(wells: DataFrame, statuses: tuple[str, ...] | None = PERMIT_STATUSES) -> DataFrame:
+    """JOB-01: the wells whose status is one of the given, or names a permit where none are given (case doesn't matter then)."""
+    known = F.col("well_status").isin(*statuses) if statuses else F.upper(F.col("well_status").cast("string")).contains("PERMIT")
+    return wells.where(F.coalesce(known, F.lit(False)))
+
+
 def map_view(points: DataFrame, scenes: DataFrame, layers: dict[str, DataFrame], scored: DataFrame, box: tuple[float, float, float, float], limit: int, top: int) -> DataFrame:
     """JOB-13: what a map window shows: (layer, id, place, truncated): points inside it, scenes and layers' boxes that touch it, at most
     `limit` of each by id, and the `top` prospects by score. points, scenes and layers have id; scored has id and score."""

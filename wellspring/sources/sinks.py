@@ -32,9 +32,9 @@ def cell_features(df: DataFrame, properties: list[str], digits: int = 3) -> Data
     return df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_features(df: DataFrame, properties: list[str], path: str) -> None:
+def write_features(df: DataFrame, properties: list[str], path: str, digits: int = 3) -> None:
     """SNK-03: features as lines of text."""
-    cell_features(df, properties).write.mode("overwrite").text(path)
+    cell_features(df, properties, digits).write.mode("overwrite").text(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
