@@ -339,6 +339,28 @@ def test_similar_groups_by_shingles(spark, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_only_documents_alike_by_shingles_are_dropped(spark):
+    """Texts with a stretch replaced, so that similarities lie on both sides of the bound: all groups are those of exact Jaccard links."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    rows = []
+    for i in range(40):
+        words = [rng.choice(vocabulary) for _ in range(200)]
+        rows.append((10 * i, " ".join(words)))
+        for k, n in enumerate((8, 14, 20, 24, 30, 40), 1):
+            at = rng.randint(0, 200 - n)
+            rows.append((10 * i + k, " ".join(words[:at] + [rng.choice(vocabulary) for _ in range(n)] + words[at + n :])))
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    root = dict(zip(groups.doc_id, groups.root, strict=True))
+    alike = {i: [j for j in sets if j // 10 == i // 10 and j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+    links = [(i, j) for i, near in alike.items() for j in near]
+    assert np.mean([root[i] == root[j] for i, j in links]) > 0.95 and len(links) > 60
+    for i in sets:  # whoever is in a group with others is alike to one of them
+        assert alike[i] or sum(r == root[i] for r in root.values()) == 1
+    assert any(not near for near in alike.values())
+
+
 def test_similar_links_of_a_hot_anchor(spark, monkeypatch):
     """Rows that all share their anchors are never compared beyond two blocks at a time, and their components are those of all pairs."""
     rng = np.random.default_rng(5)

@@ -202,23 +202,18 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
 
 def _forest(bits: np.ndarray, most: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links of the rows of `bits` (n x WIDE unsigned longs) that differ in at most `most` bits: as few as n - 1, whatever the number of pairs.
-    known: the class that each row is already in; only links between classes are given."""
+    A row is linked to the row of each class that differs least. known: the class that each row is already in; only links between classes are given."""
     n = len(bits)
     class_of = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     out = []
     for i in range(1, n):
-        if known is not None:
-            near = np.flatnonzero((class_of[:i] != class_of[i]) & (np.bitwise_count(bits[:i] ^ bits[i]).sum(1) <= most))
-            _, one = np.unique(class_of[near], return_index=True)
-            for j in near[one].tolist():
-                out.append((i, j))
-                class_of[class_of == class_of[j]] = class_of[i]
-            continue
-        near = np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]).sum(1) <= most)
+        apart = np.bitwise_count(bits[:i] ^ bits[i]).sum(1)
+        near = np.flatnonzero((apart <= most) & (class_of[:i] != class_of[i]))
+        near = near[np.argsort(apart[near], kind="stable")]
         _, one = np.unique(class_of[near], return_index=True)
         for j in near[one].tolist():
             out.append((i, j))
-            class_of[: i + 1][class_of[: i + 1] == class_of[j]] = i
+            class_of[class_of == class_of[j]] = class_of[i]
     return out
 
 
@@ -299,10 +294,46 @@ def similar_links(distinct: DataFrame, most: int, block: int = 4096, pivots: int
     return links.union(groups.groupBy("anchor", "one", "two").applyInArrow(meet_again, "u long, v long")).distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.8) -> DataFrame:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of the shingles, as signed longs: those that wide_fingerprint takes."""
+    import xxhash
+
+    found = text.translate(LOWER).split()
+    if not found:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(found)
+    if len(found) <= words:
+        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate([[0], ends[: len(found) - words] + 1]).tolist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.unique(hashes).view(np.int64)
+
+
+def alike(links: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (u, v) whose documents' sets of shingles have a Jaccard similarity of `similarity` or more. rows: doc_id, text_hash, number. Only
+    documents that a link names are read again, one for each number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 8 << 20):
+            sets = [shingle_set(t, words) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(sets, pa.list_(pa.int64()))], ["number", "shingles"])
+
+    named = links.select(F.col("u").alias("number")).union(links.select(F.col("v").alias("number"))).distinct()
+    first = rows.join(named, "number").groupBy("number").agg(F.min(F.struct("text_hash", "doc_id")).alias("r")).select("number", F.col("r.text_hash").alias("h"), F.col("r.doc_id").alias("d"))
+    texts = documents(docs).withColumn("text_hash", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    texts = texts.join(first, texts.text_hash.eqNullSafe(first.h) & texts.doc_id.eqNullSafe(first.d)).select("number", "text")
+    sets = materialize(texts.mapInArrow(run, "number long, shingles array<long>").dropDuplicates(["number"]), "wide-sets")
+    both = links.join(sets.select(F.col("number").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("number").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common + 1e-9 >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 2.5) -> DataFrame:
     """One row for each document: doc_id, text_hash (XXH64 of the text) and root (the number of its group): documents whose word shingles are alike
-    by `similarity` or more, by the angle that this means for two sets, J = `similarity`: cosine 2 J / (1 + J). The bits in which
-    two fingerprints differ scatter about that angle; `slack` is how many standard deviations more still count as alike."""
+    by `similarity` or more. Candidates are fingerprints within the angle that this means for two sets, J = `similarity`: cosine 2 J / (1 + J); the bits in which
+    two fingerprints differ scatter about that angle, and `slack` standard deviations more still make a candidate. The shingle sets of candidates
+    are compared exactly. Documents of equal fingerprints are one group without that."""
     bits = 64 * WIDE
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
@@ -310,11 +341,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, sla
     # documents with equal fingerprints are one, numbered by their hash
     rows = rows.withColumn("number", F.xxhash64("of_words", "of_shingles"))
     distinct = materialize(rows.groupBy("number").agg(F.first("of_words").alias("of_words"), F.first("of_shingles").alias("of_shingles")), "wide-distinct")
-    roots = components(similar_links(distinct, most))
+    candidates = materialize(similar_links(distinct, most), "wide-candidates")
+    roots = components(alike(candidates, rows.select("doc_id", "text_hash", "number"), docs, words, similarity))
     return rows.join(roots, rows.number == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "number").alias("root"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 2.5) -> DataFrame:
     """The rows of docs, all columns, one of each group: that of the smallest doc_id (null last), of repeated ids that of the smallest text hash (a null text first).
     Rows are told apart by doc_id and text; of rows that repeat both one stays, that of the smallest hash of all its columns."""
     named = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
