@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from math import exp, log, sqrt
 
 import numpy as np
 import pytest
@@ -624,6 +625,57 @@ def test_quality(spark, none):
     assert {r.score for r in quality.score(docs, quality.fit(docs, table.limit(0))).collect()} == {0.5}
 
 
+def plain_quality_features(text):
+    """The features by loops over bytes, words and lines."""
+    words, lines = text.split(), [x for x in text.split(b"\n") if x]
+    if not words:
+        return [0.0] * (quality.SIZE + 1)
+
+    def kind(b):
+        for k, signs in enumerate(quality.CLASSES):
+            if b in signs:
+                return k
+        return len(quality.CLASSES) + (1 if b >= 128 else 2 if b < 32 or b == 127 else 0)
+
+    shares = [0.0] * 256
+    for a, b in zip(text, text[1:], strict=False):
+        shares[16 * kind(a) + kind(b)] += 1 / (len(text) - 1)
+    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    more = [sqrt(1 - len(set(lines)) / len(lines)), sqrt(repeats / len(words)), log(len(set(words)) + 1) / log(len(words) + 1), log(len(text) / len(words)), log(len(words)) / 10, log(len(words) / len(lines)) / 10]
+    return [sqrt(x) for x in shares] + more + [len(text) / (len(text) + quality.FEW)]
+
+
+def test_quality_equals_plain_ranking(spark):
+    """Features by loops; weights at which the pair loss of differences has no slope; the threshold where the share of label 0 lies; scores from these."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("ab  cd,.AB1|é\n-\x7f\t;") for _ in range(rng.randint(0, 200))) for _ in range(120)]
+    for t in texts:
+        assert quality.features(t.encode()) == pytest.approx(plain_quality_features(t.encode()))
+    labels = [(i, int(t.count("|") < t.count("a")), 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    used = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = np.array([plain_quality_features(texts[i].encode()) for i in used])
+    y = np.array([labels[i][1] for i in used], float)
+    mean, spread = x[:, :-1].mean(0), x[:, :-1].std(0) + 0.01
+    centred = lambda v: (v[:-1] - mean) / spread * v[-1]
+    z = np.array([centred(v) for v in x])
+    draw = np.random.default_rng(0)
+    better, worse = draw.choice(len(z), 20000, p=y / y.sum()), draw.choice(len(z), 20000, p=(1 - y) / (1 - y).sum())
+    slope = -np.array(model.weights)  # of the log likelihood less half the squared weights
+    for a, b in zip(better, worse, strict=True):
+        d = z[a] - z[b]
+        slope += d / (1 + exp(float(d @ model.weights)))
+    assert np.abs(slope).max() < 0.05  # of 20,000 pairs
+    latent = sorted(float(v @ model.weights) for v in z)
+    below = sum(v < model.threshold for v in latent)
+    assert abs(below - (1 - y).sum()) <= 1
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        want = 1 / (1 + exp(-float(centred(np.array(plain_quality_features(t.encode()))) @ model.weights - model.threshold)))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
 def test_token_store(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = token_store.store_and_read(docs, path, container_bytes=700).toPandas()
@@ -670,6 +722,19 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_other_lengths(spark):
+    """Vectors of a rarer length are searched among their own, all of them."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, 8)), rng.normal(size=(90, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)] + [(2000, [1.0, 2.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, sample=200, chunk=25).toPandas()
+    for i in range(0, 90, 20):
+        scores = y @ y[i]
+        scores[i] = -np.inf
+        assert got[got.query_id == 1000 + i].sort_values("rank").vec_id.tolist() == [1000 + j for j in sorted(range(90), key=lambda j: (-scores[j], j))[:20]]
+    assert set(got.query_id) == {*range(0, 300, 20), *range(1000, 1090, 20)}
+
+
 def test_neighbours_split_the_queries_of_a_leaf(spark, monkeypatch):
     """Small query blocks give the same rows as one block."""
     rng = np.random.default_rng(3)

@@ -8,7 +8,8 @@ queries against brute force reaches `recall`. Queries meet rows by leaf in a gro
 leaf is split, and its queries into blocks of about `query_block`; each block meets each chunk, which gives each query its best `k` only.
 
 Nearness is the inner product in double precision; scores are computed on the original vectors, for the rows that are kept once more by a sum of fixed order,
-so that equal vectors have equal scores. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
+so that equal vectors have equal scores. Vectors that are null, zero, or hold null or non-finite components take no part. The tree is for the
+commonest length; queries of another length meet all rows of that length, as one leaf for each length.
 
 Defined results: rows with a null id take no part; of repeated ids each row is a candidate (but none for a query of
 the same id), and the query is the smallest of its vectors; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table gives no rows;
@@ -134,7 +135,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
     schema = "query_id long, rank int, vec_id long, score double"
     if sized is None:
         return spark.createDataFrame([], schema)
-    rows = usable(vectors, sized.d)
+    rows, other = usable(vectors, sized.d), usable(vectors).where(F.size("embedding") != sized.d)
     total = sized["count"]
     known = drawn(rows, sample, "vec_id")
     x, ids = np.array([r.embedding for r in known]), np.array([r.vec_id for r in known])
@@ -180,13 +181,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
         return pa.table(dict(zip(names, columns, strict=True)))
 
     leaf_schema = "leaf int, vec_id long, embedding array<double>"
-    placed = materialize(rows.mapInArrow(place, leaf_schema), "leaves")
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    by_length = (-F.size("embedding")).alias("leaf")  # below all leaves' numbers
+    placed = materialize(rows.mapInArrow(place, leaf_schema).unionByName(other.select(by_length, "vec_id", "embedding")), "leaves")
+    queries = usable(vectors).where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # by another hash than the groups have, or the repartition would be left out
-    visited = materialize(queries.repartition(shuffle_parts(spark), F.xxhash64("vec_id")).mapInArrow(visit, "leaves array<int>, vec_id long, embedding array<double>").withColumn("row", F.monotonically_increasing_id()), "visits")
+    queries = queries.repartition(shuffle_parts(spark), F.xxhash64("vec_id"))
+    walked = queries.where(F.size("embedding") == sized.d).mapInArrow(visit, "leaves array<int>, vec_id long, embedding array<double>")
+    others = queries.where(F.size("embedding") != sized.d).select(F.array(by_length).alias("leaves"), "vec_id", "embedding")
+    visited = materialize(walked.unionByName(others).withColumn("row", F.monotonically_increasing_id()), "visits")
     chunks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     blocks = visited.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
-    # one row for each leaf, whose number is bounded by the sample
+    # one row for each leaf, whose number is bounded by the sample, and for each other length
     parts = F.broadcast(chunks.join(blocks, "leaf"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
