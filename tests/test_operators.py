@@ -399,3 +399,32 @@ def test_order_statistics_by_selection(spark, values):
     ranks = [0, len(values) // 3, len(values) // 2, len(values) - 1]
     assert metrics.order_statistics(df, "v", ranks, bins=8, few=2) == {r: sorted(values)[r] for r in ranks}
     assert metrics.order_statistics(df.limit(0), "v", [0]) == {}
+
+
+def test_deployed_model_is_the_refit_and_replaces_an_earlier_one(spark, tmp_path):
+    rows = [(i, "abc"[i % 3], int(i % 3 == 0 or i % 7 == 0), "test" if i % 4 == 0 else "train") for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, c string, y int, split_group string")
+    for part in (df.where("id % 2 = 0"), df):
+        report = models.deploy(part, "y", [], ["c"], f"{tmp_path}/m").first()
+    assert (report.n_rows, report.n_pos) == (60, sum(y for i, _, y, s in rows if s == "test"))
+    weight = sum(1 - y for _, _, y, _ in rows) / sum(y for _, _, y, _ in rows)
+    got = {r.c: r.score for r in models.predict(models.deployed(f"{tmp_path}/m"), df).select("c", "score").distinct().collect()}
+    for c in "abc":
+        pos, n = sum(y for _, k, y, _ in rows if k == c), 80
+        want = weight * pos / (weight * pos + n - pos)
+        assert abs(got[c] - want) < 2e-3
+
+
+def test_boosted_cells_follow_the_closed_form(spark):
+    from math import exp
+
+    rows = [(i, float(i % 4), int((i * 7) % 10 < 2 + i % 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double, y int")
+    got = {r.x: r.score for r in models.predict(models.classifier(df, "y", ["x"], [], "trees", 6, subsample=1.0), df).select("x", "score").distinct().collect()}
+    heavy = sum(1 - y for *_, y in rows) / sum(y for *_, y in rows)
+    for x in range(4):
+        pos, neg = heavy * sum(y for _, k, y in rows if k == x), sum(1 - y for _, k, y in rows if k == x)
+        f = (pos - neg) / (pos + neg)
+        for _ in range(5):
+            f += 0.1 * (4 * pos / (1 + exp(2 * f)) - 4 * neg / (1 + exp(-2 * f))) / (pos + neg)
+        assert abs(got[x] - 1 / (1 + exp(-2 * f))) < 1e-9

@@ -24,7 +24,7 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
 def preprocess(numeric: list[str], categorical: list[str], scale: bool = False) -> list:
     """ML-01: median for missing numbers, one-hot with unknown values ignored; categorical columns are filled with fill_modes before."""
     filled = [f"{c}__f" for c in numeric]
-    stages: list = [Imputer(inputCols=numeric, outputCols=filled, strategy="median")]
+    stages: list = [Imputer(inputCols=numeric, outputCols=filled, strategy="median")] if numeric else []
     if categorical:
         stages += [StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}__i" for c in categorical], outputCols=[f"{c}__o" for c in categorical], handleInvalid="keep")]
     stages.append(VectorAssembler(inputCols=filled + [f"{c}__o" for c in categorical], outputCol="raw_features" if scale else "features"))
@@ -38,20 +38,20 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, n.n / (2 * pos) if pos else 1.0).otherwise(n.n / (2 * neg) if neg else 1.0))
 
 
-def classifier(train: DataFrame, label: str, numeric: list[str], categorical: list[str], kind: str = "logistic", trees: int = 20) -> PipelineModel:
-    """ML-02, ML-03: "logistic" (scaled, balanced) or "trees" (positives weigh neg / pos). label: 0 or 1."""
+def classifier(train: DataFrame, label: str, numeric: list[str], categorical: list[str], kind: str = "logistic", trees: int = 20, depth: int = 4, subsample: float = 0.8) -> PipelineModel:
+    """ML-02, ML-03: "logistic" (scaled, balanced) or "trees" (positives weigh neg / pos). label: 0 or 1. subsample: share of the rows that each tree sees."""
     rows = train.fillna(modes(train, categorical)) if categorical else train
     if kind == "logistic":
         return Pipeline(stages=[*preprocess(numeric, categorical, True), LogisticRegression(labelCol=label, weightCol="weight", maxIter=50)]).fit(balanced(rows, label))
     n = rows.agg(F.count(label).alias("n"), F.sum(F.col(label).cast("double")).alias("p")).first()
     weighted = rows.withColumn("weight", F.when(F.col(label) == 1, (n.n - n.p) / n.p if n.p else 1.0).otherwise(1.0))
-    return Pipeline(stages=[*preprocess(numeric, categorical), GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42)]).fit(weighted)
+    return Pipeline(stages=[*preprocess(numeric, categorical), GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=subsample, seed=42)]).fit(weighted)
 
 
-def regressor(train: DataFrame, target: str, numeric: list[str], categorical: list[str], transform: str = "log1p", trees: int = 20) -> PipelineModel:
+def regressor(train: DataFrame, target: str, numeric: list[str], categorical: list[str], transform: str = "log1p", trees: int = 20, depth: int = 4, subsample: float = 0.8) -> PipelineModel:
     """ML-04: boosted trees on the transformed target."""
     rows = (train.fillna(modes(train, categorical)) if categorical else train).withColumn("target_t", transform_target(F.col(target), transform))
-    return Pipeline(stages=[*preprocess(numeric, categorical), GBTRegressor(labelCol="target_t", maxIter=trees, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42)]).fit(rows)
+    return Pipeline(stages=[*preprocess(numeric, categorical), GBTRegressor(labelCol="target_t", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=subsample, seed=42)]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame, score: str = "score", transform: str | None = None) -> DataFrame:
@@ -68,19 +68,32 @@ def evaluate_and_refit(df: DataFrame, label: str, numeric: list[str], categorica
     return classifier(df, label, numeric, categorical, kind), report
 
 
+def deploy(df: DataFrame, label: str, numeric: list[str], categorical: list[str], path: str, kind: str = "logistic") -> DataFrame:
+    """ML-05: evaluate, refit on all rows, and write the refit model to path/model and the report to path/report; returns the report. An earlier model at path is replaced."""
+    model, report = evaluate_and_refit(df, label, numeric, categorical, kind)
+    report.write.mode("overwrite").parquet(f"{path}/report")
+    model.write().overwrite().save(f"{path}/model")
+    return df.sparkSession.read.parquet(f"{path}/report")
+
+
+def deployed(path: str) -> PipelineModel:
+    """The model that deploy wrote."""
+    return PipelineModel.load(f"{path}/model")
+
+
 def score_cells(model: PipelineModel, cells: DataFrame) -> DataFrame:
     """ML-06: score, average-rank percentile and tier."""
     scored = average_rank_percentile(predict(model, cells), "score", "score_percentile")
     return scored.withColumn("prospect_tier", tier(F.col("score_percentile")))
 
 
-def compare_fused(df: DataFrame, target: str, numeric: list[str], categorical: list[str], vector: str, transform: str = "log1p") -> DataFrame:
+def compare_fused(df: DataFrame, target: str, numeric: list[str], categorical: list[str], vector: str, transform: str = "log1p", trees: int = 20, subsample: float = 0.8) -> DataFrame:
     """ML-07: regression metrics with tabular features, and with the vector's components besides, on the same rows. df has split_group."""
     size = df.select(F.size(vector).alias("n")).where("n > 0").agg(F.max("n")).first()[0] or 0
     wide = df.select("*", *[F.get(vector, F.lit(i)).cast("double").alias(f"v_{i}") for i in range(size)])
     reports = []
     for name, cols in (("tabular", numeric), ("fused", numeric + [f"v_{i}" for i in range(size)])):
-        model = regressor(wide.where("split_group = 'train'"), target, cols, categorical, transform)
+        model = regressor(wide.where("split_group = 'train'"), target, cols, categorical, transform, trees, subsample=subsample)
         test = predict(model, wide.where("split_group = 'test'"), "y_pred", transform)
         reports.append(metrics.regression(test, target, "y_pred").select(F.lit(name).alias("features"), "*"))
     return reports[0].unionByName(reports[1])
