@@ -779,3 +779,25 @@ def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, tmp_path):
         # without labels all documents are good; those whose language isn't known go, of the repeated row one stays
         assert set(got.doc_id.dropna()) == (set() if name == "none" else {2, 3})
         assert got[got.doc_id == 2].length.sum() == (0 if name == "none" else got[got.doc_id == 2].doc_tokens.iloc[0])
+
+
+def test_licence_versions_and_texts_are_told_apart(spark, none):
+    """Each notice and text of a version gives its own label and no other version's; a family's notice alone gives no version."""
+    index = licenses.Index({}, 1000)
+    listed = [(label, body) for label, (body, _) in licenses.VERSIONS.items()] + [(label, body) for label, body, _ in licenses.TEXTS]
+    rivals = [{"gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3"}, {"cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nc-nd"}]
+    for label, body in listed:
+        for text in (body, "x y " * 500 + body.upper().replace(" ", "\n * ") + " z" * 500):
+            found = index.scan(text.encode())[5]
+            assert label in found, (label, found)
+            for group in rivals:
+                if label in group:
+                    assert group.intersection(found) == {label}, (label, found)
+    assert index.scan(licenses.TEMPLATES["gpl"][0].encode())[5] == ["gpl"]
+    own = spark.createDataFrame([("house", "This recipe may be copied by every member of the house for tea only", ["every member of the house"], 1)] * 2, "label string, body string, must array<string>, text int")
+    docs = spark.createDataFrame([(1, "a b c: this recipe may be copied by every member of the house, for tea only!"), (2, "every member of the house"), (3, None)], "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(docs, templates=own).orderBy("doc_id").collect()] == [["house"], [], []]
+    assert licenses.scan(none, templates=own).count() == 0
+    for wrong in ([("a", None, ["x"], 1)], [("a", "x y", ["z"], 1)], [(None, "x", None, 1)], [("a", " ", None, 1)]):
+        with pytest.raises(ValueError):
+            licenses.scan(docs, templates=spark.createDataFrame(wrong, own.schema))
