@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.llm import components, context_mixing, decontaminate, language, licenses, neighbours, packing, quality, sharding, simhash, token_store
+from wellspring.llm.common import scratch
 from wellspring.llm.tokens import UnitEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -693,6 +694,31 @@ def test_token_store(spark, docs, none):
         token_store.Container(blob, b"other")
 
 
+def test_token_store_of_long_texts_and_one_id(spark):
+    """With long texts only there is a trained dictionary; rows of one doc_id come whole and gapless from many parts; ids beyond the width raise."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(9)
+    words = ["river", "stone", "lantern", "Größe", "of", "the", "\U0001f600", "walks"]
+    texts = [" ".join(rng.choice(words) for _ in range(900)) + f" {i}" for i in range(60)]
+    rows = [(7, t) for t in texts[:40]] + [(None, t) for t in texts[40:]] + [(7, texts[0])] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    folder = scratch(spark, "long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so few bytes would be one part
+    try:
+        token_store.write_store(df, folder, path, sample_bytes=1024, dictionary_bytes=2048, container_bytes=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{folder}_dictionary").first().dictionary[:4] == b"\x37\xa4\x30\xec"
+    assert spark.read.parquet(folder).select("part").distinct().count() > 1
+    got = token_store.read_store(spark, folder).toPandas().sort_values("start")
+    e = UnitEncoder(path, "dropped", 2)
+    assert sorted(bytes(x) for x in got.ids) == sorted(e.encode([t])[0].astype("<u4").tobytes() for _, t in rows)
+    assert got.start.tolist() == np.concatenate([[0], np.cumsum(got.n_tokens)[:-1]]).tolist()
+    assert got.doc_id.isna().tolist() == [True] * 20 + [False] * 45
+    with pytest.raises(ValueError, match="fit 2 bytes"):
+        token_store._serial(np.array([5, 65536]), 2)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, (3000, 1))

@@ -1,7 +1,7 @@
 """Token-id / binary output: each document compressed by itself against one shared zstandard dictionary.
 
-The dictionary is trained on serialized id arrays of a bounded sample (`sample` documents of at most `sample_bytes`
-bytes of text, those with the smallest hash of doc_id); every document is written. A store is a Parquet folder, so that any file system that Spark
+The dictionary is trained on serialized id arrays of a bounded sample: of the `sample` documents with the smallest hash of doc_id
+and text, a text beyond `sample_bytes` bytes gives an excerpt of that size at a place that the hash picks. Every document is written, whole. A store is a Parquet folder, so that any file system that Spark
 writes to will do and the committer deals with lost executors. Each row holds one container, about `container_bytes` long:
 
     magic "WTOK1\\0\\0\\0" | SHA-256 of the dictionary (32) | bytes of an id, 2 or 4 (u32) | documents n (u32)
@@ -11,7 +11,7 @@ Numbers are little-endian. A short document is read by its offset alone, without
 and the documents in them are in ascending doc_id order (null first); `part` and `seq` give the order of containers, `inner_start` the ids before one in its part.
 
 Defined results: null or empty text has the end id only; repeated rows are written each, in any order among
-themselves; an empty table gives an empty store; other columns are ignored.
+themselves; an empty table gives an empty store; other columns are ignored. Rows of one doc_id, or equal rows, may fill many containers. An id that doesn't fit `width` raises.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .common import documents, drawn, materialize, pieces, scan_offsets, scratch
 from .tokens import encoder
 
 MAGIC = b"WTOK1\0\0\0"
-FRAMES = "doc_id long, n_tokens long, frame binary"
+FRAMES = "doc_id long, n_tokens long, frame binary, place long"
 CONTAINERS = "part int, seq int, inner_start long, n_docs long, n_tokens long, container binary"
 _HEAD = struct.Struct("<8s32sII")
 
@@ -87,27 +87,39 @@ class Container:
         return np.frombuffer(self.decompress(self.blob[a:b], max_output_size=int(self.counts[k]) * self.width), f"<u{self.width}")
 
 
+def _serial(ids: np.ndarray, width: int) -> bytes:
+    if ids.size and int(ids.max()) >> (8 * width):
+        raise ValueError(f"id {int(ids.max())} doesn't fit {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "dropped", end_id: int = 2, width: int = 2, dictionary_bytes: int = 65536, sample: int = 1000, sample_bytes: int = 65536, container_bytes: int = 16 << 20) -> None:
     """Encode all documents and write them to the folder `path`, with the dictionary in the folder `path`_dictionary.
 
     width: bytes of an id; 2 if every id of the vocabulary is under 65536. `sample` bounds what the dictionary sees.
     """
     spark, docs = docs.sparkSession, documents(docs)
-    chosen = drawn(docs.where(F.octet_length("text") <= sample_bytes), sample, "doc_id")
+    # an excerpt is cut by characters, of four bytes at most
+    key, most = F.xxhash64("doc_id", "text").alias("key"), sample_bytes // 4
+    start = F.pmod(F.xxhash64("key"), F.char_length("text") - most + 1).cast("int") + 1
+    excerpt = F.when(F.octet_length("text") <= sample_bytes, F.col("text")).otherwise(F.when(F.char_length("text") <= most, F.col("text")).otherwise(F.substring(F.col("text"), start, F.lit(most))))
+    chosen = drawn(docs.where("text IS NOT NULL").select(key, "text").select("key", excerpt.alias("text")), sample, "key")
     encode = encoder(tokenizer, kind, end_id).encode
     ids, counts, _ = encode([r.text for r in chosen])
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    samples = [ids[a:b].astype(f"<u{width}").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    samples = [_serial(ids[a:b], width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     dictionary = train_dictionary(samples, dictionary_bytes)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}_dictionary")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack = encoder(tokenizer, kind, end_id).encode, _codecs(dictionary)[0].compress
+        place = TaskContext.get().partitionId() << 36
         for batch in pieces(batches, 4 << 20):
             ids, counts, _ = encode([t or "" for t in batch.column("text").to_pylist()])
-            data, bounds = ids.astype(f"<u{width}").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * width
+            data, bounds = _serial(ids, width), np.concatenate([[0], np.cumsum(counts)]) * width
             frames = [pack(data[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(frames, pa.binary()), pa.array(np.arange(place, place + len(frames)))], ["doc_id", "n_tokens", "frame", "place"])
+            place += len(frames)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
@@ -133,8 +145,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "dropped
         if frames:
             yield row()
 
-    # written first: range parting reads its input twice, and encoding is the costly part
-    ordered = materialize(docs.mapInArrow(compress, FRAMES), "frames").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # written first: range parting reads its input twice, and encoding is the costly part; the place lets a doc_id of many rows be parted
+    ordered = materialize(docs.mapInArrow(compress, FRAMES), "frames").repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "n_tokens", "frame")
     ordered.mapInArrow(gather, CONTAINERS).write.option("compression", "none").parquet(path)
 
 
