@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions import columns as C
 from wellspring.functions import projections
+from wellspring.plans import jobs
 from wellspring.operators import asof, life, lines, merging, metrics, models, observations, polygons, ranking, sampling, spatial, summaries
 
 
@@ -428,3 +429,47 @@ def test_boosted_cells_follow_the_closed_form(spark):
         for _ in range(5):
             f += 0.1 * (4 * pos / (1 + exp(2 * f)) - 4 * neg / (1 + exp(-2 * f))) / (pos + neg)
         assert abs(got[x] - 1 / (1 + exp(-2 * f))) < 1e-9
+
+
+def planted_scenes(spark, n, m, seed=4):
+    """n scenes with boxes of several sizes, some of them the same, and m points, some of them on borders."""
+    rng = random.Random(seed)
+    boxes = [(x, x + w, y, y + h) for x, y, w, h in ((rng.randint(-8, 8) / 4, rng.randint(-8, 8) / 4, rng.choice([0.0, 0.25, 1.0, 3.0]), rng.choice([0.0, 0.5, 1.0])) for _ in range(n // 3))] + [(1.0, -1.0, 0.0, 1.0), (None, 1.0, 0.0, 1.0)]
+    scenes = [(i, "view" if i % 3 else "click", f"T{i % 5}", rng.randint(340, 390) * 86400, rng.choice([None, *map(float, range(50))]), *rng.choice(boxes)) for i in range(n)]
+    points = [(str(i), rng.choice([rng.uniform(-2, 2), rng.randint(-8, 8) / 4]), rng.choice([rng.uniform(-2, 2), rng.randint(-8, 8) / 4])) for i in range(m)] + [("none", None, 1.0)]
+    return scenes, points, spark.createDataFrame(scenes, "scene_id long, collection string, tile_id string, epoch_s long, cloud_cover double, west double, east double, south double, north double"), spark.createDataFrame(points, "sample_id string, latitude double, longitude double")
+
+
+def in_box(s, p):
+    return None not in (*s[5:], p[1], p[2]) and s[5] <= p[2] <= s[6] and s[7] <= p[1] <= s[8]
+
+
+def test_shortlists_equal_brute_force_without_all_pairs(spark, monkeypatch):
+    scenes, points, given, places = planted_scenes(spark, 1200, 60)
+    pairs, plain = [], observations.top_k
+    monkeypatch.setattr(observations, "top_k", lambda df, keys, *more: pairs.append(df.count() if "sample_id" in keys else 0) or plain(df, keys, *more))
+    got = {(r.sample_id, r.year, r.bin, r["rank"]): r.scene_id for r in observations.scene_shortlists(places, given, 100, 2).collect()}
+    want, hits = {}, 0
+    for p in points:
+        groups = {}
+        for s in scenes:
+            if in_box(s, p):
+                day = date.fromordinal(date(1970, 1, 1).toordinal() + s[3] // 86400)
+                bin_ = (day.timetuple().tm_yday - 1) // 100
+                middle = (date(day.year, 1, 1).toordinal() - date(1970, 1, 1).toordinal() + bin_ * 100) * 86400 + 100 * 43200
+                groups.setdefault((p[0], day.year, bin_), []).append((s[4] is None, s[4] or 0, abs(s[3] - middle), -s[3], s[0]))
+                hits += 1
+        want |= {(*g, k): o[-1] for g, found in groups.items() for k, o in enumerate(sorted(found)[:2], 1)}
+    assert got == want and sum(pairs) < hits / 2
+
+
+def test_observation_plan_without_all_pairs(spark, monkeypatch):
+    scenes, points, given, places = planted_scenes(spark, 1800, 40, 5)
+    pairs, plain = [], observations.top_k
+    monkeypatch.setattr(observations, "top_k", lambda df, keys, *more: pairs.append(df.count() if "sample_id" in keys else 0) or plain(df, keys, *more))
+    plan, coverage = jobs.observation_plan(places, given.where("collection = 'view'"), given.where("collection = 'click'"), 100, 1, 4)
+    day = lambda s: date.fromordinal(date(1970, 1, 1).toordinal() + s[3] // 86400)
+    hits = [(p[0], day(s).year, (day(s).timetuple().tm_yday - 1) // 100, s[1]) for p in points for s in scenes if in_box(s, p)]
+    got = {(r.sample_id, r.year, r.bin, c) for r in plan.collect() for c, has in (("view", r.has_s2), ("click", r.has_s1)) if has}
+    assert got == set(hits) and sum(pairs) < len(hits) / 2
+    assert {r.sequence_id: r.n_paired for r in coverage.collect()} == {f"{a}__year_{y}": len({h[:3] for h in got if h[:2] == (a, y) and h[3] == "view"} & {h[:3] for h in got if h[:2] == (a, y) and h[3] == "click"}) for a, y, *_ in got}

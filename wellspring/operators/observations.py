@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chebyshev, compass_role, offset_lat_lon
+from ..sources.scratch import materialize
 from .ranking import top_k
 
 #: The four season windows of a year, as (name, first month, first day, last month, last day).
@@ -44,19 +45,44 @@ def search_groups(sequences: DataFrame, size: float, pad: float) -> DataFrame:
     return sequences.groupBy(*keys).agg((F.min("longitude") - pad).alias("west"), (F.max("longitude") + pad).alias("east"), (F.min("latitude") - pad).alias("south"), (F.max("latitude") + pad).alias("north"), F.count("*").alias("members"))
 
 
-def scene_shortlists(locations: DataFrame, scenes: DataFrame, cadence: int, k: int, step: float = 0.5, optical: bool = True) -> DataFrame:
+def covering(locations: DataFrame, scenes: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """For each location and group of scenes (`keys`) the k first scenes by the order whose box holds the point, with `rank`. The order
+    ends with a key and knows the scene only, so most pairs need not be made: of equal boxes the k first of a group count; and in a cell of a grid
+    all scenes of a group after the k-th one that holds the whole cell can't be among the k first of any point in it.
+
+    A box lies on the grid whose cell is a sixth to a third of its longer side, so it touches 49 cells at most and, unless it is narrow, holds some whole.
+    """
+    box = ["west", "east", "south", "north"]
+    held = scenes.where("west <= east and south <= north")
+    kept = top_k(held.select(*held.columns, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__o")), [*box, *keys], [F.col("__o")], k).drop("rank")
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")) / 6)), F.lit(-20)).cast("int")
+    kept = materialize(kept.withColumn("__level", F.coalesce(level, F.lit(-20))), "scenes")
+    step = F.pow(F.lit(2.0), F.col("__level"))
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
+    group = ["__level", "cx", "cy", *keys]
+    dealt = kept.withColumn("cx", F.explode(cells("west", "east"))).withColumn("cy", F.explode(cells("south", "north")))
+    whole = (F.col("west") <= F.col("cx") * step) & (F.col("east") >= (F.col("cx") + 1) * step) & (F.col("south") <= F.col("cy") * step) & (F.col("north") >= (F.col("cy") + 1) * step)
+    last = top_k(dealt.where(whole).select(*group, "__o"), group, [F.col("__o")], k).where(F.col("rank") == k)
+    last = materialize(last.select(*group, F.col("__o").alias("__last")), "whole-cells")  # small, so that joins see its size
+    dealt = dealt.join(last, group, "left").where("__last is null or __o <= __last").drop("__last")
+    levels = F.broadcast(kept.select("__level").distinct())
+    points = locations.where("latitude is not null and longitude is not null").select("sample_id", "latitude", "longitude").join(levels)
+    points = points.withColumns({"cx": F.floor(F.col("longitude") / step).cast("long"), "cy": F.floor(F.col("latitude") / step).cast("long")})
+    hits = points.join(dealt, ["__level", "cx", "cy"]).where("longitude between west and east and latitude between south and north")
+    return top_k(hits, ["sample_id", *keys], [F.col("__o")], k).drop("__o", "__level", "cx", "cy")
+
+
+def scene_shortlists(locations: DataFrame, scenes: DataFrame, cadence: int, k: int, optical: bool = True) -> DataFrame:
     """JN-15, WIN-05: for each location and time bin the k best scenes whose footprint holds the point: by cloud (optical; null
     last), then distance in time to the bin's middle, then the newest. The interval join becomes an equi join: a scene's bin is
-    computed from its time, its footprint is exploded to cells. scenes: scene_id, epoch_s, cloud_cover, west, east, south, north."""
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
+    computed from its time, its footprint is exploded to cells (`covering`). scenes: scene_id, epoch_s, cloud_cover, west, east, south, north."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("epoch_s") / 86400).cast("int"))
-    dealt = scenes.withColumns({"day": day}).withColumns({"bin": bin_of(F.col("day"), cadence), "year": F.year("day"), "cx": F.explode(cells("west", "east"))}).withColumn("cy", F.explode(cells("south", "north")))
-    points = locations.select("sample_id", "latitude", "longitude", F.floor(F.col("longitude") / step).cast("long").alias("cx"), F.floor(F.col("latitude") / step).cast("long").alias("cy"))
-    hits = points.join(dealt, ["cx", "cy"]).where("longitude between west and east and latitude between south and north")
+    dated = scenes.withColumn("day", day).withColumns({"bin": bin_of(F.col("day"), cadence), "year": F.year("day")})
     start = F.date_add(F.make_date("year", F.lit(1), F.lit(1)), F.col("bin") * cadence)
     middle = F.datediff(start, F.lit("1970-01-01").cast("date")) * 86400 + F.lit(cadence * 43200)
-    order = [*([F.col("cloud_cover").asc_nulls_last()] if optical else []), F.abs(F.col("epoch_s") - middle), F.desc("epoch_s"), F.col("scene_id")]
-    return top_k(hits, ["sample_id", "year", "bin"], order, k).select("sample_id", "year", "bin", "rank", "scene_id", "cloud_cover")
+    order = [*([F.col("cloud_cover").isNull(), F.col("cloud_cover")] if optical else []), F.abs(F.col("epoch_s") - middle), -F.col("epoch_s"), F.col("scene_id")]
+    slim = dated.select("scene_id", "epoch_s", "cloud_cover", "west", "east", "south", "north", "year", "bin")
+    return covering(locations, slim, ["year", "bin"], order, k).select("sample_id", "year", "bin", "rank", "scene_id", "cloud_cover")
 
 
 def season_scenes(locations: DataFrame, scenes: DataFrame, most_cloud: float = 35, preferred: tuple = (), step: float = 0.5) -> DataFrame:
