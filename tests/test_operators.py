@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import columns as C
 from wellspring.functions import projections
 from wellspring.plans import jobs
-from wellspring.operators import asof, life, lines, merging, metrics, models, observations, polygons, ranking, sampling, spatial, summaries
+from wellspring.operators import asof, counting, life, lines, merging, metrics, models, observations, polygons, ranking, sampling, spatial, summaries
 
 
 def rows(df):
@@ -473,3 +473,32 @@ def test_observation_plan_without_all_pairs(spark, monkeypatch):
     got = {(r.sample_id, r.year, r.bin, c) for r in plan.collect() for c, has in (("view", r.has_s2), ("click", r.has_s1)) if has}
     assert got == set(hits) and sum(pairs) < len(hits) / 2
     assert {r.sequence_id: r.n_paired for r in coverage.collect()} == {f"{a}__year_{y}": len({h[:3] for h in got if h[:2] == (a, y) and h[3] == "view"} & {h[:3] for h in got if h[:2] == (a, y) and h[3] == "click"}) for a, y, *_ in got}
+
+
+def test_points_in_boxes_equal_brute_force(spark):
+    scenes, points, given, places = planted_scenes(spark, 300, 400, 6)
+    for most in (1 << 17, 50):  # 50: several slabs, parts of equal longitudes and chunks of boxes
+        got = {tuple(r)[:4]: r.n for r in counting.points_in_boxes(places, given, most, most).collect()}
+        want = {s[5:]: n for s in scenes if (n := sum(in_box(s, p) for p in points))}
+        assert got == want and len(got) > 20
+    assert counting.points_in_boxes(places.limit(0), given).count() == 0
+    covered = {r.scene_id: r.n_points for r in observations.scene_coverage(places, given).collect()}
+    assert covered == {s[0]: want.get(s[5:], 0) for s in scenes}
+
+
+def test_season_hits_equal_brute_force_without_all_pairs(spark, monkeypatch):
+    scenes, points, given, places = planted_scenes(spark, 1500, 60, 7)
+    shifted = given.withColumn("epoch_s", F.lit(5097600 + 86400 * 31) + F.col("scene_id") % 4 * 61 * 86400)  # a day of each season of 1970
+    pairs, plain = [], observations.top_k
+    monkeypatch.setattr(observations, "top_k", lambda df, keys, *more: pairs.append(df.count() if "sample_id" in keys else 0) or plain(df, keys, *more))
+    got = {(r.sample_id, r.season): r.scene_id for r in observations.season_hits(places, shifted.withColumn("tile_id", F.col("scene_id").cast("string")), preferred=("click",)).collect()}
+    clear = [s for s in scenes if s[4] is not None and s[4] < 35]
+    want = {}
+    for p in points:
+        best = {}
+        for s in clear:
+            if in_box(s, p):
+                best.setdefault(s[0] % 4, []).append((0 if s[1] == "click" else 999, s[4], s[0]))
+        if len(best) == 4:
+            want |= {(p[0], ("early_spring", "late_spring", "summer", "fall")[k]): min(found)[-1] for k, found in best.items()}
+    assert got == want and len(got) > 20 and sum(pairs) < sum(in_box(s, p) for p in points for s in clear) / 2

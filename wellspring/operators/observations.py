@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import chebyshev, compass_role, offset_lat_lon
 from ..sources.scratch import materialize
+from .counting import points_in_boxes
 from .ranking import top_k
 
 #: The four season windows of a year, as (name, first month, first day, last month, last day).
@@ -85,7 +86,7 @@ def scene_shortlists(locations: DataFrame, scenes: DataFrame, cadence: int, k: i
     return covering(locations, slim, ["year", "bin"], order, k).select("sample_id", "year", "bin", "rank", "scene_id", "cloud_cover")
 
 
-def season_scenes(locations: DataFrame, scenes: DataFrame, most_cloud: float = 35, preferred: tuple = (), step: float = 0.5) -> DataFrame:
+def season_scenes(locations: DataFrame, scenes: DataFrame, most_cloud: float = 35, preferred: tuple = ()) -> DataFrame:
     """JN-16: the scene chosen for each year, season window and tile: it is less cloudy than `most_cloud`, and comes first by the
     locations it covers, the place of its collection in `preferred`, its cloud cover, the newest, the smallest scene_id. scenes: scene_id, tile_id, collection, epoch_s, cloud_cover and box."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("epoch_s") / 86400).cast("int"))
@@ -93,9 +94,8 @@ def season_scenes(locations: DataFrame, scenes: DataFrame, most_cloud: float = 3
     inside = lambda a, b, c, d: F.col("day").between(F.make_date("year", F.lit(a), F.lit(b)), F.make_date("year", F.lit(c), F.lit(d)))
     season = F.coalesce(*[F.when(inside(*days), F.lit(name)) for name, *days in SEASONS])
     dated = dated.withColumn("season", season).where("season is not null")
-    covered = dated.join(scene_coverage(locations, dated, step), "scene_id")
     order = [F.desc("n_points"), preference(preferred), F.col("cloud_cover"), F.desc("epoch_s"), F.col("scene_id")]
-    return top_k(covered, ["year", "season", "tile_id"], order, 1).drop("rank")
+    return top_k(covered(locations, dated), ["year", "season", "tile_id"], order, 1).drop("rank")
 
 
 def preference(preferred: tuple) -> Column:
@@ -103,26 +103,26 @@ def preference(preferred: tuple) -> Column:
     return F.coalesce(*[F.when(F.col("collection") == c, F.lit(k)) for k, c in enumerate(preferred)], F.lit(999))
 
 
-def season_hits(locations: DataFrame, scenes: DataFrame, most_cloud: float = 35, preferred: tuple = (), step: float = 0.5) -> DataFrame:
+def season_hits(locations: DataFrame, scenes: DataFrame, most_cloud: float = 35, preferred: tuple = ()) -> DataFrame:
     """JN-16: for each location and season window the best of the chosen scenes (`season_scenes`) whose box holds the point: by
     collection, cloud, the newest, scene_id. A location without a hit in all windows of a year has none in that year."""
-    chosen = season_scenes(locations, scenes, most_cloud, preferred, step)
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
-    dealt = chosen.withColumn("cx", F.explode(cells("west", "east"))).withColumn("cy", F.explode(cells("south", "north")))
-    points = locations.select("sample_id", "latitude", "longitude", F.floor(F.col("longitude") / step).cast("long").alias("cx"), F.floor(F.col("latitude") / step).cast("long").alias("cy"))
-    hits = points.join(dealt, ["cx", "cy"]).where("longitude between west and east and latitude between south and north")
-    best = top_k(hits, ["sample_id", "year", "season"], [preference(preferred), F.col("cloud_cover"), F.desc("epoch_s"), F.col("scene_id")], 1)
+    chosen = materialize(season_scenes(locations, scenes, most_cloud, preferred), "season-scenes")
+    best = covering(locations, chosen, ["year", "season"], [preference(preferred), F.col("cloud_cover"), -F.col("epoch_s"), F.col("scene_id")], 1)
     whole = F.count("*").over(Window.partitionBy("sample_id", "year"))
     return best.withColumn("n", whole).where(F.col("n") == len(SEASONS)).select("sample_id", "year", "season", "scene_id", "tile_id", "n_points")
 
 
-def scene_coverage(points: DataFrame, scenes: DataFrame, step: float = 0.5) -> DataFrame:
+def covered(points: DataFrame, scenes: DataFrame) -> DataFrame:
+    """scenes with n_points, the number of points in their box."""
+    box = ["west", "east", "south", "north"]
+    found = points_in_boxes(points, scenes).withColumnsRenamed({c: f"__{c}" for c in box})
+    same = [F.col(c).cast("double") == F.col(f"__{c}") for c in box]
+    return scenes.join(found, same, "left").withColumn("n_points", F.coalesce("n", F.lit(0).cast("long"))).drop("n", *[f"__{c}" for c in box])
+
+
+def scene_coverage(points: DataFrame, scenes: DataFrame) -> DataFrame:
     """JN-26: how many points lie in each scene's box; scenes without any have 0."""
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long"))
-    dealt = scenes.select("scene_id", "west", "east", "south", "north", F.explode(cells("west", "east")).alias("cx")).withColumn("cy", F.explode(cells("south", "north")))
-    probe = points.select("latitude", "longitude", F.floor(F.col("longitude") / step).cast("long").alias("cx"), F.floor(F.col("latitude") / step).cast("long").alias("cy"))
-    got = dealt.join(probe, ["cx", "cy"]).where("longitude between west and east and latitude between south and north").groupBy("scene_id").count()
-    return scenes.select("scene_id").join(got, "scene_id", "left").select("scene_id", F.coalesce("count", F.lit(0)).alias("n_points"))
+    return covered(points, scenes.select("scene_id", "west", "east", "south", "north")).select("scene_id", "n_points")
 
 
 def recent_clear(scenes: DataFrame, lookback_days: int, most_cloud: float) -> DataFrame:
