@@ -502,3 +502,16 @@ def test_season_hits_equal_brute_force_without_all_pairs(spark, monkeypatch):
         if len(best) == 4:
             want |= {(p[0], ("early_spring", "late_spring", "summer", "fall")[k]): min(found)[-1] for k, found in best.items()}
     assert got == want and len(got) > 20 and sum(pairs) < sum(in_box(s, p) for p in points for s in clear) / 2
+
+
+def test_epoch_days_beyond_four_digit_years_equal_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    spark.createDataFrame([(i,) for i in (0, 1, 9, 365, 2932895, 2932897, 2932898, 2932899, 2932900, 2932933, 6000001)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = rows(__spark_entry__.queries()["nrm04_epoch_ms"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["nrm04_epoch_ms"]).fetchall(), key=str)
+    assert any(day and day.startswith("+10000-") for _, day in got)
