@@ -515,3 +515,20 @@ def test_epoch_days_beyond_four_digit_years_equal_sql(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(con.execute(__spark_entry__.oracle_sql()["nrm04_epoch_ms"]).fetchall(), key=str)
     assert any(day and day.startswith("+10000-") for _, day in got)
+
+
+def test_nearest_in_dense_places_without_all_pairs(spark, monkeypatch):
+    """Crowds around two towns, many wells in one place, targets far away; pairs stay few."""
+    rng = random.Random(8)
+    place = lambda: rng.choice([(40 + rng.gauss(0, 0.01), -80 + rng.gauss(0, 0.01)), (41.0, -79.0), (39 + rng.uniform(0, 2), -81 + rng.uniform(0, 2))])
+    sources, targets = [(i, *place()) for i in range(3000)], [(f"t{i}", *place()) for i in range(150)] + [("far", -30.0, 100.0), ("none", None, 1.0)]
+    pairs, plain = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a, **kw: pairs.append(plain(*a, **kw).count()) or plain(*a, **kw))
+    s, t = spark.createDataFrame(sources, "k long, latitude double, longitude double"), spark.createDataFrame(targets, "id string, latitude double, longitude double")
+    got = {r.id: (r.near_k, r.near_km) for r in spatial.nearest(t, s, "id", "k").collect()}
+    want = {t[0]: min((haversine(t[1:], x[1:]), x[0]) for x in sources) for t in targets if t[1] is not None}
+    assert {i: (k, pytest.approx(km, abs=1e-7)) for i, (km, k) in want.items()} == {i: x for i, x in got.items() if i != "none"} and got["none"] == (None, None)
+    assert sum(pairs) < sum(haversine(t[1:], x[1:]) <= 5 for t in targets if t[1] is not None for x in sources) / 5
+    pairs.clear()
+    repaired = {r.id: r.official_key for r in spatial.repair_keys(t, s, "id", "k").collect()}
+    assert repaired == {i: k for i, (km, k) in want.items() if km <= 2} and sum(pairs) < sum(haversine(t[1:], x[1:]) <= 2 for t in targets if t[1] is not None for x in sources) / 5

@@ -58,18 +58,34 @@ def within(targets: DataFrame, sources: DataFrame, key: str, radius_km: float, t
     return joined.select(key, "km", *[f"s_{c}" for c in names])
 
 
+def first_reach(sources: DataFrame, start_km: float, most: int = 64, least_km: float = 1e-3) -> float:
+    """start_km, or so small a quarter, sixteenth ... of it that no cell of that radius holds more than `most` sources (not below least_km)."""
+    while start_km > least_km:
+        cells = Cells(start_km)
+        cy = cells.y(F.col("latitude"))
+        if not sources.groupBy(cy.alias("cy"), cells.x(F.col("longitude"), cells.columns(cy)).alias("cx")).count().where(F.col("count") > most).take(1):
+            break
+        start_km /= 4
+    return start_km
+
+
 def nearest(targets: DataFrame, sources: DataFrame, key: str, source_key: str, attributes: list[str] = (), start_km: float = 5.0, most_km: float = 20_100.0) -> DataFrame:
-    """JN-10: for each target its nearest source (ties to the smaller key) and its attributes, whatever the distance. Rings of
-    start_km, twice, four times ... are searched for the targets not yet resolved only; no ring needs more than half the globe."""
+    """JN-10: for each target its nearest source within most_km (ties to the smaller key) and its attributes. Rings are searched for the targets
+    not yet resolved only, each four times as wide as the last; the first is so small that few sources lie in a cell of it. Of sources in one place
+    the one with the smallest key counts. No ring needs more than half the globe."""
     from ..sources.scratch import materialize
 
-    left, done, radius = targets.select(key, "latitude", "longitude").where("latitude is not null and longitude is not null"), None, start_km
-    if not sources.where("latitude is not null and longitude is not null").take(1):
+    known, place = "latitude is not null and longitude is not null", ["latitude", "longitude"]
+    left, done = targets.select(key, *place).where(known), None
+    names = list(dict.fromkeys([source_key, *attributes]))
+    sources = materialize(sources.where(known).groupBy(*place).agg(F.min_by(F.struct(*names), F.struct(source_key)).alias("b")).select(*place, "b.*"), "places")
+    if not sources.take(1):
         empty = sources.limit(0).select(F.col(source_key).alias(f"near_{source_key}"), *[F.col(a).alias(f"near_{a}") for a in attributes], F.lit(None).cast("double").alias("near_km"))
         return targets.select(key).join(empty, F.lit(False), "left")
+    radius = first_reach(sources, min(start_km, most_km))
     while True:
-        found = within(left, sources, key, min(radius, most_km), [source_key, *attributes])
-        best = found.groupBy(key).agg(F.min_by(F.struct(*[f"s_{c}" for c in (source_key, *attributes)], "km"), F.struct("km", f"s_{source_key}")).alias("b"))
+        found = within(left, sources, key, min(radius, most_km), names)
+        best = found.groupBy(key).agg(F.min(F.struct("km", f"s_{source_key}", *[f"s_{c}" for c in names if c != source_key])).alias("b"))
         best = materialize(best.select(key, *[F.col(f"b.s_{c}").alias(f"near_{c}") for c in (source_key, *attributes)], F.col("b.km").alias("near_km")), "nearest")
         done = best if done is None else done.unionByName(best)
         left = materialize(left.join(best, key, "left_anti"), "unresolved")
@@ -80,9 +96,8 @@ def nearest(targets: DataFrame, sources: DataFrame, key: str, source_key: str, a
 
 def repair_keys(foreign: DataFrame, official: DataFrame, key: str, official_key: str, cap_km: float = 2.0) -> DataFrame:
     """JN-11: (key, official key, km) of each foreign key whose nearest official well is within the cap; the rest drop out."""
-    got = within(foreign, official, key, cap_km, [official_key])
-    best = F.min_by(F.struct(f"s_{official_key}", "km"), F.struct("km", f"s_{official_key}")).alias("b")
-    return got.groupBy(key).agg(best).select(key, F.col(f"b.s_{official_key}").alias("official_key"), F.col("b.km").alias("km"))
+    got = nearest(foreign, official, key, official_key, start_km=cap_km, most_km=cap_km).where("near_km is not null")
+    return got.select(key, F.col(f"near_{official_key}").alias("official_key"), F.col("near_km").alias("km"))
 
 
 def focal_stats(dem: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
