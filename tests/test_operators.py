@@ -532,3 +532,24 @@ def test_nearest_in_dense_places_without_all_pairs(spark, monkeypatch):
     pairs.clear()
     repaired = {r.id: r.official_key for r in spatial.repair_keys(t, s, "id", "k").collect()}
     assert repaired == {i: k for i, (km, k) in want.items() if km <= 2} and sum(pairs) < sum(haversine(t[1:], x[1:]) <= 2 for t in targets if t[1] is not None for x in sources) / 5
+
+
+@pytest.mark.parametrize("mid", [(40, -80), (89.99, 10), (-60, -179.99)])
+def test_counts_and_nearest_by_ranges_equal_brute_force(mid, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    draw = lambda n: (np.round(mid[0] + rng.uniform(-0.3, 0.3, n), 3).clip(-90, 90), np.round(mid[1] + rng.uniform(-0.3, 0.3, n) * (30 if mid[0] > 80 else 1), 3), rng.integers(0, 50, n))
+    t, s, compared, plain = draw(300), draw(4000), [], asof.Rows.pairs
+    t = tuple(np.concatenate([a, b[:100]]) for a, b in zip(t, s, strict=True))
+    monkeypatch.setattr(asof.Rows, "pairs", lambda *a: (compared.append(len(x[0])) or x for x in plain(*a)))
+    km = asof._km(t[0][:, None], t[1][:, None], s[0][None], s[1][None])
+    for as_of in (True, False):
+        before = s[2][None] < t[2][:, None] if as_of else np.ones_like(km, bool)
+        for radius in (1e-6, 2, 20):
+            compared.clear()
+            assert (asof._count_within(t, s, radius, as_of) == ((km <= radius) & before).sum(axis=1)).all()
+            assert radius < 20 or sum(compared) < (km <= radius).sum() / 4
+        for gap in (None, 1e-6, 3.0):
+            want = np.where(before & (km > (-1 if gap is None else gap)) & (km <= 20), km, np.inf).min(axis=1)
+            assert asof._nearest_within(t, s, 20, as_of, gap) == pytest.approx(want, abs=1e-9)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_KM, haversine_km
 from ..sources.scratch import materialize
+from .counting import RangeCounts
 
 FOUND = "id long, radius int, n long, value_n long, median double, p90 double, nearest double"
 MOST_LEVELS = 8
@@ -135,6 +136,176 @@ def _compare(radii: tuple[float, ...], cap_km: float | None, as_of: bool, values
     return run
 
 
+class Rows:
+    """Sources in rows of a plane that touches the globe amid the targets, each row ordered by u. Distances (chords of the unit sphere) shrink in the
+    plane, and by no more than `stretch`; so a disc of the plane holds all that are near, and a smaller one only such."""
+
+    PAD, MOST = 1e-9, 1 << 22  # 6 mm, beyond what rounding moves; pairs at a time
+
+    def __init__(self, targets: np.ndarray, sources: np.ndarray, at: np.ndarray, height: float) -> None:
+        mid = targets.sum(axis=0)
+        mid = mid / np.linalg.norm(mid) if np.linalg.norm(mid) > 1e-3 * len(targets) else targets[0]
+        east = np.cross([0.0, 0.0, 1.0] if abs(mid[2]) < 0.9 else [1.0, 0.0, 0.0], mid)
+        axes = np.stack([east / np.linalg.norm(east), np.cross(mid, east / np.linalg.norm(east)), mid])
+        place = sources @ axes.T
+        self.targets, self.place = targets, targets @ axes.T
+        self.v0 = place[:, 1].min(initial=1.0)
+        self.height = max(height, (place[:, 1].max(initial=-1.0) - self.v0) / 4096, 1e-9)
+        row = np.floor((place[:, 1] - self.v0) / self.height).astype(np.int64)
+        self.order = np.lexsort((place[:, 0], row))
+        self.last = int(row.max(initial=-1))
+        self.key, self.sources, self.at = row[self.order] * 4.0 + 1 + place[self.order, 0], sources[self.order], at[self.order]
+        depth = min(place[:, 2].min(initial=1.0), self.place[:, 2].min(initial=1.0))
+        self.stretch = 1 / depth if depth > 0.5 else np.inf  # sqrt(1 + slope^2) of the sphere at its farthest place
+
+    def ranges(self, own: np.ndarray, chord: float) -> tuple[np.ndarray, ...]:
+        """For targets x rows: places [a, b) that may be within the chord, and [ia, ib) among them that surely are."""
+        u, v = self.place[own, 0][:, None], self.place[own, 1][:, None]
+        first = np.floor((v - chord - self.PAD - self.v0) / self.height).clip(0, self.last + 1)
+        width = int((np.floor((v + chord + self.PAD - self.v0) / self.height).clip(-1, self.last) - first).max(initial=-1)) + 1
+        row = first + np.arange(width)[None]
+        low = self.v0 + row * self.height
+        near = np.maximum(0, np.maximum(low - v, v - low - self.height) - self.PAD)
+        far = np.maximum(np.abs(v - low), np.abs(v - low - self.height)) + self.PAD
+        half = np.sqrt(np.maximum(chord**2 - near**2, 0)) + self.PAD
+        inner = np.sqrt(np.maximum((chord / self.stretch) ** 2 - far**2, 0)) - self.PAD
+        seek = lambda x, side: np.searchsorted(self.key, row * 4 + (x + 1).clip(-0.5, 2.5), side)
+        a = seek(u - half, "left")
+        b = np.where((near <= chord) & (row <= self.last), np.maximum(a, seek(u + half, "right")), a)
+        some = (inner > 0) & (b > a)
+        ia = np.where(some, seek(u - inner, "left").clip(a, b), b)
+        return a, ia, np.where(some, np.maximum(ia, seek(u + inner, "right").clip(a, b)), b), b
+
+    def pairs(self, own: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in own, source, squared chord) of all pairs in targets x ranges, a bounded number at a time."""
+        owner, starts, sizes = np.repeat(np.arange(len(own)), first.shape[1]), first.ravel(), (end - first).ravel()
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        cuts = np.unique([0, *np.searchsorted(upto, np.arange(self.MOST, total, self.MOST), "right"), len(sizes)]) if total else []
+        for begin, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            n = sizes[begin:stop]
+            index = np.repeat(starts[begin:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            who = np.repeat(owner[begin:stop], n)
+            yield who, index, ((self.targets[own[who]] - self.sources[index]) ** 2).sum(axis=1)
+
+
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    a, b = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=1)
+
+
+def _chord(km: float) -> float:
+    return 2 * sin(min(km / EARTH_KM, pi) / 2)
+
+
+def _count_within(t: tuple, s: tuple, radius: float, as_of: bool) -> np.ndarray:
+    """For each target (lat, lon, at) the number of sources (lat, lon, at) within the radius, and before it. Whole stretches of rows
+    are counted by ranks of their instants, and only sources near the circle are compared."""
+    (t_lat, t_lon, t_at), (s_lat, s_lon, s_at), chord = t, s, _chord(radius)
+    n = np.zeros(len(t_lat), np.int64)
+    if not len(s_lat) or not len(t_lat):
+        return n
+    targets, sources = _unit(t_lat, t_lon), _unit(s_lat, s_lon)
+    box = np.maximum(np.ptp(sources, axis=0), chord)
+    crowd = len(s_lat) * chord**2 / np.sort(box)[1:].prod()  # sources in a square of the chord, about
+    rows = Rows(targets, sources, s_at, 2 * chord / min(max(4.0, (0.6 * crowd) ** 0.5), 256.0))
+    counts = RangeCounts(rows.at) if as_of else None
+    slack = chord**2 * 1e-9 + chord * 1e-14
+    sliced = max(1, (1 << 19) // (int(2 * chord / rows.height) + 3))
+    order = np.argsort(rows.place[:, 1], kind="stable")  # neighbours ask one after another
+    for begin in range(0, len(order), sliced):
+        own = order[begin : begin + sliced]
+        a, ia, ib, b = rows.ranges(own, chord)
+        if as_of:
+            rank = np.broadcast_to(counts.rank(t_at[own])[:, None], ia.shape).ravel()
+            n[own] += counts.below(ia.ravel(), ib.ravel(), rank).reshape(ia.shape).sum(axis=1)
+        else:
+            n[own] += (ib - ia).sum(axis=1)
+        for first, end in ((a, ia), (ib, b)):
+            for who, index, gap in rows.pairs(own, first, end):
+                good = gap <= chord**2 + slack
+                close = np.flatnonzero(good & (gap >= chord**2 - slack))
+                i, j = own[who[close]], rows.order[index[close]]
+                good[close] = _km(t_lat[i], t_lon[i], s_lat[j], s_lon[j]) <= radius
+                if as_of:
+                    good &= rows.at[index] < t_at[own[who]]
+                n[own] += np.bincount(who[good], minlength=len(own))
+    return n
+
+
+def _nearest_within(t: tuple, s: tuple, cap_km: float, as_of: bool, self_gap: float | None) -> np.ndarray:
+    """For each target the distance of its nearest source within the cap (before it, beyond the gap), else infinity; in widening discs for those left."""
+    (t_lat, t_lon, t_at), (s_lat, s_lon, s_at) = t, s
+    best, left = np.full(len(t_lat), np.inf), np.arange(len(t_lat))
+    targets, sources = _unit(t_lat, t_lon), _unit(s_lat, s_lon)
+    box = np.sort(np.maximum(np.ptp(sources, axis=0), 1e-6))[1:].prod() if len(s_lat) else 1.0
+    radius = min(cap_km, max(1e-3, EARTH_KM * (4 * box / max(1, len(s_lat))) ** 0.5))
+    edge = _chord(self_gap) if self_gap is not None else 0.0
+    while len(left) and len(s_lat):
+        kept = np.flatnonzero(s_at < t_at[left].max()) if as_of else np.arange(len(s_lat))
+        if not len(kept):
+            break
+        chord = _chord(radius)
+        rows = Rows(targets[left], sources[kept], s_at[kept], chord / 2)
+        order = np.argsort(rows.place[:, 1], kind="stable")
+        for begin in range(0, len(order), 1 << 15):
+            own = order[begin : begin + (1 << 15)]
+            a, _, _, b = rows.ranges(own, chord)
+            for who, index, gap in rows.pairs(own, a, b):
+                if as_of:
+                    good = rows.at[index] < t_at[left[own[who]]]
+                    who, index, gap = who[good], index[good], gap[good]
+                if self_gap is not None:
+                    good = np.ones(len(who), bool)
+                    close = np.flatnonzero(gap <= (edge * 1.001 + 1e-15) ** 2)
+                    i, j = left[own[who[close]]], kept[rows.order[index[close]]]
+                    good[close] = _km(t_lat[i], t_lon[i], s_lat[j], s_lon[j]) > self_gap
+                    who, index, gap = who[good], index[good], gap[good]
+                if len(who):
+                    starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                    least = np.repeat(np.minimum.reduceat(gap, starts), np.diff(np.concatenate([starts, [len(who)]])))
+                    first = gap <= least * (1 + 1e-9) + np.sqrt(least) * 1e-14 + 1e-30
+                    i, j = left[own[who[first]]], kept[rows.order[index[first]]]
+                    np.minimum.at(best, i, _km(t_lat[i], t_lon[i], s_lat[j], s_lon[j]))
+        if radius >= cap_km:
+            break
+        left = left[best[left] > radius]
+        radius = min(2 * radius, cap_km)
+    return np.where(best <= cap_km, best, np.inf)
+
+
+def _count(radii: tuple[float, ...], cap_km: float | None, as_of: bool, self_gap: float | None):
+    """As `_compare` without values, by ranges of ordered sources and not by all pairs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        floats = lambda t, c: t.column(c).cast(pa.float64()).combine_chunks().fill_null(np.nan).to_numpy(zero_copy_only=False)
+        far = np.iinfo(np.int64).max
+        times = lambda t: t.column("at").combine_chunks().fill_null(far).to_numpy(zero_copy_only=False)
+        ids, t_at = left.column("id").to_numpy(), times(left)
+        s_lat, s_lon, s_at, s_n = floats(right, "lat"), floats(right, "lon"), times(right), floats(right, "n")
+        whole, points = np.isnan(s_lat), ~np.isnan(s_lat)
+        dated = np.flatnonzero(t_at < far) if as_of else np.arange(len(ids))
+        t = (floats(left, "lat")[dated], floats(left, "lon")[dated], t_at[dated])
+        s = (s_lat[points], s_lon[points], s_at[points])
+        order = np.argsort(s_at[whole], kind="stable")
+        table, before = s_at[whole][order], np.concatenate([[0], np.cumsum(s_n[whole][order])]).astype(np.int64)
+        listed = before[np.searchsorted(table, t[2], "left")] if as_of else np.full(len(dated), before[-1])
+        n, at_gap = np.zeros((len(radii), len(ids)), np.int64), _count_within(t, s, self_gap, as_of) if self_gap is not None and radii else 0
+        for r, radius in enumerate(radii):
+            n[r, dated] = listed + _count_within(t, s, radius, as_of) - (at_gap if self_gap is None or self_gap <= radius else _count_within(t, s, radius, as_of))
+        nearest = np.full(len(ids), np.inf)
+        if cap_km is not None:
+            nearest[dated] = _nearest_within(t, s, cap_km, as_of, self_gap)
+        m, none = len(ids), cap_km is not None
+        kinds = np.repeat([*range(len(radii)), *([-1] if none else [])], m).astype(np.int32)
+        far_away = np.concatenate([np.full(len(radii) * m, np.inf), *([nearest] if none else [])])
+        blank = pa.nulls(len(kinds), pa.float64())
+        return pa.table({"id": pa.array(np.tile(ids, len(radii) + none), pa.int64()), "radius": pa.array(kinds), "n": pa.array(np.concatenate([n.ravel(), *([np.zeros(m, np.int64)] if none else [])])), "value_n": pa.array(np.zeros(len(kinds), np.int64)),
+                         "median": blank, "p90": blank, "nearest": pa.array(far_away, mask=np.isinf(far_away))})
+
+    return run
+
+
 def _met(targets: DataFrame, sent: DataFrame, function, chunk: int) -> DataFrame:
     """targets (band, column, id, lat, lon, at) and what is sent to (band, column), compared in chunks of about `chunk` targets."""
     keys = ("band", "column", "chunk")
@@ -201,7 +372,7 @@ def _widening(targets: DataFrame, sources: DataFrame, first_km: float, cap_km: f
         radius = min(radius * factor, cap_km)
 
 
-def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: list[float], cap_km: float, as_of: tuple[str, str] | None = None, value: str | None = None, self_gap: float | None = None, dense: int = 65_536, chunk: int = 1024) -> DataFrame:
+def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: list[float], cap_km: float, as_of: tuple[str, str] | None = None, value: str | None = None, self_gap: float | None = None, dense: int = 1 << 21, chunk: int | None = None) -> DataFrame:
     """JN-05 .. JN-09: for each target counts within each radius, the nearest distance within the cap, and (with value) count, median and 90 %
     quantile of known values within each radius. Both tables have latitude, longitude; key is unique among the targets.
 
@@ -222,7 +393,8 @@ def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: lis
     grid = Tiles(2 * reach)  # few large groups; crowded ones are bounded below
     near, around = grid.placed(here), grid.placed(there)
     tiles = grid.around(near.select("band", "column").distinct(), reach)
-    compare = lambda rs, cap, gap=self_gap: _compare(tuple(rs), cap, as_of is not None, value is not None, gap)
+    chunk = chunk or (1024 if value else 65_536)
+    compare = lambda rs, cap, gap=self_gap: _compare(tuple(rs), cap, as_of is not None, True, gap) if value else _count(tuple(rs), cap, as_of is not None, gap)
     parts = []
     if value is None and there.count() > dense:
         crowded = materialize(_crowded(tiles, around, dense), "crowded")
