@@ -553,3 +553,31 @@ def test_counts_and_nearest_by_ranges_equal_brute_force(mid, monkeypatch):
         for gap in (None, 1e-6, 3.0):
             want = np.where(before & (km > (-1 if gap is None else gap)) & (km <= 20), km, np.inf).min(axis=1)
             assert asof._nearest_within(t, s, 20, as_of, gap) == pytest.approx(want, abs=1e-9)
+
+
+def test_quantiles_of_dense_places_without_all_pairs(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from wellspring.operators import asof
+
+    rng, compared, plain, apart = np.random.default_rng(8), [], asof.Rows.pairs, asof._km
+    m, n = 100, 60_000
+    left = pa.table({"id": np.arange(m), "lat": 40 + rng.random(m) / 10, "lon": -80 + rng.random(m) / 10, "at": pa.array(rng.integers(0, 50, m), mask=np.arange(m) == 7)})
+    value = np.where(rng.random(n) < 0.3, 5.0, rng.normal(size=n))
+    right = pa.table({"lat": 40 + rng.random(n) / 10, "lon": -80 + rng.random(n) / 10, "at": rng.integers(0, 50, n), "value": pa.array(value, mask=rng.random(n) < 0.1), "n": pa.nulls(n, pa.int64())})
+    km = apart(*(left.column(c).to_numpy()[:, None] for c in ("lat", "lon")), *(right.column(c).to_numpy()[None] for c in ("lat", "lon")))
+    known, t_at = ~np.isnan(right.column("value").to_numpy()), left.column("at").fill_null(-1).to_numpy()
+    before = right.column("at").to_numpy()[None] < t_at[:, None]
+    monkeypatch.setattr(asof.Rows, "pairs", lambda *a: (compared.append(len(x[0])) or x for x in plain(*a)))
+    monkeypatch.setattr(asof, "_km", lambda *a: compared.append(np.broadcast(*a).size) or apart(*a))
+    for as_of, gap in ((True, None), (False, 0.5)):
+        compared.clear()
+        got = asof._count((0.2, 4.0), None, as_of, gap, True)(left, right)
+        assert sum(compared) < m * n / 5
+        for row in got.to_pylist():
+            i, radius = row["id"], (0.2, 4.0)[row["radius"]]
+            near = (km[i] <= radius) & (before[i] if as_of else km[i] > gap)
+            v = right.column("value").to_numpy()[near & known]
+            assert (row["n"], row["value_n"]) == (near.sum(), len(v))
+            assert (row["median"], row["p90"]) == (pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.9)), abs=1e-12) if len(v) else (None, None))

@@ -83,59 +83,6 @@ def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray)
     return 2 * EARTH_KM * np.arcsin(np.minimum(np.sqrt(h), 1.0))
 
 
-def _quantile(ordered: np.ndarray, q: float) -> float:
-    at = q * (len(ordered) - 1)
-    low, high = int(np.floor(at)), int(np.ceil(at))
-    return float(ordered[low] if low == high else (high - at) * ordered[low] + (at - low) * ordered[high])
-
-
-def _compare(radii: tuple[float, ...], cap_km: float | None, as_of: bool, values: bool, self_gap: float | None):
-    """A group's targets (id, lat, lon, at) and what the tiles around sent: sources (lat, lon, at, value) and time tables (at, n; lat null)."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows:
-            col = lambda t, c: t.column(c).to_numpy()
-            floats = lambda t, c: t.column(c).cast(pa.float64()).combine_chunks().fill_null(np.nan).to_numpy(zero_copy_only=False)
-            times = lambda t: t.column("at").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            ids, t_at = col(left, "id"), times(left)
-            t_lat, t_lon = floats(left, "lat"), floats(left, "lon")
-            s_lat, s_lon, s_value, s_at, s_n = floats(right, "lat"), floats(right, "lon"), floats(right, "value"), times(right), floats(right, "n")
-            whole = np.isnan(s_lat)
-            order = np.argsort(s_at[whole], kind="stable")
-            table, before = s_at[whole][order], np.concatenate([[0], np.cumsum(s_n[whole][order])])
-            points = np.flatnonzero(~whole)
-            points = points[np.argsort(s_value[points], kind="stable")]  # nulls, as NaN, are last
-            p_lat, p_lon, p_at, p_value = s_lat[points], s_lon[points], s_at[points], s_value[points]
-            known = int((~np.isnan(p_value)).sum())
-            far = np.iinfo(np.int64).max
-            sliced = max(1, (1 << 21) // max(1, len(points)))
-            for begin in range(0, len(ids), sliced):
-                own = slice(begin, begin + sliced)
-                km = _km(t_lat[own, None], t_lon[own, None], p_lat[None], p_lon[None])
-                good = (p_at[None] < t_at[own, None]) & (t_at[own, None] < far) if as_of else np.ones_like(km, bool)
-                if self_gap is not None:
-                    good &= km > self_gap
-                km = np.where(good, km, np.inf)
-                least = km.min(axis=1, initial=np.inf)
-                for r, radius in enumerate(radii):
-                    near = km <= radius
-                    n = near.sum(axis=1)
-                    if len(table):
-                        n = n + (np.where(t_at[own] < far, before[np.searchsorted(table, t_at[own], "left")], 0) if as_of else before[-1])
-                    for i, target in enumerate(ids[own].tolist()):
-                        v = p_value[:known][near[i, :known]] if values else ()
-                        out.append((target, r, int(n[i]), len(v), _quantile(v, 0.5) if len(v) else None, _quantile(v, 0.9) if len(v) else None, None))
-                if cap_km is not None:
-                    out.extend((target, -1, 0, 0, None, None, float(x) if x <= cap_km else None) for target, x in zip(ids[own].tolist(), least, strict=True))
-        names = ["id", "radius", "n", "value_n", "median", "p90", "nearest"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-    return run
-
-
 class Rows:
     """Sources in rows of a plane that touches the globe amid the targets, each row ordered by u. Distances (chords of the unit sphere) shrink in the
     plane, and by no more than `stretch`; so a disc of the plane holds all that are near, and a smaller one only such."""
@@ -198,6 +145,17 @@ def _chord(km: float) -> float:
     return 2 * sin(min(km / EARTH_KM, pi) / 2)
 
 
+def _inside(t: tuple, s: tuple, rows: Rows, who: np.ndarray, index: np.ndarray, gap: np.ndarray, radius: float, as_of: bool) -> np.ndarray:
+    """Whether the pairs (target, place in rows) of squared chords `gap` are within the radius, the source before the target."""
+    chord = _chord(radius)
+    slack = chord**2 * 1e-9 + chord * 1e-14
+    good = gap <= chord**2 + slack
+    close = np.flatnonzero(good & (gap >= chord**2 - slack))
+    i, j = who[close], rows.order[index[close]]
+    good[close] = _km(t[0][i], t[1][i], s[0][j], s[1][j]) <= radius
+    return good & (rows.at[index] < t[2][who]) if as_of else good
+
+
 def _count_within(t: tuple, s: tuple, radius: float, as_of: bool) -> np.ndarray:
     """For each target (lat, lon, at) the number of sources (lat, lon, at) within the radius, and before it. Whole stretches of rows
     are counted by ranks of their instants, and only sources near the circle are compared."""
@@ -210,7 +168,6 @@ def _count_within(t: tuple, s: tuple, radius: float, as_of: bool) -> np.ndarray:
     crowd = len(s_lat) * chord**2 / np.sort(box)[1:].prod()  # sources in a square of the chord, about
     rows = Rows(targets, sources, s_at, 2 * chord / min(max(4.0, (0.6 * crowd) ** 0.5), 256.0))
     counts = RangeCounts(rows.at) if as_of else None
-    slack = chord**2 * 1e-9 + chord * 1e-14
     sliced = max(1, (1 << 19) // (int(2 * chord / rows.height) + 3))
     order = np.argsort(rows.place[:, 1], kind="stable")  # neighbours ask one after another
     for begin in range(0, len(order), sliced):
@@ -223,12 +180,7 @@ def _count_within(t: tuple, s: tuple, radius: float, as_of: bool) -> np.ndarray:
             n[own] += (ib - ia).sum(axis=1)
         for first, end in ((a, ia), (ib, b)):
             for who, index, gap in rows.pairs(own, first, end):
-                good = gap <= chord**2 + slack
-                close = np.flatnonzero(good & (gap >= chord**2 - slack))
-                i, j = own[who[close]], rows.order[index[close]]
-                good[close] = _km(t_lat[i], t_lon[i], s_lat[j], s_lon[j]) <= radius
-                if as_of:
-                    good &= rows.at[index] < t_at[own[who]]
+                good = _inside(t, s, rows, own[who], index, gap, radius, as_of)
                 n[own] += np.bincount(who[good], minlength=len(own))
     return n
 
@@ -274,8 +226,80 @@ def _nearest_within(t: tuple, s: tuple, cap_km: float, as_of: bool, self_gap: fl
     return np.where(best <= cap_km, best, np.inf)
 
 
-def _count(radii: tuple[float, ...], cap_km: float | None, as_of: bool, self_gap: float | None):
-    """As `_compare` without values, by ranges of ordered sources and not by all pairs."""
+def _counts(t: tuple, s: tuple, radius: float, as_of: bool, self_gap: float | None) -> np.ndarray:
+    """As `_count_within`, without sources within the gap."""
+    n = _count_within(t, s, radius, as_of)
+    return n if self_gap is None else n - (n if self_gap >= radius else _count_within(t, s, self_gap, as_of))
+
+
+def _listed(t: tuple, s: tuple, radius: float, as_of: bool, self_gap: float | None, who: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each (target, rank from 0) the place of that source among the few sources, of those within the radius, in the sources' order."""
+    some, back = np.unique(who, return_inverse=True)
+    t = tuple(c[some] for c in t)
+    chord, place = _chord(radius), np.empty(len(who), np.int64)
+    rows = Rows(_unit(*t[:2]), _unit(*s[:2]), s[2], chord / 2)
+    by_target = np.argsort(back, kind="stable")
+    first = np.searchsorted(back[by_target], np.arange(len(some) + 1))
+    sliced = max(1, Rows.MOST // max(1, len(s[0])))
+    for begin in range(0, len(some), sliced):
+        own = np.arange(begin, min(begin + sliced, len(some)))
+        a, _, _, b = rows.ranges(own, chord)
+        found = [np.zeros(0, np.int64)]
+        for i, index, gap in rows.pairs(own, a, b):
+            good = _inside(t, s, rows, own[i], index, gap, radius, as_of)
+            i, j = own[i[good]], rows.order[index[good]]
+            if self_gap is not None:
+                apart = _km(t[0][i], t[1][i], s[0][j], s[1][j]) > self_gap
+                i, j = i[apart], j[apart]
+            found.append(i * len(s[0]) + j)
+        pairs = np.sort(np.concatenate(found))
+        asked = by_target[first[begin] : first[own[-1] + 1]]
+        place[asked] = pairs[np.searchsorted(pairs, back[asked] * len(s[0])) + rank[asked]] % len(s[0])
+    return place
+
+
+def _ordered_within(t: tuple, s: tuple, values: np.ndarray, radius: float, as_of: bool, self_gap: float | None, who: np.ndarray, rank: np.ndarray, few: int = 1024) -> np.ndarray:
+    """For each (target, rank from 0) the value of that rank among the sources within the radius, and before the target. `values` ascend.
+
+    The ordered sources are halved again and again: the number of near ones in the lower half tells in which half a rank lies, so near sources are
+    never listed but of the last few."""
+    out = np.empty(len(who))
+    work = [(0, len(values), np.arange(len(who)), rank)] if len(who) else []
+    while work:
+        low, high, asked, k = work.pop()
+        if values[low] == values[high - 1]:
+            out[asked] = values[low]
+            continue
+        if high - low <= few:
+            out[asked] = values[low + _listed(t, tuple(c[low:high] for c in s), radius, as_of, self_gap, who[asked], k)]
+            continue
+        mid = (low + high) // 2
+        some, back = np.unique(who[asked], return_inverse=True)
+        n = _counts(tuple(c[some] for c in t), tuple(c[low:mid] for c in s), radius, as_of, self_gap)[back]
+        lower = k < n
+        work += [part for part in ((low, mid, asked[lower], k[lower]), (mid, high, asked[~lower], (k - n)[~lower])) if len(part[2])]
+    return out
+
+
+def _quantiles(t: tuple, s: tuple, values: np.ndarray, radius: float, as_of: bool, self_gap: float | None, shares: tuple[float, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of known values within the radius of each target and their linear quantiles, NaN where there is none."""
+    n = _counts(t, s, radius, as_of, self_gap)
+    some = np.flatnonzero(n)
+    at = [q * (n[some] - 1) for q in shares]
+    ranks = np.concatenate([f(x).astype(np.int64) for x in at for f in (np.floor, np.ceil)]) if shares else np.zeros(0, np.int64)
+    got = _ordered_within(t, s, values, radius, as_of, self_gap, np.tile(some, 2 * len(shares)), ranks).reshape(len(shares), 2, len(some))
+    out = []
+    for x, (low, high) in zip(at, got, strict=True):
+        full = np.full(len(n), np.nan)
+        with np.errstate(invalid="ignore"):
+            full[some] = np.where(np.floor(x) == np.ceil(x), low, (np.ceil(x) - x) * low + (x - np.floor(x)) * high)
+        out.append(full)
+    return n, out
+
+
+def _count(radii: tuple[float, ...], cap_km: float | None, as_of: bool, self_gap: float | None, values: bool = False):
+    """A group's targets (id, lat, lon, at) and what the tiles around sent, sources (lat, lon, at, value) and time tables (at, n; lat null):
+    counts, nearest distances and (with `values`) quantiles, by ranges of ordered sources and not by all pairs."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         floats = lambda t, c: t.column(c).cast(pa.float64()).combine_chunks().fill_null(np.nan).to_numpy(zero_copy_only=False)
@@ -293,15 +317,25 @@ def _count(radii: tuple[float, ...], cap_km: float | None, as_of: bool, self_gap
         n, at_gap = np.zeros((len(radii), len(ids)), np.int64), _count_within(t, s, self_gap, as_of) if self_gap is not None and radii else 0
         for r, radius in enumerate(radii):
             n[r, dated] = listed + _count_within(t, s, radius, as_of) - (at_gap if self_gap is None or self_gap <= radius else _count_within(t, s, radius, as_of))
+        value_n, quantiles = np.zeros((len(radii), len(ids)), np.int64), np.full((2, len(radii), len(ids)), np.nan)
+        if values:
+            s_value = floats(right, "value")
+            kept = np.flatnonzero(points & ~np.isnan(s_value))
+            kept = kept[np.argsort(s_value[kept], kind="stable")]
+            known = (s_lat[kept], s_lon[kept], s_at[kept])
+            for r, radius in enumerate(radii):
+                value_n[r, dated], quantiles[:, r, dated] = _quantiles(t, known, s_value[kept], radius, as_of, self_gap, (0.5, 0.9))
         nearest = np.full(len(ids), np.inf)
         if cap_km is not None:
             nearest[dated] = _nearest_within(t, s, cap_km, as_of, self_gap)
         m, none = len(ids), cap_km is not None
         kinds = np.repeat([*range(len(radii)), *([-1] if none else [])], m).astype(np.int32)
         far_away = np.concatenate([np.full(len(radii) * m, np.inf), *([nearest] if none else [])])
-        blank = pa.nulls(len(kinds), pa.float64())
-        return pa.table({"id": pa.array(np.tile(ids, len(radii) + none), pa.int64()), "radius": pa.array(kinds), "n": pa.array(np.concatenate([n.ravel(), *([np.zeros(m, np.int64)] if none else [])])), "value_n": pa.array(np.zeros(len(kinds), np.int64)),
-                         "median": blank, "p90": blank, "nearest": pa.array(far_away, mask=np.isinf(far_away))})
+        tail = np.zeros(m if none else 0)
+        statistics = {n: pa.array(np.concatenate([q.ravel(), tail]), mask=np.concatenate([value_n.ravel() == 0, tail == 0])) for n, q in zip(("median", "p90"), quantiles, strict=True)}
+        whole_n, whole_value_n = (np.concatenate([c.ravel(), tail.astype(np.int64)]) for c in (n, value_n))
+        return pa.table({"id": pa.array(np.tile(ids, len(radii) + none), pa.int64()), "radius": pa.array(kinds), "n": pa.array(whole_n), "value_n": pa.array(whole_value_n),
+                         **statistics, "nearest": pa.array(far_away, mask=np.isinf(far_away))})
 
     return run
 
@@ -378,7 +412,8 @@ def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: lis
 
     as_of: (target date, source date): only sources dated strictly before; a null on either side matches nothing.
     self_gap: leave out sources nearer than that (JN-07's self exclusion). Targets without neighbours, or without a place, keep count 0 and null otherwise.
-    A quantile needs a target's values together, so with `value` a chunk of targets meets all sources of the tiles around it.
+    A quantile needs a target's values together, so with `value` a chunk of targets meets all sources of the tiles around it; there it is found
+    by counts among ever fewer ordered values (`_ordered_within`).
     """
     instant = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     place = (F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon"))
@@ -393,8 +428,8 @@ def neighbour_stats(targets: DataFrame, sources: DataFrame, key: str, radii: lis
     grid = Tiles(2 * reach)  # few large groups; crowded ones are bounded below
     near, around = grid.placed(here), grid.placed(there)
     tiles = grid.around(near.select("band", "column").distinct(), reach)
-    chunk = chunk or (1024 if value else 65_536)
-    compare = lambda rs, cap, gap=self_gap: _compare(tuple(rs), cap, as_of is not None, True, gap) if value else _count(tuple(rs), cap, as_of is not None, gap)
+    chunk = chunk or 65_536
+    compare = lambda rs, cap, gap=self_gap: _count(tuple(rs), cap, as_of is not None, gap, value is not None)
     parts = []
     if value is None and there.count() > dense:
         crowded = materialize(_crowded(tiles, around, dense), "crowded")
