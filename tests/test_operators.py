@@ -581,3 +581,20 @@ def test_quantiles_of_dense_places_without_all_pairs(monkeypatch):
             v = right.column("value").to_numpy()[near & known]
             assert (row["n"], row["value_n"]) == (near.sum(), len(v))
             assert (row["median"], row["p90"]) == (pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.9)), abs=1e-12) if len(v) else (None, None))
+
+
+def test_separated_deals_its_cells(spark, monkeypatch):
+    from wellspring.sources import scratch
+
+    plans, plain = [], scratch.materialize
+    monkeypatch.setattr(scratch, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or plain(df, name))
+    cells = spark.createDataFrame([(f"r{x}_{y}", x, y) for x in range(7) for y in range(7) if (x * y) % 5 != 1], "region_id string, grid_x long, grid_y long").coalesce(1)
+    got = {(r.grid_x, r.grid_y) for r in sampling.separated(cells, "region_id", 2).collect()}
+    walk = sampling.stable_fraction(F.col("region_id"), "anchor")
+    kept = []
+    for r in cells.orderBy(walk, "region_id").collect():
+        if all(max(abs(r.grid_x - x), abs(r.grid_y - y)) > 2 for x, y in kept):
+            kept.append((r.grid_x, r.grid_y))
+    assert got == set(kept)
+    # a step sends a cell to the places along one axis, from parts whose number follows the table and not its files
+    assert all(p.split("== Physical")[0].split("== Optimized")[1].count("Generate explode") <= 1 and "REPARTITION" in p for n, p in plans if n == "firsts") and any(n == "firsts" for n, _ in plans)

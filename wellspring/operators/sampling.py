@@ -157,19 +157,25 @@ def separated(df: DataFrame, key: str, distance: int, seed: str = "anchor") -> D
     """SMP-12: the rows that a greedy walk in stable-hash order keeps when each must be farther than `distance` (Chebyshev) from all kept before.
 
     In each round every open row that comes first among its open neighbours is kept, and its neighbours are closed: the
-    same set as the walk's, in as many rounds as the longest chain of ever later neighbours.
+    same set as the walk's, in as many rounds as the longest chain of ever later neighbours. The first of a neighbourhood is taken along x, then along y;
+    a task starts with at most some 2^16 cells, whatever the files of the table.
     """
     from ..sources.scratch import materialize
 
+    dealt = lambda df: df.repartition(max(1, -(-df.count() // 2**16)), "grid_x", "grid_y")
+
+    def first_along(cells: DataFrame, axis: str) -> DataFrame:
+        sent = dealt(cells).withColumn("d", F.explode(span)).withColumn(axis, F.col(axis) + F.col("d"))
+        return materialize(sent.groupBy("grid_x", "grid_y").agg(F.min("who").alias("who")), "firsts")
+
     span = F.sequence(F.lit(-distance), F.lit(distance))
     open_ = materialize(df.select(key, "grid_x", "grid_y", stable_fraction(F.col(key), seed).alias("u")), "open")
     kept = None
     while open_.take(1):
-        seen = open_.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select((F.col("grid_x") + F.col("dx")).alias("grid_x"), (F.col("grid_y") + F.col("dy")).alias("grid_y"), F.struct("u", key).alias("who"))
-        first = seen.groupBy("grid_x", "grid_y").agg(F.min("who").alias("first"))
+        first = first_along(first_along(open_.select("grid_x", "grid_y", F.struct("u", key).alias("who")), "grid_x"), "grid_y").withColumnRenamed("who", "first")
         chosen = materialize(open_.join(first, ["grid_x", "grid_y"]).where(F.col("first") == F.struct("u", key)).select(key, "grid_x", "grid_y"), "chosen")
         kept = chosen if kept is None else kept.unionByName(chosen)
-        closed = chosen.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select((F.col("grid_x") + F.col("dx")).alias("grid_x"), (F.col("grid_y") + F.col("dy")).alias("grid_y")).distinct()
+        closed = dealt(chosen).withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select((F.col("grid_x") + F.col("dx")).alias("grid_x"), (F.col("grid_y") + F.col("dy")).alias("grid_y")).distinct()
         open_ = materialize(open_.join(closed, ["grid_x", "grid_y"], "left_anti"), "open")
     return df.limit(0) if kept is None else df.join(kept.select(key), key, "left_semi")
 
