@@ -598,3 +598,12 @@ def test_separated_deals_its_cells(spark, monkeypatch):
     assert got == set(kept)
     # a step sends a cell to the places along one axis, from parts whose number follows the table and not its files
     assert all(p.split("== Physical")[0].split("== Optimized")[1].count("Generate explode") <= 1 and "REPARTITION" in p for n, p in plans if n == "firsts") and any(n == "firsts" for n, _ in plans)
+
+
+def test_life_sums_without_distinct_aggregates(spark):
+    rows = [("a", "2020-01-01", 0.0), ("a", "2020-02-01", 5.0), ("a", "2020-02-01", -7.0), ("a", "2021-01-01", 1.0), ("a", "2021-02-01", 2.0), ("a", None, 9.0), ("b", "2020-01-01", 0.0), (None, "2020-01-01", 1.0)]
+    months = spark.createDataFrame(rows, "well_api string, d string, gas_quantity double").selectExpr("well_api", "date(d) period_start_date", "gas_quantity")
+    got = life.life_summary(months, ("gas",))
+    assert "Expand" not in got._jdf.queryExecution().toString()  # a distinct aggregate sends every row several times
+    r = got.collect()
+    assert [(x.well_api, str(x.first_prod_date), x.observed_months_all, x.observed_gas_all, x.f12_gas, x.covered_months_f12, x.f24_gas, x.covered_months_f24) for x in r] == [("a", "2020-02-01", 4, 10.0, -1.0, 2, 1.0, 3)]

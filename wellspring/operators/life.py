@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,17 @@ def _since_first(production: DataFrame) -> DataFrame:
     return rows.join(first, "well_api").withColumn("months_since_first", months)
 
 
+def _months_since_first(production: DataFrame, measures: tuple[str, ...] = ("gas",)) -> DataFrame:
+    """A row for each well that ever gave gas and each of its months: sums of the measures, its first month with gas, and the months since. Rows are
+    dealt by well once; so months are distinct, and what follows counts them without a distinct aggregate."""
+    rows = production.where("well_api is not null").repartition("well_api").groupBy("well_api", "period_start_date").agg(
+        F.max(F.coalesce("gas_quantity", F.lit(0.0)) > 0).alias("__gives"), *[F.sum(F.coalesce(f"{m}_quantity", F.lit(0.0))).alias(f"{m}_quantity") for m in dict.fromkeys(("gas", *measures))]
+    )
+    first = F.min(F.when(F.col("__gives"), F.col("period_start_date"))).over(Window.partitionBy("well_api"))
+    months = (F.year("period_start_date") - F.year("first_prod_date")) * 12 + F.month("period_start_date") - F.month("first_prod_date")
+    return rows.withColumn("first_prod_date", first).where("first_prod_date is not null").withColumn("months_since_first", months).drop("__gives")
+
+
 def _within(months: int) -> Column:
     return (F.col("months_since_first") >= 0) & (F.col("months_since_first") < months)
 
@@ -70,10 +81,10 @@ def _within(months: int) -> Column:
 def month_labels(wells: DataFrame, production: DataFrame, f12_months: int = 12, f24_months: int = 24, f12_periods: int | None = None, f24_periods: int | None = None) -> DataFrame:
     """AGG-04: gas of the first 12 and 24 months from the first month with gas; coverage counts distinct months, as 30.44 days each. A label is
     available with so many covered periods (all months, if none is given; fewer where a state reports by quarters)."""
-    rows = _since_first(production.join(wells.select("well_api").distinct(), "well_api", "left_semi"))
+    rows = _months_since_first(production.join(wells.select("well_api").distinct(), "well_api", "left_semi"))
     sums = []
     for name, months in (("f12", f12_months), ("f24", f24_months)):
-        sums += [F.sum(F.when(_within(months), F.col("gas_quantity"))).alias(f"{name}_gas"), F.countDistinct(F.when(_within(months), F.col("period_start_date"))).alias(f"months_{name}")]
+        sums += [F.sum(F.when(_within(months), F.col("gas_quantity"))).alias(f"{name}_gas"), F.count(F.when(_within(months), F.col("period_start_date"))).alias(f"months_{name}")]
     got = rows.groupBy("well_api").agg(F.min("first_prod_date").alias("first_prod_date"), *sums)
     labels = wells.select("well_api").join(got, "well_api", "left")
     return labels.select(
@@ -92,11 +103,11 @@ def first_life(wells: DataFrame, production: DataFrame, method: str, **options)
 
 def life_summary(production: DataFrame, measures: tuple[str, ...] = ("gas", "oil", "water", "ngl")) -> DataFrame:
     """AGG-05: life-long and first 12 / 24 months' sums of each measure, months seen and last months, in one aggregation."""
-    out = [F.min("first_prod_date").alias("first_prod_date"), F.max("period_start_date").alias("latest_prod_date"), F.countDistinct("period_start_date").alias("observed_months_all"), F.sum("gas_quantity").alias("observed_gas_all")]
+    out = [F.min("first_prod_date").alias("first_prod_date"), F.max("period_start_date").alias("latest_prod_date"), F.count("period_start_date").alias("observed_months_all"), F.sum("gas_quantity").alias("observed_gas_all")]
     for n in (12, 24):
-        out += [F.sum(F.when(_within(n), F.coalesce(f"{m}_quantity", F.lit(0.0)))).alias(f"f{n}_{m}") for m in measures]
-        out += [F.countDistinct(F.when(_within(n), F.col("period_start_date"))).alias(f"covered_months_f{n}"), F.max(F.when(_within(n), F.col("period_start_date"))).alias(f"last_month_f{n}")]
-    got = _since_first(production).groupBy("well_api").agg(*out)
+        out += [F.sum(F.when(_within(n), F.col(f"{m}_quantity"))).alias(f"f{n}_{m}") for m in measures]
+        out += [F.count(F.when(_within(n), F.col("period_start_date"))).alias(f"covered_months_f{n}"), F.max(F.when(_within(n), F.col("period_start_date"))).alias(f"last_month_f{n}")]
+    got = _months_since_first(production, measures).groupBy("well_api").agg(*out)
     return got.withColumns({f"label_f{n}_available": F.col(f"covered_months_f{n}") >= n for n in (12, 24)})
 
 
