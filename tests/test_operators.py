@@ -607,3 +607,18 @@ def test_life_sums_without_distinct_aggregates(spark):
     assert "Expand" not in got._jdf.queryExecution().toString()  # a distinct aggregate sends every row several times
     r = got.collect()
     assert [(x.well_api, str(x.first_prod_date), x.observed_months_all, x.observed_gas_all, x.f12_gas, x.covered_months_f12, x.f24_gas, x.covered_months_f24) for x in r] == [("a", "2020-02-01", 4, 10.0, -1.0, 2, 1.0, 3)]
+
+
+def test_month_labels_of_a_job_read_production_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    wells = spark.createDataFrame([("a", 40.0, -80.0), ("b", 40.01, -80.0)], "well_api string, latitude double, longitude double")
+    rows = spark.createDataFrame([(w, f"2020-{m:02}-01") for w in "ab" for m in range(1, 13)], "well_api string, d string").coalesce(1)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b.assign(gas_quantity=1.0)
+
+    production = rows.mapInPandas(counted, "well_api string, d string, gas_quantity double").selectExpr("well_api", "date(d) period_start_date", "gas_quantity")
+    got = {r.well_api: (r.f12_gas, r.count_2km) for r in jobs.monthly_table(wells, production).collect()}
+    assert got == {"a": (12.0, 0), "b": (12.0, 0)} and read.value == 24

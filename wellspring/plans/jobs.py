@@ -87,10 +87,16 @@ def training_table_v2(wells: DataFrame, permits: DataFrame, production: DataFram
     return out.withColumns(C.threshold_labels(F.col("f12_gas"), F.col("label_f12_available"), "label_f12", C.F12_THRESHOLDS) | C.threshold_labels(F.col("f24_gas"), F.col("label_f24_available"), "label_f24", C.F24_THRESHOLDS))
 
 
+def _cadence_labels(wells: DataFrame, production: DataFrame) -> DataFrame:
+    """Month labels by the reporting cadence. Production is read once for both, and the labels are written once, since targets, sources and the table ask for them."""
+    production = materialize(production.select("well_api", "period_start_date", "gas_quantity"), "production")
+    need = life.cadence(production).first()
+    return materialize(life.month_labels(wells, production, f12_periods=need.f12_periods, f24_periods=need.f24_periods), "labels")
+
+
 def monthly_table(wells: DataFrame, production: DataFrame) -> DataFrame:
     """JOB-05: month labels with the reporting cadence's thresholds, and producing neighbours as of the first production."""
-    need = life.cadence(production).first()
-    labels = life.month_labels(wells, production, f12_periods=need.f12_periods, f24_periods=need.f24_periods)
+    labels = _cadence_labels(wells, production)
     producing = wells.select("well_api", "latitude", "longitude").join(labels.where("first_prod_date is not null").select("well_api", "first_prod_date"), "well_api")
     targets = producing.withColumnRenamed("first_prod_date", "at")
     return wells.join(labels, "well_api", "left").join(asof.neighbour_stats(targets, producing, "well_api", [2, 5], 20, ("at", "first_prod_date")), "well_api", "left")
@@ -100,8 +106,7 @@ def state_table(wells: DataFrame, permits: DataFrame, production: DataFrame, fal
     """JOB-05: wells of a state with month labels by its reporting cadence, a context date (first production, else the first known of the fallback
     columns), as-of counts and nearest distances of wells and permits, and the first-year gas of mature neighbours, those with a label."""
     wells = wells.where("well_api is not null and latitude is not null and longitude is not null").dropDuplicates(["well_api"])
-    need = life.cadence(production).first()
-    labels = materialize(life.month_labels(wells, production, f12_periods=need.f12_periods, f24_periods=need.f24_periods), "labels")
+    labels = _cadence_labels(wells, production)
     at = C.context_date(F.col("first_prod_date"), *[F.col(c) for c in fallbacks])
     targets = materialize(wells.join(labels.select("well_api", "first_prod_date"), "well_api", "left").select("well_api", "latitude", "longitude", at.alias("at")), "well-targets")
     since = targets.withColumnRenamed("at", "since")
