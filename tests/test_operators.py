@@ -622,3 +622,17 @@ def test_month_labels_of_a_job_read_production_once(spark):
     production = rows.mapInPandas(counted, "well_api string, d string, gas_quantity double").selectExpr("well_api", "date(d) period_start_date", "gas_quantity")
     got = {r.well_api: (r.f12_gas, r.count_2km) for r in jobs.monthly_table(wells, production).collect()}
     assert got == {"a": (12.0, 0), "b": (12.0, 0)} and read.value == 24
+
+
+def test_prospect_surface_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    wells = [(f"w{i}", "c", 40 + rng.random() * 0.2, -80 + rng.random() * 0.2) for i in range(3000)]
+    geology = spark.createDataFrame([(1, "M")], "objectid long, map_symbol string")
+    pairs, plain = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a, **k: (lambda df: pairs.append(df.count()) or df)(plain(*a, **k)))
+    monkeypatch.setattr(jobs.polygons, "polygon_attributes", lambda cells, *a: cells.select("cell_id").limit(0).join(geology.limit(0)))
+    df = spark.createDataFrame(wells, "well_api string, county_name string, latitude double, longitude double")
+    got = jobs.prospect_surface(df, geology, ["map_symbol"], 0.05, 4.0, -F.col("nearest_well_distance_km")).select("latitude", "longitude", "nearest_well_api").collect()
+    near = lambda r: min((haversine((r.latitude, r.longitude), w[2:]), w[0]) for w in wells)[1]
+    assert len(got) == 16 and all(r.nearest_well_api == near(r) for r in got)
+    assert sum(pairs) < sum(haversine((r.latitude, r.longitude), w[2:]) <= 4 for r in got for w in wells) / 5

@@ -139,9 +139,8 @@ def prospect_surface(wells: DataFrame, geology: DataFrame, attributes: list[str]
     from ..operators.ranking import average_rank_percentile
 
     cells = summaries.degree_grid(wells, step, 0.0).select(F.concat_ws("_", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("cell_id"), ((F.col("cx") + 0.5) * step).alias("longitude"), ((F.col("cy") + 0.5) * step).alias("latitude"))
-    found = spatial.within(cells, wells, "cell_id", most_km, ["well_api", "county_name"])
-    best = found.groupBy("cell_id").agg(F.min_by(F.struct("s_well_api", "s_county_name", "km"), F.struct("km", "s_well_api")).alias("b"))
-    near = best.select("cell_id", F.col("b.s_well_api").alias("nearest_well_api"), F.col("b.s_county_name").alias("county_name"), F.col("b.km").alias("nearest_well_distance_km"))
+    best = spatial.nearest(cells, wells, "cell_id", "well_api", ["county_name"], most_km, most_km).where("near_km is not null")
+    near = best.select("cell_id", F.col("near_well_api").alias("nearest_well_api"), F.col("near_county_name").alias("county_name"), F.col("near_km").alias("nearest_well_distance_km"))
     table = cells.join(near, "cell_id").join(polygons.polygon_attributes(cells, geology, "cell_id", "objectid", attributes), "cell_id", "left")
     scored = average_rank_percentile(table.withColumn("score", score), "score", "score_percentile")
     return scored.withColumn("prospect_tier", F.when(F.col("score_percentile").isNotNull(), C.tier(F.col("score_percentile"))))
@@ -157,8 +156,7 @@ def feature_surface(wells: DataFrame, permits: DataFrame, geology: DataFrame, at
 
     grid = summaries.degree_grid(wells, step, pad)
     cells = grid.select(F.concat_ws("_", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("cell_id"), "min_lon", "min_lat", "max_lon", "max_lat", ((F.col("cx") + 0.5) * step).alias("longitude"), ((F.col("cy") + 0.5) * step).alias("latitude"))
-    found = spatial.within(cells, wells, "cell_id", most_km, ["well_api", "county_name"])
-    best = found.groupBy("cell_id").agg(F.min_by("s_county_name", F.struct("km", "s_well_api")).alias("county_name"))
+    best = spatial.nearest(cells, wells, "cell_id", "well_api", ["county_name"], most_km, most_km).where("near_km is not null").select("cell_id", F.col("near_county_name").alias("county_name"))
     cells = materialize(cells.join(best, "cell_id"), "cells")
     places = cells.select("cell_id", "latitude", "longitude")
     table = cells.join(polygons.polygon_attributes(places, geology, "cell_id", "objectid", attributes), "cell_id", "left")
