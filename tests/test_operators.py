@@ -375,6 +375,16 @@ def test_trees_learn_and_rank_their_features(spark):
     assert ((got.y_pred - got["value"]).abs() < 12).mean() > 0.9
 
 
+@pytest.mark.parametrize("fit", ["classifier", "regressor"])
+def test_no_part_of_the_trees_rows_is_large(spark, monkeypatch, fit):
+    rows = spark.range(0, 2000, 1, 1).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 100).cast("double").alias("x"))
+    sizes, plain, bounded = [], models.Pipeline.fit, models.spread
+    monkeypatch.setattr(models, "spread", lambda df, n: bounded(df, n, 300))
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: sizes.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) or plain(self, df))
+    (models.classifier(rows, "y", ["x"], [], "trees", 1) if fit == "classifier" else models.regressor(rows, "y", ["x"], [], trees=1))
+    assert sum(sizes) == 2000 and max(sizes) <= 310
+
+
 def test_fused_metrics_are_those_of_both_models(spark):
     df = _labelled(spark).withColumn("v", F.array("y", F.col("x") * F.col("y"))).withColumn("target", F.col("x") * 10 + F.col("y") * 40 + 1)
     got = {r.features: r for r in models.compare_fused(df, "target", ["x"], [], "v").collect()}

@@ -38,6 +38,11 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, n.n / (2 * pos) if pos else 1.0).otherwise(n.n / (2 * neg) if neg else 1.0))
 
 
+def spread(df: DataFrame, n: int, most: int = 200_000) -> DataFrame:
+    """df, of n rows, in parts of about `most` rows. A fit of trees keeps its rows and reads them for each level of a tree, part by part, and a compact file comes as few parts."""
+    return df.repartition(-(-n // most)) if n > most else df
+
+
 def classifier(train: DataFrame, label: str, numeric: list[str], categorical: list[str], kind: str = "logistic", trees: int = 20, depth: int = 4, subsample: float = 0.8) -> PipelineModel:
     """ML-02, ML-03: "logistic" (scaled, balanced) or "trees" (positives weigh neg / pos). label: 0 or 1. subsample: share of the rows that each tree sees."""
     rows = train.fillna(modes(train, categorical)) if categorical else train
@@ -45,13 +50,13 @@ def classifier(train: DataFrame, label: str, numeric: list[str], categorical: li
         return Pipeline(stages=[*preprocess(numeric, categorical, True), LogisticRegression(labelCol=label, weightCol="weight", maxIter=50)]).fit(balanced(rows, label))
     n = rows.agg(F.count(label).alias("n"), F.sum(F.col(label).cast("double")).alias("p")).first()
     weighted = rows.withColumn("weight", F.when(F.col(label) == 1, (n.n - n.p) / n.p if n.p else 1.0).otherwise(1.0))
-    return Pipeline(stages=[*preprocess(numeric, categorical), GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=subsample, seed=42)]).fit(weighted)
+    return Pipeline(stages=[*preprocess(numeric, categorical), GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=subsample, seed=42)]).fit(spread(weighted, n.n))
 
 
 def regressor(train: DataFrame, target: str, numeric: list[str], categorical: list[str], transform: str = "log1p", trees: int = 20, depth: int = 4, subsample: float = 0.8) -> PipelineModel:
     """ML-04: boosted trees on the transformed target."""
     rows = (train.fillna(modes(train, categorical)) if categorical else train).withColumn("target_t", transform_target(F.col(target), transform))
-    return Pipeline(stages=[*preprocess(numeric, categorical), GBTRegressor(labelCol="target_t", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=subsample, seed=42)]).fit(rows)
+    return Pipeline(stages=[*preprocess(numeric, categorical), GBTRegressor(labelCol="target_t", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=subsample, seed=42)]).fit(spread(rows, rows.count()))
 
 
 def predict(model: PipelineModel, df: DataFrame, score: str = "score", transform: str | None = None) -> DataFrame:
