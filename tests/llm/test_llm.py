@@ -677,6 +677,30 @@ def test_quality_equals_plain_ranking(spark):
         assert got[i] == pytest.approx(want, abs=1e-9)
 
 
+def test_quality_learns_from_every_label(spark):
+    """Labels beyond one group are all seen by the fit, also where a group has one kind only; the threshold is where the share of label 0 lies."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab  cd,.AB1|\n-;") for _ in range(rng.randint(5, 120))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = [(i, int(i >= 12 and t.count("|") < t.count("a"))) for i, t in enumerate(texts)]
+    used = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    y = np.array([labels[i][1] for i in used])
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), 40)
+    x = np.array([plain_quality_features(texts[i].encode()) for i in used])
+    assert model.mean == pytest.approx(x[:, :-1].mean(0)) and model.scale == pytest.approx(x[:, :-1].std(0) + 0.01)
+    latent = model._centred(x) @ model.weights
+    assert abs((latent < model.threshold).sum() - (1 - y).sum()) <= 1
+    whole = quality.BradleyTerry().fit(x, y.astype(float), 1.0 - y)  # all in one group
+    assert np.corrcoef(latent, whole._centred(x) @ whole.weights)[0, 1] > 0.9
+    # 2 labels 0 among 4 groups: some groups have none of them
+    rare = spark.createDataFrame([(i, int(i not in used[:2])) for i in used], "doc_id long, quality int")
+    few = quality.fit(docs, rare, 40)
+    latent = few._centred(x) @ few.weights
+    assert np.isfinite(few.weights).all() and latent[:2].max() < np.median(latent[2:])
+    only = quality.fit(docs, spark.createDataFrame([(i, 1) for i in used], "doc_id long, quality int"), 40)
+    assert not only.weights.any() and only.threshold == 0
+
+
 def test_token_store(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = token_store.store_and_read(docs, path, container_bytes=700).toPandas()
