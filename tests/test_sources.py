@@ -65,6 +65,15 @@ def test_mainframe(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.mainframe_production(order).select(*names).collect()) == want
 
 
+def test_mainframe_window_has_slim_rows(spark, tmp_path):
+    body = lambda x: bytes.fromhex((x + "40" * 102)[:204])
+    (tmp_path / "m.bin").write_bytes(body("F0F1C7F0F1F0F0F0F0F0F7") + body("F1F4F2F4F0F1") + body("F1F5000000012C"))
+    got = readers.mainframe_production(readers.read_mainframe(spark, str(tmp_path / "m.bin")))
+    assert [r.gas_mcf for r in got.collect()] == [12]
+    sent = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert len(sent) == 1 and "root_no" not in sent[0]
+
+
 def test_mainframe_files_are_apart(spark, tmp_path):
     """What the first file's last root and cycle say doesn't hold in the second."""
     root = record("01", b"\xc7" + zoned("02") + zoned("000042"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import century, number, snake_name, to_day
 from .collections import feature_lines
+from .scratch import materialize
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -161,20 +162,25 @@ def mainframe_production(records: DataFrame) -> DataFrame:
     over its parts, so records are filled inside their own part and no task holds a file. Nothing is carried from file to file."""
     root = F.when(F.col("kind") == "01", F.struct(zoned_digits(F.substring("body", 4, 2)).alias("district"), zoned_digits(F.substring("body", 6, 6)).alias("lease")))
     cycle = F.when(F.col("kind") == "14", zoned_digits(F.substring("body", 3, 4)))
-    rows = records.select("file", "part", "position", "kind", "body", root.alias("r"), cycle.alias("c"))
+    amounts = F.when(F.col("kind") == "15", F.substring("body", 3, 15)).alias("amounts")  # of a record only what is asked for is sent to the window
+    rows = records.select("file", "part", "position", root.alias("r"), cycle.alias("c"), amounts)
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("position"))
     ends = rows.groupBy("file", "part").agg(F.max_by("r", at("r")).alias("last_r"), F.max(at("r")).alias("r_at"), F.max_by("c", at("c")).alias("last_c"), F.max(at("c")).alias("c_at"))
     # a root without a cycle after it in its part ends what earlier parts said
     ends = ends.withColumn("last_c", F.when(F.col("c_at") > F.coalesce("r_at", F.lit(-1)), F.col("last_c")).when(F.col("r_at").isNotNull(), F.lit("")))
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("file", "part", F.last("last_r", True).over(before).alias("carried_r"), F.last("last_c", True).over(before).alias("carried_c"))
-    upto = Window.partitionBy("file", "part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.join(F.broadcast(carried), ["file", "part"]).withColumn("root_no", F.count("r").over(upto)).withColumn("root", F.coalesce(F.last("r", True).over(upto), F.col("carried_r")))
-    inner = Window.partitionBy("file", "part", "root_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    filled = filled.withColumn("cycle_key", F.coalesce(F.last("c", True).over(inner), F.when(F.col("root_no") == 0, F.nullif("carried_c", F.lit("")))))
-    amounts = [packed_decimal(F.substring("body", 3 + 5 * k, 5)).alias(n) for k, n in enumerate(("gas_mcf", "gas_lift_mcf", "condensate_bbl"))]
+    # a number stands for file and part, so that no record carries the file's name
+    carried = F.broadcast(materialize(carried.withColumn("piece", F.monotonically_increasing_id()), "carried"))
+    upto = Window.partitionBy("piece").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.join(carried.select("file", "part", "piece"), ["file", "part"]).drop("file", "part")
+    filled = filled.withColumns({"own_r": F.last("r", True).over(upto), "r_at": F.max(at("r")).over(upto), "own_c": F.last("c", True).over(upto), "c_at": F.max(at("c")).over(upto)})
+    filled = filled.where("amounts is not null").join(carried, "piece")
+    own = F.when(F.col("c_at") > F.coalesce("r_at", F.lit(-1)), F.col("own_c"))
+    filled = filled.withColumns({"root": F.coalesce("own_r", "carried_r"), "cycle_key": F.coalesce(own, F.when(F.col("r_at").isNull(), F.nullif("carried_c", F.lit(""))))})
+    amounts = [packed_decimal(F.substring("amounts", 1 + 5 * k, 5)).alias(n) for k, n in enumerate(("gas_mcf", "gas_lift_mcf", "condensate_bbl"))]
     year, month = century(F.substring("cycle_key", 1, 2).try_cast("int")), F.substring("cycle_key", 3, 2).try_cast("int")
-    kept = filled.where("kind = '15' and root is not null and cycle_key is not null").where(month.between(1, 12))
+    kept = filled.where("root is not null and cycle_key is not null").where(month.between(1, 12))
     return kept.select("file", "part", "position", "root.district", F.col("root.lease").alias("rrc_id"), "cycle_key", year.alias("production_year"), month.alias("production_month"), *amounts)
 
 
