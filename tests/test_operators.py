@@ -646,3 +646,31 @@ def test_prospect_surface_without_all_pairs(spark, monkeypatch):
     near = lambda r: min((haversine((r.latitude, r.longitude), w[2:]), w[0]) for w in wells)[1]
     assert len(got) == 16 and all(r.nearest_well_api == near(r) for r in got)
     assert sum(pairs) < sum(haversine((r.latitude, r.longitude), w[2:]) <= 4 for r in got for w in wells) / 5
+
+
+def test_tiles_receive_what_is_near_and_days_make_few_levels(spark):
+    """A tile as wide as twice the reach gets some four times its share of the sources, not nine; ranks of instants have as many levels as distinct days need."""
+    import numpy as np
+
+    from wellspring.operators.counting import RangeCounts
+
+    days = np.random.default_rng(2).integers(0, 90, 5000) * 86_400_000_000
+    counts = RangeCounts(days)
+    assert len(counts.levels) == 7
+    first, end, bound = np.array([0, 10, 4000, 7]), np.array([5000, 10, 4999, 8]), np.array([45, 3, 200, -1]) * 86_400_000_000
+    for side in ("left", "right"):
+        want = [int((days[a:b] < c).sum() if side == "left" else (days[a:b] <= c).sum()) for a, b, c in zip(first, end, bound, strict=True)]
+        assert counts.below(first, end, counts.rank(bound, side)).tolist() == want
+    points = spark.range(4000).selectExpr("id", "40 + pmod(id * 7919, 4001) / 4001 as lat", "pmod(-179.5 + pmod(id * 104729, 4001) / 4001 - 0.9 + 180, 360) - 180 as lon", "id as at", "cast(null as double) as value")
+    grid = asof.Tiles(10)
+    placed = grid.placed(points).cache()
+    tiles = grid.around(placed.select("band", "column").distinct(), 5)
+    sent = asof._sent(tiles, placed.drop("id"))
+    assert sent.count() < 5 * 4000
+    got = {(r.band, r.column): r.n for r in sent.groupBy("band", "column").agg(F.countDistinct("at").alias("n")).collect()}
+    rows = points.collect()
+    km = asof._km(*(np.array([getattr(r, c) for r in rows])[:, None] for c in ("lat", "lon")), *(np.array([getattr(r, c) for r in rows])[None] for c in ("lat", "lon")))
+    index = {}
+    for r in placed.collect():
+        index.setdefault((r.band, r.column), []).append(r.id)
+    assert all(got[k] >= (km[ids] <= 5).any(axis=0).sum() for k, ids in index.items())

@@ -51,7 +51,8 @@ class Tiles:
 
     def around(self, tiles: DataFrame, km: float, tell: bool = False) -> DataFrame:
         """tiles (band, column) -> band, column, b2, c2 for all tiles that may hold a point within km of one of theirs; with `tell`
-        without those that distances rule out, and with `whole`: all their points are within km. Else whole is false."""
+        without those that distances rule out, and with `whole`: all their points are within km. Else whole is false. south, north, west, span
+        (degrees; longitudes from -180 on) bound what may be within km of the first tile."""
         reach, bands = km / EARTH_KM, int(degrees(km / EARTH_KM) / self.step) + 1
         low, high = (lambda b: F.greatest(b * self.step - 90, F.lit(-90.0))), (lambda b: F.least((b + 1) * self.step - 90, F.lit(90.0)))
         own = tiles.withColumn("n1", self.columns(F.col("band"))).withColumns({"w": F.col("column") * 360 / F.col("n1"), "far": F.greatest(F.abs(low(F.col("band"))), F.abs(high(F.col("band"))))})
@@ -60,10 +61,13 @@ class Tiles:
         spread = own.withColumn("wide", wide).withColumn("b2", F.explode(F.sequence(F.col("band") - bands, F.col("band") + bands))).where(F.col("b2").between(0, int(180 / self.step))).withColumn("n2", self.columns(F.col("b2")))
         first, last = F.floor((F.col("w") - F.col("wide")) * F.col("n2") / 360), F.floor((F.col("w") + 360 / F.col("n1") + F.col("wide")) * F.col("n2") / 360)
         spread = spread.withColumns({"first": first.cast("long"), "last": last.cast("long")})
+        rim = degrees(reach) + 1e-9
+        spread = spread.withColumns({"south": low(F.col("band")) - rim, "north": high(F.col("band")) + rim, "west": F.col("w") - F.col("wide"), "span": 360 / F.col("n1") + 2 * F.col("wide")})
+        bounds = ("south", "north", "west", "span")
         every = F.when(F.col("last") - F.col("first") + 1 >= F.col("n2"), F.sequence(F.lit(0), F.col("n2") - 1)).otherwise(F.transform(F.sequence("first", "last"), lambda x: F.pmod(x, F.col("n2"))))
         spread = spread.withColumn("c2", F.explode(every))
         if not tell:
-            return spread.select("band", "column", "b2", "c2", F.lit(False).alias("whole"))
+            return spread.select("band", "column", "b2", "c2", F.lit(False).alias("whole"), *bounds)
         mid = lambda b: (low(b) + high(b)) / 2
         lon = lambda c, n: (c + 0.5) * 360 / n - 180
 
@@ -74,7 +78,7 @@ class Tiles:
         one, two = (F.col("band"), F.col("column"), F.col("n1")), (F.col("b2"), F.col("c2"), F.col("n2"))
         spread = spread.withColumns({"apart": haversine_km(mid(one[0]), lon(*one[1:]), mid(two[0]), lon(*two[1:])), "rims": radius(*one) + radius(*two)})
         kept = spread.where(F.col("apart") - F.col("rims") <= km * (1 + 1e-9)).withColumn("whole", F.col("apart") + F.col("rims") <= km * (1 - 1e-9))
-        return kept.select("band", "column", "b2", "c2", "whole")
+        return kept.select("band", "column", "b2", "c2", "whole", *bounds)
 
 
 def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
@@ -84,10 +88,11 @@ def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray)
 
 
 class Rows:
-    """Sources in rows of a plane that touches the globe amid the targets, each row ordered by u. Distances (chords of the unit sphere) shrink in the
-    plane, and by no more than `stretch`; so a disc of the plane holds all that are near, and a smaller one only such."""
+    """Sources in rows of a plane that touches the globe amid the targets, each row cut along u into cells of few sources, or ordered by u where cells
+    would be crowded. Distances (chords of the unit sphere) shrink in the plane, and by no more than `stretch`; so a disc of the plane holds all that are near, and a smaller one only such."""
 
-    PAD, MOST = 1e-9, 1 << 22  # 6 mm, beyond what rounding moves; pairs at a time
+    CROWD = 32  # sources in a source's cell, on average
+    PAD, MOST, AT_ONCE = 1e-9, 1 << 22, 1 << 18  # 6 mm, beyond what rounding moves; pairs held; pairs compared at a time, so few that they stay in a cache
 
     def __init__(self, targets: np.ndarray, sources: np.ndarray, at: np.ndarray, height: float) -> None:
         mid = targets.sum(axis=0)
@@ -95,45 +100,82 @@ class Rows:
         east = np.cross([0.0, 0.0, 1.0] if abs(mid[2]) < 0.9 else [1.0, 0.0, 0.0], mid)
         axes = np.stack([east / np.linalg.norm(east), np.cross(mid, east / np.linalg.norm(east)), mid])
         place = sources @ axes.T
-        self.targets, self.place = targets, targets @ axes.T
+        self.place = targets @ axes.T
         self.v0 = place[:, 1].min(initial=1.0)
         self.height = max(height, (place[:, 1].max(initial=-1.0) - self.v0) / 4096, 1e-9)
         row = np.floor((place[:, 1] - self.v0) / self.height).astype(np.int64)
-        self.order = np.lexsort((place[:, 0], row))
         self.last = int(row.max(initial=-1))
-        self.key, self.sources, self.at = row[self.order] * 4.0 + 1 + place[self.order, 0], sources[self.order], at[self.order]
+        self.cells = max(1, -(-len(row) // (2 * max(1, self.last + 1))))
+        self.u0 = place[:, 0].min(initial=1.0)
+        self.du = max((place[:, 0].max(initial=-1.0) - self.u0) / self.cells, 1e-12)
+        cell = row * self.cells + self.cell(place[:, 0]).clip(0, self.cells - 1)
+        held = np.bincount(cell, minlength=max(1, self.last + 1) * self.cells)
+        self.even = (held * held).sum() <= self.CROWD * len(row)  # else the ends are sought among ordered sources
+        key = cell if self.even else row * 4.0 + 1 + place[:, 0]
+        self.order = np.argsort(key)
+        self.key, self.starts, self.at = key[self.order], np.concatenate([[0], np.cumsum(held)]), at[self.order]
+        self.axes = [(np.ascontiguousarray(targets[:, k]), sources[self.order, k]) for k in range(3)]
         depth = min(place[:, 2].min(initial=1.0), self.place[:, 2].min(initial=1.0))
         self.stretch = 1 / depth if depth > 0.5 else np.inf  # sqrt(1 + slope^2) of the sphere at its farthest place
 
+    def cell(self, u: np.ndarray) -> np.ndarray:
+        """Never falls where u rises, so a source beyond u lies in its cell or beyond, and one beyond its cell lies beyond u."""
+        return np.floor((u - self.u0) / self.du).clip(-1, self.cells).astype(np.int64)
+
     def ranges(self, own: np.ndarray, chord: float) -> tuple[np.ndarray, ...]:
-        """For targets x rows: places [a, b) that may be within the chord, and [ia, ib) among them that surely are."""
-        u, v = self.place[own, 0][:, None], self.place[own, 1][:, None]
+        """For rows x targets: places [a, b) that may be within the chord, and [ia, ib) among them that surely are. Targets ordered by u seek
+        one cell after another."""
+        u, v = self.place[own, 0][None], self.place[own, 1][None]
         first = np.floor((v - chord - self.PAD - self.v0) / self.height).clip(0, self.last + 1)
         width = int((np.floor((v + chord + self.PAD - self.v0) / self.height).clip(-1, self.last) - first).max(initial=-1)) + 1
-        row = first + np.arange(width)[None]
+        row = first + np.arange(width)[:, None]
         low = self.v0 + row * self.height
         near = np.maximum(0, np.maximum(low - v, v - low - self.height) - self.PAD)
         far = np.maximum(np.abs(v - low), np.abs(v - low - self.height)) + self.PAD
         half = np.sqrt(np.maximum(chord**2 - near**2, 0)) + self.PAD
         inner = np.sqrt(np.maximum((chord / self.stretch) ** 2 - far**2, 0)) - self.PAD
-        seek = lambda x, side: np.searchsorted(self.key, row * 4 + (x + 1).clip(-0.5, 2.5), side)
-        a = seek(u - half, "left")
-        b = np.where((near <= chord) & (row <= self.last), np.maximum(a, seek(u + half, "right")), a)
+        some = near <= chord
+        if self.even:
+            base, last = np.clip(row, 0, max(0, self.last)).astype(np.int64) * self.cells, self.cells - 1
+            seek = lambda x, low, more: self.starts[base + self.cell(x).clip(low, last) + more]
+            a, b = seek(u - half, 0, 0), seek(u + half, -1, 1)
+            ia, ib = seek(u - inner, -1, 1), seek(u + inner, 0, 0)
+        else:
+            seek = lambda x, side: np.searchsorted(self.key, row * 4 + (x + 1).clip(-0.5, 2.5), side)
+            a, b = seek(u - half, "left"), seek(u + half, "right")
+            ia, ib = seek(u - inner, "left"), seek(u + inner, "right")
+        b = np.where(some & (row <= self.last), np.maximum(a, b), a)
         some = (inner > 0) & (b > a)
-        ia = np.where(some, seek(u - inner, "left").clip(a, b), b)
-        return a, ia, np.where(some, np.maximum(ia, seek(u + inner, "right").clip(a, b)), b), b
+        ia = np.where(some, ia.clip(a, b), b)
+        return a, ia, np.where(some, np.maximum(ia, ib.clip(a, b)), b), b
+
+    def strips(self, size: int) -> Iterator[np.ndarray]:
+        """The targets, neighbours together: `size` of them along v, ordered by u."""
+        order = np.argsort(self.place[:, 1])
+        for begin in range(0, len(order), size):
+            own = order[begin : begin + size]
+            yield own[np.argsort(self.place[own, 0])]
 
     def pairs(self, own: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in own, source, squared chord) of all pairs in targets x ranges, a bounded number at a time."""
-        owner, starts, sizes = np.repeat(np.arange(len(own)), first.shape[1]), first.ravel(), (end - first).ravel()
+        """(place in own, source, squared chord) of all pairs in rows x targets, a bounded number at a time."""
+        sizes = (end - first).ravel()
+        some = np.flatnonzero(sizes)
+        owner, starts, sizes = some % max(1, len(own)), first.ravel()[some], sizes[some]
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
-        cuts = np.unique([0, *np.searchsorted(upto, np.arange(self.MOST, total, self.MOST), "right"), len(sizes)]) if total else []
+        cuts = np.unique([0, *np.searchsorted(upto, np.arange(self.AT_ONCE, total, self.AT_ONCE), "right"), len(sizes)]) if total else []
+        here = [(t[own], s) for t, s in self.axes]
         for begin, stop in zip(cuts[:-1], cuts[1:], strict=True):
             n = sizes[begin:stop]
             index = np.repeat(starts[begin:stop] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             who = np.repeat(owner[begin:stop], n)
-            yield who, index, ((self.targets[own[who]] - self.sources[index]) ** 2).sum(axis=1)
+            gap = np.zeros(len(who))
+            for t, s in here:
+                apart = t[who]
+                apart -= s[index]
+                apart *= apart
+                gap += apart
+            yield who, index, gap
 
 
 def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -168,16 +210,16 @@ def _count_within(t: tuple, s: tuple, radius: float, as_of: bool) -> np.ndarray:
     crowd = len(s_lat) * chord**2 / np.sort(box)[1:].prod()  # sources in a square of the chord, about
     rows = Rows(targets, sources, s_at, 2 * chord / min(max(4.0, (0.6 * crowd) ** 0.5), 256.0))
     counts = RangeCounts(rows.at) if as_of else None
-    sliced = max(1, (1 << 19) // (int(2 * chord / rows.height) + 3))
-    order = np.argsort(rows.place[:, 1], kind="stable")  # neighbours ask one after another
-    for begin in range(0, len(order), sliced):
-        own = order[begin : begin + sliced]
+    sliced = max(1, (1 << 17) // (int(2 * chord / rows.height) + 3))
+    for own in rows.strips(sliced):
         a, ia, ib, b = rows.ranges(own, chord)
         if as_of:
-            rank = np.broadcast_to(counts.rank(t_at[own])[:, None], ia.shape).ravel()
-            n[own] += counts.below(ia.ravel(), ib.ravel(), rank).reshape(ia.shape).sum(axis=1)
+            whole = np.flatnonzero(ib > ia)
+            who = whole % len(own)
+            below = counts.below(ia.ravel()[whole], ib.ravel()[whole], counts.rank(t_at[own])[who])
+            n[own] += np.bincount(who, below, len(own)).astype(np.int64)  # exact: far below 2^53
         else:
-            n[own] += (ib - ia).sum(axis=1)
+            n[own] += (ib - ia).sum(axis=0)
         for first, end in ((a, ia), (ib, b)):
             for who, index, gap in rows.pairs(own, first, end):
                 good = _inside(t, s, rows, own[who], index, gap, radius, as_of)
@@ -199,9 +241,7 @@ def _nearest_within(t: tuple, s: tuple, cap_km: float, as_of: bool, self_gap: fl
             break
         chord = _chord(radius)
         rows = Rows(targets[left], sources[kept], s_at[kept], chord / 2)
-        order = np.argsort(rows.place[:, 1], kind="stable")
-        for begin in range(0, len(order), 1 << 15):
-            own = order[begin : begin + (1 << 15)]
+        for own in rows.strips(1 << 15):
             a, _, _, b = rows.ranges(own, chord)
             for who, index, gap in rows.pairs(own, a, b):
                 if as_of:
@@ -351,10 +391,11 @@ def _met(targets: DataFrame, sent: DataFrame, function, chunk: int) -> DataFrame
 
 
 def _sent(tiles: DataFrame, sources: DataFrame, dense: bool = False) -> DataFrame:
-    """What the tiles (band, column, b2, c2, whole) receive: sources, and where `dense` time tables of the tiles that are wholly near, summed up."""
+    """What the tiles (see `Tiles.around`) receive: the sources within their bounds, and where `dense` time tables of the tiles that are wholly near, summed up."""
     there = sources.withColumnsRenamed({"band": "b2", "column": "c2"})
     point = tiles.where(~F.col("whole")) if dense else tiles
-    out = point.join(there, ["b2", "c2"]).select("band", "column", "lat", "lon", "at", "value", F.lit(None).cast("long").alias("n"))
+    near = F.col("lat").between(F.col("south"), F.col("north")) & (F.pmod(F.col("lon") + 180 - F.col("west"), F.lit(360.0)) <= F.col("span"))
+    out = point.join(there, ["b2", "c2"]).where(near).select("band", "column", "lat", "lon", "at", "value", F.lit(None).cast("long").alias("n"))
     if dense:
         tables = there.groupBy("b2", "c2", "at").agg(F.count("*").alias("n"))
         whole = tiles.where("whole").join(tables, ["b2", "c2"]).groupBy("band", "column", "at").agg(F.sum("n").alias("n"))

@@ -9,32 +9,35 @@ from pyspark.sql import functions as F
 
 
 class RangeCounts:
-    """Values in places 0 .. n - 1; counts those in a stretch of places that are below a bound, by bits of their ranks."""
+    """Values in places 0 .. n - 1; counts those in a stretch of places that are below a bound, by bits of their ranks. Equal values share a rank, so
+    few distinct values (days, months) make few levels."""
+
+    AT_ONCE = 1 << 16  # asked at a time, so few that they stay in a cache
 
     def __init__(self, values: np.ndarray) -> None:
-        order = np.argsort(values, kind="stable")
-        self.ordered, self.size = values[order], len(values)
-        ranks = np.empty(self.size, np.int64)
-        ranks[order] = np.arange(self.size)
+        self.ordered, ranks = np.unique(values, return_inverse=True)
         self.levels: list[tuple[int, int, np.ndarray]] = []  # bit, zeros in all, zeros before each place
-        for bit in range(self.size.bit_length() - 1, -1, -1):
+        for bit in range(len(self.ordered).bit_length() - 1, -1, -1):
             ones = (ranks >> bit) & 1 == 1
             zeros = np.concatenate([[0], np.cumsum(~ones)]).astype(np.int32)
             self.levels.append((bit, int(zeros[-1]), zeros))
             ranks = np.concatenate([ranks[~ones], ranks[ones]])
 
     def rank(self, bound: np.ndarray, side: str = "left") -> np.ndarray:
-        """Number of values below the bound (`right`: or equal to it): what `below` takes."""
+        """Number of distinct values below the bound (`right`: or equal to it): what `below` takes."""
         return np.searchsorted(self.ordered, bound, side)
 
     def below(self, first: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """How many of the places first .. end - 1 hold a rank below the given one."""
-        a, b, found = first.astype(np.int32), end.astype(np.int32), np.zeros(len(first), np.int64)
-        for bit, all_zeros, zeros in self.levels:
-            one = (rank >> bit) & 1 == 1
-            za, zb = zeros[a], zeros[b]
-            found += np.where(one, zb - za, 0)
-            a, b = np.where(one, all_zeros + a - za, za), np.where(one, all_zeros + b - zb, zb)
+        found = np.zeros(len(first), np.int64)
+        for begin in range(0, len(first), self.AT_ONCE):
+            part = slice(begin, begin + self.AT_ONCE)
+            a, b, r, n = first[part].astype(np.intp), end[part].astype(np.intp), rank[part], found[part]
+            for bit, all_zeros, zeros in self.levels:
+                one = (r >> bit) & 1 == 1
+                za, zb = zeros[a], zeros[b]
+                n += np.where(one, zb - za, 0)
+                a, b = np.where(one, all_zeros + a - za, za), np.where(one, all_zeros + b - zb, zb)
         return found
 
 
