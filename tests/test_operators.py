@@ -674,3 +674,17 @@ def test_tiles_receive_what_is_near_and_days_make_few_levels(spark):
     for r in placed.collect():
         index.setdefault((r.band, r.column), []).append(r.id)
     assert all(got[k] >= (km[ids] <= 5).any(axis=0).sum() for k, ids in index.items())
+
+
+def test_season_hits_read_scenes_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.range(8).selectExpr("id as scene_id", "concat('t', id) as tile_id", "'view' as collection", "(90 + id % 4 * 61) * 86400 as epoch_s", "1.0D as cloud_cover", "0.0D as west", "1.0D as east", "0.0D as south", "1.0D as north").coalesce(1)
+    places = spark.createDataFrame([("a", 0.5, 0.5), ("b", 5.0, 5.0)], "sample_id string, latitude double, longitude double")
+    got = observations.season_hits(places, rows.mapInPandas(counted, rows.schema), preferred=("view",)).collect()
+    assert sorted((r.sample_id, r.scene_id) for r in got) == [("a", k) for k in range(4)] and read.value == 8

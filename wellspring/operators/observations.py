@@ -94,6 +94,7 @@ def season_scenes(locations: DataFrame, scenes: DataFrame, most_cloud: float = 3
     inside = lambda a, b, c, d: F.col("day").between(F.make_date("year", F.lit(a), F.lit(b)), F.make_date("year", F.lit(c), F.lit(d)))
     season = F.coalesce(*[F.when(inside(*days), F.lit(name)) for name, *days in SEASONS])
     dated = dated.withColumn("season", season).where("season is not null")
+    dated = materialize(dated, "dated-scenes")  # asked for three times: boxes, their chunks, and the join
     order = [F.desc("n_points"), preference(preferred), F.col("cloud_cover"), F.desc("epoch_s"), F.col("scene_id")]
     return top_k(covered(locations, dated), ["year", "season", "tile_id"], order, 1).drop("rank")
 
