@@ -153,3 +153,14 @@ def test_stream_deduplication(spark, tmp_path):
     stream = refresh.first_seen(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "at", ["id"])
     stream.writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert spark.sql("select count(*) from seen").first()[0] == 2
+
+
+def test_pieces_are_told_without_arrays(spark, tmp_path, monkeypatch):
+    """Quotes, escapes and depths of a piece come from its text alone: no array of its parts goes through lambda functions."""
+    from wellspring.sources import collections
+
+    (tmp_path / "a.json").write_text('{"a": "x\\"[{", "b": [{"c": "\\\\"}], "d')
+    monkeypatch.setattr(collections, "materialize", lambda df, name: df)
+    got = collections._pieces(spark, str(tmp_path / "a.json"))
+    assert [(r.quotes, r.r0, r.r1) for r in got.orderBy("seq").collect()] == [(10, 2, 2), (1, 1, 1)]
+    assert "lambda" not in got._jdf.queryExecution().toString()

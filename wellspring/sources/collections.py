@@ -14,18 +14,26 @@ from pyspark.sql import functions as F
 from .scratch import materialize, scratch
 
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
 def _rise(text: Column) -> Column:
-    """Opened minus closed braces and brackets."""
-    return F.length(F.regexp_replace(text, r"[^{\[]", "")) - F.length(F.regexp_replace(text, r"[^}\]]", ""))
+    """Opened minus closed braces and brackets; the pieces hold no closing brace, since they are cut there."""
+    return _count(text, "{") + _count(text, "[") - _count(text, "]")
 
 
 def _pieces(spark: SparkSession, path) -> DataFrame:
     """file, block, seq, value; rp: parity of quotes before the piece in its block; quotes; r0, r1: depth after the piece for a block that begins outside or inside a string."""
     raw = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
-    parts = raw.withColumn("parts", F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)).withColumn("quotes", F.size("parts") - 1)
-    outside = lambda odd: _rise(F.array_join(F.filter("parts", lambda _, i: i % 2 == odd), " "))
+    plain = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    string = '"[^"]*(?:"|$)'  # a whole one, or one that goes on in the next piece
+    parts = raw.withColumn("plain", plain).withColumn("quotes", _count(F.col("plain"), '"'))
+    # what stands outside of strings, if the piece begins outside (0) or inside (1) of one
+    parts = parts.withColumns({"t0": F.regexp_replace("plain", string, " "), "t1": F.regexp_replace("plain", f'^[^"]*(?:"|$)|{string}', " ")})
+    outside = lambda odd: _rise(F.col(f"t{odd}"))
     # the brace at the piece's end counts if it stands outside of strings
-    parts = parts.withColumns({"d0": outside(0) - F.when(F.col("quotes") % 2 == 0, 1).otherwise(0), "d1": outside(1) - F.when(F.col("quotes") % 2 == 1, 1).otherwise(0)}).drop("parts")
+    parts = parts.withColumns({"d0": outside(0) - F.when(F.col("quotes") % 2 == 0, 1).otherwise(0), "d1": outside(1) - F.when(F.col("quotes") % 2 == 1, 1).otherwise(0)}).drop("plain", "t0", "t1")
     own = Window.partitionBy("file", "block").orderBy("seq")
     parts = parts.withColumn("rp", F.coalesce(F.sum("quotes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
@@ -50,8 +58,8 @@ def feature_lines(spark: SparkSession, path) -> str:
     grouped = numbered.groupBy("file", (F.col("base") + F.col("inner")).alias("n")).agg(F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("p"), F.max("ends").alias("whole")).where("whole")
     text = F.concat(F.array_join(F.transform("p", lambda x: x["value"]), "}"), F.lit("}"))
     # before a feature stand a comma, or the collection's own members up to its array
-    head = F.when(F.col("n") == 0, F.regexp_extract("text", r'(?s)^(?:\s*\{.*?"features"\s*:\s*\[)?[^{]*(\{.*)$', 1)).otherwise(F.regexp_extract("text", r"(?s)^[^{]*(\{.*)$", 1))
-    lines = grouped.select("n", text.alias("text")).select(F.regexp_replace(head, r"[\r\n]+", " ").alias("value"))
+    head = F.when(F.col("n") == 0, F.regexp_extract("text", r'(?s)^(?:\s*\{.*?"features"\s*:\s*\[)?[^{]*(\{.*)$', 1)).when(F.contains("text", F.lit("{")), F.substr("text", F.instr("text", "{"))).otherwise("")
+    lines = grouped.select("n", text.alias("text")).select(head.alias("value")).select(F.when(F.col("value").rlike(r"[\r\n]"), F.regexp_replace("value", r"[\r\n]+", " ")).otherwise(F.col("value")).alias("value"))
     kind = F.get_json_object("value", "$.type")
     lines = lines.where((kind == "Feature") | (kind.isNull() & F.get_json_object("value", "$.properties").isNotNull()))
     out = scratch(spark, "features")
